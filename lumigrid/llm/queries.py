@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, media, sharding
+from . import bpe, exact, langid, lm, media, near, packing, sharding
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,11 +29,27 @@ def op4_bpe(spark, folder):
     return bpe.bpe_digests(_table(spark, folder, "documents"), WORD_BPE)
 
 
+def op5_packing(spark, folder):
+    return packing.pack_documents(_table(spark, folder, "documents"), WORD_BPE, end_id=1)
+
+
 def op7_sharding(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"), 16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op4_bpe, op7_sharding)}
+def op8_near_dedup(spark, folder):
+    return near.near_groups(_table(spark, folder, "documents"), words=3, at_least=Fraction(85, 100))
+
+
+def op9_language_id(spark, folder):
+    return langid.identify(_table(spark, folder, "documents"))
+
+
+def op10_lm_scores(spark, folder):
+    return lm.score_documents(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op4_bpe, op5_packing, op7_sharding, op8_near_dedup, op9_language_id, op10_lm_scores)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
