@@ -1,21 +1,39 @@
-"""The corpus pipeline: documents through language ID, exact and near deduplication and packing."""
+"""The corpus pipeline: documents through language ID, exact and near deduplication, and packing."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lumigrid.llm import exact
+from lumigrid.llm import exact, langid, near, packing
 from lumigrid.llm.common import materialize
+from lumigrid.llm.queries import WORD_BPE
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any letter, or far from every learned language, go."""
+    return langid.drop_unidentified(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays."""
+    """Of equal texts (A-Z lower-cased) the row with the largest id stays."""
     return exact.drop_copies(docs)
 
 
-STAGES = [("exact dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 on five-word shingles the smallest id stays."""
+    return near.drop_near_copies(docs, words=5, at_least=Fraction(4, 5))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, a row per piece."""
+    return packing.pack_documents(docs, WORD_BPE, end_id=1)
+
+
+STAGES = [("language ID", identify_language), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("packing", pack)]
 
+#: Neither the language model nor the near-duplicate graph nor packing has a SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

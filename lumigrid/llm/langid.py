@@ -143,6 +143,40 @@ def _predictor(langs: list[str], prototypes: np.ndarray, dimensions: int):
     return run
 
 
+def _keeper(langs: list[str], prototypes: np.ndarray, dimensions: int, text: int, least_cosine: float, sure_grams: int):
+    predict = _predictor(langs, prototypes, dimensions)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, whole.schema.names[text]):
+                n = b.num_rows
+                rows = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), b.column(text), pa.nulls(n, pa.bool_())], names=["doc_id", "text", "held_out"])
+                kept = []
+                for p in predict([rows]):
+                    far = (np.asarray(p.column("grams")) >= sure_grams) & (np.asarray(p.column("cosine")) < least_cosine)
+                    kept.append((np.array(p.column("lang_pred").to_pylist(), object) != UNKNOWN) & ~far)
+                yield b.filter(pa.array(np.concatenate(kept)))
+
+    return run
+
+
+def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_cosine: float = 0.0, sure_grams: int = 200, dimensions: int = DIMENSIONS) -> DataFrame:
+    """``docs`` without what is in no learned language, columns unchanged.
+
+    Prototypes come from all rows with a non-null lang. Rejected are texts without a letter (null and
+    empty ones too), and texts of ``sure_grams`` n-grams or more whose best cosine is below
+    ``least_cosine``. If no row has a lang, nothing can be learned and only the first rule holds.
+    """
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
+    langs, prototypes = learn_prototypes(flat.select(F.col(f"c{text}").alias("text"), F.col(f"c{lang}").cast("string").alias("lang")), dimensions)
+    if not langs:
+        kept = flat.filter(F.col(f"c{text}").rlike(r"\p{L}"))
+    else:
+        kept = flat.mapInArrow(_keeper(langs, prototypes, dimensions, text, least_cosine, sure_grams), flat.schema)
+    return kept.toDF(*docs.columns)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, dimensions: int = DIMENSIONS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, cosine, grams.
 

@@ -8,9 +8,10 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, langid, lm, media, near, packing, sharding
+from . import bpe, counts, exact, html, langid, lm, media, near, packing, sharding
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_media_columns(spark, folder):
     return media.media_features(media.store_media(_table(spark, folder, "documents")))
 
 
+def op3_html_extraction(spark, folder):
+    return html.extract_pages(_table(spark, folder, "pages"))
+
+
 def op4_bpe(spark, folder):
     return bpe.bpe_digests(_table(spark, folder, "documents"), WORD_BPE)
 
@@ -33,6 +38,10 @@ def op5_packing(spark, folder):
     return packing.pack_documents(_table(spark, folder, "documents"), WORD_BPE, end_id=1)
 
 
+def op6_token_counts(spark, folder):
+    return counts.token_counts(_table(spark, folder, "documents"), PIECES)
+
+
 def op7_sharding(spark, folder):
     return sharding.shard_documents(_table(spark, folder, "documents"), 16)
 
@@ -49,7 +58,7 @@ def op10_lm_scores(spark, folder):
     return lm.score_documents(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op4_bpe, op5_packing, op7_sharding, op8_near_dedup, op9_language_id, op10_lm_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_media_columns, op3_html_extraction, op4_bpe, op5_packing, op6_token_counts, op7_sharding, op8_near_dedup, op9_language_id, op10_lm_scores)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
