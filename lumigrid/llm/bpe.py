@@ -12,22 +12,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
+import unicodedata
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-import unicodedata
 from pyspark.sql import DataFrame
 
 from .common import batch, id_text, slices
-
-#: Characters that str.split cuts at although they are not white space to the tokenizer; a text with one goes through whole.
-ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Words kept in a task's memory, in each of two generations.
-CACHE_WORDS = 200_000
-
+from .words import WordCache, words_of
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next free letter from 256 on."""
@@ -36,6 +32,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def split_pieces(text: str, pattern: regex.Pattern) -> list[str]:
+    """Normalise and cut: NFC, white space to a space, lower case letter by letter, the pattern's matches. Plain words, perhaps with one mark after them, need no pattern."""
+    if "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+        low = text.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in string.punctuation:
+            return [low[:-1], low[-1]]
+    text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
+    return pattern.findall("".join(map(str.lower, text)))  # no rule here looks at neighbours
+
+
 class BpeModel:
     """Read from a tokenizer's JSON file: normaliser NFC, white space to a space, lower case; pieces by pattern; byte letters with an end-of-word mark."""
 
@@ -146,20 +154,17 @@ class BpeModel:
         yield from self._plain(text[at:])
 
     def _plain(self, text: str):
-        text = unicodedata.normalize("NFC", text)
-        if not text.isascii():
-            text = regex.sub(r"\s+", " ", text)
-            yield from self.split.findall("".join(map(str.lower, text)))  # letter by letter: no rule here looks at neighbours
-        else:
-            yield from self.split.findall(text.lower())
-
-    def encode(self, text: str) -> list[int]:
+        return split_pieces(text, self.split)
+
+    def encode(self, text: str, piece_ids=None) -> list[int]:
+        """Ids of a whole text; ``piece_ids`` may be a cached form of encode_piece."""
+        piece_ids = piece_ids or self.encode_piece
         out: list[int] = []
         for p in self.pieces(text):
             if isinstance(p, int):
                 out.append(p)
             else:
-                out += self.encode_piece(p)
+                out += piece_ids(p)
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -180,67 +185,35 @@ def load(path: str) -> BpeModel:
     return BpeModel(path)
 
 
-class WordCache:
-    """Two generations of words with a value each; the older one goes when the younger is full."""
-
-    def __init__(self, words: int = CACHE_WORDS):
-        self.words, self.young, self.old = words, {}, {}
-
-    def take(self, words: list[str], make) -> list:
-        """The words' values; make(list of unknown words) gives what is missing."""
-        young, old = self.young, self.old
-        out, missing = [], []
-        for w in words:
-            v = young.get(w)
-            if v is None:
-                v = old.get(w)
-                if v is None:
-                    missing.append(w)
-                else:
-                    young[w] = v
-            out.append(v)
-        if missing:
-            made = dict(zip(missing, make(missing), strict=True))
-            young.update(made)
-            out = [made[w] if v is None else v for w, v in zip(words, out, strict=True)]
-        if len(young) > self.words:
-            self.young, self.old = {}, young
-        return out
-
-
 _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def words_of(text: str) -> list[str]:
-    """Cut at plain white space; with odd white space the text stays whole."""
-    return [text] if ODD_SPACE.search(text) else text.split()
+@lru_cache(maxsize=4)
+def _known(path: str) -> WordCache:
+    """Per word its ids as bytes and as text."""
+    model = load(path)
+    pieces = WordCache(model.encode_piece)
 
+    def make(word):
+        ids = model.encode(word, pieces.__getitem__)
+        pieces.turn()
+        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids))
 
-def encoded_words(texts: list[str], cache: WordCache, make) -> list[list]:
-    """For every text the values of its words, each distinct word of the batch looked up once."""
-    cut = [words_of(t) for t in texts]
-    known: dict[str, int] = {}
-    for words in cut:
-        known.update(dict.fromkeys(words))
-    distinct = list(known)
-    value = dict(zip(distinct, cache.take(distinct, make), strict=True)).__getitem__
-    return [list(map(value, words)) for words in cut]
+    return WordCache(make)
 
 
 def _encoder(path: str):
     def run(batches):
-        model, cache = load(path), WordCache()
-
-        def make(words):
-            return [np.array(model.encode(w), np.int32).tobytes() for w in words]
-
+        model, known = load(path), _known(path)
         for whole in batches:
             for b in slices(whole, "text"):
                 out = []
-                for parts in encoded_words([t or "" for t in b.column("text").to_pylist()], cache, make):
-                    ids = np.frombuffer(b"".join(parts), np.int32)
-                    text = " ".join(map(str, ids.tolist()))
-                    out.append((len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()))
+                for text in b.column("text").to_pylist():
+                    parts = [p for p in map(known.__getitem__, words_of(text or "")) if p[0]]
+                    known.turn()
+                    ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
+                    decimal = " ".join([p[1] for p in parts])
+                    out.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()))
                 yield batch(_CODED, b.column("doc_id"), *zip(*out, strict=True))
 
     return run
@@ -256,11 +229,12 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 def _id_lister(path: str):
     def run(batches):
-        model, cache = load(path), WordCache()
+        known = _known(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                rows = encoded_words([t or "" for t in b.column("text").to_pylist()], cache, lambda words: [model.encode(w) for w in words])
-                yield batch(_IDS, b.column("doc_id"), [[i for w in r for i in w] for r in rows])
+                rows = [np.frombuffer(b"".join([p[0] for p in map(known.__getitem__, words_of(t or ""))]), np.int32) for t in b.column("text").to_pylist()]
+                known.turn()
+                yield batch(_IDS, b.column("doc_id"), rows)
 
     return run
 

@@ -15,8 +15,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import WordCache
 from .common import batch, id_text, slices
+from .words import WordCache
 
 SPACE = "▁"
 UNKNOWN_BELOW = 10.0
@@ -93,21 +93,22 @@ def load(path: str) -> UnigramCounter:
 _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _counter(path: str):
-    def run(batches):
-        count, cache = load(path).count, WordCache()
+@lru_cache(maxsize=2)
+def _known(path: str) -> WordCache:
+    count = load(path).count
+    return WordCache(lambda word: count(SPACE + word))
 
-        def make(words):
-            return [count(SPACE + w) for w in words]
 
+def _counter(path: str):
+    def run(batches):
+        known = _known(path)
         for whole in batches:
             for b in slices(whole, "text"):
-                texts = [cut(t or "") for t in b.column("text").to_pylist()]
-                known: dict[str, int] = {}
-                for words in texts:
-                    known.update(dict.fromkeys(words))
-                value = dict(zip(known, cache.take(list(known), make), strict=True)).__getitem__
-                yield batch(_COUNTS, b.column("doc_id"), [sum(map(value, words)) for words in texts])
+                out = []
+                for text in b.column("text").to_pylist():
+                    out.append(sum(map(known.__getitem__, cut(text or ""))))
+                    known.turn()
+                yield batch(_COUNTS, b.column("doc_id"), out)
 
     return run
 

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import WordCache, encoded_words
+from .bpe import load, split_pieces
 from .common import batch, id_text, slices, task_id
+from .words import WordCache, words_of
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -121,19 +122,36 @@ def tokenizer(path: str):
     return t
 
 
-def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
-    def run(batches):
-        encode, cache, end = tokenizer(vocabulary).encode_batch_fast, WordCache(), np.array([end_id], "<u4").tobytes()
+@lru_cache(maxsize=2)
+def _known(path: str) -> WordCache:
+    """Per word its ids as bytes, from the tokenizers library: plain words by its model alone, others by its whole way."""
+    whole = tokenizer(path)
+    model, split = whole.model, load(path)
+
+    def piece(text):
+        return np.array([t.id for t in model.tokenize("".join([split.letters[b] for b in text.encode()]))], "<u4").tobytes()
+
+    pieces = WordCache(piece)
 
-        def make(words):
-            return [np.array(e.ids, "<u4").tobytes() for e in encode(words, add_special_tokens=False)]
+    def make(word):
+        if split.specials and split.specials.search(word):
+            return np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = b"".join(map(pieces.__getitem__, split_pieces(word, split.split)))
+        pieces.turn()
+        return ids
 
+    return WordCache(make)
+
+
+def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
+    def run(batches):
+        known, end = _known(vocabulary), np.array([end_id], "<u4").tobytes()
         packer = Packer(task_id(), tiers, step_tokens)
         for whole in batches:
             for b in slices(whole, "text"):
-                coded = encoded_words([t or "" for t in b.column("text").to_pylist()], cache, make)
-                for doc_id, parts in zip(b.column("doc_id").to_pylist(), coded, strict=True):
-                    packer.add(doc_id, b"".join(parts) + end)
+                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    packer.add(doc_id, b"".join(map(known.__getitem__, words_of(text or ""))) + end)
+                    known.turn()
                     if packer.docs >= BUFFER_DOCS or packer.tokens >= BUFFER_TOKENS:
                         packer.pack()
                         if (out := packer.rows()) is not None:
