@@ -29,7 +29,7 @@ PREDICATES: dict[str, tuple[tuple, tuple, str]] = {
     "filmroll": ((("filmroll", "%asia%"),), ("film_rolls",), _in(_ROLL + "folder ILIKE '%asia%'", "film_id")),
     "folder_tree": ((("folders", "/photos/ASIA*"),), ("film_rolls",), _in(_ROLL + "folder ILIKE '/photos/asia' OR folder ILIKE '/photos/asia/%'", "film_id")),
     "folder_below": ((("folders", "/photos|%"),), ("film_rolls",), _in(_ROLL + "folder ILIKE '/photos/%'", "film_id")),
-    "folder_exact": ((("folders", "/photos/EUROPE/FRANCE"),), ("film_rolls",), _in(_ROLL + "folder ILIKE '/photos/europe/france'", "film_id")),
+    "folder_exact": ((("folders", "/photos/ASIA/NATION_2"),), ("film_rolls",), _in(_ROLL + "folder ILIKE '/photos/asia/nation_2'", "film_id")),
     "color_any": ((("color", "%"),), ("color_labels",), _in("SELECT imgid FROM color_labels")),
     "color_named": ((("color", "green"),), ("color_labels",), _in("SELECT imgid FROM color_labels WHERE color = 2")),
     "color_mask_and": ((("color", "0x80004003"),), ("color_labels",), _in(_MASK + "(mask & 3) = 3 AND (mask & 4) = 0")),
@@ -46,7 +46,7 @@ PREDICATES: dict[str, tuple[tuple, tuple, str]] = {
     "aspect_range": ((("aspect_ratio", "[1.1;1.6]"),), (), "aspect_ratio BETWEEN 1.1 AND 1.6"),
     "camera": ((("camera", "orion m1"),), ("cameras",), _in("SELECT id FROM cameras WHERE concat_ws(' ', maker, model) ILIKE '%orion m1%'", "camera_id")),
     "camera_unnamed": ((("camera", 'unnamed,"Nova'),), ("cameras",), "(" + _in("SELECT id FROM cameras WHERE trim(concat_ws(' ', maker, model)) = '' OR concat_ws(' ', maker, model) ILIKE 'Nova%'", "camera_id") + " OR camera_id IS NULL)"),
-    "tag_exact": ((("tag", "brand#23|15|t2"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name ILIKE 'brand#23|15|t2'")),
+    "tag_exact": ((("tag", "brand#5|10|t1"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name ILIKE 'brand#5|10|t1'")),
     "tag_tree": ((("tag", "Brand#12*"),), ("tags", "tagged_images"), _in(_TAGGED + "(t.name ILIKE 'brand#12' OR t.name ILIKE 'brand#12|%')")),
     "tag_not_tagged": ((("tag", "not tagged"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name NOT LIKE 'internal|%'", no=True)),
     "lens": ((("lens", 'prime 35,"n/a"'),), ("lens",), _in(_LENS + "name ILIKE '%prime 35%' OR name = 'n/a'", "lens_id")),
@@ -61,14 +61,14 @@ PREDICATES: dict[str, tuple[tuple, tuple, str]] = {
     "iso_malformed": ((("iso", "many"),), (), "1 = 1"),
     "aperture": ((("aperture", "<2.9"),), (), "round(aperture, 1) < 2.9"),
     "exposure_fraction": ((("exposure", "[1/200;1/30]"),), (), "exposure >= 1.0/200 - 1e-5 AND exposure <= 1.0/30 + 1e-5"),
-    "exposure_equal": ((("exposure", "1/125"),), (), "(CASE WHEN exposure < 0.4 THEN exposure ELSE round(exposure, 2) END) BETWEEN 0.008 - 1e-5 AND 0.008 + 1e-5"),
+    "exposure_equal": ((("exposure", "1/126"),), (), "(CASE WHEN exposure < 0.4 THEN exposure ELSE round(exposure, 2) END) BETWEEN 1.0/126 - 1e-5 AND 1.0/126 + 1e-5"),
     "exposure_bias": ((("exposure_bias", "[-0.5;0.5]"),), (), "round(exposure_bias, 2) BETWEEN -0.5 AND 0.5"),
     "filename": ((("filename", "img_1,img_2/RAW"),), (), "(filename ILIKE '%img_1%' OR filename ILIKE '%img_2%') AND (flags & 64) <> 0"),
     "filename_extension": ((("filename", "/.jpg,HDR"),), (), "(filename ILIKE '%.jpg' OR (flags & 128) <> 0)"),
     "day": ((("day", "1996:03"),), (), f"datetime_taken BETWEEN {_us('1996-03-01')} AND {_us('1996-04-01')} - 1"),
     "day_not": ((("day", "<>1996"),), (), f"(datetime_taken < {_us('1996-01-01')} OR datetime_taken > {_us('1997-01-01')} - 1)"),
-    "time_range": ((("time", "[1994:06:15;1995:02]"),), (), f"datetime_taken >= {_us('1994-06-15')} AND datetime_taken <= {_us('1995-03-01')} - 1"),
-    "time_relative": ((("time", "[1994:06:15;+0000:02:10]"),), (), f"datetime_taken >= {_us('1994-06-15')} AND datetime_taken <= {_us('1994-08-25')}"),
+    "time_range": ((("time", "[1996:06:15;1997:02]"),), (), f"datetime_taken >= {_us('1996-06-15')} AND datetime_taken <= {_us('1997-03-01')} - 1"),
+    "time_relative": ((("time", "[1996:06:15;+0000:02:10]"),), (), f"datetime_taken >= {_us('1996-06-15')} AND datetime_taken <= {_us('1996-08-25')}"),
     "change_timestamp": ((("change_timestamp", ">1997"),), (), f"change_timestamp > {_us('1998-01-01')} - 1"),
     "module": ((("module", "vel%"),), ("history",), _in("SELECT imgid FROM history WHERE enabled = 1 AND operation ILIKE 'vel%'")),
     "module_order": ((("order", "legacy"),), ("module_order",), _in("SELECT imgid FROM module_order WHERE version = 1")),
