@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import materialize
+
 EARTH = 6_378_100.0  # metres
 
 
@@ -120,12 +122,9 @@ def as_of_track(images: DataFrame, track: DataFrame, by: list[str] | None = None
     return out.select(*by, "id", "t", pick("lat", lat).alias("lat"), pick("lon", lon).alias("lon"), (exact | inside).alias("found"))
 
 
-def reachable(edges: DataFrame, starts: DataFrame, source: str = "imgid", target: str = "overlay_id", most_rounds: int = 1_000, write=None) -> DataFrame:
-    """(start, node): all nodes on directed paths from each start, cycles included, by rounds of frontier joins.
-
-    ``write`` cuts lineage between rounds (a function that stores a frame and reads it back).
-    """
-    write = write or (lambda df: df.persist())
+def reachable(edges: DataFrame, starts: DataFrame, source: str = "imgid", target: str = "overlay_id", most_rounds: int = 1_000) -> DataFrame:
+    """(start, node): all nodes on directed paths from each start, cycles included, by rounds of frontier joins over written tables."""
+    write = lambda df: materialize(df, "frontier")
     edges = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
     seen = frontier = write(starts.select(F.col(starts.columns[0]).alias("start")).distinct().join(edges, F.col("start") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct())
     for _ in range(most_rounds):
