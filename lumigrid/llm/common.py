@@ -1,66 +1,32 @@
-"""Helpers that the corpus operators share: durable intermediate tables and Arrow plumbing.
-
-Executors may disappear at any time, so lineage is cut only by tables written to the
-folder that the cluster names in ``spark.checkpoint.dir``.
-"""
+"""Helpers that the corpus operators share, mostly Arrow plumbing."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialize, release, shared_dir  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Data of at most this many bytes may be broadcast.
 BROADCAST_BYTES = 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of the copy."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession | None = None) -> None:
-    """Delete the intermediate tables written so far; results that still read them become invalid."""
-    keep = []
-    for session, path in _written:
-        if spark is not None and session is not spark:
-            keep.append((session, path))
-            continue
-        try:
-            jvm = session.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended; then the cluster clears its own folder
-            pass
-    _written[:] = keep
-
 
-atexit.register(release)
+def tidy() -> None:
+    """Give freed memory back at a task's end: Python workers live on and would hold on to their largest stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

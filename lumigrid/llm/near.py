@@ -5,17 +5,18 @@
 2. Two sets at the threshold share at least ``need`` of k sketch values but for a chance of
    MISS. So a node is listed only under its rarest shared values, as many as leave fewer than
    ``need`` (the prefix principle); values that many documents share are hardly ever used.
-3. In each list every node is compared with the list's leaders, not with all others. Pairs are
-   confirmed on the full sets, leader by leader, in salted parts.
-4. Lists that still hold several components are gone through in blocks: there, the estimate from
-   the union's sketch filters all pairs across components, and what passes is confirmed too.
+3. Nodes that lists connect form clusters: linked nodes are always in one cluster. A cluster is
+   cut into blocks, and every two blocks meet in one place. There the estimate from the union's
+   sketch filters, exact Jaccard on the full sets confirms, and only a spanning forest of the
+   links leaves, so no pairs are ever written out.
+4. Links make the components.
 """
 
 from __future__ import annotations
 
 import hashlib
 from fractions import Fraction
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, LOWER_BYTES, batch, materialize, slices, task_id, utf8
+from .common import BROADCAST_BYTES, LOWER_BYTES, batch, materialize, slices, task_id, tidy, utf8
 from .graph import components
 
 SKETCH = 48
 #: Chance at most that a link just at the threshold stays unseen.
-MISS = 1e-9
-#: Members that one copy of a leader's text is compared with.
-MEMBERS = 64
-#: Nodes of a list that are compared as one block.
-BLOCK = 256
+MISS = 1e-6
+#: Nodes, and shingles, that make up a block.
+BLOCK_NODES, BLOCK_SHINGLES = 64, 1_500_000
 ROWS_PER_TASK = 1 << 36
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -84,87 +83,103 @@ def _sketcher(words: int, k: int):
     return run
 
 
-def _confirmer(words: int, above: int, below: int):
-    """Rows of (a, part, rid, lead, text), a part's leader first: the pairs that hold on the full sets."""
-
-    def run(batches):
-        of, held = None, None
-        for b in batches:
-            found = []
-            for a, part, rid, lead, text in zip(*(b.column(c).to_pylist() for c in ("a", "part", "rid", "lead")), utf8(b.column("text")), strict=True):
-                own = shingles(text, words)
-                if lead:
-                    of, held = (a, part), own
-                elif of == (a, part):
-                    both = len(np.intersect1d(held, own, assume_unique=True))
-                    if below * both >= above * (len(held) + len(own) - both):
-                        found.append((a, rid))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-
-    return run
-
-
 def _fits(df: DataFrame, row_bytes: int) -> DataFrame:
     """Marked for broadcasting if its counted rows are within the bound; else the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, words: int, at_least: Fraction) -> DataFrame:
-    """Of the distinct pairs (a, b) of rids those whose full sets are similar enough. ``pairs`` is a written table."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
-    dealt = materialize(pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")), "dealt")
-    texts = sets.select("rid", "text")
-    members = texts.join(_fits(dealt, 24), texts.rid == dealt.b).select("a", "part", "rid", F.lit(False).alias("lead"), "text")
-    leaders = dealt.select("a", "part").distinct()
-    leads = texts.join(_fits(leaders, 16), texts.rid == leaders.a).select("a", "part", "rid", F.lit(True).alias("lead"), "text")
-    rows = members.unionByName(leads).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"))
-    return materialize(rows.mapInArrow(_confirmer(words, at_least.numerator, at_least.denominator), "a long, b long"), "links")
-
-
-def _estimator(k: int, need: int, strict: Fraction):
-    """Blocks of lists, sorted: pairs across components whose sketches overlap enough."""
-
-    def close(block, key):
-        rids, comps, sizes, sketches, sides = (np.array(x) if i != 3 else x for i, x in enumerate(zip(*block, strict=True)))
-        order = np.argsort(comps, kind="stable")
-        grid = np.full((len(rids), k), np.iinfo(np.int64).max)
-        for i, s in enumerate(sketches):
-            grid[i, : len(s)] = s
-        out = []
-        two = key[1] != key[2]
-        for i in order:
-            other = (comps > comps[i]) & (sizes * strict.denominator >= sizes[i] * strict.numerator) & (sizes[i] * strict.denominator >= sizes * strict.numerator)
-            if two:
-                other &= sides != sides[i]
-            near = np.flatnonzero(other)
-            if not len(near):
-                continue
-            own = np.sort(sketches[i])
-            at = np.searchsorted(own, grid[near])
-            shared = (own[np.minimum(at, len(own) - 1)] == grid[near]).sum(axis=1)
-            for j in near[shared >= np.minimum(need, np.ceil(float(strict) * np.maximum(sizes[near], sizes[i])))]:
-                union = np.union1d(own, sketches[j])[:k]
-                both = np.isin(union, own) & np.isin(union, sketches[j])
-                if both.sum() >= min(need, ceil(strict * len(union))):
-                    a, b = sorted((int(rids[i]), int(rids[j])))
-                    out.append((a, b))
-        return out
+def _incidence(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows are sets, columns the values in rising order."""
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(sets), len(values)), bool)
+    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), where] = True
+    return out
+
+
+def _common(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 16_384) -> np.ndarray:
+    """Sizes of intersections: pair by pair if they are few, else by matrix products over slices of the values."""
+    if len(pairs) <= len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs])
+    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = np.full(len(values), -1)
+    place[counts > 1] = np.arange((counts > 1).sum())  # only values of several sets are common to any
+    column, owner = place[where], owner[place[where] >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int((counts > 1).sum()), columns):
+        a, b = np.searchsorted(column, [start, start + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        total += part @ part.T
+    return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
+
+
+def block_links(sets: list[np.ndarray], sides: np.ndarray, two: bool, k: int, need: int, at_least: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links inside a block, or between two blocks if ``two``."""
+    sizes = np.array([len(s) for s in sets])
+    above, below = at_least.numerator, at_least.denominator
+    marks = _incidence([np.sort(s.view(np.int64))[:k] for s in sets])
+    found = []
+    for i in range(len(sets) - 1):
+        rest = slice(i + 1, len(sets))
+        fit = (sizes[rest] * below >= sizes[i] * above) & (sizes[i] * below >= sizes[rest] * above)
+        if two:
+            fit &= sides[rest] != sides[i]
+        others = np.flatnonzero(fit) + i + 1
+        if not len(others):
+            continue
+        either = marks[others] | marks[i]
+        low = np.cumsum(either, axis=1) <= k  # the union's sketch
+        shared = (marks[others] & marks[i] & low).sum(axis=1)
+        held = np.minimum(either.sum(axis=1), k)
+        found += [(i, j) for j in others[shared >= np.minimum(need, -(-held * above // below))]]
+    if not found:
+        return []
+    pairs = np.array(found)
+    both = _common(sets, pairs)
+    linked = pairs[below * both >= above * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both)]
+    root = list(range(len(sets)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in linked.tolist():
+        a, b = top(i), top(j)
+        if a != b:
+            root[b] = a
+            out.append((i, j))
+    return out
+
+
+def _verifier(words: int, k: int, need: int, at_least: Fraction):
+    """Rows sorted by (cluster, lo, hi): the links of each two blocks."""
 
     def run(batches):
-        block, key = [], None
-        for b in batches:
-            found = []
-            for value, lo, hi, side, rid, comp, n, sketch in zip(*(b.column(c).to_pylist() for c in ("value", "lo", "hi", "side", "rid", "comp", "n", "sketch")), strict=True):
-                if key != (value, lo, hi):
-                    if len(block) > 1:
-                        found += close(block, key)
-                    block, key = [], (value, lo, hi)
-                block.append((rid, comp, n, sketch, side))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
-        if len(block) > 1 and (found := close(block, key)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        key, rids, sides, sets = None, [], [], []
+
+        def close():
+            links = block_links(sets, np.array(sides), key[1] != key[2], k, need, at_least) if len(sets) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([rids[i] for i, _ in links], pa.int64()), pa.array([rids[j] for _, j in links], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                for cluster, lo, hi, side, rid, text in zip(*(b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "side", "rid")), utf8(b.column("text")), strict=True):
+                    if key != (cluster, lo, hi):
+                        yield from close() if key else ()
+                        key, rids, sides, sets = (cluster, lo, hi), [], [], []
+                    rids.append(rid)
+                    sides.append(side)
+                    sets.append(shingles(text, words))
+        yield from close() if key else ()
+        tidy()
 
     return run
 
@@ -197,28 +212,18 @@ def near_groups(docs: DataFrame, words: int = 5, at_least: Fraction = Fraction(4
     small = sets.select("rid", "n", "sketch").join(_fits(nodes.select("rid"), 8), "rid", "left_semi")
     lists = materialize(_lists(small, k, need, at_least), "lists")
 
-    ends = lists.groupBy("value").agg(F.min("rid").alias("low"), F.max("rid").alias("high"))
-    led = lists.join(ends, "value")
-    tried = [led.filter(F.col("rid") != F.col(e)).select(F.col(e).alias("a"), F.col("rid").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")) for e in ("low", "high")]
-    first = materialize(tried[0].unionByName(tried[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = confirm(first, sets, words, at_least)
+    heads = lists.groupBy("value").agg(F.min("rid").alias("a"))
+    clusters = components(materialize(lists.join(heads, "value").where("rid > a").select("a", F.col("rid").alias("b")).distinct(), "listed"))
+    members = clusters.select(F.col("node").alias("rid"), F.col("comp").alias("cluster")).join(sets.select("rid", "n"), "rid")
+    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = materialize(members.join(blocks, "cluster").select("rid", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("side")), "blocks")
+    texts = sets.select("rid", "text").join(_fits(placed, 24), "rid")
+    met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "text")
+    met = met.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    links = materialize(met.mapInArrow(_verifier(words, k, need, at_least), "a long, b long"), "links")
     comps = components(links)
 
-    there = lists.join(comps, lists.rid == comps.node, "left").select("value", "rid", F.coalesce("comp", "rid").alias("comp"))
-    several = there.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.sum(F.xxhash64("rid").cast("decimal(20,0)")).alias("sum"), F.min("rid").alias("r0"), F.max("rid").alias("r1")).filter("c0 < c1")
-    several = several.groupBy("size", "sum", "r0", "r1").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))  # of lists with the same nodes one will do
-    open_ = materialize(there.join(several, "value").withColumn("side", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")), "open-lists")
-    if open_.limit(1).count():
-        blocks = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        blocks = blocks.select("value", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "comp")
-        full = blocks.join(sets.select("rid", "n", "sketch").join(_fits(open_.select("rid").distinct(), 8), "rid", "left_semi"), "rid")
-        sorted_ = full.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi")
-        more = sorted_.mapInArrow(_estimator(k, need, at_least), "a long, b long").distinct()
-        second = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
-        if second.limit(1).count():
-            links = links.unionByName(confirm(second, sets, words, at_least))
-            comps = components(links)
-
     smallest = nodes.join(comps, nodes.rid == comps.node).groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = comps.join(smallest, "comp").select(F.col("node").alias("rid"), "component_id")
     named = nodes.join(named, "rid", "left").select("same", F.coalesce("component_id", "first_id").alias("component_id"))
