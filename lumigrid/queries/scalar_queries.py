@@ -17,7 +17,7 @@ TEMPLATES = {
     "case": ("$(FILE.EXTENSION^^)$(FILE.EXTENSION,,)$(FILE.NAME^)", f"concat(upper({_EXT}), lower({_EXT}), upper({_STEM}[1]), substr({_STEM}, 2))"),
     "replace": ("$(FILE.NAME/img/pic)$(FILE.NAME//1/one)$(FILE.NAME/#img_/x)$(FILE.NAME/%9/nine)", f"concat(regexp_replace({_STEM}, 'img', 'pic'), replace({_STEM}, '1', 'one'), CASE WHEN starts_with({_STEM}, 'img_') THEN concat('x', substr({_STEM}, 5)) ELSE {_STEM} END, CASE WHEN ends_with({_STEM}, '9') THEN concat(left({_STEM}, -1), 'nine') ELSE {_STEM} END)"),
     "strip": ("$(FILE.NAME#img_).$(FILE.NAME%7)", f"concat(CASE WHEN starts_with({_STEM}, 'img_') THEN substr({_STEM}, 5) ELSE {_STEM} END, '.', CASE WHEN ends_with({_STEM}, '7') THEN left({_STEM}, -1) ELSE {_STEM} END)"),
-    "default": ("$(NOTHING-none)|$(ID+set)|$(NOTHING-$(ID))|$(LONGITUDE-unplaced)", "concat('none|set|', CAST(id AS STRING), '|', CASE WHEN longitude IS NULL THEN 'unplaced' ELSE CAST(longitude AS STRING) END)"),
+    "default": ("$(NOTHING-none)|$(ID+set)|$(NOTHING-$(ID))|$(LONGITUDE-unplaced)", "concat('none|set|', CAST(id AS STRING), '|', CASE WHEN longitude IS NULL THEN 'unplaced' ELSE CAST(round(longitude, 6) AS STRING) END)"),
     "rating": ("$(RATING)$(STARS)-$(EXIF.ISO)-$(EXIF.FOCAL.LENGTH)", "concat(CASE WHEN (flags & 8) <> 0 THEN '-1' ELSE CAST(flags & 7 AS STRING) END, repeat('*', flags & 7), '-', CAST(CAST(trunc(iso) AS INT) AS STRING), '-', CAST(CAST(trunc(focal_length) AS INT) AS STRING))"),
 }
 QUERIES, ORACLE_SQL = {}, {}
