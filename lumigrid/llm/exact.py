@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, LOWER, LOWER_BYTES, UPPER, materialize, task_id, utf8
+from .common import BROADCAST_BYTES, LOWER, LOWER_BYTES, UPPER, materialize, task_id, tidy, utf8
 
 CHUNK_ROWS, CHUNK_BYTES = 32_768, 32 << 20
 #: A chunk's id is its task's number times this plus its number there.
@@ -99,6 +99,8 @@ def _fingerprinter(text: int, owners: int, schema: pa.Schema):
                     chunk, parts, rows, size = chunk + 1, [], 0, 0
         if parts:
             yield from close(parts, chunk)
+            parts.clear()
+        tidy()
 
     return run
 
@@ -111,8 +113,8 @@ def _answer(table: pa.Table) -> pa.Table:
     again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(s)) for x, s in zip(table.column("lg_again").to_pylist(), sent, strict=True)])
     counts += np.bincount(where, weights=again, minlength=len(every)).astype(counts.dtype)
     flags = np.split(counts[where] > 1, np.cumsum([len(s) for s in sent])[:-1])
-    keep = [i for i, f in enumerate(flags) if f.any()]
-    return pa.table({"lg_chunk": table.column("lg_chunk").take(keep), "lg_owner": table.column("lg_owner").take(keep), "lg_bits": pa.array([_words(flags[i]) for i in keep], pa.list_(pa.int64()))})
+    keep = pa.array([i for i, f in enumerate(flags) if f.any()], pa.int64())
+    return pa.table({"lg_chunk": table.column("lg_chunk").take(keep), "lg_owner": table.column("lg_owner").take(keep), "lg_bits": pa.array([_words(flags[i]) for i in keep.to_pylist()], pa.list_(pa.int64()))})
 
 
 def _suspect_parts(rows: DataFrame, bitmaps: DataFrame, most_bytes: int) -> DataFrame:
