@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import batch, id_text, slices
-from .words import WordCache, words_of
+from .words import PIECES, WordCache, words_of
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next free letter from 256 on."""
@@ -192,7 +192,7 @@ _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 def _known(path: str) -> WordCache:
     """Per word its ids as bytes and as text."""
     model = load(path)
-    pieces = WordCache(model.encode_piece)
+    pieces = WordCache(model.encode_piece, PIECES)
 
     def make(word):
         ids = model.encode(word, pieces.__getitem__)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batch, id_text, slices
-from .words import WordCache
+from .words import PIECES, WordCache
 
 SPACE = "▁"
 UNKNOWN_BELOW = 10.0
@@ -96,7 +96,7 @@ _COUNTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 @lru_cache(maxsize=2)
 def _known(path: str) -> WordCache:
     count = load(path).count
-    return WordCache(lambda word: count(SPACE + word))
+    return WordCache(lambda word: count(SPACE + word), PIECES)
 
 
 def _counter(path: str):

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices
+from .common import batch, slices, tidy
 
 DIMENSIONS, GRAM, SEED = 512, 3, 20_240
 #: Letter codes: 0 is a word's edge, letters share LETTERS codes by code point.
 LETTERS = 251
 #: n-grams whose vectors a task keeps at once.
-KEPT_GRAMS = 40_000
+KEPT_GRAMS = 24_000
 UNKNOWN = "und"
 #: How much a difference in cosine weighs in the score.
 SHARPNESS = 12.0
@@ -98,6 +98,8 @@ def _bundler(dimensions: int):
                         sums.setdefault(lang, np.zeros(dimensions))
                         sums[lang] += _unit(vector) * min(1.0, grams / FULL_GRAMS)
         if sums:
+            del encoder
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.round(6).tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "bundle"])
 
     return run
@@ -139,6 +141,8 @@ def _predictor(langs: list[str], prototypes: np.ndarray, dimensions: int):
                     best, score, cosine = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
                 found = (grams > 0) & (len(langs) > 0)
                 yield batch(_PREDICTED, b.column("doc_id"), b.column("held_out"), [langs[i] if f else UNKNOWN for i, f in zip(best, found, strict=True)], np.where(found, score, 0.0), np.where(found, cosine, 0.0), grams)
+        del encoder
+        tidy()
 
     return run
 

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import load, split_pieces
-from .common import batch, id_text, slices, task_id
-from .words import WordCache, words_of
+from .common import batch, id_text, slices, task_id, tidy
+from .words import PIECES, WordCache, words_of
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
@@ -131,7 +131,7 @@ def _known(path: str) -> WordCache:
     def piece(text):
         return np.array([t.id for t in model.tokenize("".join([split.letters[b] for b in text.encode()]))], "<u4").tobytes()
 
-    pieces = WordCache(piece)
+    pieces = WordCache(piece, PIECES)
 
     def make(word):
         if split.specials and split.specials.search(word):
@@ -159,6 +159,8 @@ def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: i
         packer.pack(last=True)
         if (out := packer.rows()) is not None:
             yield out
+        del packer
+        tidy()
 
     return run
 

@@ -8,8 +8,8 @@ import regex
 
 #: Characters that str.split cuts at although they are not white space to the tokenizer; a text with one goes through whole.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
-#: Words kept in a Python worker's memory, in each of two generations; longer ones than LONGEST are not kept.
-WORDS, LONGEST = 300_000, 64
+#: Words, and pieces of words, kept in a Python worker's memory, in each of two generations; longer ones than LONGEST are not kept.
+WORDS, PIECES, LONGEST = 100_000, 300_000, 64
 
 
 def words_of(text: str) -> list[str]:
