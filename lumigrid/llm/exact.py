@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, LOWER, LOWER_BYTES, UPPER, materialize, task_id, tidy, utf8
+from .words import forget
 
 CHUNK_ROWS, CHUNK_BYTES = 32_768, 32 << 20
 #: A chunk's id is its task's number times this plus its number there.
@@ -85,6 +86,7 @@ def _fingerprinter(text: int, owners: int, schema: pa.Schema):
         yield from pa.Table.from_arrays(out, schema=schema).to_batches()
 
     def run(batches):
+        forget()
         chunk, parts, rows, size = task_id() * CHUNKS_PER_TASK, [], 0, 0
         for whole in batches:
             at = 0

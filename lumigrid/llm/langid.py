@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, slices, tidy
+from .words import forget
 
 DIMENSIONS, GRAM, SEED = 512, 3, 20_240
 #: Letter codes: 0 is a word's edge, letters share LETTERS codes by code point.
 LETTERS = 251
-#: n-grams whose vectors a task keeps at once.
+#: n-grams whose vectors a task keeps at once (places are 16-bit numbers).
 KEPT_GRAMS = 24_000
 UNKNOWN = "und"
 #: How much a difference in cosine weighs in the score.
@@ -30,12 +31,14 @@ FULL_GRAMS = 200
 class Encoder:
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         self.base = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), size=(LETTERS + 1, dimensions))
+        self.turned = [np.roll(self.base, GRAM - 1 - place, axis=1) for place in range(GRAM)]
         self.code = np.full(0x110000, -1, np.int16)
+        self.vectors = np.empty((KEPT_GRAMS, dimensions), np.float32)
         self._forget()
 
     def _forget(self):
-        self.known = np.full((LETTERS + 1) ** GRAM, -1, np.int32)
-        self.vectors = np.empty((0, self.base.shape[1]), np.float32)
+        self.known = np.full((LETTERS + 1) ** GRAM, -1, np.int16)
+        self.kept = 0
 
     def _codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
@@ -50,15 +53,15 @@ class Encoder:
         ids = self.known[keys]
         if ids.min() < 0:
             new = np.unique(keys[ids < 0])
-            if len(self.vectors) + len(new) > KEPT_GRAMS:
+            if self.kept + len(new) > KEPT_GRAMS:
                 self._forget()
                 new = np.unique(keys)
             vectors = np.ones((len(new), self.base.shape[1]), np.float32)
             for place in range(GRAM):
-                letters = new // (LETTERS + 1) ** (GRAM - 1 - place) % (LETTERS + 1)
-                vectors *= np.roll(self.base, GRAM - 1 - place, axis=1)[letters]
-            self.known[new] = np.arange(len(new)) + len(self.vectors)
-            self.vectors = np.concatenate([self.vectors, vectors])
+                vectors *= self.turned[place][new // (LETTERS + 1) ** (GRAM - 1 - place) % (LETTERS + 1)]
+            self.known[new] = np.arange(self.kept, self.kept + len(new))
+            self.vectors[self.kept : self.kept + len(new)] = vectors
+            self.kept += len(new)
             ids = self.known[keys]
         return ids
 
@@ -71,7 +74,7 @@ class Encoder:
         keep[1:] |= codes[:-1] > 0  # one edge after each word
         codes = np.concatenate([[0], codes[keep], [0]]).astype(np.int64)
         keys = (codes[:-2] * (LETTERS + 1) + codes[1:-1]) * (LETTERS + 1) + codes[2:]
-        if len(keys) > 1 << 20:  # a very long text in parts, to keep memory level
+        if len(keys) > KEPT_GRAMS // 2:  # a long text may have more n-grams than are kept: in parts
             found, counts = np.unique(keys, return_counts=True)
             out = np.zeros(self.base.shape[1], np.float32)
             for i in range(0, len(found), KEPT_GRAMS // 2):
@@ -89,6 +92,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 def _bundler(dimensions: int):
     def run(batches):
+        forget()
         encoder, sums = Encoder(dimensions), {}
         for whole in batches:
             for b in slices(whole, "text"):
@@ -124,6 +128,7 @@ def _predictor(langs: list[str], prototypes: np.ndarray, dimensions: int):
     aims = _unit(units - mean)
 
     def run(batches):
+        forget()
         encoder = Encoder(dimensions)
         for whole in batches:
             for b in slices(whole, "text"):

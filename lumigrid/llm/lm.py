@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, materialize, slices, task_id, utf8
 from .exact import owner_of
+from .words import forget
 
 #: Bounds of the sample on which classes and recurrent weights are fitted; all counts cover every document.
 SAMPLE_DOCS, SAMPLE_WORDS = 600, 400_000
@@ -280,6 +281,7 @@ def _chunker(classes: Classes, owners: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "owner", "hashes", "counts", "classes", "docs"])
 
     def run(batches):
+        forget()
         chunk, rows, words, size = task_id() * CHUNKS_PER_TASK, [], 0, 0
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, LOWER_BYTES, batch, materialize, slices, task_id, tidy, utf8
 from .graph import components
+from .words import forget
 
 SKETCH = 48
 #: Chance at most that a link just at the threshold stays unseen.
@@ -70,6 +71,7 @@ _SETS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("rid", pa.int
 
 def _sketcher(words: int, k: int):
     def run(batches):
+        forget()
         rid = task_id() * ROWS_PER_TASK
         for whole in batches:
             for b in slices(whole, "text"):

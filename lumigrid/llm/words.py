@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 import regex
@@ -17,12 +18,29 @@ def words_of(text: str) -> list[str]:
     return [text] if ODD_SPACE.search(text) else text.split()
 
 
+_caches: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Empty all caches of this worker; operators without tokens call it, to have the memory."""
+    for cache in list(_caches):
+        cache.clear()
+
+
+def register(cache) -> None:
+    """Let forget empty a cache."""
+    _caches.add(cache)
+
+
 class WordCache(dict):
     """word -> make(word). When a generation is full it becomes the old one, and the one before goes. Lives as long as the worker, so tasks share it."""
 
     def __init__(self, make: Callable, words: int = WORDS):
         super().__init__()
         self.make, self.words, self.old = make, words, {}
+        register(self)
+
+    __hash__ = object.__hash__  # for the weak set
 
     def __missing__(self, word):
         value = self.old.get(word)
@@ -33,8 +51,12 @@ class WordCache(dict):
         self[word] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.old = {}
+
     def turn(self) -> None:
         """To be called between texts."""
         if len(self) > self.words:
             self.old = dict(self)
-            self.clear()
+            super().clear()
