@@ -11,22 +11,24 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import DAY, LOCAL_COPY, Catalog, bits, rating
 
-N = F.count(F.lit(1)).alias("n")
+def N() -> Column:  # noqa: N802
+    return F.count(F.lit(1)).alias("n")
+
 
 
 def by(images: DataFrame, value: Column, name: str = "value") -> DataFrame:
-    return images.groupBy(value.alias(name)).agg(N)
+    return images.groupBy(value.alias(name)).agg(N())
 
 
 def dimension(images: DataFrame, catalog: Catalog, table: str, key: str, name: Column) -> DataFrame:
     """Counts per spelled-out name; keys are counted first, names that differ only in case are one."""
-    counts = images.groupBy(F.col(key).alias("id")).agg(N)
+    counts = images.groupBy(F.col(key).alias("id")).agg(N())
     named = counts.join(catalog[table], "id", "left").select(name.alias("value"), "n")
     return named.groupBy(F.lower("value").alias("_k")).agg(F.min("value").alias("value"), F.sum("n").alias("n")).select("value", "n")
 
 
 def folder(images: DataFrame, catalog: Catalog) -> DataFrame:
-    counts = images.groupBy(F.col("film_id").alias("id")).agg(N)
+    counts = images.groupBy(F.col("film_id").alias("id")).agg(N())
     return counts.join(catalog["film_rolls"], "id").select("folder", F.col("id").alias("film_id"), "n")
 
 
@@ -47,11 +49,11 @@ def tag(images: DataFrame, catalog: Catalog, insensitive: bool = False) -> DataF
     """Counts per user tag, and one row (null tag) for images without any."""
     links = catalog["tagged_images"].join(images.select(F.col("id").alias("imgid")), "imgid", "left_semi")
     user = catalog.user_tags().select(F.col("id").alias("tagid"), "name")
-    counts = links.groupBy("tagid").agg(N).join(user, "tagid")
+    counts = links.groupBy("tagid").agg(N()).join(user, "tagid")
     if insensitive:
         counts = counts.groupBy(F.lower("name").alias("_k")).agg(F.min("name").alias("name"), F.sum("n").alias("n"))
     tagged = catalog["tagged_images"].join(user, "tagid", "left_semi").select("imgid")
-    bare = images.join(tagged, images.id == tagged.imgid, "left_anti").agg(N).select(F.lit(None).cast("string").alias("name"), "n")
+    bare = images.join(tagged, images.id == tagged.imgid, "left_anti").agg(N()).select(F.lit(None).cast("string").alias("name"), "n")
     return counts.select("name", "n").unionAll(bare)
 
 
@@ -127,7 +129,7 @@ def metadata(images: DataFrame, catalog: Catalog, key: int) -> DataFrame:
 def module(images: DataFrame, catalog: Catalog) -> DataFrame:
     """Images per operation, each image once."""
     rows = catalog["history"].where("enabled = 1").select("imgid", "operation").distinct()
-    return rows.join(images.select(F.col("id").alias("imgid")), "imgid", "left_semi").groupBy(F.col("operation").alias("value")).agg(N)
+    return rows.join(images.select(F.col("id").alias("imgid")), "imgid", "left_semi").groupBy(F.col("operation").alias("value")).agg(N())
 
 
 def module_order(images: DataFrame, catalog: Catalog) -> DataFrame:
@@ -137,14 +139,14 @@ def module_order(images: DataFrame, catalog: Catalog) -> DataFrame:
 
 def groups(images: DataFrame) -> DataFrame:
     """Groups of more than one image."""
-    return images.groupBy("group_id").agg(N).where("n > 1")
+    return images.groupBy("group_id").agg(N()).where("n > 1")
 
 
 def rolled_up(images: DataFrame, column: str = "datetime_taken") -> DataFrame:
     """Counts per day, month and year: a child counts for all its ancestors. There is no grand total."""
     t = F.expr(f"timestampadd(MICROSECOND, {column} - 62135596800000000, timestamp_ntz'1970-01-01')")
     parts = images.where(F.col(column).isNotNull() & (F.col(column) != 0)).select(F.year(t).alias("y"), F.month(t).alias("m"), F.day(t).alias("d"))
-    return parts.rollup("y", "m", "d").agg(N, F.grouping_id().alias("g")).where("g <> 7").drop("g")
+    return parts.rollup("y", "m", "d").agg(N(), F.grouping_id().alias("g")).where("g <> 7").drop("g")
 
 
 def path_rollup(counts: DataFrame, path: str = "folder", separator: str = "/") -> DataFrame:
@@ -189,13 +191,13 @@ def time_histogram(images: DataFrame, zoom: str, inside: DataFrame | None = None
         rows = rows.join(flags, "id", "left")
     else:
         rows = rows.withColumn("_in", F.lit(1))
-    return rows.groupBy("bar").agg(N, F.count("_in").alias("n_inside"))
+    return rows.groupBy("bar").agg(N(), F.count("_in").alias("n_inside"))
 
 
 def tag_usage(catalog: Catalog, selected: DataFrame) -> DataFrame:
     """Per tag: images with it, and how many of the selected ones."""
     links = catalog["tagged_images"].join(selected.select("imgid").distinct().withColumn("_s", F.lit(1)), "imgid", "left")
-    counts = links.groupBy("tagid").agg(N, F.count("_s").alias("n_selected"))
+    counts = links.groupBy("tagid").agg(N(), F.count("_s").alias("n_selected"))
     return catalog["tags"].select(F.col("id").alias("tagid"), "name").join(counts, "tagid", "left").select("tagid", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_selected", F.lit(0)).alias("n_selected"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank
 from ..plans.catalog import REJECTED, bits
 
 # --- selections: frames of one column, imgid
@@ -190,7 +191,7 @@ def copy_history(history: DataFrame, source: int, targets: DataFrame, merge: boo
     """The source's latest entries replace the targets' histories, or (``merge``) follow them where operations differ."""
     own = latest(history.where(F.col("imgid") == source))
     t = targets.select(F.col("imgid").alias("_t")).distinct().where(F.col("_t") != source)
-    new = own.crossJoin(t).withColumn("imgid", F.col("_t")).drop("_t")  # the source has an entry per operation: bounded
+    new = t.crossJoin(F.broadcast(own)).withColumn("imgid", F.col("_t")).drop("_t")  # one image's entries, one per operation
     keys = ["imgid", "operation", "multi_priority"]
     touched = history.join(t, history.imgid == t["_t"], "left_semi")
     others = history.join(t, history.imgid == t["_t"], "left_anti")
@@ -247,10 +248,8 @@ def not_imported(candidates: DataFrame, images: DataFrame) -> DataFrame:
 # --- order and paging
 
 
-def numbered(df: DataFrame, order: list[Column], batch: int = 200_000) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     """rowid from 1 in the order, without sending all rows to one task: a range sort, counts per part, then a sum before each."""
-    from ..functions.ranks import global_rank
-
     return global_rank(df, order)
 
 

@@ -37,8 +37,6 @@ class Catalog:
 
     def view(self) -> DataFrame:
         """Images with their dimensions spelled out: maker, model, lens, camera and folder."""
-        from pyspark.sql.functions import broadcast
-
         out = self["images"]
         for table, key, column, name in (("makers", "maker_id", "name", "maker"), ("models", "model_id", "name", "model"), ("lens", "lens_id", "name", "lens"), ("film_rolls", "film_id", "folder", "folder")):
             dim = self[table].select(F.col("id").alias(key), F.col(column).alias(name))

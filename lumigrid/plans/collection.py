@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..functions.ranks import global_rank
 from .catalog import COLORS, HDR, LDR, LOCAL_COPY, MODULE_ORDERS, RAW, REJECTED, REMOVED, Catalog, bits, rating
 from .logic import All, Any, Member, Not, Test, keep, negated
 
@@ -423,7 +424,7 @@ def ordering(df: DataFrame, sorts, catalog: Catalog, seed: int = 0) -> tuple[Dat
 
 def numbered(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows with their place ``rowid`` from 1 in the order."""
-    return df.withColumn("rowid", F.row_number().over(Window.orderBy(*keys)))
+    return global_rank(df, keys)
 
 
 def serialize(rules: tuple[Rule, ...]) -> str:

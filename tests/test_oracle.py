@@ -32,3 +32,13 @@ def test_agrees_with_sql(spark, duck, name):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 300 and set(e.oracle_sql()) <= set(e.queries())"], cwd=root, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
