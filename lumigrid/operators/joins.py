@@ -113,13 +113,19 @@ def as_of_track(images: DataFrame, track: DataFrame, by: list[str] | None = None
     after = F.first("point", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     out = rows.withColumn("a", before).withColumn("b", after).where("_kind = 1")
     a, b, t = F.col("a"), F.col("b"), F.col("t")
-    part = F.when(b["t"] == a["t"], F.lit(0.0)).otherwise((t - a["t"]) / (b["t"] - a["t"]))
-    far = haversine(a["lat"], a["lon"], b["lat"], b["lon"]) >= near
-    lat, lon = along_great_circle(a["lat"], a["lon"], b["lat"], b["lon"], part)
-    exact = a.isNotNull() & (a["t"] == t)
-    inside = a.isNotNull() & b.isNotNull()
-    pick = lambda name, curved: F.when(exact, a[name]).when(~inside, F.coalesce(a[name], b[name])).when(far, curved).otherwise(a[name] + (b[name] - a[name]) * part)
-    return out.select(*by, "id", "t", pick("lat", lat).alias("lat"), pick("lon", lon).alias("lon"), (exact | inside).alias("found"))
+    # layer by layer, so that no expression is written out twice in generated code
+    out = out.select(*by, "id", "t", a["t"].alias("_t0"), a["lat"].alias("_lat0"), a["lon"].alias("_lon0"), b["t"].alias("_t1"), b["lat"].alias("_lat1"), b["lon"].alias("_lon1"))
+    part = F.when(F.col("_t1") == F.col("_t0"), F.lit(0.0)).otherwise((t - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
+    ends = [F.col(c) for c in ("_lat0", "_lon0", "_lat1", "_lon1")]
+    out = out.withColumns({"_part": part, "_way": haversine(*ends), "_exact": F.coalesce(F.col("_t0") == t, F.lit(False)), "_inside": F.col("_t0").isNotNull() & F.col("_t1").isNotNull()})
+    out = out.withColumn("_far", F.col("_way") >= near)
+    near_rows, far_rows = out.where("_far is null or not _far or not _inside"), out.where("_far and _inside")
+    straight = lambda c: F.when(F.col("_exact"), F.col(f"_{c}0")).when(~F.col("_inside"), F.coalesce(f"_{c}0", f"_{c}1")).otherwise(F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * F.col("_part"))
+    keys = [*by, "id", "t"]
+    found = (F.col("_exact") | F.col("_inside")).alias("found")
+    lat, lon = along_great_circle(*ends, F.col("_part"))
+    bent = far_rows.select(*keys, F.when(F.col("_exact"), F.col("_lat0")).otherwise(lat).alias("lat"), F.when(F.col("_exact"), F.col("_lon0")).otherwise(lon).alias("lon"), found)
+    return near_rows.select(*keys, straight("lat").alias("lat"), straight("lon").alias("lon"), found).unionByName(bent)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, source: str = "imgid", target: str = "overlay_id", most_rounds: int = 1_000) -> DataFrame:
