@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import batch, id_text, slices
-from .words import PIECES, WordCache, words_of
+from .words import PIECES, WordCache, token_ids
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next free letter from 256 on."""
@@ -82,10 +82,8 @@ class BpeModel:
         # The next shorter token that starts at the same place: the longest proper prefix in the vocabulary.
         self.shorter = {i: next((by_form[f[:n]] for n in range(len(f) - 1, 0, -1) if f[:n] in by_form), -1) for i, f in forms.items()}
         self.inner = forms
-        data = [n.encode() for n in self.names]
-        self.lengths = np.array([len(d) for d in data], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.bytes = np.frombuffer(b"".join(data), np.uint8)
+        self.bytes, self.offsets, self.lengths = _offset_table([n.encode() for n in self.names])
+        self.digits = _offset_table([str(i).encode() for i in range(len(self.names))])
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined text of two tokens leaves just these two. Only merges across the seam can break them, so both tokens are taken apart along their own merges, latest first."""
@@ -169,15 +167,25 @@ class BpeModel:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Token names joined by a space, gathered through the offset table."""
-        if not len(ids):
-            return b""
-        n = self.lengths[ids] + 1
-        ends = np.cumsum(n)
-        place = np.arange(ends[-1]) - np.repeat(ends - n, n)
-        source = np.repeat(self.offsets[ids], n) + place
-        out = self.bytes[np.minimum(source, len(self.bytes) - 1)]
-        out[ends - 1] = 32
-        return out[:-1].tobytes()
+        return _gather(ids, self.bytes, self.offsets, self.lengths)
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by a space."""
+        return _gather(ids, *self.digits)
+
+
+def _offset_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' bytes, each text followed by a space, and where each begins and how long it is with that space."""
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
+    return np.frombuffer(b" ".join(texts) + b" ", np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def _gather(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> bytes:
+    if not len(ids):
+        return b""
+    n = lengths[ids]
+    ends = np.cumsum(n)
+    return data[np.repeat(offsets[ids] - (ends - n), n) + np.arange(ends[-1])].tobytes()[:-1]
 
 
 @lru_cache(maxsize=4)
@@ -188,32 +196,40 @@ def load(path: str) -> BpeModel:
 _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-@lru_cache(maxsize=4)
-def _known(path: str) -> WordCache:
-    """Per word its ids as bytes and as text."""
-    model = load(path)
-    pieces = WordCache(model.encode_piece, PIECES)
+class WordIds:
+    """Per distinct word its ids as bytes."""
+
+    def __init__(self, path: str):
+        model = load(path)
+        pieces = WordCache(model.encode_piece, PIECES)
 
-    def make(word):
-        ids = model.encode(word, pieces.__getitem__)
-        pieces.turn()
-        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids))
+        def make(word):
+            return np.array(model.encode(word, pieces.__getitem__), "<u4").tobytes()
 
-    return WordCache(make)
+        self.pieces, self.known = pieces, WordCache(make)
+
+    def __call__(self, distinct: list[str]) -> list[bytes]:
+        out = list(map(self.known.__getitem__, distinct))
+        self.known.turn()
+        self.pieces.turn()
+        return out
+
+
+@lru_cache(maxsize=4)
+def _known(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def _encoder(path: str):
     def run(batches):
         model, known = load(path), _known(path)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 8 << 20):
+                ids, starts = token_ids(b.column("text"), known)
                 out = []
-                for text in b.column("text").to_pylist():
-                    parts = [p for p in map(known.__getitem__, words_of(text or "")) if p[0]]
-                    known.turn()
-                    ids = np.frombuffer(b"".join([p[0] for p in parts]), np.int32)
-                    decimal = " ".join([p[1] for p in parts])
-                    out.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(model.decode(ids)).hexdigest()))
+                for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    own = ids[start:stop]
+                    out.append((len(own), hashlib.sha256(model.decimals(own)).hexdigest(), hashlib.sha256(model.decode(own)).hexdigest()))
                 yield batch(_CODED, b.column("doc_id"), *zip(*out, strict=True))
 
     return run
@@ -231,10 +247,9 @@ def _id_lister(path: str):
     def run(batches):
         known = _known(path)
         for whole in batches:
-            for b in slices(whole, "text"):
-                rows = [np.frombuffer(b"".join([p[0] for p in map(known.__getitem__, words_of(t or ""))]), np.int32) for t in b.column("text").to_pylist()]
-                known.turn()
-                yield batch(_IDS, b.column("doc_id"), rows)
+            for b in slices(whole, "text", 8 << 20):
+                ids, starts = token_ids(b.column("text"), known)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))], schema=_IDS)
 
     return run
 

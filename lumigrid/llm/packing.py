@@ -13,6 +13,8 @@ next one, and a task's tail is cut along the binary digits of its length. No seq
 from __future__ import annotations
 
 import os
+import string
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from functools import lru_cache
@@ -21,14 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import load, split_pieces
+from .bpe import load
 from .common import batch, id_text, slices, task_id, tidy
-from .words import PIECES, WordCache, words_of
+from .words import LONGEST, register, token_ids
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 32_768
 BUFFER_DOCS, BUFFER_TOKENS = 4096, 4_000_000
 SEQUENCES_PER_TASK = 1 << 36
+#: Words kept in a worker's memory, in each of two generations.
+JOINED_WORDS = 300_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 
@@ -122,25 +126,86 @@ def tokenizer(path: str):
     return t
 
 
-@lru_cache(maxsize=2)
-def _known(path: str) -> WordCache:
-    """Per word its ids as bytes, from the tokenizers library: plain words by its model alone, others by its whole way."""
-    whole = tokenizer(path)
-    model, split = whole.model, load(path)
+class WordIds:
+    """Ids of texts as bytes, by the tokenizers library, each distinct word once.
 
-    def piece(text):
-        return np.array([t.id for t in model.tokenize("".join([split.letters[b] for b in text.encode()]))], "<u4").tobytes()
+    Words new to the cache are encoded many at a time, joined by spaces: every piece of a word ends
+    in a token with the end mark, so plain words (letters, perhaps one mark after them) can be told
+    apart in the result. Other words are encoded one by one.
+    """
 
-    pieces = WordCache(piece, PIECES)
+    def __init__(self, path: str, words: int = JOINED_WORDS):
+        self.library, split = tokenizer(path), load(path)
+        self.specials, self.words = split.specials, words
+        self.ends = np.array([n.endswith(split.end) for n in split.names]) if split.end else None
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+    def __call__(self, distinct: list[str]) -> list[bytes]:
+        young = self.young
+        missing = []
+        for w in distinct:
+            if w not in young:
+                known = self.old.get(w)
+                if known is None:
+                    missing.append(w)
+                else:
+                    young[w] = known
+        self._learn(missing)
+        out = [young[w] for w in distinct]
+        for w in missing:
+            if len(w) > LONGEST:
+                del young[w]
+        if len(young) > self.words:
+            self.young, self.old = {}, young
+        return out
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, missing: list[str]) -> None:
+        plain, pieces, young = [], [], self.young
+        for w in missing:
+            n = self._pieces(w)
+            if n:
+                plain.append(w)
+                pieces.append(n)
+            else:
+                young[w] = self._one(w)
+        for i in range(0, len(plain), 4096):
+            part, expected = plain[i : i + 4096], np.cumsum(pieces[i : i + 4096])
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != expected[-1]:  # not as plain as they looked
+                young.update((w, self._one(w)) for w in part)
+                continue
+            stops, data = (4 * stops[expected - 1]).tolist(), ids.tobytes()
+            at = 0
+            for w, stop in zip(part, stops, strict=True):
+                young[w] = data[at:stop]
+                at = stop
+
+    def _pieces(self, w: str) -> int:
+        """Into how many pieces a plain word falls; 0 for others."""
+        if self.ends is None:
+            return 0
+        if not w.isascii():
+            if not unicodedata.is_normalized("NFC", w):
+                return 0
+            w = w.lower()
+        if w.isalpha():
+            return 1
+        return 2 if w[:-1].isalpha() and w[-1] in string.punctuation else 0
 
-    def make(word):
-        if split.specials and split.specials.search(word):
-            return np.array(whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        ids = b"".join(map(pieces.__getitem__, split_pieces(word, split.split)))
-        pieces.turn()
-        return ids
 
-    return WordCache(make)
+@lru_cache(maxsize=2)
+def _known(path: str) -> WordIds:
+    known = WordIds(path)
+    register(known)
+    return known
 
 
 def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: int):
@@ -148,10 +213,10 @@ def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: i
         known, end = _known(vocabulary), np.array([end_id], "<u4").tobytes()
         packer = Packer(task_id(), tiers, step_tokens)
         for whole in batches:
-            for b in slices(whole, "text"):
-                for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    packer.add(doc_id, b"".join(map(known.__getitem__, words_of(text or ""))) + end)
-                    known.turn()
+            for b in slices(whole, "text", 8 << 20):
+                ids, starts = token_ids(b.column("text"), known)
+                for doc_id, start, stop in zip(b.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                    packer.add(doc_id, ids[start:stop].tobytes() + end)
                     if packer.docs >= BUFFER_DOCS or packer.tokens >= BUFFER_TOKENS:
                         packer.pack()
                         if (out := packer.rows()) is not None:
