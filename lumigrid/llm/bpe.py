@@ -224,7 +224,7 @@ def _encoder(path: str):
     def run(batches):
         model, known = load(path), _known(path)
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 3 << 20):
                 ids, starts = token_ids(b.column("text"), known)
                 out = []
                 for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -247,7 +247,7 @@ def _id_lister(path: str):
     def run(batches):
         known = _known(path)
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 3 << 20):
                 ids, starts = token_ids(b.column("text"), known)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))], schema=_IDS)
 

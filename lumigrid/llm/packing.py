@@ -32,7 +32,7 @@ STEP_TOKENS = 32_768
 BUFFER_DOCS, BUFFER_TOKENS = 4096, 4_000_000
 SEQUENCES_PER_TASK = 1 << 36
 #: Words kept in a worker's memory, in each of two generations.
-JOINED_WORDS = 300_000
+JOINED_WORDS = 250_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("tier", pa.int32()), ("step_group", pa.int64())])
 
@@ -213,7 +213,7 @@ def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: i
         known, end = _known(vocabulary), np.array([end_id], "<u4").tobytes()
         packer = Packer(task_id(), tiers, step_tokens)
         for whole in batches:
-            for b in slices(whole, "text", 8 << 20):
+            for b in slices(whole, "text", 3 << 20):
                 ids, starts = token_ids(b.column("text"), known)
                 for doc_id, start, stop in zip(b.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                     packer.add(doc_id, ids[start:stop].tobytes() + end)

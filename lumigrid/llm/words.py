@@ -28,7 +28,8 @@ def token_ids(texts: pa.Array, lookup: Callable[[list[str]], list[bytes]]) -> tu
     counts = sizes[codes]
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts) + np.arange(total)
+    place = np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts)
+    place += np.arange(total)
     words = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
     return table[place], np.concatenate([[0], ends])[words]
 
