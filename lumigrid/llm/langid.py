@@ -4,6 +4,8 @@ Every letter has a random vector of +1 and -1. A letter n-gram is bound by multi
 letters' vectors, each permuted (rotated) by its place; a document is the bundle (sum) of its
 n-grams' vectors. A language's prototype bundles the unit vectors of all its labelled documents.
 Documents and prototypes are compared by cosine after taking away the languages' common mean.
+The best of those is never negative, so it can't tell that a text is in no learned language: for
+that the plain cosine is held against what the language's own labelled texts reach.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ UNKNOWN = "und"
 SHARPNESS = 12.0
 #: At fewer n-grams than this a document counts only in part towards its prototype.
 FULL_GRAMS = 200
+#: Bins for cosines from -1 to 1, and bands (powers of two) for the variety of n-grams.
+BINS, BANDS = 400, 24
+#: Labelled texts that a limit needs.
+LEAST_TEXTS = 20
 
 
 class Encoder:
@@ -67,10 +73,14 @@ class Encoder:
 
     def __call__(self, text: str) -> tuple[np.ndarray, int]:
         """The bundle of a whole text, and its number of n-grams; 0 if it has no letter."""
+        return self.profile(text)[:2]
+
+    def profile(self, text: str) -> tuple[np.ndarray, int, float]:
+        """Also how many equally frequent n-grams would be as varied: repeating a text adds none."""
         codes = self._codes(text)
         keep = codes > 0
         if not keep.any():
-            return np.zeros(self.base.shape[1], np.float32), 0
+            return np.zeros(self.base.shape[1], np.float32), 0, 0.0
         keep[1:] |= codes[:-1] > 0  # one edge after each word
         codes = np.concatenate([[0], codes[keep], [0]]).astype(np.int64)
         keys = (codes[:-2] * (LETTERS + 1) + codes[1:-1]) * (LETTERS + 1) + codes[2:]
@@ -80,9 +90,18 @@ class Encoder:
             for i in range(0, len(found), KEPT_GRAMS // 2):
                 part = self._ids(found[i : i + KEPT_GRAMS // 2])
                 out += counts[i : i + KEPT_GRAMS // 2].astype(np.float32) @ self.vectors[part]
-            return out, len(keys)
+            return out, len(keys), _variety(counts)
         ids, counts = np.unique(self._ids(keys), return_counts=True)
-        return counts.astype(np.float32) @ self.vectors[ids], len(keys)
+        return counts.astype(np.float32) @ self.vectors[ids], len(keys), _variety(counts)
+
+
+def _variety(counts: np.ndarray) -> float:
+    c = counts.astype(np.float64)
+    return float(c.sum() ** 2 / (c * c).sum())
+
+
+def _band(variety: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(variety, 1)).astype(np.int64).clip(0, BANDS - 1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -152,37 +171,101 @@ def _predictor(langs: list[str], prototypes: np.ndarray, dimensions: int):
     return run
 
 
-def _keeper(langs: list[str], prototypes: np.ndarray, dimensions: int, text: int, least_cosine: float, sure_grams: int):
-    predict = _predictor(langs, prototypes, dimensions)
+def _measurer(langs: list[str], prototypes: np.ndarray, dimensions: int):
+    """Labelled texts' cosines to each prototype as histograms. A text's own share of its language's prototype is taken out first."""
+    place, aims = {x: i for i, x in enumerate(langs)}, _unit(prototypes)
+
+    def run(batches):
+        forget()
+        encoder, found = Encoder(dimensions), np.zeros((len(langs), BANDS, 2, BINS), np.int64)
+        for whole in batches:
+            for b in slices(whole, "text"):
+                rows = [(*encoder.profile(t or ""), place[x]) for t, x in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True) if x in place]
+                rows = [r for r in rows if r[1]]
+                if not rows:
+                    continue
+                units, own = _unit(np.stack([r[0] for r in rows]).astype(np.float64)), np.array([r[3] for r in rows])
+                share = np.minimum(1.0, np.array([r[1] for r in rows]) / FULL_GRAMS)
+                cosines = units @ aims.T
+                others = _unit(prototypes[own] - units * share[:, None])
+                cosines[np.arange(len(rows)), own] = (units * others).sum(axis=1)
+                bands, bins = _band(np.array([r[2] for r in rows])), _bin(cosines)
+                for i in range(len(langs)):
+                    np.add.at(found[i], (bands, (own == i).astype(int), bins[:, i]), 1)
+        del encoder
+        tidy()
+        at = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*at, found[at])], names=["lang", "band", "own", "bin", "n"])
+
+    return run
+
+
+def _bin(cosines: np.ndarray) -> np.ndarray:
+    return ((cosines + 1) * (BINS / 2)).astype(np.int64).clip(0, BINS - 1)
+
+
+def _median(histogram: np.ndarray) -> float:
+    return (int(np.searchsorted(histogram.cumsum(), histogram.sum() / 2)) + 0.5) * 2 / BINS - 1
+
+
+def learn_limits(labelled: DataFrame, langs: list[str], prototypes: np.ndarray, least_texts: int = LEAST_TEXTS, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The least plain cosine of a text by language and band of variety, from every row of (text, lang).
+
+    It lies midway between the medians of the language's own texts and of all others'. A band of fewer
+    than ``least_texts`` own texts takes in the bands below it, whose cosines are lower; where even
+    those don't suffice, nothing is known and the limit is -1. What reaches the driver is counts.
+    """
+    counted = labelled.filter("lang is not null").mapInArrow(_measurer(langs, prototypes, dimensions), "lang long, band long, own long, bin long, n long")
+    found = np.zeros((len(langs), BANDS, 2, BINS), np.int64)
+    for r in counted.groupBy("lang", "band", "own", "bin").agg(F.sum("n").alias("n")).collect():
+        found[r["lang"], r["band"], r["own"], r["bin"]] = r["n"]
+    limits = np.full((len(langs), BANDS), -1.0)
+    for i in range(len(langs)):
+        for band in range(BANDS):
+            for low in range(band, -1, -1):
+                others, own = found[i, low : band + 1].sum(axis=0)
+                if own.sum() >= least_texts:
+                    limits[i, band] = (_median(own) + (max(0.0, _median(others)) if others.any() else 0.0)) / 2
+                    break
+    return limits
+
+
+def _keeper(langs: list[str], prototypes: np.ndarray, limits: np.ndarray, dimensions: int, text: int):
+    """Keeps a text if it reaches any language's limit."""
+    aims = _unit(prototypes)
 
     def run(batches):
+        forget()
+        encoder = Encoder(dimensions)
         for whole in batches:
             for b in slices(whole, whole.schema.names[text]):
-                n = b.num_rows
-                rows = pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), b.column(text), pa.nulls(n, pa.bool_())], names=["doc_id", "text", "held_out"])
-                kept = []
-                for p in predict([rows]):
-                    far = (np.asarray(p.column("grams")) >= sure_grams) & (np.asarray(p.column("cosine")) < least_cosine)
-                    kept.append((np.array(p.column("lang_pred").to_pylist(), object) != UNKNOWN) & ~far)
-                yield b.filter(pa.array(np.concatenate(kept)))
+                vectors, grams, variety = zip(*(encoder.profile(t or "") for t in b.column(text).to_pylist()), strict=True)
+                cosines = _unit(np.stack(vectors).astype(np.float64)) @ aims.T
+                near = (cosines >= limits[:, _band(np.array(variety))].T).any(axis=1)
+                yield b.filter(pa.array((np.array(grams) > 0) & near))
+        del encoder
+        tidy()
 
     return run
 
 
-def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_cosine: float = 0.0, sure_grams: int = 200, dimensions: int = DIMENSIONS) -> DataFrame:
+def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least_texts: int = LEAST_TEXTS, dimensions: int = DIMENSIONS) -> DataFrame:
     """``docs`` without what is in no learned language, columns unchanged.
 
-    Prototypes come from all rows with a non-null lang. Rejected are texts without a letter (null and
-    empty ones too), and texts of ``sure_grams`` n-grams or more whose best cosine is below
-    ``least_cosine``. If no row has a lang, nothing can be learned and only the first rule holds.
+    Prototypes and limits come from all rows with a non-null lang. Rejected are texts without a letter
+    (null and empty ones too), and texts of any length whose plain cosine is below every language's
+    limit for texts as varied (see ``learn_limits``). If no row has a lang, nothing can be learned and
+    only the first rule holds.
     """
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
-    langs, prototypes = learn_prototypes(flat.select(F.col(f"c{text}").alias("text"), F.col(f"c{lang}").cast("string").alias("lang")), dimensions)
+    labelled = flat.select(F.col(f"c{text}").alias("text"), F.col(f"c{lang}").cast("string").alias("lang"))
+    langs, prototypes = learn_prototypes(labelled, dimensions)
     if not langs:
         kept = flat.filter(F.col(f"c{text}").rlike(r"\p{L}"))
     else:
-        kept = flat.mapInArrow(_keeper(langs, prototypes, dimensions, text, least_cosine, sure_grams), flat.schema)
+        limits = learn_limits(labelled, langs, prototypes, least_texts, dimensions)
+        kept = flat.mapInArrow(_keeper(langs, prototypes, limits, dimensions, text), flat.schema)
     return kept.toDF(*docs.columns)
 
 
