@@ -78,6 +78,11 @@ class Collection:
             df = df.limit(self.limit)
         return df.select(*names)
 
+    def ranked(self, catalog: Catalog) -> DataFrame:
+        """All images with their place from 1 in the order, none left out."""
+        df, keys = ordering(self.where(catalog), self.sorts, catalog, self.seed)
+        return global_rank(df, keys, "place").select(*catalog["images"].columns, "place")
+
 
 def representatives(df: DataFrame, expanded: int | None = None) -> DataFrame:
     """One image per group: the one nearest its group's id, on a tie the one above it; an expanded group is shown whole."""

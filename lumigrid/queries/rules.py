@@ -158,8 +158,20 @@ def _sort_query(key: str, down: bool):
     return run
 
 
+def _order_query(key: str, down: bool):
+    """The whole order that ``sort_*`` shows a page of."""
+
+    def run(spark, folder):
+        return Collection(sorts=(Sort(key, down),)).ranked(catalog(spark, folder)).select("id", "place")
+
+    return run
+
+
 for _key, (_join, _up, _down) in _SORTS.items():
     for _turned in (False, True):
         _n = f"sort_{_key}{'_desc' * _turned}"
         QUERIES[_n] = _sort_query(_key, _turned)
         ORACLE_SQL[_n] = oracle("images", *([t for t in ("color_labels", "film_rolls", "meta_data") if t in _join])) + f"SELECT id FROM images {_join} WHERE (flags & 256) = 0 ORDER BY {_down if _turned else _up}, version, id LIMIT 200 OFFSET {40 if _turned else 0}"
+        _n = f"order_{_key}{'_desc' * _turned}"
+        QUERIES[_n] = _order_query(_key, _turned)
+        ORACLE_SQL[_n] = oracle("images", *([t for t in ("color_labels", "film_rolls", "meta_data") if t in _join])) + f"SELECT id, row_number() OVER (ORDER BY {_down if _turned else _up}, version, id) AS place FROM images {_join} WHERE (flags & 256) = 0"
