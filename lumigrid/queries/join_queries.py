@@ -73,6 +73,13 @@ def recursive_reachability(spark, folder):
     return joins.reachable(cat["overlay"], cat["overlay"].where("imgid % 64 = 5").select("imgid"))
 
 
+@_add(("overlay",), "SELECT DISTINCT s.imgid AS start, s.imgid - k AS node FROM overlay s, range(1, 16) r(k) WHERE k <= s.imgid % 16 AND NOT EXISTS (SELECT 1 FROM range(0, k) q(j) WHERE j > 0 AND NOT EXISTS (SELECT 1 FROM overlay o WHERE o.imgid = s.imgid - j))")
+def recursive_reachability_all(spark, folder):
+    """The same from every image that has an overlay."""
+    cat = catalog(spark, folder)
+    return joins.reachable(cat["overlay"], cat["overlay"].select("imgid"))
+
+
 @_add(("images",), "SELECT a.id, b.id AS twin FROM images a JOIN images b ON a.filename = b.filename AND a.film_id = b.film_id AND a.id < b.id")
 def join_duplicates(spark, folder):
     return joins.duplicates(catalog(spark, folder)["images"])
@@ -86,6 +93,15 @@ def join_orphans(spark, folder):
     return films.unionAll(joins.orphans(cat["models"], "id", some, "model_id").select("id", F.lit("model").alias("kind")))
 
 
+@_add(("images", "film_rolls", "models", "history_hash"), "SELECT id, 'film' AS kind FROM film_rolls WHERE id NOT IN (SELECT film_id FROM images) UNION ALL SELECT id, 'model' FROM models WHERE id NOT IN (SELECT model_id FROM images) UNION ALL SELECT id, 'image' FROM images WHERE id NOT IN (SELECT imgid FROM history_hash)")
+def join_orphans_all(spark, folder):
+    """Over whole tables; images that no hash refers to are those that are there."""
+    cat = catalog(spark, folder)
+    films = joins.orphans(cat["film_rolls"], "id", cat["images"], "film_id").select("id", F.lit("film").alias("kind"))
+    models = joins.orphans(cat["models"], "id", cat["images"], "model_id").select("id", F.lit("model").alias("kind"))
+    return films.unionAll(models).unionAll(joins.orphans(cat["images"], "id", cat["history_hash"], "imgid").select("id", F.lit("image").alias("kind")))
+
+
 @_add(("images", "makers", "models", "lens", "film_rolls"), "SELECT i.id, mk.name AS maker, mo.name AS model, l.name AS lens, f.folder FROM images i LEFT JOIN makers mk ON mk.id = i.maker_id LEFT JOIN models mo ON mo.id = i.model_id LEFT JOIN lens l ON l.id = i.lens_id LEFT JOIN film_rolls f ON f.id = i.film_id")
 def catalog_view(spark, folder):
     return catalog(spark, folder).view().select("id", "maker", "model", "lens", "folder")
