@@ -1,19 +1,25 @@
-"""A gated recurrent language model with a class-factored output, and whole-document scores.
-
-The probability of a word is that of its class, given everything before it, times that of the
-word within its class. Classes come first from a GRU in numpy (trained by truncated
-backpropagation, its state carried from window to window); the second factor, like the unigram
-base, comes from counts over the whole training corpus.
-
-Counts travel as in an exchange: a chunk of documents sends each owner (a range of word hashes)
-its distinct words' hashes and counts once, and gets the totals back in the same order. The
-documents themselves travel once, as compressed word codes, to meet their chunk's totals.
+"""A gated recurrent language model with a class-factored softmax, and whole-document scores.
+
+Every word of the training documents belongs to a slot of the model's output: the most frequent
+words have one each, the others share slots by their spelling (their last letters). Slots are
+grouped into classes. A word's probability is that of its class, times that of its slot within
+the class (both softmaxes over the hidden state of a GRU that has read every word before it),
+times its share of the slot's count, which is 1 for frequent words. Words that training lacks
+are one unknown word, whose probability is the share of words seen once; so all sums to 1.
+
+1. A chunk of documents sends each owner (a range of word hashes) its distinct words' hashes and
+   counts once, and gets the totals back in the same order.
+2. The owners' most frequent words, ranked together, take the slots.
+3. The GRU trains on every training document, in ROUNDS passes over the chunks, each over its
+   own share of every chunk: a task runs truncated backpropagation in numpy over its chunks, its
+   state carried from window to window, and the tasks' weights are averaged in a tree.
+4. The documents travel once, as compressed word codes, to meet their chunk's totals, and are
+   scored with the state carried to each one's end.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,14 +32,16 @@ from .common import LOWER_BYTES, materialize, slices, task_id, utf8
 from .exact import owner_of
 from .words import forget
 
-#: Bounds of the sample on which classes and recurrent weights are fitted; all counts cover every document.
-SAMPLE_DOCS, SAMPLE_WORDS = 600, 400_000
-TOPICS, TIERS, BUCKETS = 8, 6, 4096
-HIDDEN, EMBED, STREAMS, WINDOW, EPOCHS = 32, 16, 48, 24, 6
+#: The model's size: slots in all, and those that words share by spelling. One slot is the end's.
+CLASSES, WITHIN, SHARED = 32, 64, 512
+OWN = CLASSES * WITHIN - SHARED - 1
+HIDDEN, EMBED = 32, 16
+#: Training: parallel parts of a chunk's words, words in a window, passes with averaging, and the first pace.
+STREAMS, WINDOW, ROUNDS, PACE = 128, 24, 4, 0.03
 CHUNK_WORDS, CHUNK_BYTES = 1_000_000, 24 << 20
 CHUNKS_PER_TASK = 1 << 24
-CLASSES = TOPICS * TIERS + 1
-END = CLASSES - 1
+#: Input partitions to an owner, and weights that one task averages.
+PARTS_PER_OWNER, FAN_IN = 16, 64
 SEED = 7
 
 
@@ -41,81 +49,81 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words' byte trigrams (edges included), and where each word's begin."""
-    data = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8).astype(np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    a, b = np.append(data[1:], 0).astype(np.uint32), np.append(data[2:], [0, 0]).astype(np.uint32)
-    keys = (data * np.uint32(65_599) + a) * np.uint32(65_599) + b
-    return (keys * np.uint32(2_654_435_761)) >> np.uint32(20), np.cumsum(sizes) - sizes
+def spelling(words: list[bytes]) -> np.ndarray:
+    """The shared slot of each word, by its last four bytes."""
+    tails = np.frombuffer(b"".join([w[-4:].rjust(4, b"\0") for w in words]), "<u4")
+    return ((tails * np.uint32(2_654_435_761)) >> np.uint32(12) & np.uint32(SHARED - 1)).astype("<u2")
 
 
 @dataclass
-class Classes:
-    """Word classes: a topic from the word's letters, and a tier of frequency in the sample."""
-
-    gram_scores: np.ndarray  # BUCKETS x TOPICS
-    top: np.ndarray  # sorted hashes of frequent words
-    tier: np.ndarray
-    topic: np.ndarray
-
-    def of(self, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint8)
-        topic = np.empty(len(words), np.int64)
-        for i in range(0, len(words), 50_000):
-            buckets, starts = _grams(words[i : i + 50_000])
-            topic[i : i + 50_000] = np.add.reduceat(self.gram_scores[buckets], starts, axis=0).argmax(axis=1)
-        tier = np.full(len(words), TIERS - 1)
-        if len(self.top):
+class Slots:
+    """Where words are in the output, ranked by their mass: place // WITHIN is the class."""
+
+    top: np.ndarray  # sorted hashes of the words with a slot of their own
+    place: np.ndarray  # theirs
+    shared: np.ndarray  # places of the spelling slots
+    end: int
+    mass: np.ndarray  # training tokens by place
+
+    def of(self, hashes: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        out = self.shared[spelled]
+        if len(self.top) and len(hashes):
             at = np.minimum(np.searchsorted(self.top, hashes), len(self.top) - 1)
             known = self.top[at] == hashes
-            tier[known], topic[known] = self.tier[at][known], self.topic[at][known]
-        return (topic * TIERS + tier).astype(np.uint8)
-
-
-def fit_classes(docs: list[list[bytes]]) -> Classes:
-    """Cluster the sample's documents by their letters (k-means on trigram profiles), then give trigrams and frequent words to clusters."""
-    docs = [d for d in docs if d]
-    rng = np.random.default_rng(SEED)
-    if not docs:
-        return Classes(np.zeros((BUCKETS, TOPICS), np.float32), np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-    counts = np.stack([np.bincount(_grams(d)[0], minlength=BUCKETS) for d in docs]).astype(np.float64)
-    rare = np.log((len(docs) + 1) / ((counts > 0).sum(axis=0) + 1)) + 0.1
-    points = np.sqrt(counts) * rare
-    points /= np.linalg.norm(points, axis=1, keepdims=True)
-    centres = points[[int(rng.integers(len(points)))]]
-    while len(centres) < TOPICS:  # far points first
-        far = 1 - (points @ centres.T).max(axis=1)
-        centres = np.vstack([centres, points[far.argmax()]])
-    for _ in range(12):
-        own = (points @ centres.T).argmax(axis=1)
-        for t in range(TOPICS):
-            if (own == t).any():
-                centres[t] = points[own == t].sum(axis=0)
-                centres[t] /= np.linalg.norm(centres[t])
-    mass = np.stack([counts[own == t].sum(axis=0) for t in range(TOPICS)]) + 0.05
-    scores = np.log(mass / mass.sum(axis=1, keepdims=True)).T
-    seen: dict[bytes, np.ndarray] = {}
-    for d, t in zip(docs, own, strict=True):
-        for w in d:
-            seen.setdefault(w, np.zeros(TOPICS))[t] += 1
-    frequent = sorted((w for w, c in seen.items() if c.sum() >= 4), key=lambda w: (-seen[w].sum(), w))
-    share = np.cumsum([seen[w].sum() for w in frequent]) / sum(c.sum() for c in seen.values()) if frequent else np.zeros(0)
-    tier = np.minimum((share * TIERS).astype(int), TIERS - 2)
-    hashes = hash_words(frequent)
-    order = np.argsort(hashes)
-    topic = np.array([(seen[w] / (mass.sum(axis=1) + 1)).argmax() for w in frequent], int)
-    return Classes(scores.astype(np.float32), hashes[order], tier[order], topic[order])
+            out[known] = self.place[at[known]]
+        return out
+
+
+def arrange(top: list[tuple[int, int, int]], shared: np.ndarray, ends: int) -> Slots:
+    """Slots from (hash, count, spelling) of the most frequent words, the tokens by spelling of all words, and the ends."""
+    hashes = np.array([h for h, _, _ in top], np.uint64)
+    counts = np.array([c for _, c, _ in top], np.int64)
+    rest = shared.astype(np.int64) - np.bincount(np.array([s for _, _, s in top], np.int64), weights=counts, minlength=SHARED).astype(np.int64)
+    mass = np.concatenate([[ends], counts, np.zeros(OWN - len(top), np.int64), rest])
+    rank = np.empty(len(mass), np.int64)
+    order = np.argsort(-mass, kind="stable")
+    rank[order] = np.arange(len(mass))
+    by_hash = np.argsort(hashes)
+    return Slots(hashes[by_hash], rank[1 : 1 + len(top)][by_hash], rank[1 + OWN :], int(rank[0]), mass[order])
+
+
+def _log_softmax(logits: np.ndarray, rows: np.ndarray, aims: np.ndarray, wrong: bool):
+    """The aims' log probabilities and, if ``wrong``, every probability less 1 at the aim. Logits are bounded, which exp in single precision takes."""
+    np.minimum(logits, 80, out=logits)
+    got = logits[rows, aims].astype(np.float64)
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    got -= np.log(total)
+    if wrong:
+        logits /= total[:, None]
+        logits[rows, aims] -= 1
+    return got, logits
 
 
 class Gru:
-    """Class embeddings, one gated layer, a softmax over classes. Single precision."""
+    """Word embeddings, one gated layer, a softmax over classes and one over the slots of each class. Single precision."""
 
-    def __init__(self, seed: int = SEED):
+    def __init__(self, mass: np.ndarray | None = None, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
-        self.p = {"E": draw(CLASSES, EMBED), "W": draw(EMBED, 3 * HIDDEN), "U": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32), "O": draw(HIDDEN, CLASSES) * np.float32(0.1), "o": np.zeros(CLASSES, np.float32)}
+        draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+        self.p = {
+            "E": draw(CLASSES * WITHIN, EMBED) * np.float32(np.sqrt(CLASSES * WITHIN) / 4), "W": draw(EMBED, 3 * HIDDEN), "U": draw(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
+            "O": draw(HIDDEN, CLASSES) * np.float32(0.1), "o": np.zeros(CLASSES, np.float32), "V": draw(CLASSES, HIDDEN, WITHIN) * np.float32(0.1), "v": np.zeros((CLASSES, WITHIN), np.float32),
+        }
+        if mass is not None:  # the biases start at the unigram model; slots without words are out
+            cells = np.maximum(mass.reshape(CLASSES, WITHIN), 1e-9)
+            self.p["o"] = np.log(cells.sum(axis=1) / cells.sum()).astype(np.float32)
+            self.p["v"] = np.log(cells / cells.sum(axis=1, keepdims=True)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([w.ravel() for w in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> Gru:
+        at = 0
+        for k, w in self.p.items():
+            self.p[k] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+        return self
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """x: the input's share of the gates. Returns the new state and what the backward pass needs."""
@@ -128,69 +136,88 @@ class Gru:
     def inputs(self) -> np.ndarray:
         return self.p["E"] @ self.p["W"] + self.p["b"]
 
-    def train(self, stream: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01) -> None:
-        """Truncated backpropagation: STREAMS parallel parts of one stream of classes, WINDOW steps at a time, state carried over."""
+    def train(self, stream: np.ndarray, end: int, adam: Adam) -> None:
+        """Truncated backpropagation over STREAMS parallel parts of a stream of slots, WINDOW steps at a time, state carried over."""
         streams = max(1, min(STREAMS, len(stream) // (2 * WINDOW)))
-        length = len(stream) // streams
-        if length < 2:
+        length = -(-len(stream) // streams)
+        if not length:
             return
-        lanes = stream[: streams * length].reshape(streams, length)
-        counts = np.bincount(stream, minlength=CLASSES) + 1.0
-        self.p["o"][:] = np.log(counts / counts.sum())
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        steps, turns = 0, epochs * len(range(0, length - 1, WINDOW))
-        for _ in range(epochs):
-            h = np.zeros((streams, HIDDEN), np.float32)
-            for start in range(0, length - 1, WINDOW):
-                window = lanes[:, start : start + WINDOW + 1]
-                grads, h = self._gradients(window[:, :-1], window[:, 1:], h)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                steps += 1
-                pace = rate * (1 - 0.9 * steps / turns)
-                for k, g in grads.items():
-                    g = g * min(1.0, 1.0 / (norm + 1e-9))
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.002 * (g * g - v[k])
-                    self.p[k] -= (pace * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.998**steps)) + 1e-8)).astype(np.float32)
-
-    def _gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
+        lanes = np.resize(stream, streams * length).reshape(streams, length)  # the last part ends with the first one's words
+        lanes = np.concatenate([np.append(end, lanes[:-1, -1])[:, None], lanes], axis=1)
+        h = np.zeros((streams, HIDDEN), np.float32)
+        for start in range(0, length, WINDOW):
+            window = lanes[:, start : start + WINDOW + 1]
+            grads, h = self.gradients(window[:, :-1], window[:, 1:], h)
+            adam.move(self.p, grads)
+
+    def _output(self, states: np.ndarray, aims: np.ndarray, g: dict | None):
+        """log probabilities of slots given states; with ``g``, the gradients of their mean loss go there and to the states."""
+        p, n = self.p, len(states)
+        order = np.argsort(aims, kind="stable")  # by class
+        states, aims, rows = states[order], aims[order], np.arange(n)
+        classes, member = np.divmod(aims, WITHIN)
+        got, share = _log_softmax(states @ p["O"] + p["o"], rows, classes, g is not None)
+        inside = np.empty((n, WITHIN), states.dtype)
+        cuts = np.searchsorted(classes, np.arange(CLASSES + 1))
+        present = [(c, slice(cuts[c], cuts[c + 1])) for c in np.flatnonzero(np.diff(cuts)).tolist()]
+        for c, own in present:
+            np.matmul(states[own], p["V"][c], out=inside[own])
+            inside[own] += p["v"][c]
+        more, part = _log_softmax(inside, rows, member, g is not None)
+        back = np.empty_like(order)
+        back[order] = rows
+        if g is None:
+            return (got + more)[back], None
+        share /= n
+        part /= n
+        g["O"], g["o"] = states.T @ share, share.sum(axis=0)
+        g["V"], g["v"] = np.zeros_like(p["V"]), np.zeros_like(p["v"])
+        down = share @ p["O"].T
+        for c, own in present:
+            np.matmul(states[own].T, part[own], out=g["V"][c])
+            np.add.reduce(part[own], axis=0, out=g["v"][c])
+            down[own] += part[own] @ p["V"][c].T
+        return None, down[back]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         p, (lanes, steps) = self.p, x.shape
-        table, saved, states = self.inputs(), [], []
+        by_step = np.ascontiguousarray(x.T).ravel()
+        read = p["E"][by_step]
+        table = (read @ p["W"] + p["b"]).reshape(steps, lanes, 3 * HIDDEN)
+        states = np.empty((steps + 1, lanes, HIDDEN), h.dtype)
+        states[0] = h
+        saved = []
         for t in range(steps):
-            before = h
-            h, *rest = self.step(table[x[:, t]], h)
-            saved.append((before, *rest))
-            states.append(h)
-        flat = np.stack(states, axis=1).reshape(-1, HIDDEN)
-        logits = flat @ p["O"] + p["o"]
-        logits -= logits.max(axis=1, keepdims=True)
-        wrong = np.exp(logits)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(len(flat)), y.reshape(-1)] -= 1
-        wrong /= len(flat)
-        g = {k: np.zeros_like(w) for k, w in p.items()}
-        g["O"], g["o"] = flat.T @ wrong, wrong.sum(axis=0)
-        down = (wrong @ p["O"].T).reshape(lanes, steps, HIDDEN)
-        by_class = np.zeros_like(table)
+            states[t + 1], *rest = self.step(table[t], states[t])
+            saved.append(rest)
+        g: dict[str, np.ndarray] = {}
+        _, down = self._output(states[1:].reshape(-1, HIDDEN), y.T.ravel(), g)
+        down = down.reshape(steps, lanes, HIDDEN)
+        dx, du = np.empty_like(table), np.empty_like(table)
         dh = np.zeros_like(h)
+        turned = p["U"].T
         for t in reversed(range(steps)):
-            before, z, r, n, own = saved[t]
-            dh = dh + down[:, t]
+            z, r, n, own = saved[t]
+            dh = dh + down[t]
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * own * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(by_class, x[:, t], np.concatenate([dz, dr, dn], axis=1))
-            g["U"] += before.T @ dhu
-            dh = dh * z + dhu @ p["U"].T
-        g["E"], g["W"], g["b"] = by_class @ p["W"].T, p["E"].T @ by_class, by_class.sum(axis=0)
-        return g, h
-
-    def log10(self, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """log10 probability of each class sequence (a slice of ``classes``), which follows an end. All go in step, the longest first; the state runs through each to its end."""
+            dx[t, :, :HIDDEN] = dh * (states[t] - n) * z * (1 - z)
+            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * own * r * (1 - r)
+            dx[t, :, 2 * HIDDEN :] = dn
+            du[t] = dx[t]
+            du[t, :, 2 * HIDDEN :] *= r
+            dh = dh * z + du[t] @ turned
+        dx, du = dx.reshape(-1, 3 * HIDDEN), du.reshape(-1, 3 * HIDDEN)
+        g["U"], g["W"], g["b"] = states[:-1].reshape(-1, HIDDEN).T @ du, read.T @ dx, dx.sum(axis=0)
+        g["E"] = np.zeros_like(p["E"])
+        order = np.argsort(by_step, kind="stable")
+        present, first = np.unique(by_step[order], return_index=True)
+        g["E"][present] = np.add.reduceat((dx @ p["W"].T)[order], first, axis=0)
+        return g, states[-1]
+
+    def log10(self, slots: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, counted: np.ndarray) -> np.ndarray:
+        """log10 probability of the ``counted`` slots of each sequence (a slice of ``slots``), which follows an end. All go in step, the longest first; the state runs through each to its end."""
         order = np.argsort(-lengths, kind="stable")
-        total, p, table = np.zeros(len(lengths)), self.p, self.inputs()
+        total, table = np.zeros(len(lengths)), self.inputs()
         begin, size = starts[order], lengths[order]
         h = np.zeros((len(order), HIDDEN), np.float32)
         at, last = 0, int(size[0]) if len(size) else 0
@@ -199,53 +226,94 @@ class Gru:
             span = min(max(1, 32_768 // alive), 256, last - at)
             where = begin[:alive, None] + at + np.arange(-1, span)
             inside = np.arange(at, at + span) < size[:alive, None]
-            codes = classes[np.clip(where, 0, len(classes) - 1)]
+            codes = slots[np.clip(where, 0, len(slots) - 1)]
             if at == 0:
-                codes[:, 0] = END
+                codes[:, 0] = end
             states = np.empty((alive, span, HIDDEN), np.float32)
             now = h[:alive]
             for t in range(span):
                 now = self.step(table[codes[:, t]], now)[0]
                 states[:, t] = now
             h = now
-            flat = states[inside]
-            logits = flat @ p["O"] + p["o"]
-            logits -= logits.max(axis=1, keepdims=True)
-            aim = codes[:, 1:][inside]
-            chosen = logits[np.arange(len(flat)), aim]
-            np.exp(logits, out=logits)
             got = np.zeros((alive, span))
-            got[inside] = chosen - np.log(logits.sum(axis=1))
+            aims = where[:, 1:][inside]
+            got[inside] = self._output(states[inside], slots[aims], None)[0] * counted[aims]
             total[order[:alive]] += got.sum(axis=1)
             at += span
         return total / np.log(10)
 
 
+class Adam:
+    """Adam with clipped gradients; its moments last for one pass of one task."""
+
+    def __init__(self, pace: float):
+        self.pace, self.steps, self.m, self.v = pace, 0, {}, {}
+
+    def move(self, p: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        shrink = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        self.steps += 1
+        pace = np.float32(self.pace * np.sqrt(1 - 0.998**self.steps) / (1 - 0.9**self.steps))
+        for k, g in grads.items():
+            if k not in self.m:
+                self.m[k], self.v[k] = np.zeros_like(p[k]), np.zeros_like(p[k])
+            m, v = self.m[k], self.v[k]
+            g *= shrink
+            m += np.float32(0.1) * (g - m)
+            np.square(g, out=g)
+            g -= v
+            g *= np.float32(0.002)
+            v += g
+            np.sqrt(v, out=g)
+            g += np.float32(1e-7)
+            np.divide(m, g, out=g)
+            g *= pace
+            p[k] -= g
+
+
 def _tokens(text: bytes) -> list[bytes]:
     return text.translate(LOWER_BYTES).split()
 
 
-def fit(sample: Iterable[bytes]) -> tuple[Classes, Gru]:
-    """Fit on the sample's first SAMPLE_WORDS words, in whole documents."""
-    docs, held = [], 0
-    for text in sample:
-        docs.append(_tokens(text))
-        held += len(docs[-1]) + 1
-        if held >= SAMPLE_WORDS:
-            break
-    classes, gru = fit_classes(docs), Gru()
-    if docs:
-        words = [w for d in docs for w in d]
-        flat = classes.of(words, hash_words(words))
-        ends = np.cumsum([len(d) for d in docs])
-        gru.train(np.insert(flat.astype(np.int64), ends, END))
-    return classes, gru
+_SENT = "chunk long, owner int, hashes binary, counts binary, spelled binary, words binary, docs binary"
+_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_WEIGHTS = "part long, tokens long, weights binary"
+
+
+def _pack(rows: list[tuple], coded: list[np.ndarray]) -> bytes:
+    """Ids, folds and lengths of documents, then their words' codes."""
+    docs = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([len(c) for c in coded], pa.int64())], names=["doc_id", "held_out", "words"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as w:
+        w.write_batch(docs)
+    head = sink.getvalue().to_pybytes()
+    body = np.concatenate(coded).astype("<u4") if coded else np.zeros(0, "<u4")
+    planes = body.view(np.uint8).reshape(-1, 4).T.tobytes()  # byte planes compress better
+    return len(head).to_bytes(8, "little") + zlib.compress(head + planes, 1)
+
+
+def _unpack(packed: bytes) -> tuple[pa.RecordBatch, np.ndarray]:
+    raw, cut = zlib.decompress(packed[8:]), int.from_bytes(packed[:8], "little")
+    return pa.ipc.open_stream(raw[:cut]).read_next_batch(), np.ascontiguousarray(np.frombuffer(raw[cut:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _places(words: bytes, slots: Slots) -> np.ndarray:
+    """The places of a chunk's distinct words."""
+    n = len(words) // 10
+    return slots.of(np.frombuffer(words, "<u8", n), np.frombuffer(words, "<u2", n, 8 * n))
 
 
-_SENT = "chunk long, owner int, hashes binary, counts binary, classes binary, docs binary"
+def _sequences(docs: pa.RecordBatch, codes: np.ndarray, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All documents' places, each followed by an end; the row of every word; where each document stops."""
+    words = np.asarray(docs.column("words"))
+    rows = np.repeat(np.arange(len(words)), words)
+    stops = np.cumsum(words + 1)
+    stream = np.full(int(stops[-1]), end, np.int64)
+    stream[np.arange(len(codes)) + rows] = places[codes]
+    return stream, rows, stops
 
 
-def _chunker(classes: Classes, owners: int):
+def _chunker(owners: int):
     def close(chunk, rows):
         known: dict[bytes, None] = {}
         for _, _, words in rows:
@@ -259,26 +327,16 @@ def _chunker(classes: Classes, owners: int):
         coded = [np.fromiter(map(code, w), np.uint32, len(w)) for _, _, w in rows]
         learned = [c for c, (_, held, _) in zip(coded, rows, strict=True) if not held]
         counts = np.bincount(np.concatenate(learned), minlength=len(distinct)) if learned else np.zeros(len(distinct), np.int64)
-        own = classes.of(distinct, hashes)[order]
+        spelled = spelling(distinct)[order]
         hashes = hashes[order]
-        owner = owner_of(hashes, owners)
-        cuts = np.searchsorted(owner, np.arange(owners + 1))
-        docs = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([len(c) for c in coded], pa.int64())], names=["doc_id", "held_out", "words"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, docs.schema) as w:
-            w.write_batch(docs)
-        head = sink.getvalue().to_pybytes()
-        body = np.concatenate(coded).astype("<u4") if coded else np.zeros(0, "<u4")
-        planes = body.view(np.uint8).reshape(-1, 4).T.tobytes()  # byte planes compress better
-        packed = len(head).to_bytes(8, "little") + zlib.compress(head + planes, 1)
-        out = [(chunk, -1, None, None, own.tobytes(), packed)]
+        cuts = np.searchsorted(owner_of(hashes, owners), np.arange(owners + 1))
+        out = [(chunk, -1, None, None, None, hashes.astype("<u8").tobytes() + spelled.tobytes(), _pack(rows, coded))]
         for o in range(owners):
             a, b = cuts[o], cuts[o + 1]
             if a < b:
-                out.append((chunk, o, hashes[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes(), own[a:b].tobytes(), None))
-        out.append((chunk, -2, None, np.array([sum(not r[1] for r in rows)], "<u8").tobytes(), None, None))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["chunk", "owner", "hashes", "counts", "classes", "docs"])
+                out.append((chunk, o, hashes[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes(), spelled[a:b].tobytes(), None, None))
+        out.append((chunk, -2, None, np.array([sum(not r[1] for r in rows)], "<u8").tobytes(), None, None, None))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)], names=["chunk", "owner", "hashes", "counts", "spelled", "words", "docs"])
 
     def run(batches):
         forget()
@@ -297,54 +355,106 @@ def _chunker(classes: Classes, owners: int):
     return run
 
 
+_ANSWERS = "chunk long, owner int, totals binary, tokens array<long>, top array<struct<hash:long,count:long,spelled:int>>, seen long, once long"
+_TOP = pa.list_(pa.struct([("hash", pa.int64()), ("count", pa.int64()), ("spelled", pa.int32())]))
+
+
 def _totals(table: pa.Table) -> pa.Table:
-    """An owner's answers, chunk by chunk, and (at chunk -1) tokens and distinct words by class."""
+    """An owner's answers, chunk by chunk, and (at chunk -1) what the model needs: tokens by spelling, its most frequent words, distinct words, words seen once."""
     hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.float64)
-    classes = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("classes").to_pylist()])
+    spelled = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("spelled").to_pylist()])
     every, first, where = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    total = np.bincount(where, weights=counts, minlength=len(every))
-    own = classes[first]
-    stats = np.stack([np.bincount(own, weights=total, minlength=CLASSES), np.bincount(own, weights=total > 0, minlength=CLASSES)]).astype("<i8")
+    total = np.bincount(where, weights=counts, minlength=len(every)).astype(np.int64)
+    spelled = spelled[first]
+    tokens = np.bincount(spelled, weights=total, minlength=SHARED).astype(np.int64)
+    order = np.lexsort((every, -total))[:OWN]
+    top = [{"hash": h, "count": c, "spelled": s} for h, c, s in zip(every[order].view(np.int64).tolist(), total[order].tolist(), spelled[order].tolist(), strict=True) if c]
     answers = np.split(total[where].astype("<u8"), np.cumsum([len(h) for h in hashes])[:-1])
-    chunks, owner = table.column("chunk").to_pylist(), table.column("owner")[0].as_py()
-    return pa.table({"chunk": pa.array([*chunks, -1], pa.int64()), "owner": pa.array([owner] * (len(chunks) + 1), pa.int32()), "totals": pa.array([*(zlib.compress(a.tobytes(), 1) for a in answers), None], pa.binary()), "tokens": pa.array([*[None] * len(chunks), stats[0].tolist()], pa.list_(pa.int64())), "distinct": pa.array([*[None] * len(chunks), stats[1].tolist()], pa.list_(pa.int64()))})
+    chunks, owner, no = table.column("chunk").to_pylist(), table.column("owner")[0].as_py(), [None] * table.num_rows
+    columns = [
+        pa.array([*chunks, -1], pa.int64()), pa.array([owner] * (len(chunks) + 1), pa.int32()), pa.array([*(zlib.compress(a.tobytes(), 1) for a in answers), None], pa.binary()),
+        pa.array([*no, tokens.tolist()], pa.list_(pa.int64())), pa.array([*no, top], _TOP), pa.array([*no, int((total > 0).sum())], pa.int64()), pa.array([*no, int((total == 1).sum())], pa.int64()),
+    ]
+    return pa.Table.from_arrays(columns, names=["chunk", "owner", "totals", "tokens", "top", "seen", "once"])
+
+
+def _trainer(flat: bytes, slots: Slots, turn: int, pace: float):
+    """A pass over a task's chunks, from the common weights: every ROUNDS-th training document, those of this turn."""
+
+    def run(batches):
+        gru, adam, tokens = Gru().load(np.frombuffer(flat, "<f4")), Adam(pace), 0
+        for b in batches:
+            for words, packed in zip(b.column("words").to_pylist(), b.column("docs").to_pylist(), strict=True):
+                docs, codes = _unpack(packed)
+                stream, rows, stops = _sequences(docs, codes, _places(words, slots), slots.end)
+                learned = ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False)) & (np.arange(len(stops)) % ROUNDS == turn)
+                stream = stream[np.repeat(learned, np.diff(stops, prepend=0))]
+                gru.train(stream, slots.end, adam)
+                tokens += len(stream)
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([task_id()], pa.int64()), pa.array([tokens], pa.int64()), pa.array([gru.flat().astype("<f4").tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+
+    return run
 
 
-def _scorer(gru: Gru, ends: int, tokens: np.ndarray, distinct: np.ndarray):
+def _average(batches):
+    """One row for all of a task's: weights averaged by tokens, one row in memory at a time."""
+    part, tokens, total = None, 0, 0.0
+    for b in batches:
+        for p, n, w in zip(*(b.column(c).to_pylist() for c in ("part", "tokens", "weights")), strict=True):
+            part, tokens, total = p if part is None else part, tokens + n, total + n * np.frombuffer(w, "<f4").astype(np.float64)
+    if tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([tokens], pa.int64()), pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+
+
+def train(documents: DataFrame, slots: Slots) -> Gru:
+    """The GRU after ROUNDS passes over all chunks (words, docs); tasks' weights meet FAN_IN at a time, and one row reaches the driver a pass."""
+    gru = Gru(slots.mass)
+    for turn in range(ROUNDS):
+        run = _trainer(gru.flat().astype("<f4").tobytes(), slots, turn, PACE * (1 - turn / ROUNDS))
+        parts, rows = documents.rdd.getNumPartitions(), documents.mapInArrow(run, _WEIGHTS)
+        while True:
+            parts = -(-parts // FAN_IN)
+            rows = rows.repartition(max(1, parts)).sortWithinPartitions("part").mapInArrow(_average, _WEIGHTS)
+            if parts <= 1:
+                break
+        for row in rows.collect():  # one, or none without training documents
+            gru.load(np.frombuffer(row["weights"], "<f4"))
+    return gru
+
+
+def _scorer(gru: Gru, slots: Slots, ends: int, train_tokens: int, seen: int, once: int):
     """Rows sorted by chunk: totals in the owners' order, then the documents (owner after all others)."""
-    train = int(tokens.sum()) + ends
-    kinds = int(distinct.sum()) + (ends > 0)
-    bottom = np.log10(train + kinds + 1)
-    inside = np.log10(tokens + distinct + 1.0)
+    kinds = seen + (ends > 0)
+    bottom = np.log10(train_tokens + kinds + 1)
+    unknown = (once + 1) / (train_tokens + kinds + 1)
+    new, old = np.log10(unknown), np.log10(max(1 - unknown, 1e-300))
+    mass = np.log10(np.maximum(slots.mass, 1))
 
     def run(batches):
         totals: list[np.ndarray] = []
         for b in batches:
-            for owner, answer, own, packed in zip(*(b.column(c).to_pylist() for c in ("owner", "totals", "classes", "docs")), strict=True):
+            for answer, words, packed in zip(*(b.column(c).to_pylist() for c in ("totals", "words", "docs")), strict=True):
                 if packed is None:
                     totals.append(np.frombuffer(zlib.decompress(answer), "<u8"))
                     continue
                 count = np.concatenate(totals) if totals else np.zeros(0, "<u8")
                 totals = []
-                own = np.frombuffer(own, np.uint8)
-                raw, cut = zlib.decompress(packed[8:]), int.from_bytes(packed[:8], "little")
-                docs = pa.ipc.open_stream(raw[:cut]).read_next_batch()
-                codes = np.ascontiguousarray(np.frombuffer(raw[cut:], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-                words = np.asarray(docs.column("words"))
-                rows = np.repeat(np.arange(len(words)), words)
-                per = lambda values: np.bincount(rows, weights=values[codes], minlength=len(words))
-                seen = np.log10(count + 1.0)
-                base = per(seen) + np.log10(ends + 1.0) - (words + 1) * bottom
-                within = per(seen - inside[own]) if len(own) else np.zeros(len(words))
-                lengths = words + 1
-                stops = np.cumsum(lengths)
-                stream = np.full(int(stops[-1]), END, np.int64)
-                stream[np.arange(len(codes)) + rows] = own[codes]
-                score = gru.log10(stream, stops - lengths, lengths) + within
-                known = per((count > 0).astype(np.float64)).astype(np.int64) + (ends > 0)
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), pa.array(lengths), pa.array(known), pa.array(np.full(n, train)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                docs, codes = _unpack(packed)
+                places = _places(words, slots)
+                stream, rows, stops = _sequences(docs, codes, places, slots.end)
+                n = len(stops)
+                lengths = np.diff(stops, prepend=0)
+                per = lambda values: np.bincount(rows, weights=values[codes], minlength=n)
+                base = per(np.log10(count + 1.0)) + np.log10(ends + 1.0) - lengths * bottom
+                met = count > 0
+                known = per(met.astype(np.float64)).astype(np.int64) + (ends > 0)
+                within = per(np.where(met, np.log10(np.maximum(count, 1)) - mass[places], 0.0)) if len(places) else np.zeros(n)
+                counted = np.full(len(stream), ends > 0)
+                counted[np.arange(len(codes)) + rows] = met[codes]
+                score = gru.log10(stream, stops - lengths, lengths, slots.end, counted) + within + known * old + (lengths - known) * new
+                yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("held_out"), pa.array(lengths), pa.array(known), pa.array(np.full(n, train_tokens)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -354,31 +464,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Held out are documents with crc32(id as text) mod ``folds`` equal to ``held``; a null id counts as
     the empty text there. Tokens are the text's words (A-Z lower-cased, cut at ASCII white space) and
-    one end; null and empty texts are the end alone. Words that training lacks share, in every class,
-    the chance of one unseen word. Without training documents base_score is 0 for each token and the
-    model is untrained. Repeated rows are scored alike; an empty table gives an empty result.
+    one end; null and empty texts are the end alone. Every other document trains the model. Words
+    that training lacks are one unknown word each time. A text longer than a chunk is a chunk of its
+    own and is held in one task's memory, as words of four bytes. Without training documents
+    base_score and score are 0 for each token. Words with equal counts take slots in the order of
+    their hashes. Repeated rows are scored alike, other columns are not read whatever their names,
+    and an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    # The sample: the training documents whose ids hash lowest.
-    picked = rows.filter("not held_out").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    chosen = rows.filter("not held_out").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.octet_length("text")).limit(SAMPLE_DOCS)
-    classes, gru = fit((r["text"] or "").encode() for r in chosen.toLocalIterator())
-    owners = max(12, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sent = materialize(rows.mapInArrow(_chunker(classes, owners), _SENT), "word-counts")
-    answered = sent.filter("owner >= 0").select("chunk", "owner", "hashes", "counts", "classes").groupBy("owner").applyInArrow(_totals, "chunk long, owner int, totals binary, tokens array<long>, distinct array<long>")
+    owners = max(12, rows.rdd.getNumPartitions() // PARTS_PER_OWNER)
+    sent = materialize(rows.mapInArrow(_chunker(owners), _SENT), "word-counts")
+    answered = sent.filter("owner >= 0").select("chunk", "owner", "hashes", "counts", "spelled").groupBy("owner").applyInArrow(_totals, _ANSWERS)
     answered = materialize(answered, "word-totals")
-    stats = answered.filter("chunk = -1").select(F.posexplode(F.arrays_zip("tokens", "distinct")).alias("c", "s")).groupBy("c").agg(F.sum("s.tokens").alias("tokens"), F.sum("s.distinct").alias("distinct")).collect()
-    tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in stats:
-        tokens[r["c"]], distinct[r["c"]] = r["tokens"], r["distinct"]
-    ends = sent.filter("owner = -2").select(_little_endian("counts").alias("n")).agg(F.sum("n")).first()[0] or 0
-    last = F.lit((1 << 31) - 1)
-    documents = sent.filter("owner = -1").select("chunk", last.alias("owner"), F.lit(None).cast("binary").alias("totals"), "classes", "docs")
-    replies = answered.filter("chunk >= 0").select("chunk", "owner", "totals", F.lit(None).cast("binary").alias("classes"), F.lit(None).cast("binary").alias("docs"))
-    ordered = replies.unionByName(documents).repartition("chunk").sortWithinPartitions("chunk", "owner")
-    return ordered.mapInArrow(_scorer(gru, int(ends), tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    stats = answered.filter("chunk = -1")
+    top = stats.select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("count"), "hash").limit(OWN).collect()
+    shared = np.zeros(SHARED, np.int64)
+    for r in stats.select(F.posexplode("tokens").alias("s", "n")).groupBy("s").agg(F.sum("n").alias("n")).collect():
+        shared[r["s"]] = r["n"]
+    seen, once = (int(x or 0) for x in stats.agg(F.sum("seen"), F.sum("once")).first())
+    ends = int(sent.filter("owner = -2").select(_little_endian("counts").alias("n")).agg(F.sum("n")).first()[0] or 0)
+    slots = arrange([(r["hash"] % (1 << 64), r["count"], r["spelled"]) for r in top], shared, ends)
+    documents = sent.filter("owner = -1")
+    gru = train(documents.select("words", "docs"), slots)
+    last, no = F.lit((1 << 31) - 1), F.lit(None).cast("binary")
+    asked = documents.select("chunk", last.alias("owner"), no.alias("totals"), "words", "docs")
+    replies = answered.filter("chunk >= 0").select("chunk", "owner", "totals", no.alias("words"), no.alias("docs"))
+    ordered = replies.unionByName(asked).repartition("chunk").sortWithinPartitions("chunk", "owner")
+    scorer = _scorer(gru, slots, ends, int(shared.sum()) + ends, seen, once)
+    return ordered.mapInArrow(scorer, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _little_endian(column: str):

@@ -362,41 +362,130 @@ def test_language_model_beats_its_base(spark):
     assert sum(r.score for r in got) / tokens > sum(r.base_score for r in got) / tokens + 0.3
 
 
+def brute_slots(counts, ends):
+    """Place of every word by its count, hash and spelling, and the mass of every place."""
+    import xxhash
+
+    signed = lambda w: (xxhash.xxh3_64_intdigest(w) + (1 << 63)) % (1 << 64) - (1 << 63)
+    spelled = lambda w: (int.from_bytes(w[-4:].rjust(4, b"\0"), "little") * 2_654_435_761 % (1 << 32) >> 12) % lm.SHARED
+    top = sorted(counts, key=lambda w: (-counts[w], signed(w)))[: lm.OWN]
+    mass = [ends] + [counts[w] for w in top] + [0] * (lm.OWN - len(top)) + [0] * lm.SHARED
+    for w in set(counts) - set(top):
+        mass[1 + lm.OWN + spelled(w)] += counts[w]
+    place = {slot: i for i, slot in enumerate(sorted(range(len(mass)), key=lambda i: (-mass[i], i)))}
+    own = {w: place[1 + i] for i, w in enumerate(top)}
+    return place[0], lambda w: own.get(w, place[1 + lm.OWN + spelled(w)]), {place[i]: m for i, m in enumerate(mass)}
+
+
+def brute_states(p, places, end):
+    """The hidden state before every place, a word at a time in double precision."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, h, n = {k: v.astype(np.float64) for k, v in p.items()}, np.zeros(lm.HIDDEN), lm.HIDDEN
+    for read in [end, *places[:-1]]:
+        x, hu = p["E"][read] @ p["W"] + p["b"], h @ p["U"]
+        z, r = sigmoid(x[:n] + hu[:n]), sigmoid(x[n : 2 * n] + hu[n : 2 * n])
+        h = z * h + (1 - z) * np.tanh(x[2 * n :] + r * hu[2 * n :])
+        yield h
+
+
+def brute_slot(p, h):
+    """The distribution over all places."""
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    classes = softmax(h @ p["O"] + p["o"])
+    return np.concatenate([classes[c] * softmax(h @ p["V"][c] + p["v"][c]) for c in range(lm.CLASSES)])
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_language_model_scores(spark, monkeypatch, many):
+    """Every score, from the trained weights, word by word; all known words and the unknown one sum to 1."""
+    table = documents()
+    if many:  # more words than slots
+        r = random.Random(2)
+        table += [(1000 + i, " ".join(f"{chr(97 + w % 26)}{w}{'xyz'[w % 3]}" for w in (int(r.paretovariate(0.2)) % 6000 if i % 2 else r.randrange(6000) for _ in range(150))), None, None, None, None) for i in range(60)]
+    docs = spark.createDataFrame(table, SCHEMA).repartition(3)
+    held, make = {}, lm._scorer
+    monkeypatch.setattr(lm, "_scorer", lambda gru, *rest: held.setdefault("gru", gru) and make(gru, *rest))
+    got = collections.defaultdict(list)
+    for r in lm.score_documents(docs).collect():
+        got[r.doc_id].append(r.score)
+    rows = [(r[0], lower(r[1]).encode().split(), zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 7 == 2) for r in table]
+    counts = collections.Counter(w for _, t, h in rows if not h for w in t)
+    ends = sum(not h for *_, h in rows)
+    assert (len(counts) > lm.OWN) == many
+    end, place, mass = brute_slots(counts, ends)
+    unknown = (sum(c == 1 for c in counts.values()) + 1) / (sum(counts.values()) + ends + len(counts) + 2)
+    p = held["gru"].p
+    for i, tokens, _ in rows:
+        if i is None or len(tokens) > 2000:
+            continue
+        places, score = [*map(place, tokens), end], 0.0
+        for t, at, h in zip([*tokens, None], places, brute_states(p, places, end)):
+            count = ends if t is None else counts[t]
+            score += math.log10((1 - unknown) * brute_slot(p, h)[at] * count / mass[at]) if count else math.log10(unknown)
+        assert got[i] == pytest.approx([score] * len(got[i]), rel=1e-4, abs=1e-3)
+    state = list(brute_states(p, [3, 5, 9], end))[-1]
+    slots = brute_slot(p, state)
+    every = unknown + (1 - unknown) * (slots[end] + sum(slots[place(w)] * c / mass[place(w)] for w, c in counts.items()))
+    assert every == pytest.approx(1, abs=1e-6)
+
+
+def test_training_reads_every_training_document(docs, monkeypatch):
+    """Each word of each training document, and its end, is trained on in one of the passes, and no other."""
+    seen = collections.Counter()
+    rows = docs.toPandas()
+    rows = [(None if r.doc_id != r.doc_id else int(r.doc_id), zlib.crc32(("" if r.doc_id != r.doc_id else str(int(r.doc_id))).encode()) % 7 == 2, lm._tokens((r.text or "").encode())) for r in rows.itertuples()]
+    words = sorted({w for *_, t in rows for w in t}, key=lambda w: int(lm.hash_words([w])[0]))
+    packed = lm._pack(rows, [np.array([words.index(w) for w in t], np.uint32) for *_, t in rows])
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm.Gru, "train", lambda self, stream, end, adam: seen.update(stream.tolist()))
+    counts = collections.Counter(w for _, h, t in rows if not h for w in t)
+    hashes, spelled = lm.hash_words(words), lm.spelling(words)
+    top = [(int(h), counts[w], int(s)) for w, h, s in zip(words, hashes, spelled) if counts[w]][: lm.OWN]
+    slots = lm.arrange(top, np.bincount(spelled, weights=[counts[w] for w in words], minlength=lm.SHARED), sum(not h for _, h, _ in rows))
+    batch = pa.RecordBatch.from_arrays([pa.array([hashes.astype("<u8").tobytes() + spelled.tobytes()]), pa.array([packed])], names=["words", "docs"])
+    for turn in range(lm.ROUNDS):
+        list(lm._trainer(lm.Gru().flat().tobytes(), slots, turn, 0.01)([batch]))
+    assert seen == collections.Counter({i: int(m) for i, m in enumerate(slots.mass) if m})
+
+
 def test_gru_gradients_and_state():
-    g = lm.Gru(3)
+    g = lm.Gru(seed=3)
     r = np.random.default_rng(3)
-    x = r.integers(0, lm.CLASSES, (2, 5))
-    y = r.integers(0, lm.CLASSES, (2, 5))
-    h = r.standard_normal((2, lm.HIDDEN)).astype(np.float32)
+    every = lm.CLASSES * lm.WITHIN
+    x, y = r.integers(0, every, (2, 5)), r.integers(0, every, (2, 5))
+    y[0, 1] = y[0, 0] // lm.WITHIN * lm.WITHIN  # two of one class
+    h = r.standard_normal((2, lm.HIDDEN))
 
     def loss():
-        table, now, total = g.inputs(), h, 0.0
+        return -sum(math.log(brute_slot(g.p, s)[at]) for lane in range(2) for at, s in zip(y[lane], states(lane))) / 10
+
+    def states(lane):
+        now, table = h[lane : lane + 1], g.inputs()
         for t in range(5):
-            now = g.step(table[x[:, t]], now)[0]
-            z = (now @ g.p["O"] + g.p["o"]).astype(np.float64)
-            z -= z.max(axis=1, keepdims=True)
-            total -= (z[[0, 1], y[:, t]] - np.log(np.exp(z).sum(axis=1))).sum()
-        return total / 10
+            now = g.step(table[x[lane, t]][None], now)[0]
+            yield now[0]
 
     for k in g.p:
         g.p[k] = g.p[k].astype(np.float64)
-    grads, _ = g._gradients(x, y, h.astype(np.float64))
-    for k, v in g.p.items():
+    grads, _ = g.gradients(x, y, h)
+    used = {"E": lambda: (r.choice(x.ravel()), r.integers(lm.EMBED)), "V": lambda: (r.choice(y.ravel()) // lm.WITHIN, r.integers(lm.HIDDEN), r.integers(lm.WITHIN)), "v": lambda: (r.choice(y.ravel()) // lm.WITHIN, r.integers(lm.WITHIN))}
+    for k, v in grads.items():
         for _ in range(4):
-            at = tuple(r.integers(0, s) for s in v.shape)
-            keep = v[at]
-            v[at] = keep + 1e-5
+            at = used[k]() if k in used else tuple(r.integers(0, s) for s in v.shape)
+            keep = g.p[k][at]
+            g.p[k][at] = keep + 1e-5
             up = loss()
-            v[at] = keep - 1e-5
+            g.p[k][at] = keep - 1e-5
             down = loss()
-            v[at] = keep
-            assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-6), k
-    g = lm.Gru(3)
-    flat = r.integers(0, lm.CLASSES - 1, 700)
-    lengths = np.array([600, 1, 99])
-    starts = np.array([0, 600, 601])
-    one = np.concatenate([g.log10(flat, starts[i : i + 1], lengths[i : i + 1]) for i in range(3)])
-    assert np.allclose(g.log10(flat, starts, lengths), one, rtol=1e-4)
+            g.p[k][at] = keep
+            assert v[at] == pytest.approx((up - down) / 2e-5, abs=1e-6), k
+    g = lm.Gru(seed=3)
+    flat = r.integers(0, every, 700)
+    lengths, starts = np.array([600, 1, 99]), np.array([0, 600, 601])
+    counted = r.random(700) < 0.9
+    one = np.concatenate([g.log10(flat, starts[i : i + 1], lengths[i : i + 1], 5, counted) for i in range(3)])
+    assert np.allclose(g.log10(flat, starts, lengths, 5, counted), one, rtol=1e-4)
 
 
 def test_pages_that_the_model_never_saw():
