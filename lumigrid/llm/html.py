@@ -24,9 +24,10 @@ from .common import batch, slices
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
-SILENT = frozenset("button canvas datalist head object option select svg audio video math".split())
+SILENT = frozenset("button canvas datalist head object option select svg audio video".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+BARRIERS = ("table", "article", "section", "nav", "aside", "footer", "header", "main", "form", "div")
 CONTROLS = frozenset("input button select textarea option".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th", "tbody", "thead"), "tbody": ("tr", "td", "th", "tbody", "thead")}
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "thead": ("table",), "tbody": ("table",), "option": ("select",)}
 GROUPS = [("article", "main"), ("section",), ("div", "center"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"), ("ul", "ol", "dl", "menu", "dir"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "legend"), ("blockquote", "pre", "figure", "figcaption"), ("body", "html")]
@@ -61,9 +62,10 @@ class Node:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements in page order, and the page's blocks of text as (node, text)."""
+    """The block elements in page order, and the page's blocks of text as (node, text). Linear in the page, however deep."""
     nodes = [Node("html", -1, 0, frozenset(), False, 0)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements, each with the nearest block node
+    opened: dict[str, list[int]] = {"html": [0]}  # where in the stack the open elements of each name are
     blocks: list[tuple[int, str]] = []
     run: list[str] = []
     owner = silent = linked = total = 0
@@ -82,6 +84,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 n.commas += text.count(",")
                 n.words += text.count(" ") + 1
 
+    def push(tag: str, node: int):
+        opened.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def pop(to: int):
         """Close open elements down to ``to`` of them."""
         nonlocal silent, linked, owner
@@ -90,27 +96,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 flush()
             silent -= tag in SILENT
             linked -= tag == "a"
+        for tag, _ in reversed(stack[to:]):
+            opened[tag].pop()
         del stack[to:]
         owner = stack[-1][1]
 
+    def last(names) -> int:
+        """Where the innermost open element of these names is, 0 for none (or the root)."""
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
     def close_within(names: tuple[str, ...], scope: tuple[str, ...]):
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                pop(i)
-                return
-            if stack[i][0] in scope:
-                return
+        at = last(names)
+        if at > last(scope):
+            pop(at)
 
     at, size = 0, len(page)
     for_ = _TAG.search
     while at < size:
         m = for_(page, at)
         stop = m.start() if m else size
-        if stop > at and not silent:
+        if stop > at:
             text = unescape(page[at:stop])
-            run.append(text)
-            if linked:
-                nodes[owner].linked += len(text.strip())
+            if stack[-1][0] == "head" and text.strip():
+                pop(len(stack) - 1)  # text ends a head left open
+            if not silent:
+                run.append(text)
+                if linked:
+                    nodes[owner].linked += len(text.strip())
         if not m:
             break
         at = m.end()
@@ -119,16 +131,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            place = last((tag,))
+            if tag == "p" and not place:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in ("table", "article", "section", "nav", "aside", "footer", "header", "main", "form", "div") and tag not in BLOCKS:
-                    break  # a stray inline end tag doesn't close blocks around it
+            if place and (tag in BLOCKS or place > last(BARRIERS)):  # a stray inline end tag doesn't close blocks around it
+                pop(place)
             continue
         attributes = m[3] if m[2] else m[6]
+        if opened.get("head") and tag not in IN_HEAD:
+            pop(opened["head"][-1])
         nodes[owner].tags += 1
         if tag in RAW:
             end = _ENDS[tag].search(page, at)
@@ -141,15 +152,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             run.append("\n")
         if tag in VOID and tag != "hr":
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and opened.get(tag):
             continue
         if tag in BLOCKS:
             flush()
             if tag in SAME_CLOSES:
                 close_within(SAME_CLOSES[tag], SCOPES[tag])
             close_within(("p",), ("table", "td", "th", "button", "object"))
-            if tag == "body":
-                close_within(("head",), ())
             if tag == "hr":
                 continue
             kinds, key = frozenset(), False
@@ -165,14 +174,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(Node(tag, owner, nodes[owner].depth + 1, kinds, key, total))
             nodes[owner].children.append(node)
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, node))
+                push(tag, node)
                 owner = node
         else:
             if tag == "a":
                 nodes[owner].links += 1
                 linked += 1
             silent += tag in SILENT
-            stack.append((tag, owner))
+            push(tag, owner)
     pop(1)
     flush()
     return nodes, blocks
@@ -280,6 +289,12 @@ def _extractor(trees: BoostedTrees):
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text (empty if there is none), n_chars. Null html counts as empty; ids and urls pass through, null or repeated as they are."""
+    """One row per page: page_id, url, text (empty if there is none), n_chars.
+
+    Null html counts as empty; ids and urls pass through, null or repeated as they are, and equal
+    pages give equal texts. Very long or deeply nested pages take time and memory in proportion to
+    their length, one page in memory at least. Other columns are not read, whatever their names;
+    an empty table gives an empty result.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extractor(model()), "page_id long, url string, text string, n_chars long")

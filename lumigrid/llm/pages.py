@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 from .html import TOKENS
 
-PAGES, SEED = 700, 99
+PAGES, SEED = 1000, 99
 _SYLLABLES = "an be co di en fu ga ho in ja ka lo mi ne or pa qui re sa ti un ve wa xe yo zu st th ch ing ment tion er".split()
 
 
@@ -125,18 +125,75 @@ def _article(r: random.Random, k: str) -> str:
     return "".join(out)
 
 
+def _strange(r: random.Random) -> str:
+    """Boilerplate whose class words, if any, say nothing: only its shape tells."""
+    links = _link_list(r)
+    name = f' class="{_word(r)}"' if r.random() < 0.7 else ""
+    legal = r.choice([f"&copy; {_word(r)} {r.randint(1990, 2030)}", f"&copy; 2020 {_words(r, 1, 5)} | <a href=/x>{_word(r)}</a> | <a href=/y>{_words(r, 1, 2)}</a>"])
+    return r.choice([
+        f"<div{name}>{links}</div>", f"<div{name}><h3>{_words(r, 1, 3)}</h3>{links}</div>", f"<nav{name}>{links}</nav>", f"<aside{name}><h3>{_words(r, 1, 3)}</h3>{r.choice([links, f'<p>{_sentences(r, 1, 3)}</p>'])}</aside>",
+        f"<div{name}><form action=/s><input name=q><button>{_word(r)}</button></form></div>", f"<header{name}><div><a href=/>{_words(r, 1, 3)}</a></div>{links}</header>", f"<footer{name}><p>{legal}</p></footer>",
+    ])
+
+
+def _table_page(r: random.Random, mark: str) -> str:
+    """A page laid out as a table: links and advice in some cells, the article in one."""
+    cell = lambda inner, more="": f"<td{more}{r.choice(['', ' valign=top', ' width=140'])}>{inner}" + r.choice(["</td>", "</td>", ""])
+    links = lambda: r.choice([_link_list(r), "<br>".join(f"<a href=/{_word(r)}>{_words(r, 1, 3)}</a>" for _ in range(r.randint(2, 9))), "".join(f"<a href=/{_word(r)}>{_word(r)}</a> " for _ in range(r.randint(2, 6)))])
+    article = _article(r, mark)
+    if r.random() < 0.3:  # text straight in the cell
+        article = "<br><br>".join(_sentences(r, 2, 6) for _ in range(r.randint(2, 6)))
+        article = cell(f"{r.choice(['', f'<h1{mark}>{_words(r, 2, 8)}</h1>'])}{article}", mark)
+    else:
+        article = cell(article)
+    row = [article]
+    if r.random() < 0.8:
+        row.insert(0, cell(links()))
+    if r.random() < 0.3:
+        row.append(cell(links()))
+    rows = [row]
+    if r.random() < 0.6:
+        rows.insert(0, [cell(r.choice([links(), f"<b>{_words(r, 1, 3)}</b>", f"<img src=l.gif> {_words(r, 1, 3)}"]), f" colspan={len(row)}")])
+    if r.random() < 0.6:
+        rows.append([cell(r.choice([f"&copy; {_words(r, 1, 4)} 1999", f"<small>{_words(r, 2, 5)} <a href=/m>{_word(r)}</a></small>", links()]), f" colspan={len(row)}")])
+    return "<table>" + "".join("<tr>" + "".join(c) + r.choice(["</tr>", ""]) for c in rows) + "</table>"
+
+
+def _headed(r: random.Random, content: str) -> str:
+    """The article's title in a header of its own, perhaps with a byline."""
+    end = content.find("</h1>") + 5
+    byline = r.choice(["", f"<p{r.choice(['', ' class=meta', ' class=byline'])}>{_words(r, 1, 3)}, <time>2020-01-0{r.randint(1, 9)}</time></p>", f"<div><a href=/{_word(r)}>{_words(r, 1, 2)}</a></div>"])
+    return f"<header{r.choice(['', ' class=entry-header', f' class={_word(r)}'])}>{content[:end]}{byline}</header>{content[end:]}" if end > 4 else content
+
+
 def page(r: random.Random, mark: str = ' data-k="1"') -> str:
+    make = r.random()
+    head = f"<head><title>{_words(r, 1, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script>" + r.choice(["</head>", "</head>", ""])
+    end = r.choice(["</body></html>", "</body></html>", ""])
+    if make < 0.1:
+        body = "".join(_strange(r) for _ in range(r.choice([0, 0, 1]))) + _table_page(r, mark) + "".join(_strange(r) for _ in range(r.choice([0, 0, 1])))
+        return f"<html>{head}<body{_attributes(r, None)}>{body}{end}"
     content = _article(r, mark)
+    if make < 0.25:  # nothing but shape to go by
+        if r.random() < 0.4:
+            content = f"<article{_attributes(r, None)}>{_headed(r, content)}</article>"
+        elif r.random() < 0.8:
+            content = f"<{(t := r.choice(['div', 'main', 'section', 'div']))}{_attributes(r, None)}>{content}</{t}>"
+        body = "".join(_strange(r) for _ in range(r.randint(0, 3))) + content + "".join(_strange(r) for _ in range(r.randint(0, 3)))
+        if r.random() < 0.3:
+            body = f"<div{_attributes(r, None)}>{body}</div>"
+        return f"<!DOCTYPE html><html>{head}<body{_attributes(r, None)}>{body}{end}"
     inside = [_boilerplate(r, r.choice(KINDS[3:])) for _ in range(r.choice([0, 0, 0, 1, 2]))]
     if inside:  # some of it in the middle of the article
         cut = content.find("<p", len(content) // 2)
         content = content[:cut] + inside[0] + content[cut:] + "".join(inside[1:]) if cut > 0 else content + "".join(inside)
-    x = r.random()
-    if x < 0.5:
+    if make < 0.4:
+        content = f"<article{_attributes(r, 9, 0.6)}>{_headed(r, content)}</article>"
+    elif make < 0.62:
         content = f"<article{_attributes(r, 9, 0.6)}>{content}</article>"
-    elif x < 0.65:
+    elif make < 0.74:
         content = f"<main>{r.choice([content, f'<article>{content}</article>'])}</main>"
-    elif x < 0.9:
+    elif make < 0.92:
         t = r.choice(["div", "section", "div"])
         content = f"<{t}{_attributes(r, 9, 0.35)}>{content}</{t}>"
     if r.random() < 0.3:
@@ -148,8 +205,7 @@ def page(r: random.Random, mark: str = ' data-k="1"') -> str:
     if r.random() < 0.8:
         after.append(_boilerplate(r, "footer"))
     body = "".join(before) + content + "".join(after)
-    head = f"<head><title>{_words(r, 1, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-    return f"<!DOCTYPE html><html>{head}<body{_attributes(r, None)}>{body}" + r.choice(["</body></html>", "</body></html>", ""])
+    return f"<!DOCTYPE html><html>{head}<body{_attributes(r, None)}>{body}{end}"
 
 
 def labelled_pages(pages: int = PAGES, seed: int = SEED) -> Iterator[str]:

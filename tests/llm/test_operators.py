@@ -4,9 +4,9 @@ import collections
 import hashlib
 import math
 import random
-import re
 import zlib
 from fractions import Fraction
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -505,21 +505,91 @@ def test_pages_that_the_model_never_saw():
     assert good >= 112
 
 
+class Article(HTMLParser):
+    """The blocks of the first <article>, by the standard library's parser: every start or end of a block ends one."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.done, self.run, self.blocks = False, False, "", []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        if text := " ".join(self.run.split()):
+            self.blocks.append(text)
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "h2", "div", "article", "ul", "li", "footer", "aside", "section"):
+            self.end()
+        self.run += "\n" * (tag == "br")
+        self.inside |= tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "div", "article", "ul", "li", "footer", "aside", "section"):
+            self.end()
+        if tag == "article":
+            self.inside, self.done = False, True
+
+    def handle_data(self, data):
+        if self.inside and not self.done:
+            self.run += data
+
+
 def test_pages_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in html.extract_pages(table).collect()}
     for r in table.collect():
-        article = re.search(r"<article>(.*?)(?:</article>|$)", r.html, re.DOTALL)[1]
-        want = "\n\n".join(t for _, t in html.parse(article)[1])
+        want = "\n\n".join(Article(r.html).blocks)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
+PROSE = [
+    "The harbour was quiet when the first boats came in, and nobody on the quay said a word about the storm.",
+    "Prices had risen for a third year; still, most of the traders we asked expected a calmer season ahead.",
+    "She closed the ledger, thanked the clerk, and walked back along the river to the small house by the bridge.",
+    "Engineers measured the wall twice. It had moved by four millimetres, less than the model had predicted.",
+    "What remains is a question of patience: the seeds need two winters, and the gardeners only have one.",
+]
+#: Pages by hand, as (html, blocks of main text); {0}.. stand for prose.
+BY_HAND = {
+    "table layout": ("<html><body><table><tr><td><a href=/1>One</a><br><a href=/2>Two</a><br><a href=/3>Three</a></td><td><h1>Harbour news</h1><p>{0}</p><p>{1}</p></td></tr></table></body></html>", ["Harbour news", 0, 1]),
+    "header inside the article": ("<html><head><title>x</title></head><body><article><header><h1>Harbour news</h1></header><p>{0}</p><p>{2}</p></article><footer><p>&copy; 2020 Somebody</p></footer></body></html>", ["Harbour news", 0, 2]),
+    "no classes": ("<html><body><div><ul><li><a href=/a>Start</a></li><li><a href=/b>Contact</a></li><li><a href=/c>About</a></li></ul></div><div><h1>Harbour news</h1><p>{0}</p><p>{1}</p><p>{3}</p></div></body></html>", ["Harbour news", 0, 1, 3]),
+    "foreign classes": ('<html><body><div class="seitenleiste"><ul><li><a href=/a>Anfang</a></li><li><a href=/b>Kontakt</a></li></ul></div><div class="inhalt"><h1>Nachrichten</h1><p>{1}</p><p>{4}</p><p>{2}</p></div></body></html>', ["Nachrichten", 1, 4, 2]),
+    "article and aside": ("<body><nav><a href=/>Home</a> <a href=/n>News</a></nav><main><article><h1>Walls</h1><p>{3}</p><p>{4}</p></article><aside><h3>Related</h3><ul><li><a href=/q>Bridges</a></li><li><a href=/r>Roads</a></li></ul></aside></main>", ["Walls", 3, 4]),
+    "comments": ('<body><div id="content"><h1>Seeds</h1><p>{4}</p><p>{0}</p><p>{2}</p></div><div id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>Nice, thank you!</p></div><div class="comment"><b>Bo</b><p>I do not agree with a word of it.</p></div></div></body>', ["Seeds", 4, 0, 2]),
+    "open head, formula": ("<html><head><title>t</title><p>{0}</p><p>{1} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>", [0, PROSE[1] + " x=1"]),
+    "cookie notice and advert": ('<body><div class="cookie-banner"><p>We use cookies to make this site better for you.</p><button>OK</button></div><article><h1>Trade</h1><p>{1}</p><div class="ad">Buy two, pay one!</div><p>{2}</p></article></body>', ["Trade", 1, 2]),
+}
+
+
+@pytest.mark.parametrize("name", BY_HAND)
+def test_pages_by_hand(name):
+    """Pages that no generator of this repository made."""
+    page, blocks = BY_HAND[name]
+    want = [b if isinstance(b, str) else PROSE[b] for b in blocks]
+    assert html.extract([page.format(*PROSE)], html.model())[0].split("\n\n") == want
+
+
+def test_deep_pages_in_linear_time():
+    import time
+
+    for part in ("<div>", "<p><button><div>", "<li>", "<table><tr><td>", "<b><i>"):
+        began = time.process_time()
+        nodes, _ = html.parse(part * 100_000 + "deep")
+        assert time.process_time() - began < 12, part
+    assert len(html.features(html.parse("<div>" * 100_000)[0])) == 100_001
+
+
 def test_odd_pages(spark):
-    odd = [None, "", "<", "<p", "plain text", "<p>a &amp b &#x41; &nbsp; c", "<script>x", "<div>" * 2000 + "deep", "<!-- <p>no</p> --><p>yes", "<table><tr><td>1<td>2</table>", "</p></div></b>", '<p class="a>b">q</p>', "<p>" + "long text. " * 50_000]
+    odd = [None, "", "<", "<p", "plain text", "<p>a &amp b &#x41; &nbsp; c", "<script>x", "<div>" * 2000 + "deep", "<!-- <p>no</p> --><p>yes", "<table><tr><td>1<td>2</table>", "</p></div></b>", '<p class="a>b">q</p>', "<p>" + "long text. " * 50_000, "<p>same</p>", "<p>same</p>", "<div>" * 30_000 + "x"]
     rows = spark.createDataFrame([(i, None, h, "clash") for i, h in enumerate(odd)] + [(None, "u", "<p>x</p>", None)], "page_id long, url string, html string, text string")
     got = html.extract_pages(rows).collect()
     assert len(got) == len(odd) + 1 and all(r.n_chars == len(r.text) for r in got)
-    assert not got[0].text and html.parse("<p>a &amp b &#x41; &nbsp; c")[1] == [(1, "a & b A c")]
+    by_id = {r.page_id: r.text for r in got}
+    assert by_id[len(odd) - 3] == by_id[len(odd) - 2] and not by_id[0] and html.parse("<p>a &amp b &#x41; &nbsp; c")[1] == [(1, "a & b A c")]
     assert html.extract_pages(rows.limit(0)).count() == 0
 
 
