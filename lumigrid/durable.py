@@ -16,9 +16,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is set."""
+    """The folder that driver and executors share. Where none is set: a fresh local one if all runs on one machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -69,16 +69,17 @@ def colorize(p: Plan, lightness: float = 50.0, a: float = 10.0, b: float = 20.0,
     return p.let(c0=f"{num(lightness - mix * 50)} + c0 * {num(mix)}", c1=num(a), c2=num(b))
 
 
-def vibrance(p: Plan, amount: float = 0.5) -> Plan:
-    p = p.let(sw=f"sqrt(c1 * c1 + c2 * c2) / 256 * {num(amount)}")
+def vibrance(p: Plan, amount: float = 25.0) -> Plan:
+    """Chroma by its own size, lightness down a little; amount in percent."""
+    p = p.let(sw=f"sqrt(c1 * c1 + c2 * c2) / 256 * {num(amount / 100)}")
     return p.let(c0="c0 * (1 - 0.25 * sw)", c1="c1 * (1 + sw)", c2="c2 * (1 + sw)")
 
 
-def velvia(p: Plan, strength: float = 0.25, bias: float = 1.0) -> Plan:
-    """More saturation where there is little."""
+def velvia(p: Plan, strength: float = 25.0, bias: float = 1.0) -> Plan:
+    """More saturation where there is little; strength in percent."""
     p = p.let(mx="greatest(c0, c1, c2)", mn="least(c0, c1, c2)")
     p = p.let(lum="(mx + mn) / 2", sat=f"CASE WHEN mx + mn <= 1 THEN (mx - mn) / (1e-5 + mx + mn) ELSE (mx - mn) / (1e-5 + greatest({num(0.0)}, 2 - mx - mn)) END")
-    p = p.let(w=f"{num(strength)} * " + clamp(f"(1 - 1.5 * sat + (1 + abs(lum - 0.5) * 2) * {num(1 - bias)}) / {num(2 - bias)}"))
+    p = p.let(w=f"{num(strength / 100)} * " + clamp(f"(1 - 1.5 * sat + (1 + abs(lum - 0.5) * 2) * {num(1 - bias)}) / {num(2 - bias)}"))
     return p.let(**{c: clamp(f"{c} + w * ({c} - 0.5 * ({C[(i + 1) % 3]} + {C[(i + 2) % 3]}))") for i, c in enumerate(C)})
 
 
@@ -148,8 +149,8 @@ def graduatednd(p: Plan, width: int = 100, height: int = 80, density: float = 1.
     radius = math.hypot(hh, hw) / hh
     hard = 0.5 / radius / (1 - (0.5 + hardness / 100 * 0.9 / 2))
     length = f"({num(math.sin(v))} * (x / {num(hw)} - 1) - {num(math.cos(v))} * (y / {num(hh)} - 1) - 1 + {num(offset / 50)}) * {num(hard)}"
-    p = p.let(g=f"power({num(2.0)}, {num(abs(density))} * {clamp(f'0.5 + {length}')})")
-    sign = "/" if density > 0 else "*"
+    sign, way = ("/", "+") if density > 0 else ("*", "-")
+    p = p.let(g=f"power({num(2.0)}, {num(abs(density))} * {clamp(f'0.5 {way} {length}')})")
     return p.let(**{c: f"greatest({num(0.0)}, {c} {sign} ({num(t)} + {num(1 - t)} * g))" for c, t in zip(C, tint, strict=True)})
 
 

@@ -16,7 +16,7 @@ from ..functions.ranks import global_rank
 from .catalog import COLORS, HDR, LDR, LOCAL_COPY, MODULE_ORDERS, RAW, REJECTED, REMOVED, Catalog, bits, rating
 from .logic import All, Any, Member, Not, Test, keep, negated
 
-MOST_RULES = MOST_SORTS = 10
+MOST_RULES = 10
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class Sort:
 
 @dataclass(frozen=True)
 class Collection:
-    """Rules and filters (each at most MOST_RULES), an order, grouping and paging."""
+    """Rules, filters and sorts (at most MOST_RULES of each, more raise), an order, grouping and paging."""
 
     rules: tuple[Rule, ...] = ()
     filters: tuple[Rule, ...] = ()
@@ -49,6 +49,10 @@ class Collection:
     tags_insensitive: bool = True
     strict_compat: bool = False  # also reproduce that "<>" on dates never holds
 
+    def __post_init__(self):
+        if max(map(len, (self.rules, self.filters, self.sorts))) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules, filters or sorts")
+
     def without(self, number: int) -> Collection:
         """For the facets of rule ``number``: all other rules, unless the rule is joined by OR."""
         if self.rules[number].mode == "OR":
@@ -60,7 +64,7 @@ class Collection:
         df = catalog["images"].where(bits("flags", REMOVED) == 0)
         if self.film_id is not None:
             df = df.where(F.col("film_id") == self.film_id)
-        parts = [p for rules in (self.rules, self.filters) if (p := combine(rules[:MOST_RULES], catalog, self)) is not None]
+        parts = [p for rules in (self.rules, self.filters) if (p := combine(rules, catalog, self)) is not None]
         df = keep(df, All(tuple(parts))) if parts else df
         return representatives(df, self.expanded_group) if self.grouped else df
 
@@ -101,7 +105,7 @@ def combine(rules, catalog: Catalog, spec: Collection):
     for r in rules:
         if r.off:
             continue
-        if not r.text.strip() and r.property not in ("filmroll", "color", "textsearch"):
+        if not r.text:
             if r.mode == "OR":
                 alternatives.append([Test(F.lit(True))])
             continue
@@ -241,8 +245,8 @@ def _rating(text: str):
     low = int(found.low)
     if found.operator == "[]":
         high = int(found.high)
-        if low == -1:
-            return Test(stars <= high) if high >= 0 else Test(rejected)
+        if low == -1:  # rejected ones too, whatever their stars
+            return Test(stars.between(low, high))
         return Test(stars.between(low, high) & ~rejected)
     if found.operator in ("<", "<="):
         return Test((stars < low if found.operator == "<" else stars <= low) | rejected)
@@ -396,7 +400,7 @@ def ordering(df: DataFrame, sorts, catalog: Catalog, seed: int = 0) -> tuple[Dat
     """The frame with what its order needs, and the order: the sorts, then file name (if not among them) and version."""
     keys: list[Column] = []
     way = lambda c, down: c.desc_nulls_last() if down else c.asc_nulls_first()
-    for s in sorts[:MOST_SORTS]:
+    for s in sorts:
         if s.key == "rating":
             keys.append(way(rating(), s.descending))
         elif s.key == "datetime":

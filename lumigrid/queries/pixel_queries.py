@@ -1,7 +1,6 @@
 """Queries for pixel operators, colour spaces, blends and masks.
 
-Line items play pixels. A plan's expressions run in Spark as a frame and in the oracle as SQL;
-unit tests hold them against numpy and known values besides.
+Line items play pixels. The SQL comes from ``pixel_sql``, written apart from the plans.
 """
 
 from __future__ import annotations
@@ -9,6 +8,7 @@ from __future__ import annotations
 from ..functions import color
 from ..operators import blend, pixels
 from ..plans.layers import Plan
+from . import pixel_sql
 
 # x, y in a 100 x 80 frame, and three channels in the space's usual range
 PIXELS = {
@@ -16,59 +16,64 @@ PIXELS = {
     "LAB": "CAST(l_quantity * 1.937 + 0.3 AS DOUBLE) AS c0, CAST((l_discount - 0.047) * 1003.1 AS DOUBLE) AS c1, CAST((l_tax - 0.039) * 907.7 AS DOUBLE) AS c2",
 }
 PIXELS["RAW"] = PIXELS["RGB"]
-_KEYS = "l_orderkey, l_linenumber, l_partkey"
-_HEAD = f"{_KEYS}, CAST(l_orderkey % 100 AS DOUBLE) AS x, CAST(l_partkey % 80 AS DOUBLE) AS y"
-_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "x", "y", "c0", "c1", "c2"]
-_NAMES = ["l_orderkey", "l_linenumber", "l_partkey"]
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
+_PLACE = ["CAST(l_orderkey % 100 AS DOUBLE) AS x", "CAST(l_partkey % 80 AS DOUBLE) AS y"]
+_ROUNDED = ("c0", "c1", "c2", "m", "d", "delta_e")
+#: What blends read: below a0-a2, above b0-b2, the mask m.
+_ABOVE = [f"CAST({e} AS DOUBLE) AS {n}" for n, e in (("a0", "l_discount * 9.7 + 0.013"), ("a1", "l_tax * 11.3 + 0.021"), ("a2", "l_quantity / 51.3"), ("b0", "CAST(l_partkey % 97 AS DOUBLE) * 0.01023"), ("b1", "CAST(l_orderkey % 89 AS DOUBLE) * 0.01107"), ("b2", "CAST(l_suppkey % 10 AS DOUBLE) * 0.0937 + 0.017"), ("m", "CAST(l_linenumber % 5 AS DOUBLE) * 0.23317394 + 0.01131797"))]
 
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def _out(columns) -> list[str]:
-    return [*_NAMES, *(f"round({c}, 6) + 0.0 AS {c}" if c in ("c0", "c1", "c2", "m", "d", "delta_e") else c for c in columns)]
-
-
-def _add(name: str, plan: Plan, space: str, columns=("c0", "c1", "c2"), extra: str = "") -> None:
-    more = [e.rsplit(" AS ", 1)[1] for e in extra.split("; ")] if extra else []
+def _add(name: str, plan: Plan, space: str, sql: str | None, columns=("c0", "c1", "c2"), extra=()) -> None:
+    """A query that runs a plan over the pixels; ``sql`` defines o0, o1, o2 (or what stands for ``columns``) on its own."""
 
     def run(spark, folder):
-        names = _HEAD.split(", CAST")[0]
-        df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(*names.split(", "), "CAST(l_orderkey % 100 AS DOUBLE) AS x", "CAST(l_partkey % 80 AS DOUBLE) AS y", *PIXELS[space].split(", "), *(extra.split("; ") if extra else []))
-        return plan.apply(df).selectExpr(*_out(columns))
+        df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(*_KEYS, *_PLACE, *PIXELS[space].split(", "), *extra)
+        return plan.apply(df).selectExpr(*_KEYS, *(f"round({c}, 6) + 0.0 AS {c}" if c in _ROUNDED else c for c in columns))
 
     QUERIES[name] = run
-    inner = f"(SELECT {_HEAD}, {PIXELS[space]}{', ' + ', '.join(extra.split('; ')) if extra else ''} FROM lineitem)"
-    ORACLE_SQL[name] = f"SELECT {', '.join(_out(columns))} FROM {plan.sql(inner, [*_COLUMNS, *more])}"
-
-
+    if sql is None:
+        return
+    channels = PIXELS[space].replace("AS c0", "AS l" if space == "LAB" else "AS r").replace("AS c1", "AS a" if space == "LAB" else "AS g").replace("AS c2", "AS b")
+    source = f"(SELECT {', '.join([*_KEYS, *_PLACE, channels, *extra])} FROM lineitem)"
+    theirs = {"c0": "o0", "c1": "o1", "c2": "o2", "m": "m_", "d": "m_"}
+    out = [f"round({theirs.get(c, c)}, 6) + 0.0 AS {c}" if c in _ROUNDED else c for c in columns]
+    ORACLE_SQL[name] = pixel_sql.select(sql, source, _KEYS, out)
+
+
+#: Parameters of the registered operators, where not their defaults.
+PARAMETERS = {
+    "exposure": {"black": 0.002, "ev": 0.7}, "highlights_clip": {"clip": 0.9}, "velvia": {"strength": 40.0, "bias": 0.7}, "vibrance": {"amount": 50.0},
+    "levels": {"grey": 0.4}, "rawprepare": {"black": (0.01, 0.02, 0.03, 0.04), "white": 0.95},
+}
 for _n, _op in pixels.POINT_OPS.items():
     _columns = ("c0", "c1", "c2", "mark") if "overexposed" in _n else ("c0", "c1", "c2")
-    _add(f"pixel_{_n}", _op.make(Plan()), _op.space, _columns)
+    _add(f"pixel_{_n}", _op.make(Plan(), **PARAMETERS.get(_n, {})), _op.space, pixel_sql.POINT.get(_n), _columns)
+_add("pixel_graduatednd_light", pixels.graduatednd(Plan(), density=-0.8, hardness=60.0, rotation=70.0, offset=40.0, tint=(0.2, 0.1, 0.0)), "RGB", pixel_sql.POINT["graduatednd_light"])
 for _n, _make in color.SPACES.items():
-    _add(f"color_{_n}", _make(), "LAB" if _n.startswith(("lab", "to_polar", "from_polar")) else "RGB")
-_add("color_delta_e", color.delta_e_76(Plan(), ("50", "10", "-5")), "LAB", ("delta_e",))
+    _add(f"color_{_n}", _make(), "LAB" if _n.startswith(("lab", "to_polar", "from_polar")) else "RGB", pixel_sql.COLOR.get(_n))
+_add("color_delta_e", color.delta_e_76(Plan(), ("50", "10", "-5")), "LAB", pixel_sql.DELTA_E, ("delta_e",))
 
-_ABOVE = "; ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in (("a0", "l_discount * 9.7 + 0.013"), ("a1", "l_tax * 11.3 + 0.021"), ("a2", "l_quantity / 51.3"), ("b0", "CAST(l_partkey % 97 AS DOUBLE) * 0.01023"), ("b1", "CAST(l_orderkey % 89 AS DOUBLE) * 0.01107"), ("b2", "CAST(l_suppkey % 10 AS DOUBLE) * 0.0937 + 0.017"), ("m", "CAST(l_linenumber % 5 AS DOUBLE) * 0.23317394 + 0.01131797")))
 for _mode in (*blend.SCENE, "red", "green", "blue"):
-    _add(f"blend_scene_{_mode}", blend.scene(Plan(), _mode, 0.3), "RGB", extra=_ABOVE)
-_add("blend_scene_reverse", blend.scene(Plan(), "divide", 0.3, reverse=True), "RGB", extra=_ABOVE)
+    _add(f"blend_scene_{_mode}", blend.scene(Plan(), _mode, 0.3), "RGB", pixel_sql.SCENE[_mode], extra=_ABOVE)
+_add("blend_scene_reverse", blend.scene(Plan(), "divide", 0.3, reverse=True), "RGB", pixel_sql.SCENE["reverse"], extra=_ABOVE)
 for _mode in (*blend.DISPLAY, *blend.HSL_MODES):
-    _add(f"blend_display_{_mode}", blend.display(Plan(), _mode), "RGB", extra=_ABOVE)
+    _add(f"blend_display_{_mode}", blend.display(Plan(), _mode), "RGB", pixel_sql.DISPLAY[_mode], extra=_ABOVE)
 for _mode in blend.LAB_MODES:
-    _add(f"blend_{_mode}", blend.lab(Plan(), _mode), "LAB", extra=_ABOVE)
-_add("blend_raw_screen", blend.display(Plan(), "screen", bounded=False), "RAW", ("c0",), extra=_ABOVE)
-_add("mask_circle", blend.circle(50, 40, 20, 10), "RGB", ("m",))
-_add("mask_ellipse", blend.ellipse(50, 40, 30, 15, 25, 0.4), "RGB", ("m",))
-_add("mask_gradient", blend.gradient(50, 40, 30, 12), "RGB", ("m",))
-_add("mask_parametric", blend.parametric(Plan(), {"c0": (0.1, 0.3, 0.6, 0.9), "c2": (0.0, 0.2, 0.5, 0.7)}, frozenset(["c2"])), "RGB", ("m",))
+    _add(f"blend_{_mode}", blend.lab(Plan(), _mode), "LAB", pixel_sql.LAB[_mode], extra=_ABOVE)
+_add("blend_raw_screen", blend.display(Plan(), "screen", bounded=False), "RAW", pixel_sql.RAW["screen"], ("c0",), extra=_ABOVE)
+_add("mask_circle", blend.circle(50, 40, 20, 10), "RGB", pixel_sql.MASK["circle"], ("m",))
+_add("mask_ellipse", blend.ellipse(50, 40, 30, 15, 25, 0.4), "RGB", pixel_sql.MASK["ellipse"], ("m",))
+_add("mask_gradient", blend.gradient(50, 40, 30, 12), "RGB", pixel_sql.MASK["gradient"], ("m",))
+_add("mask_parametric", blend.parametric(Plan(), {"c0": (0.1, 0.3, 0.6, 0.9), "c2": (0.0, 0.2, 0.5, 0.7)}, frozenset(["c2"])), "RGB", pixel_sql.MASK["parametric"], ("m",))
 for _how in blend.COMBINE:
     _both = blend.circle(50, 40, 20, 10, "m1").then(blend.gradient(50, 40, 30, 12, "d"))
-    _add(f"mask_{_how}", blend.combine(_both, _how, "m1", 0.8, _how == "difference"), "RGB", ("d",))
+    _add(f"mask_{_how}", blend.combine(_both, _how, "m1", 0.8, _how == "difference"), "RGB", pixel_sql.MASK[_how], ("d",))
 
-ORACLE_SQL.pop("pixel_grain")  # engines differ in the far digits of its sines, which noise magnifies; numpy serves in the tests
 #: A chain as an edit would have it: exposure, mix, saturation and the display's curve, masked and blended.
-_CHAIN = color.linear_to_srgb(pixels.sigmoid(pixels.velvia(pixels.channelmixer(pixels.exposure(Plan(), 0.001, 0.5)), 0.4, 0.7)))
-_add("pixel_chain", _CHAIN, "RGB")
+_CHAIN = color.linear_to_srgb(pixels.sigmoid(pixels.velvia(pixels.channelmixer(pixels.exposure(Plan(), 0.001, 0.5)), 40.0, 0.7)))
+_add("pixel_chain", _CHAIN, "RGB", pixel_sql.CHAIN)
 
 
 def histogram_rgb(spark, folder):

@@ -46,7 +46,7 @@ PREDICATES: dict[str, tuple[tuple, tuple, str]] = {
     "aspect_range": ((("aspect_ratio", "[1.1;1.6]"),), (), "aspect_ratio BETWEEN 1.1 AND 1.6"),
     "camera": ((("camera", "orion m1"),), ("cameras",), _in("SELECT id FROM cameras WHERE concat_ws(' ', maker, model) ILIKE '%orion m1%'", "camera_id")),
     "camera_unnamed": ((("camera", 'unnamed,"Nova'),), ("cameras",), "(" + _in("SELECT id FROM cameras WHERE trim(concat_ws(' ', maker, model)) = '' OR concat_ws(' ', maker, model) ILIKE 'Nova%'", "camera_id") + " OR camera_id IS NULL)"),
-    "tag_exact": ((("tag", "brand#5|10|t1"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name ILIKE 'brand#5|10|t1'")),
+    "tag_exact": ((("tag", "places|city4"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name ILIKE 'places|city4'")),
     "tag_tree": ((("tag", "Brand#12*"),), ("tags", "tagged_images"), _in(_TAGGED + "(t.name ILIKE 'brand#12' OR t.name ILIKE 'brand#12|%')")),
     "tag_not_tagged": ((("tag", "not tagged"),), ("tags", "tagged_images"), _in(_TAGGED + "t.name NOT LIKE 'internal|%'", no=True)),
     "lens": ((("lens", 'prime 35,"n/a"'),), ("lens",), _in(_LENS + "name ILIKE '%prime 35%' OR name = 'n/a'", "lens_id")),
@@ -76,12 +76,16 @@ PREDICATES: dict[str, tuple[tuple, tuple, str]] = {
     "text_search": ((("textsearch", "syn3"),), ("tags", "tagged_images", "meta_data", "cameras", "film_rolls"), _in("SELECT imgid FROM meta_data WHERE value ILIKE '%syn3%' UNION " + _TAGGED + "t.name ILIKE '%syn3%' OR t.synonyms ILIKE '%syn3%' UNION SELECT i.id FROM images i JOIN cameras c ON c.id = i.camera_id WHERE i.filename ILIKE '%syn3%' OR c.maker ILIKE '%syn3%' OR c.model ILIKE '%syn3%' UNION SELECT i.id FROM images i JOIN film_rolls f ON f.id = i.film_id WHERE folder ILIKE '%syn3%'")),
     "rating_range": ((("rating", "[1;3]"),), (), f"{_STARS} BETWEEN 1 AND 3 AND NOT ({_REJECTED})"),
     "rating_range_rejected": ((("rating", "[-1;2]"),), (), f"{_STARS} <= 2"),
+    "rating_range_of_rejected": ((("rating", "[-1;-1]"), ("iso", "400", "OR")), (), f"({_STARS} >= -1 AND {_STARS} <= -1 OR iso = 400)"),
     "rating_rejected": ((("rating", "-1"),), (), _REJECTED),
     "rating_below": ((("rating", "<3"),), (), f"({_STARS} < 3 OR {_REJECTED})"),
     "rating_above": ((("rating", ">=4"),), (), f"{_STARS} >= 4 AND NOT ({_REJECTED})"),
     "metadata": ((("metadata:0", "high"),), ("meta_data",), _in("SELECT imgid FROM meta_data WHERE key = 0 AND value ILIKE '%high%'")),
     "metadata_not_defined": ((("metadata:2", "not defined"),), ("meta_data",), _in("SELECT imgid FROM meta_data WHERE key = 2", no=True)),
     "rules_and_or": ((("rating", ">=4"), ("color", "red", "OR"), ("iso", "400", "AND")), ("color_labels",), f"({_STARS} >= 4 AND NOT ({_REJECTED}) OR " + _in("SELECT imgid FROM color_labels WHERE color = 0") + " AND iso = 400)"),
+    "rules_empty": ((("rating", ">=4"), ("color", ""), ("filmroll", "", "AND NOT"), ("textsearch", "")), (), f"{_STARS} >= 4 AND NOT ({_REJECTED})"),
+    "rules_empty_or": ((("rating", ">=4"), ("color", "", "OR")), (), f"({_STARS} >= 4 AND NOT ({_REJECTED}) OR 1 = 1)"),
+    "rules_first_not": ((("iso", ">=400", "AND NOT"), ("rating", ">=1")), (), f"1 = 1 AND NOT (iso >= 400) AND {_STARS} >= 1 AND NOT ({_REJECTED})"),
     "rules_and_not": ((("iso", "<1000"), ("tag", "Brand#1%", "AND NOT"), ("flash", "fired", "AND NOT")), ("tags", "tagged_images", "flash"), "iso < 1000 AND NOT " + _in(_TAGGED + "t.name ILIKE 'brand#1%'") + " AND NOT " + _in("SELECT id FROM flash WHERE name ILIKE '%fired%'", "flash_id")),
 }
 
@@ -139,6 +143,8 @@ _SORTS = {
     "datetime": ("", "datetime_taken ASC NULLS FIRST, filename", "datetime_taken DESC NULLS LAST, filename DESC"),
     "import_timestamp": ("", "import_timestamp ASC NULLS FIRST, filename", "import_timestamp DESC NULLS LAST, filename DESC"),
     "change_timestamp": ("", "change_timestamp ASC NULLS FIRST, filename", "change_timestamp DESC NULLS LAST, filename DESC"),
+    "export_timestamp": ("", "export_timestamp ASC NULLS FIRST, filename", "export_timestamp DESC NULLS LAST, filename DESC"),
+    "print_timestamp": ("", "print_timestamp ASC NULLS FIRST, filename", "print_timestamp DESC NULLS LAST, filename DESC"),
     "rating": ("", "CASE WHEN (flags & 8) <> 0 THEN -1 ELSE flags & 7 END, filename", "CASE WHEN (flags & 8) <> 0 THEN -1 ELSE flags & 7 END DESC, filename DESC"),
     "id": ("", "id, filename", "id DESC, filename DESC"),
     "color": ("LEFT JOIN (SELECT imgid, max(color) AS c FROM color_labels GROUP BY imgid) l ON l.imgid = id", "c DESC NULLS LAST, filename", "c ASC NULLS FIRST, filename DESC"),
@@ -175,3 +181,28 @@ for _key, (_join, _up, _down) in _SORTS.items():
         _n = f"order_{_key}{'_desc' * _turned}"
         QUERIES[_n] = _order_query(_key, _turned)
         ORACLE_SQL[_n] = oracle("images", *([t for t in ("color_labels", "film_rolls", "meta_data") if t in _join])) + f"SELECT id, row_number() OVER (ORDER BY {_down if _turned else _up}, version, id) AS place FROM images {_join} WHERE (flags & 256) = 0"
+
+#: Several keys in one order: (sorts, joins, order in SQL).
+_MULTI = {
+    "rating_datetime": ((Sort("rating", True), Sort("datetime")), "", "CASE WHEN (flags & 8) <> 0 THEN -1 ELSE flags & 7 END DESC, datetime_taken ASC NULLS FIRST, filename DESC"),
+    "color_aspect_id": ((Sort("color"), Sort("aspect_ratio", True), Sort("id", True)), _SORTS["color"][0], "c DESC NULLS LAST, aspect_ratio DESC, id DESC, filename"),
+    "title_filename_group": ((Sort("title"), Sort("filename", True), Sort("group")), _SORTS["title"][0], "v ASC NULLS FIRST, filename DESC, group_id, CASE WHEN id <> group_id THEN 1 ELSE 0 END, id"),
+}
+
+
+def _multi_query(sorts):
+    def run(spark, folder):
+        return Collection(sorts=sorts).ranked(catalog(spark, folder)).select("id", "place")
+
+    return run
+
+
+def order_shuffle(spark, folder):
+    """A random order that the seed fixes; no SQL, since it rests on Spark's hash."""
+    return Collection(sorts=(Sort("shuffle"),), seed=3).ranked(catalog(spark, folder)).select("id", "place")
+
+
+QUERIES["order_shuffle"] = order_shuffle
+for _key, (_sorts, _join, _order) in _MULTI.items():
+    QUERIES[f"order_{_key}"] = _multi_query(_sorts)
+    ORACLE_SQL[f"order_{_key}"] = oracle("images", *([t for t in ("color_labels", "meta_data") if t in _join])) + f"SELECT id, row_number() OVER (ORDER BY {_order}, version, id) AS place FROM images {_join} WHERE (flags & 256) = 0"
