@@ -80,9 +80,10 @@ class Engine:
 
         if extension not in files.WRITERS:
             self._fail(EXPORT, f"no encoder for {extension}")
-        rows = color.linear_to_srgb(Plan()).apply(self.render(image, pipe, scale)).orderBy("y", "x").toPandas()  # one image
+        out = self.render(image, pipe, scale)
+        rows = (out if pipe.coded() else color.linear_to_srgb(Plan()).apply(out)).toPandas()  # one image
         a = np.zeros((rows.y.max() + 1, rows.x.max() + 1, 3))
-        a[rows.y, rows.x] = rows[["c0", "c1", "c2"]].to_numpy()
+        a[rows.y, rows.x] = rows[["c0", "c1", "c2"]].to_numpy() / (255 if pipe.is_enabled("gamma") else 1)
         options = {"bits": bits} if extension in ("png", "ppm", "pnm", "tif", "tiff") else {}
         return files.WRITERS[extension](np.clip(a, 0, 1), **options)
 
@@ -111,7 +112,7 @@ class Engine:
         return sidecars.write_xmp([{"operation": s.name, "enabled": s.enabled, "multi_priority": s.instance} for s in pipe.stages if s.enabled])
 
     def modules(self) -> list[str]:
-        return sorted({*pixels.POINT_OPS, *kernels.KERNELS, *kernels.WHOLE})
+        return sorted({*pixels.POINT_OPS, *kernels.KERNELS, *kernels.WARPS, *kernels.WHOLE})
 
     def register_point(self, name: str, make: Callable[..., Plan], space: str = "RGB") -> None:
         """A new pointwise operator, used like the built-in ones."""

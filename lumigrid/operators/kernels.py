@@ -218,13 +218,19 @@ def censorize(a, sigma: float = 1.0, block: int = 4, radius: int = 3):
     return b[np.arange(a.shape[0]) // block * block][:, np.arange(a.shape[1]) // block * block]
 
 
-def green_equilibrate(a):
-    """Local: greens of blue rows move towards the mean of their diagonal neighbours' ratio (RGGB)."""
-    p = pad(a, 1)
+def green_equilibrate(a, threshold: float = 0.01):
+    """Local average (RGGB): greens of blue rows are scaled by the ratio of the four diagonal greens' mean to their own four's, where both fours are even. The outer two pixels stay."""
     h, w = a.shape[:2]
-    diagonal = (p[:h, :w] + p[:h, 2:] + p[2:, :w] + p[2:, 2:]) / 4
-    y, x = np.indices(a.shape[:2])
-    return np.where((y % 2 == 1) & (x % 2 == 0) & (a < 0.95), np.clip((a + diagonal) / 2, 0, None), a)
+    p = np.pad(a, 2, constant_values=np.nan)  # no comparison holds beyond the image
+    at = lambda dy, dx: p[2 + dy : 2 + dy + h, 2 + dx : 2 + dx + w]
+    other = np.stack([at(-1, -1), at(-1, 1), at(1, -1), at(1, 1)])
+    same = np.stack([at(-2, 0), at(2, 0), at(0, -2), at(0, 2)])
+    uneven = lambda v: sum(np.abs(v[i] - v[j]) for i in range(4) for j in range(i)) / 6
+    m1, m2 = other.mean(axis=0), same.mean(axis=0)
+    y, x = np.indices((h, w))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        even = (m1 > 0) & (m2 > 0) & (m1 / m2 < 2) & (a < 0.95) & (uneven(other) < threshold) & (uneven(same) < threshold)
+        return np.where((y % 2 == 1) & (x % 2 == 0) & even, np.maximum(a * m1 / m2, 0), a)
 
 
 def demosaic(a):
@@ -248,10 +254,6 @@ def demosaic(a):
     return np.maximum(np.stack(out, axis=-1)[4 : 4 + h, 4 : 4 + w], 0)
 
 
-def demosaic_plane(a, plane: int = 1):
-    return demosaic(a)[..., plane]
-
-
 def pad_mosaic(a: np.ndarray, r: int) -> np.ndarray:
     """Reflection keeps every place's colour."""
     return np.pad(a, r, mode="reflect")
@@ -321,44 +323,92 @@ def sample(a, y, x, method: str = "bilinear"):
     return out / np.where(total == 0, 1, total)[more]
 
 
-def resample(a, scale: float = 0.5, method: str = "lanczos3"):
-    h, w = max(1, math.floor(a.shape[0] * scale)), max(1, math.floor(a.shape[1] * scale))
-    if scale < 1:
-        a = gaussian(a, 0.5 / scale, math.ceil(1.5 / scale))
-    y, x = np.meshgrid((np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5, indexing="ij")
-    return sample(a, y, x, method)
+@dataclass(frozen=True)
+class Warp:
+    """An operator that reads each output place from another one: ``source`` says which, ``size`` how large the output is.
+
+    ``before`` filters the input and looks ``margin`` pixels around; ``after`` sees the output and its places.
+    ``reach`` is that of the sampling filter. Parameters go to all of them.
+    """
+
+    name: str
+    source: Callable
+    size: Callable = lambda h, w, **_: (h, w)
+    before: Callable = lambda a, **_: a
+    margin: Callable = lambda **_: 0
+    after: Callable = lambda out, y, x, h, w, **_: out
+    method: Callable = lambda method="bilinear", **_: method
+    reach: int = 3
+
+    def __call__(self, a: np.ndarray, **params) -> np.ndarray:
+        """On a whole image."""
+        h, w = a.shape[:2]
+        y, x = np.indices(self.size(h, w, **params)).astype(float)
+        out = sample(self.before(a, **params), *self.source(y, x, h, w, **params), self.method(**params))
+        return self.after(out, y, x, h, w, **params)
+
+
+def _scaled(h, w, scale=0.5, **_):
+    return max(1, math.floor(h * scale)), max(1, math.floor(w * scale))
+
+
+resample = Warp(
+    "resample",
+    lambda y, x, h, w, scale=0.5, **_: ((y + 0.5) / scale - 0.5, (x + 0.5) / scale - 0.5),
+    _scaled,
+    lambda a, scale=0.5, **_: gaussian(a, 0.5 / scale, math.ceil(1.5 / scale)) if scale < 1 else a,
+    lambda scale=0.5, **_: math.ceil(1.5 / scale) if scale < 1 else 0,
+    method=lambda method="lanczos3", **_: method,
+)
 
 
-def homography(a, matrix, method: str = "bilinear"):
+def _homography(y, x, h, w, matrix=((1, 0, 0), (0, 1, 0), (0, 0, 1)), **_):
     """Each output place (x, y, 1) reads from matrix times it."""
-    y, x = np.indices(a.shape[:2]).astype(float)
     m = np.asarray(matrix, float)
     z = m[2, 0] * x + m[2, 1] * y + m[2, 2]
-    return sample(a, (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z, method)
+    return (m[1, 0] * x + m[1, 1] * y + m[1, 2]) / z, (m[0, 0] * x + m[0, 1] * y + m[0, 2]) / z
 
 
-def rotate(a, degrees: float = 10.0, method: str = "bilinear"):
+def _turned(y, x, h, w, degrees=10.0, **_):
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    cy, cx = (a.shape[0] - 1) / 2, (a.shape[1] - 1) / 2
-    return homography(a, [[c, s, cx - c * cx - s * cy], [-s, c, cy + s * cx - c * cy], [0, 0, 1]], method)
+    cy, cx = (h - 1) / 2, (w - 1) / 2
+    return cy - s * (x - cx) + c * (y - cy), cx + c * (x - cx) + s * (y - cy)
 
 
-def lens(a, k1: float = 0.05, k2: float = 0.0, vignetting: float = 0.1):
-    """Radial distortion and falloff towards the corners."""
-    h, w = a.shape[:2]
-    y, x = np.indices((h, w)).astype(float)
+homography, rotate = Warp("homography", _homography), Warp("rotate", _turned)
+
+
+def _radius2(y, x, h, w):
     u, v = (x - (w - 1) / 2) / (w / 2), (y - (h - 1) / 2) / (w / 2)
-    r2 = u * u + v * v
+    return u, v, u * u + v * v
+
+
+def _distorted(y, x, h, w, k1=0.05, k2=0.0, **_):
+    u, v, r2 = _radius2(y, x, h, w)
     d = 1 + k1 * r2 + k2 * r2 * r2
-    out = sample(a, v * d * w / 2 + (h - 1) / 2, u * d * w / 2 + (w - 1) / 2)
-    return out * (1 + vignetting * r2)[(...,) + (None,) * (a.ndim - 2)]
+    return v * d * w / 2 + (h - 1) / 2, u * d * w / 2 + (w - 1) / 2
+
+
+#: Radial distortion and falloff towards the corners.
+lens = Warp("lens", _distorted, after=lambda out, y, x, h, w, vignetting=0.1, **_: out * (1 + vignetting * _radius2(y, x, h, w)[2])[(...,) + (None,) * (out.ndim - 2)])
 
 
-def liquify(a, cx: float = 16.0, cy: float = 12.0, radius: float = 8.0, dx: float = 3.0, dy: float = 0.0):
-    """Pull a neighbourhood along a vector, most at its centre."""
-    y, x = np.indices(a.shape[:2]).astype(float)
+def _pulled(y, x, h, w, cx=16.0, cy=12.0, radius=8.0, dx=3.0, dy=0.0, **_):
     t = np.clip(1 - ((x - cx) ** 2 + (y - cy) ** 2) / radius**2, 0, 1) ** 2
-    return sample(a, y - t * dy, x - t * dx)
+    return y - t * dy, x - t * dx
+
+
+#: Pull a neighbourhood along a vector, most at its centre.
+liquify = Warp("liquify", _pulled)
+
+
+def _spot(y, x, h, w, cx=16.0, cy=12.0, radius=8.0, dx=4.0, dy=0.0, **_):
+    inside = (x - cx) ** 2 + (y - cy) ** 2 <= radius**2
+    return np.where(inside, np.clip(y + dy, 0, h - 1), y), np.where(inside, np.clip(x + dx, 0, w - 1), x)
+
+
+#: A circle copied from elsewhere; its source lies off by (dx, dy).
+spot = Warp("spot", _spot)
 
 
 def clone(a, mask, dx: int = 4, dy: int = 0):
@@ -399,5 +449,6 @@ class Kernel:
     halo: int
 
 
-KERNELS = {k.name: k for k in (Kernel("gaussian", gaussian, 6), Kernel("box_mean", box_mean, 3), Kernel("box_min", box_min, 3), Kernel("box_max", box_max, 3), Kernel("median", median, 1), Kernel("sharpen", sharpen, 3), Kernel("bloom", bloom, 5), Kernel("highpass", highpass, 4), Kernel("lowpass", lowpass, 9), Kernel("soften", soften, 5), Kernel("shadhi", shadows_highlights, 12), Kernel("bilat", local_contrast, 12), Kernel("bilateral", bilateral, 3), Kernel("guided", guided, 6), Kernel("nlmeans", nlmeans, 4), Kernel("atrous", atrous, 14), Kernel("equalizer", atrous, 14), Kernel("rawdenoise", raw_denoise, 14), Kernel("denoiseprofile", profiled_denoise, 14), Kernel("defringe", defringe, 4), Kernel("hotpixels", hot_pixels, 2), Kernel("clahe", clahe, 6), Kernel("hazeremoval", haze_removal, 12), Kernel("scharr", scharr, 1), Kernel("detail_mask", detail_mask, 4), Kernel("diffuse", diffuse, 4), Kernel("toneequal", tone_equalizer, 8), Kernel("tonemap", tonemap_bilateral, 3), Kernel("censorize", censorize, 8), Kernel("green_equilibrate", green_equilibrate, 2), Kernel("demosaic_plane", demosaic_plane, 8))}
-WHOLE = {f.__name__: f for f in (resample, rotate, lens, liquify, floyd_steinberg, distance_transform)}
+KERNELS = {k.name: k for k in (Kernel("gaussian", gaussian, 6), Kernel("box_mean", box_mean, 3), Kernel("box_min", box_min, 3), Kernel("box_max", box_max, 3), Kernel("median", median, 1), Kernel("sharpen", sharpen, 3), Kernel("bloom", bloom, 5), Kernel("highpass", highpass, 4), Kernel("lowpass", lowpass, 9), Kernel("soften", soften, 5), Kernel("shadhi", shadows_highlights, 12), Kernel("bilat", local_contrast, 12), Kernel("bilateral", bilateral, 3), Kernel("guided", guided, 6), Kernel("nlmeans", nlmeans, 4), Kernel("atrous", atrous, 14), Kernel("equalizer", atrous, 14), Kernel("rawdenoise", raw_denoise, 14), Kernel("denoiseprofile", profiled_denoise, 14), Kernel("defringe", defringe, 4), Kernel("hotpixels", hot_pixels, 2), Kernel("clahe", clahe, 6), Kernel("hazeremoval", haze_removal, 12), Kernel("scharr", scharr, 1), Kernel("detail_mask", detail_mask, 4), Kernel("diffuse", diffuse, 4), Kernel("toneequal", tone_equalizer, 8), Kernel("tonemap", tonemap_bilateral, 3), Kernel("censorize", censorize, 8), Kernel("green_equilibrate", green_equilibrate, 2), Kernel("demosaic", demosaic, 8), Kernel("color_smoothing", color_smoothing, 2))}
+WARPS = {w.name: w for w in (resample, homography, rotate, lens, liquify, spot)}
+WHOLE = {f.__name__: f for f in (floyd_steinberg, distance_transform)}

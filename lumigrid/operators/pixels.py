@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from ..functions import color
+from ..functions import color, curves
 from ..plans.layers import Plan, clamp, matrix, num
 
 C = ("c0", "c1", "c2")
@@ -106,12 +106,17 @@ def saturate(p: Plan, factor: float = 1.2) -> Plan:
 
 
 def colisa(p: Plan, contrast: float = 0.3, brightness: float = 0.2, saturation: float = 0.1) -> Plan:
-    """Contrast around the middle, brightness as a gamma, saturation as a factor."""
-    slope = contrast + 1 if contrast <= 0 else 1 + 4 * contrast
-    gamma = 1 / (1 + brightness) if brightness >= 0 else 1 - brightness
-    scale = math.sqrt(1 + (slope - 1) ** 2)
-    shaped = f"c0 / 100 * {num(slope)} + {num(0.5 * (1 - slope))}" if contrast <= 0 else f"{num(scale / (2 * (slope - 1)))} * {num(slope - 1)} * (2 * c0 / 100 - 1) / sqrt(1 + {num((slope - 1) ** 2)} * power(2 * c0 / 100 - 1, 2)) + 0.5"
-    return saturate(p.let(c0=f"100 * power({clamp(shaped)}, {num(gamma)})"), saturation + 1)
+    """Contrast around the middle (a line, or from plain contrast on a sigmoid), brightness as a gamma, saturation as a factor; power laws beyond white."""
+    if contrast <= 0:
+        bend, bent = lambda v: 0.5 + (contrast + 1) * (v - 0.5), f"0.5 + {num(contrast + 1)} * (l0 - 0.5)"
+    else:
+        k = 20 * contrast**2
+        bend = lambda v: 0.5 * (math.sqrt(1 + k) * (2 * v - 1) / math.sqrt(1 + k * (2 * v - 1) ** 2) + 1)
+        bent = f"0.5 * ({num(math.sqrt(1 + k))} * (2 * l0 - 1) / sqrt(1 + {num(k)} * power(2 * l0 - 1, 2)) + 1)"
+    gamma = 1 / (1 + 2 * brightness) if brightness >= 0 else 1 - 2 * brightness
+    x1, y1, g = curves.beyond(bend, 1.0)
+    p = p.let(l0=f"greatest(c0 / 100, {num(0.0)})").let(l0=f"CASE WHEN l0 < {num(x1)} THEN {bent} ELSE {num(y1)} * power(l0, {num(g)}) END")
+    return saturate(p.let(c0=f"100 * power(greatest(l0, {num(0.0)}), {num(gamma)})"), saturation + 1)
 
 
 def lowlight(p: Plan, blueness: float = 0.2, mix: float = 0.5) -> Plan:
@@ -174,6 +179,10 @@ def globaltonemap_reinhard(p: Plan) -> Plan:
     return p.let(c0="100 * (c0 / 100) / (1 + c0 / 100)")
 
 
+def globaltonemap_filmic(p: Plan) -> Plan:
+    return p.let(l0=f"greatest(c0 / 100 - 0.004, {num(0.0)})").let(c0="100 * (l0 * (6.2 * l0 + 0.5)) / (l0 * (6.2 * l0 + 1.7) + 0.06)")
+
+
 def globaltonemap_drago(p: Plan, maximum: float = 100.0, bias: float = 0.85, max_light: float = 100.0) -> Plan:
     """The image's largest lightness comes from an aggregate beforehand."""
     top = max(maximum / 100, 1e-4)
@@ -204,42 +213,104 @@ def filmic_log(p: Plan, grey: float = 18.45, black: float = -8.0, white: float =
     return each(p, "$ / n * t")
 
 
-def basecurve(p: Plan, nodes=((0.0, 0.0), (0.1, 0.04), (0.3, 0.3), (0.7, 0.85), (1.0, 1.0))) -> Plan:
-    return tone(p, nodes, C, 1.0)
-
-
-def tone(p: Plan, nodes, names=("c0",), top: float = 100.0) -> Plan:
-    """Straight lines between nodes, and a power law beyond the last one."""
-    (x0, y0), (x1, y1) = nodes[-2], nodes[-1]
-    power = math.log(y1 / y0) / math.log(x1 / x0) if x0 > 0 and y0 > 0 else 1.0
-    for name in names:
-        v = f"{name} / {num(top)}"
-        cases = " ".join(f"WHEN {v} <= {num(b[0])} THEN {num(a[1])} + ({v} - {num(a[0])}) * {num((b[1] - a[1]) / (b[0] - a[0]))}" for a, b in zip(nodes, nodes[1:]))
-        p = p.let(**{name: f"{num(top)} * CASE {cases} ELSE {num(y1)} * power({v} / {num(x1)}, {num(power)}) END"})
+#: Sizes of a colour: what a curve acts on if the channels' ratios are to stay.
+NORMS = {
+    "luminance": " + ".join(f"{num(w)} * c{i}" for i, w in enumerate(color.SRGB_TO_XYZ_D50[1])), "max": "greatest(c0, c1, c2)", "average": "(c0 + c1 + c2) / 3", "sum": "c0 + c1 + c2",
+    "norm": "sqrt(c0 * c0 + c1 * c1 + c2 * c2)", "power": "(c0 * c0 * c0 + c1 * c1 * c1 + c2 * c2 * c2) / greatest(c0 * c0 + c1 * c1 + c2 * c2, CAST(1e-12 AS DOUBLE))",
+}
+
+
+def _curved(p: Plan, curve, preserve: str | None) -> Plan:
+    """Channels through ``curve`` (a function from column to expression), or scaled as their norm is."""
+    if preserve is None:
+        return p.let(**{c: curve(c) for c in C})
+    p = p.let(size=NORMS[preserve]).let(ratio=f"CASE WHEN size > 0 THEN ({curve('size')}) / size ELSE {num(1.0)} END")
+    return each(p, "$ * ratio")
+
+
+def basecurve(p: Plan, nodes=((0.0, 0.0), (0.1, 0.04), (0.3, 0.3), (0.7, 0.85), (1.0, 1.0)), kind: str = curves.MONOTONE, preserve: str | None = None) -> Plan:
+    """A camera's curve, bounded to [0, 1] up to white and a power law beyond."""
+    return _curved(p, lambda c: curves.unbounded(nodes, c, kind), preserve)
+
+
+def rgbcurve(p: Plan, nodes=((0.0, 0.0), (0.3, 0.2), (0.7, 0.8), (1.0, 1.0)), green=None, blue=None, kind: str = curves.MONOTONE, preserve: str | None = None) -> Plan:
+    """One curve for all channels (or for their norm), or one for each."""
+    if green is None and blue is None:
+        return _curved(p, lambda c: curves.unbounded(nodes, c, kind), preserve)
+    return p.let(**{c: curves.unbounded(n or nodes, c, kind) for c, n in zip(C, (nodes, green, blue), strict=True)})
+
+
+def tonecurve(p: Plan, nodes=((0.0, 0.0), (0.25, 0.18), (0.5, 0.5), (0.75, 0.82), (1.0, 1.0)), a_nodes=None, b_nodes=None, scale: str = "automatic", kind: str = curves.MONOTONE) -> Plan:
+    """Lightness through a curve. ``scale``: a and b follow L (automatic), have curves of their own (manual), or the curve acts on X, Y and Z (xyz)."""
+    if scale == "xyz":
+        grey = lambda v: f"CASE WHEN {v} > {num(color.EPSILON)} THEN 1.16 * cbrt({v}) - 0.16 ELSE {num(color.KAPPA / 100)} * {v} END"
+        back = lambda v: f"CASE WHEN {v} > 0.08 THEN power(({v} + 0.16) / 1.16, 3) ELSE {v} / {num(color.KAPPA / 100)} END"
+
+        def shape(v: float) -> float:
+            l = 1.16 * v ** (1 / 3) - 0.16 if v > color.EPSILON else color.KAPPA / 100 * v
+            l = float(curves.evaluate(nodes, l, kind))
+            return ((l + 0.16) / 1.16) ** 3 if l > 0.08 else l / (color.KAPPA / 100)
+
+        x1, y1, g = curves.beyond(shape, nodes[-1][0])
+        p = color.lab_to_xyz(p).let(**{f"g{i}": grey(c) for i, c in enumerate(C)})
+        p = p.let(**{f"g{i}": curves.expression(nodes, f"g{i}", kind) for i in range(3)})
+        return color.xyz_to_lab(p.let(**{c: f"CASE WHEN {c} < {num(x1)} THEN {back(f'g{i}')} ELSE {num(y1)} * power({c} / {num(x1)}, {num(g)}) END" for i, c in enumerate(C)}))
+    p = p.let(l0="c0 / 100").let(c0=f"100 * ({curves.unbounded(nodes, 'l0', kind)})")
+    if scale == "manual":
+        side = lambda c, n: f"256 * {curves.expression(n, f'(({c} + 128) / 256)', kind)} - 128"
+        straight = ((0.0, 0.0), (1.0, 1.0))
+        return p.let(c1=side("c1", a_nodes or straight), c2=side("c2", b_nodes or straight))
+    dark = num(100 * float(curves.evaluate(nodes, 0.01, kind)))
+    return p.let(k=f"CASE WHEN l0 > 0.01 THEN c0 / (100 * l0) ELSE {dark} END").let(c1="c1 * k", c2="c2 * k")
+
+
+def colorbalance(p: Plan, lift=(1.0, 1.02, 0.98, 1.03), gamma=(1.0, 0.95, 1.05, 0.9), gain=(1.1, 1.0, 0.9, 1.2), mode: str = "slope_offset_power", saturation: float = 1.1, saturation_out: float = 0.9, contrast: float = 1.2, grey: float = 18.0) -> Plan:
+    """Lift, gamma, gain (each a factor, then red, green and blue) as three kinds: legacy on coded sRGB, lift_gamma_gain and slope_offset_power on linear ProPhoto."""
+    off = 1e6
+    of = lambda v: [v[0] * w for w in v[1:]]
+    if mode == "legacy":
+        p = color.linear_to_srgb(color.lab_to_rgb(p))
+        p = p.let(**{c: f"power(greatest((({c} - 1) * {num(2 - l)} + 1) * {num(n)}, {num(0.0)}), {num(1 / g if g else off)})" for c, l, g, n in zip(C, of(lift), of(gamma), of(gain), strict=True)})
+        return color.rgb_to_lab(color.srgb_to_linear(p))
+    p = color.lab_to_xyz(p).let(luma="c1")
+    p = color.xyz_to_prophoto(p)
+    if abs(saturation - 1) > 1e-6:
+        p = each(p, f"luma + {num(saturation)} * ($ - luma)")
+    if mode == "lift_gamma_gain":
+        p = each(p, f"power(greatest($, {num(0.0)}), {num(1 / 2.2)})")
+        p = p.let(**{c: f"power(greatest((({c} - 1) * {num(2 - l)} + 1) * {num(n)}, {num(0.0)}), {num(2.2 / g if g else 2.2 * off)})" for c, l, g, n in zip(C, of(lift), of(gamma), of(gain), strict=True)})
+    else:
+        p = p.let(**{c: f"power(greatest({c} * {num(n)} + {num(l + lift[0] - 2)}, {num(0.0)}), {num((2 - g) * (2 - gamma[0]))})" for c, l, g, n in zip(C, lift[1:], gamma[1:], of(gain), strict=True)})
+    if abs(saturation_out - 1) > 1e-6:
+        p = p.let(luma=" + ".join(f"{num(w)} * {c}" for c, w in zip(C, color.PROPHOTO_TO_XYZ[1], strict=True)))
+        p = each(p, f"luma + {num(saturation_out)} * ($ - luma)")
+    if abs(contrast - 1) > 1e-6:
+        p = each(p, f"power(greatest($, {num(0.0)}) / {num(grey / 100)}, {num(1 / contrast if contrast else off)}) * {num(grey / 100)}")
+    return color.xyz_to_lab(color.prophoto_to_xyz(p))
+
+
+def basicadj(p: Plan, black: float = 0.01, ev: float = 0.3, compression: float = 40.0, threshold: float = 10.0, brightness: float = 0.1, contrast: float = 0.2, preserve: str | None = None, saturation: float = 0.1, vibrance: float = 0.2, middle: float = 18.42) -> Plan:
+    """Exposure, highlight compression, brightness as a gamma, contrast around grey, saturation and vibrance."""
+    p = exposure(p, black, ev)
+    if compression > 0:
+        k, reach = compression / 100, 1 - (threshold / 100 / 8 + 0.1)
+        p = p.let(lum=NORMS["luminance"]).let(v=f"CASE WHEN lum + {num(reach - 1)} = 0 THEN {num(1e-6)} ELSE lum + {num(reach - 1)} END")
+        p = p.let(ratio=f"CASE WHEN lum > 0 THEN ln(1 + greatest(v / {num(reach)} * {num(k)}, {num(-0.999999)})) * {num(reach / k)} / v ELSE {num(1.0)} END")
+        p = each(p, "$ * ratio")
+    if brightness:
+        gamma = 1 / (1 + 2 * brightness) if brightness >= 0 else 1 - 2 * brightness
+        p = each(p, f"CASE WHEN $ > 0 THEN power($, {num(gamma)}) ELSE $ END")
+    if contrast:
+        m = num(middle / 100)
+        bent = lambda c: f"CASE WHEN {c} > 0 THEN power({c} / {m}, {num(contrast + 1)}) * {m} ELSE {c} END"
+        p = _curved(p, bent, preserve)
+    if saturation or vibrance:
+        w = vibrance / 1.4
+        p = p.let(mean="(c0 + c1 + c2) / 3").let(apart="sqrt(power(mean - c0, 2) + power(mean - c1, 2) + power(mean - c2, 2))")
+        p = each(p.let(factor=f"{num(saturation + 1)} + {num(w)} * (1 - power(apart, {num(abs(w))}))"), "mean + factor * ($ - mean)")
     return p
 
 
-def tonecurve(p: Plan, nodes=((0.0, 0.0), (0.25, 0.18), (0.5, 0.5), (0.75, 0.82), (1.0, 1.0))) -> Plan:
-    """Lightness through a curve; a and b scale with it."""
-    p = tone(p.let(l0="c0"), nodes)
-    return p.let(k="c0 / greatest(l0, 0.01)").let(c1="c1 * k", c2="c2 * k")
-
-
-def rgbcurve(p: Plan, nodes=((0.0, 0.0), (0.3, 0.2), (0.7, 0.8), (1.0, 1.0))) -> Plan:
-    return tone(p, nodes, C, 1.0)
-
-
-def colorbalance(p: Plan, lift=(1.0, 1.02, 0.98), gamma=(1.0, 0.95, 1.05), gain=(1.1, 1.0, 0.9)) -> Plan:
-    """Lift, gamma, gain on gamma-coded RGB."""
-    return p.let(**{c: f"power(greatest((({c} - 1) * {num(2 - l)} + 1) * {num(n)}, {num(0.0)}), {num(1 / g)})" for c, l, g, n in zip(C, lift, gamma, gain, strict=True)})
-
-
-def basicadj(p: Plan, black: float = 0.0, ev: float = 0.3, contrast: float = 0.2, saturation: float = 0.1, middle: float = 0.1842) -> Plan:
-    p = each(exposure(p, black, ev), f"CASE WHEN $ > 0 THEN power($ / {num(middle)}, {num(contrast + 1)}) * {num(middle)} ELSE $ END")
-    p = p.let(mean="(c0 + c1 + c2) / 3")
-    return each(p, f"mean + {num(saturation + 1)} * ($ - mean)")
-
-
 def colorzones(p: Plan, lightness=(0.0, 0.1, -0.1, 0.0), chroma=(0.2, 0.0, -0.2, 0.2)) -> Plan:
     """Lightness and chroma by hue: straight lines between values that stand evenly round the circle."""
     p = color.to_polar(p)
@@ -264,11 +335,10 @@ def lut3d(p: Plan, size: int = 2, table=None) -> Plan:
     return p.let(**{c: " + ".join(f"{weight(i)} * {num(table[i][j])}" for i in range(8)) for j, c in enumerate(C)})
 
 
-def negadoctor(p: Plan, dmin=(1.0, 0.45, 0.25), dmax: float = 2.0, offset: float = -0.05, black: float = 0.07, ev: float = 0.9, gamma: float = 4.0, soft: float = 0.75) -> Plan:
-    """A negative's density against its film base, then a print with a soft shoulder."""
-    p = p.let(**{c: f"-log10(greatest({c}, {num(2.0**-16)}) / {num(d)}) / {num(dmax)} + {num(offset)}" for c, d in zip(C, dmin, strict=True)})
-    p = each(p, f"{num(ev)} * ({num(1 + black)} - power({num(10.0)}, -$ * {num(dmax)}))")
-    p = each(p, f"power(greatest($, {num(0.0)}), {num(gamma)})")
+def negadoctor(p: Plan, dmin=(1.0, 0.45, 0.25), dmax: float = 2.046, offset: float = -0.05, high=(1.0, 1.1, 0.9), low=(1.0, 0.95, 1.05), black: float = 0.0755, ev: float = 0.9245, gamma: float = 4.0, soft: float = 0.75) -> Plan:
+    """A negative's density against its film base, corrected in highlights and shadows, then a print with a soft shoulder."""
+    p = p.let(**{c: f"{num(h / dmax)} * log10(greatest({c}, {num(2.0**-32)}) / {num(d)}) + {num(h * offset * l)}" for c, d, h, l in zip(C, dmin, high, low, strict=True)})
+    p = each(p, f"power(greatest({num(ev * (1 + black))} - {num(ev)} * power({num(10.0)}, $), {num(0.0)}), {num(gamma)})")
     return each(p, f"CASE WHEN $ > {num(soft)} THEN {num(soft)} + (1 - exp(-($ - {num(soft)}) / {num(1 - soft)})) * {num(1 - soft)} ELSE $ END")
 
 
@@ -342,4 +412,4 @@ def _ops(space: str, *makes) -> list[PointOp]:
     return [PointOp(m.__name__, m, space) for m in makes]
 
 
-POINT_OPS = {o.name: o for o in _ops("RGB", exposure, temperature, highlights_clip, invert, channelmixer, primaries, velvia, splittoning, graduatednd, vignette, profile_gamma_log, sigmoid, filmic_log, basecurve, rgbcurve, rgblevels, colorbalance, basicadj, lut3d, negadoctor, agx_log, colorin, channelmixerrgb, colorbalancergb, posterize, overexposed, mask_manager, useless, gamma) + _ops("LAB", colorcontrast, colorcorrection, colorize, vibrance, relight, levels, colisa, lowlight, monochrome, globaltonemap_reinhard, globaltonemap_drago, zonesystem, tonecurve, colorzones, colorchecker, colorout, grain) + _ops("RAW", rawprepare, temperature_mosaic, rawoverexposed)}
+POINT_OPS = {o.name: o for o in _ops("RGB", exposure, temperature, highlights_clip, invert, channelmixer, primaries, velvia, splittoning, graduatednd, vignette, profile_gamma_log, sigmoid, filmic_log, basecurve, rgbcurve, rgblevels, basicadj, lut3d, negadoctor, agx_log, colorin, channelmixerrgb, colorbalancergb, posterize, overexposed, mask_manager, useless, gamma) + _ops("LAB", colorcontrast, colorcorrection, colorize, vibrance, relight, levels, colisa, lowlight, monochrome, globaltonemap_reinhard, globaltonemap_filmic, globaltonemap_drago, zonesystem, tonecurve, colorbalance, colorzones, colorchecker, colorout, grain) + _ops("RAW", rawprepare, temperature_mosaic, rawoverexposed)}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color
 from ..operators import kernels, pixels, tiles
-from .layers import Plan
+from .layers import Plan, clamp, num
 
 # The canonical orders of operators, first to last.
 ORDERS = {
@@ -31,8 +32,10 @@ def _moved(order: list[str], name: str, after: str) -> list[str]:
     return rest[:at] + [name] + rest[at:]
 
 
-ORDERS["v3.0 JPEG"] = _moved(ORDERS["v3.0 RAW"], "colorin", "demosaic")  # such files are in a display space from the start
-ORDERS["v5.0 RAW"], ORDERS["v5.0 JPEG"] = ORDERS["v3.0 RAW"], ORDERS["v3.0 JPEG"]
+# Files that are not raw are in a display space from the start; of the two tone mappers the older order has the newer one first.
+ORDERS["v3.0 JPEG"] = _moved(_moved(ORDERS["v3.0 RAW"], "colorin", "demosaic"), "sigmoid", "agx")
+ORDERS["v5.0 RAW"] = _moved(ORDERS["v3.0 RAW"], "finalscale", "colorreconstruct")
+ORDERS["v5.0 JPEG"] = _moved(ORDERS["v5.0 RAW"], "colorin", "demosaic")
 #: Operator of the orders -> pointwise operator that renders it, where the names differ.
 POINTWISE = {"highlights": "highlights_clip", "globaltonemap": "globaltonemap_reinhard", "filmic": "filmic_log", "filmicrgb": "filmic_log", "agx": "agx_log", "profile_gamma": "profile_gamma_log", "dither": "posterize"}
 DEFAULT_ON = ("rawprepare", "demosaic", "colorin", "exposure", "colorout")
@@ -172,82 +175,212 @@ class Pipeline:
     # --- rendering
 
     def render(self, image: DataFrame, height: int, width: int, scale: float = 1.0, region: tuple[int, int, int, int] | None = None, tile: int = tiles.TILE) -> DataFrame:
-        """Pixels (img_id, y, x, c0, c1, c2) through all enabled stages, then scaled down by whole blocks.
+        """Pixels (img_id, y, x, c0, c1, c2) through all enabled stages, then resampled to floor(size * scale).
 
-        A region (x, y, width, height) asks every stage before it only for the pixels it needs: the
-        region and the halos of the stages that follow.
+        ``image`` has c0, c1 and c2, or c0 alone if it is a raw mosaic (RGGB); stages of the raw part do
+        nothing on other images. A region (x, y, width, height) is a window of floor(width * scale) by
+        floor(height * scale) at (x, y) of the scaled image; as long as no stage moves pixels about, only
+        the tiles that the window and the halos of all stages touch are read. An enabled stage that has
+        no implementation raises.
         """
         if scale <= 0:
             raise PipelineError("scale must be positive")
         on = [s for s in self.stages if s.enabled]
-        halo = sum(_halo(s.name) for s in on)
-        df = image
-        if region:
-            x, y, w, h = region
-            df = df.where(F.col("x").between(x - halo, x + w - 1 + halo) & F.col("y").between(y - halo, y + h - 1 + halo))
-        plan, space = Plan(), "RGB"
         for s in on:
-            name = POINTWISE.get(s.name, s.name)
-            if name in pixels.POINT_OPS and s.name not in ("colorin", "colorout", "rawprepare", "gamma"):
-                op = pixels.POINT_OPS[name]
-                if op.space != "RAW" and op.space != space:
-                    plan, space = _converted(plan, space, op.space), op.space
-                plan = op.make(plan, **{RENAMED.get((s.name, k), k): v for k, v in s.params.items() if RENAMED.get((s.name, k), k) in op.make.__code__.co_varnames})
-            elif name in kernels.KERNELS and name != "demosaic":
-                df, plan = plan.apply(df).select("img_id", "y", "x", "c0", "c1", "c2"), Plan()
-                df = _tiled(df, name, height, width, tile, s.params)
-        plan = _converted(plan, space, "RGB")
-        out = plan.apply(df).select("img_id", "y", "x", "c0", "c1", "c2")
+            if _kind(s.name) is None:
+                raise PipelineError(f"{s.name} can't be rendered")
+        window = None
         if region:
-            x, y, w, h = region
+            window = (region[0], region[1], math.floor(region[2] * scale), math.floor(region[3] * scale))
+        out_h, out_w = math.floor(height * scale), math.floor(width * scale)
+        if min(window[2:] if window else (out_h, out_w)) <= 0:
+            raise PipelineError("nothing to render")
+        work = _Canvas(image, height, width, tile, "c1" not in image.columns)
+        if window and all(_kind(s.name) in ("point", "kernel", "color", "none", "demosaic") for s in on):
+            work.keep(window, scale, sum(_halo(s.name) for s in on))
+        for s in on:
+            getattr(work, "do_" + _kind(s.name))(s)
+        if scale != 1:
+            work.warp("resample", scale=scale)
+        out = work.finish()
+        if window:
+            x, y, w, h = window
             out = tiles.crop(out, y, y + h, x, x + w)
-        if scale < 1:
-            step = round(1 / scale)
-            out = out.groupBy("img_id", F.expr(f"cast(y div {step} as int)").alias("y"), F.expr(f"cast(x div {step} as int)").alias("x")).agg(*(F.avg(c).alias(c) for c in ("c0", "c1", "c2")))
         return out
 
     def export(self, image: DataFrame, height: int, width: int, **options) -> DataFrame:
-        """Rendered pixels as 8-bit display values."""
-        return color.display_byte().apply(self.render(image, height, width, **options))
+        """Rendered pixels as 8-bit display values; linear light gets the display's curve first, if no stage gave it."""
+        out = self.render(image, height, width, **options)
+        if any(s.enabled and s.name == "gamma" for s in self.stages):
+            return out
+        if self.coded():
+            return pixels.each(Plan(), f"floor(255 * {clamp('$')} + 0.5)").apply(out)
+        return color.display_byte().apply(out)
+
+    def coded(self) -> bool:
+        """Whether the result is in display coding already."""
+        return any(s.enabled and s.name in ("colorout", "gamma") for s in self.stages)
+
+
+#: Stages that move pixels -> the warp that does it.
+MOVING = {"rotatepixels": "rotate", "scalepixels": "resample", "ashift": "homography", "lens": "lens", "liquify": "liquify", "retouch": "spot", "spots": "spot"}
+_RAW_ONLY = ("rawprepare", "demosaic", "hotpixels", "rawdenoise")
+_C = ["c0", "c1", "c2"]
+
+
+def _kind(name: str) -> str | None:
+    """How a stage is rendered; None if it can't be."""
+    if name in ("colorin", "colorout", "gamma"):
+        return "color"
+    if name in ("rawprepare", "demosaic", "crop", "flip", "borders", "clipping"):
+        return name
+    if name in ("mask_manager", "finalscale"):  # masks act through blends; the output's scale is the renderer's
+        return "none"
+    if name == "enlargecanvas":
+        return "borders"
+    if name in MOVING:
+        return "warp"
+    if POINTWISE.get(name, name) in pixels.POINT_OPS:
+        return "point"
+    return "kernel" if name in kernels.KERNELS else None
 
 
 def _halo(name: str) -> int:
-    name = POINTWISE.get(name, name)
-    return kernels.KERNELS[name].halo if name in kernels.KERNELS and name not in pixels.POINT_OPS else 0
-
-
-def _converted(plan: Plan, now: str, wanted: str) -> Plan:
-    if now == wanted:
-        return plan
-    return color.rgb_to_lab(plan) if wanted == "LAB" else color.lab_to_rgb(plan)
-
-
-def _tiled(df: DataFrame, name: str, height: int, width: int, tile: int, params: dict) -> DataFrame:
-    """One kernel on each channel; pixels outside a rendered region count as zero."""
-    out = None
-    known = kernels.KERNELS[name].run.__code__.co_varnames
-    for c in ("c0", "c1", "c2"):
-        full = tiles.run_kernel(_dense(df, c, height, width, tile), name, tile, **{k: v for k, v in params.items() if k in known})
-        px = tiles.to_pixels(full, tile, c)
-        out = px if out is None else out.join(px, ["img_id", "y", "x"])
-    return out
-
-
-def _dense(df: DataFrame, channel: str, height: int, width: int, tile: int) -> DataFrame:
-    """Tiles whose missing pixels are zero."""
-    rows = df.select("img_id", F.expr(f"cast(y div {tile} as int)").alias("ty"), F.expr(f"cast(x div {tile} as int)").alias("tx"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(channel).cast("double").alias("v"))
-    w = F.least(F.lit(tile), F.lit(width) - F.col("tx") * tile)
-    h = F.least(F.lit(tile), F.lit(height) - F.col("ty") * tile)
-    place = (F.col("y") - F.col("ty") * tile) * w + F.col("x") - F.col("tx") * tile
-    grouped = rows.groupBy("img_id", "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.col("v")))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), (w * h - 1).cast("int")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return grouped.select("img_id", "ty", "tx", F.lit(height).alias("height"), F.lit(width).alias("width"), data.alias("data"))
-
-
-def demosaic_tiles(mosaic: DataFrame, tile: int = tiles.TILE) -> DataFrame:
-    """(img_id, y, x, c0, c1, c2) from mosaic tiles: the kernel gives three planes, one run each."""
-    out = None
-    for i, c in enumerate(("c0", "c1", "c2")):
-        px = tiles.to_pixels(tiles.run_kernel(mosaic, "demosaic_plane", tile, plane=i), tile, c)
-        out = px if out is None else out.join(px, ["img_id", "y", "x"])
-    return out
+    kernel = kernels.KERNELS.get(name) if _kind(name) in ("kernel", "demosaic") else None
+    return kernel.halo + kernel.halo % 2 if kernel else 0
+
+
+class _Canvas:
+    """An image on its way through the stages: its pixels, size, and the point operators that wait to be applied together."""
+
+    def __init__(self, df: DataFrame, height: int, width: int, tile: int, raw: bool):
+        self.df, self.height, self.width, self.tile, self.raw = df, height, width, tile, raw
+        self.plan, self.space = Plan(), "RGB"
+
+    @property
+    def channels(self) -> list[str]:
+        return _C[:1] if self.raw else _C
+
+    def settle(self) -> DataFrame:
+        self.df, self.plan = self.plan.apply(self.df).select("img_id", "y", "x", *self.channels), Plan()
+        return self.df
+
+    def keep(self, window, scale: float, halo: int) -> None:
+        """Only the tiles that a window of the scaled image needs."""
+        x, y, w, h = window
+        halo += math.ceil(1.5 / scale) + 4 if scale != 1 else 0
+        low = lambda v: (math.floor(v / scale) - halo) // self.tile * self.tile
+        high = lambda v: -(-(math.ceil(v / scale) + halo) // self.tile) * self.tile - 1
+        self.df = self.df.where(F.col("x").between(low(x), high(x + w)) & F.col("y").between(low(y), high(y + h)))
+
+    def into(self, space: str) -> None:
+        """Convert to what an operator works in. Display values are taken as they are."""
+        if space != self.space and {space, self.space} == {"RGB", "LAB"}:
+            self.plan, self.space = (color.rgb_to_lab if space == "LAB" else color.lab_to_rgb)(self.plan), space
+
+    def tiled(self, run, *args, **params) -> None:
+        """Through tiles and back."""
+        names = self.channels
+        t = tiles.from_pixels(self.settle(), self.height, self.width, names, self.tile)
+        self.df = tiles.to_pixels(run(t, *args, self.tile, **params), self.tile, _C if args[0] == "demosaic" else names)
+
+    def warp(self, name: str, **params) -> None:
+        self.tiled(tiles.run_warp, name, **params)
+        self.height, self.width = kernels.WARPS[name].size(self.height, self.width, **params)
+
+    def finish(self) -> DataFrame:
+        self.into("RGB")
+        df = self.settle()
+        return df if not self.raw else df.select("img_id", "y", "x", "c0", F.col("c0").alias("c1"), F.col("c0").alias("c2"))
+
+    # --- stages
+
+    def do_none(self, s: Stage) -> None:
+        pass
+
+    def do_point(self, s: Stage) -> None:
+        if self.raw and s.name in ("temperature", "highlights", "exposure"):
+            make = {"temperature": pixels.temperature_mosaic, "highlights": lambda p, clip=1.0: p.let(c0=f"least(c0, {num(clip)})"), "exposure": lambda p, **k: p.let(c0=pixels.exposure(Plan(), **k).layers[0][0][1])}[s.name]
+            params = _taken(s, ("red", "green", "blue", "clip", "black", "ev"))
+            self.plan = make(self.plan, **params)
+            return
+        op = pixels.POINT_OPS[POINTWISE.get(s.name, s.name)]
+        if self.raw:
+            raise PipelineError(f"{s.name} needs colours, and the mosaic is not demosaiced yet")
+        self.into(op.space)
+        self.plan = op.make(self.plan, **_taken(s, op.make.__code__.co_varnames[: op.make.__code__.co_argcount]))
+
+    def do_kernel(self, s: Stage) -> None:
+        if s.name in _RAW_ONLY and not self.raw:
+            return
+        run = kernels.KERNELS[s.name].run
+        self.tiled(tiles.run_kernel, s.name, **_taken(s, run.__code__.co_varnames[: run.__code__.co_argcount]))
+
+    def do_color(self, s: Stage) -> None:
+        if self.raw:
+            raise PipelineError(f"{s.name} needs colours, and the mosaic is not demosaiced yet")
+        if s.name == "colorin":
+            self.into("LAB")
+        elif s.name == "colorout":
+            self.into("LAB")
+            self.plan, self.space = pixels.colorout(self.plan), "DISPLAY"
+        else:
+            self.into("RGB")
+            self.plan, self.space = pixels.each(self.plan, f"floor(255 * {clamp('$')} + 0.5)"), "DISPLAY"
+
+    def do_rawprepare(self, s: Stage) -> None:
+        if not self.raw:
+            return
+        p = s.params
+        cut = [int(p.get(k, 0)) for k in ("left", "top", "right", "bottom")]
+        self.plan = pixels.rawprepare(self.plan, [p.get(f"raw_black_level_separate_{i}", 0.0) for i in range(4)], p.get("raw_white_point", 1.0))
+        if any(cut):
+            left, top, right, bottom = cut
+            self.df = tiles.crop(self.settle(), top, self.height - bottom, left, self.width - right)
+            self.height, self.width = self.height - top - bottom, self.width - left - right
+
+    def do_demosaic(self, s: Stage) -> None:
+        if self.raw:
+            self.tiled(tiles.run_kernel, "demosaic")
+            self.raw = False
+
+    def do_crop(self, s: Stage) -> None:
+        """Edges as shares of the size: cx, cy, cw, ch."""
+        p = s.params
+        x0, y0 = math.floor(p.get("cx", 0.0) * self.width), math.floor(p.get("cy", 0.0) * self.height)
+        x1, y1 = math.floor(p.get("cw", 1.0) * self.width), math.floor(p.get("ch", 1.0) * self.height)
+        if not (0 <= x0 < x1 <= self.width and 0 <= y0 < y1 <= self.height):
+            raise PipelineError("nothing is left of the image")
+        self.df = tiles.crop(self.settle(), y0, y1, x0, x1)
+        self.height, self.width = y1 - y0, x1 - x0
+
+    def do_clipping(self, s: Stage) -> None:
+        if s.params.get("angle"):
+            self.warp("rotate", degrees=s.params["angle"])
+        self.do_crop(s)
+
+    def do_flip(self, s: Stage) -> None:
+        """Orientation bits: 1 turns rows over, 2 columns, 4 exchanges both."""
+        o = int(s.params.get("orientation", 0))
+        self.df = tiles.flip(self.settle(), self.height, self.width, bool(o & 1), bool(o & 2), bool(o & 4)).select("img_id", "y", "x", *self.channels)
+        if o & 4:
+            self.height, self.width = self.width, self.height
+
+    def do_borders(self, s: Stage) -> None:
+        size = int(s.params.get("size", 0))
+        self.df = tiles.borders(self.settle(), self.height, self.width, size, s.params.get("color", 1.0), self.channels)
+        self.height, self.width = self.height + 2 * size, self.width + 2 * size
+
+    def do_warp(self, s: Stage) -> None:
+        params = {k: v for k, v in s.params.items() if k in ("scale", "degrees", "k1", "k2", "vignetting", "cx", "cy", "radius", "dx", "dy", "matrix")}
+        if s.name == "rotatepixels":
+            params = {"degrees": s.params.get("angle", 0.0)}
+        elif s.name == "scalepixels":
+            params = {"scale": s.params.get("scale", 1.0)}
+        self.warp(MOVING[s.name], **params)
+
+
+def _taken(s: Stage, names) -> dict[str, float]:
+    """The stage's parameters that its operator has, by the operator's names."""
+    named = {RENAMED.get((s.name, k), k): v for k, v in s.params.items()}
+    return {k: v for k, v in named.items() if k in names}

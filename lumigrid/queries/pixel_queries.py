@@ -5,7 +5,7 @@ Line items play pixels. The SQL comes from ``pixel_sql``, written apart from the
 
 from __future__ import annotations
 
-from ..functions import color
+from ..functions import color, curves
 from ..operators import blend, pixels
 from ..plans.layers import Plan
 from . import pixel_sql
@@ -51,6 +51,10 @@ for _n, _op in pixels.POINT_OPS.items():
     _columns = ("c0", "c1", "c2", "mark") if "overexposed" in _n else ("c0", "c1", "c2")
     _add(f"pixel_{_n}", _op.make(Plan(), **PARAMETERS.get(_n, {})), _op.space, pixel_sql.POINT.get(_n), _columns)
 _add("pixel_graduatednd_light", pixels.graduatednd(Plan(), density=-0.8, hardness=60.0, rotation=70.0, offset=40.0, tint=(0.2, 0.1, 0.0)), "RGB", pixel_sql.POINT["graduatednd_light"])
+_add("pixel_rgbcurve_norm", pixels.rgbcurve(Plan(), preserve="luminance"), "RGB", pixel_sql.POINT["rgbcurve_norm"])
+_add("pixel_rgbcurve_cubic", pixels.rgbcurve(Plan(), ((0.0, 0.0), (0.5, 0.7), (1.0, 1.0)), kind=curves.CUBIC), "RGB", pixel_sql.POINT["rgbcurve_cubic"])
+_add("pixel_basecurve_catmull_rom", pixels.basecurve(Plan(), ((0.0, 0.0), (0.4, 0.3), (1.0, 1.0)), kind=curves.CATMULL_ROM), "RGB", pixel_sql.POINT["basecurve_catmull_rom"])
+_add("pixel_colorbalance_lgg", pixels.colorbalance(Plan(), mode="lift_gamma_gain"), "LAB", pixel_sql.POINT["colorbalance_lgg"])
 for _n, _make in color.SPACES.items():
     _add(f"color_{_n}", _make(), "LAB" if _n.startswith(("lab", "to_polar", "from_polar")) else "RGB", pixel_sql.COLOR.get(_n))
 _add("color_delta_e", color.delta_e_76(Plan(), ("50", "10", "-5")), "LAB", pixel_sql.DELTA_E, ("delta_e",))

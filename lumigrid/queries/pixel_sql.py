@@ -47,8 +47,8 @@ yy = CASE WHEN fy > 6.0 / 29.0 THEN fy * fy * fy ELSE (116.0 * fy - 16.0) * 27.0
 zz = 0.8249 * CASE WHEN fz > 6.0 / 29.0 THEN fz * fz * fz ELSE (116.0 * fz - 16.0) * 27.0 / 24389.0 END
 """
 # Rows of the colour matrices.
-_TO_XYZ = ("0.4360747 0.3850649 0.1430804", "0.2225045 0.7168786 0.0606169", "0.0139322 0.0971045 0.7141733")
-_TO_SRGB = ("3.1338561 -1.6168667 -0.4906146", "-0.9787684 1.9161415 0.0334540", "0.0719453 -0.2289914 1.4052427")
+TO_XYZ = ("0.4360747 0.3850649 0.1430804", "0.2225045 0.7168786 0.0606169", "0.0139322 0.0971045 0.7141733")
+TO_SRGB = ("3.1338561 -1.6168667 -0.4906146", "-0.9787684 1.9161415 0.0334540", "0.0719453 -0.2289914 1.4052427")
 _SRGB_CURVE = "CASE WHEN $ <= 0.0031308 THEN 12.92 * $ ELSE 1.055 * pow($, 1.0 / 2.4) - 0.055 END"
 _BYTE = f"CASE WHEN $ <= 0 THEN 0.0 WHEN $ >= 1 THEN 255.0 ELSE floor(0.5 + 255.0 * ({_SRGB_CURVE})) END"
 _HUE = """
@@ -139,8 +139,8 @@ o2 = b * lout / greatest(l, 0.01)
     "mask_manager": "o0 = r\no1 = g\no2 = b",
     "useless": each("CASE WHEN (CAST(x AS BIGINT) // 8 + CAST(y AS BIGINT) // 8) % 2 = 0 THEN $ * 0.5 ELSE $ END"),
     "gamma": each(_BYTE),
-    "colorin": rows(*_TO_XYZ, out="xx yy zz") + _LAB_OF_XYZ,
-    "colorout": _XYZ_OF_LAB + rows(*_TO_SRGB, names="xx yy zz", out="t0 t1 t2") + "\n" + each("CASE WHEN $ <= 0.0031308 THEN 12.92 * $ ELSE 1.055 * pow(greatest($, 0.0031308), 1.0 / 2.4) - 0.055 END", "t0 t1 t2"),
+    "colorin": rows(*TO_XYZ, out="xx yy zz") + _LAB_OF_XYZ,
+    "colorout": _XYZ_OF_LAB + rows(*TO_SRGB, names="xx yy zz", out="t0 t1 t2") + "\n" + each("CASE WHEN $ <= 0.0031308 THEN 12.92 * $ ELSE 1.055 * pow(greatest($, 0.0031308), 1.0 / 2.4) - 0.055 END", "t0 t1 t2"),
 }
 
 COLOR: dict[str, str] = {
@@ -148,10 +148,10 @@ COLOR: dict[str, str] = {
     "lab_to_xyz": _XYZ_OF_LAB + "o0 = xx\no1 = yy\no2 = zz",
     "srgb_to_linear": each("CASE WHEN $ <= 0.04045 THEN $ / 12.92 ELSE pow(($ + 0.055) / 1.055, 2.4) END"),
     "linear_to_srgb": each("CASE WHEN $ <= 0.0031308 THEN 12.92 * $ ELSE 1.055 * pow(greatest($, 0.0031308), 1.0 / 2.4) - 0.055 END"),
-    "rgb_to_xyz": rows(*_TO_XYZ),
-    "xyz_to_rgb": rows(*_TO_SRGB),
-    "rgb_to_lab": rows(*_TO_XYZ, out="xx yy zz") + _LAB_OF_XYZ,
-    "lab_to_rgb": _XYZ_OF_LAB + rows(*_TO_SRGB, names="xx yy zz"),
+    "rgb_to_xyz": rows(*TO_XYZ),
+    "xyz_to_rgb": rows(*TO_SRGB),
+    "rgb_to_lab": rows(*TO_XYZ, out="xx yy zz") + _LAB_OF_XYZ,
+    "lab_to_rgb": _XYZ_OF_LAB + rows(*TO_SRGB, names="xx yy zz"),
     "xyz_to_prophoto": rows("1.3459433 -0.2556075 -0.0511118", "-0.5445989 1.5081673 0.0205351", "0.0 0.0 1.2118128"),
     "prophoto_to_xyz": rows("0.7976749 0.1351917 0.0313534", "0.2880402 0.7118741 0.0000857", "0.0 0.0 0.8252100"),
     "d50_to_d65": rows("0.9555766 -0.0230393 0.0631636", "-0.0282895 1.0099416 0.0210077", "0.0122982 -0.0204830 1.3299098"),
@@ -293,3 +293,66 @@ v1 = greatest(0.0, least(1.0, w1 + weight * (w1 - 0.5 * (w2 + w0))))
 v2 = greatest(0.0, least(1.0, w2 + weight * (w2 - 0.5 * (w0 + w1))))
 """ + _SIGMOID + each("pow(fog + $, 1.5) / (paper + pow(fog + $, 1.5))", "n0 n1 n2", "d0 d1 d2") + "\n" + each("CASE WHEN $ <= 0.0031308 THEN 12.92 * $ ELSE 1.055 * pow(greatest($, 0.0031308), 1.0 / 2.4) - 0.055 END", "d0 d1 d2")
 )
+
+
+def _hermite(t: str, nodes: list[tuple[str, str]], slopes: list[str], cases: list[str]) -> str:
+    """A curve through nodes by the four Hermite polynomials; slopes as numbers worked out by hand."""
+    for (x0, y0), (x1, y1), m0, m1 in zip(nodes, nodes[1:], slopes, slopes[1:]):
+        h, u = f"({x1} - {x0})", f"(({t} - {x0}) / ({x1} - {x0}))"
+        cases.append(f"WHEN {t} <= {x1} THEN (2 * pow({u}, 3) - 3 * pow({u}, 2) + 1) * {y0} + (pow({u}, 3) - 2 * pow({u}, 2) + {u}) * {h} * {m0} + (3 * pow({u}, 2) - 2 * pow({u}, 3)) * {y1} + (pow({u}, 3) - pow({u}, 2)) * {h} * {m1}")
+    return f"greatest(0.0, least(1.0, CASE WHEN {t} <= {nodes[0][0]} THEN {nodes[0][1]} {' '.join(cases)} ELSE {nodes[-1][1]} END))"
+
+
+def _tail(t: str, curve, last: str = "1.0") -> str:
+    """The curve, and beyond its last node the power law with the mean exponent of three places before it."""
+    y = curve(last)
+    exponent = "(" + " + ".join(f"ln(({curve(f'{k} * {last}')}) / ({y})) / ln({k})" for k in ("0.7", "0.8", "0.9")) + ") / 3.0"
+    return f"CASE WHEN {t} < {last} THEN {curve(t)} ELSE ({y}) * pow({t} / {last}, {exponent}) END"
+
+
+# Monotone curves: secants, their means inside, the outer ones at the ends (no piece here would overshoot, so none is cut).
+_RGB_CURVE = lambda t: _hermite(t, [("0.0", "0.0"), ("0.3", "0.2"), ("0.7", "0.8"), ("1.0", "1.0")], ["(0.2 / 0.3)", "((0.2 / 0.3 + 1.5) / 2)", "((1.5 + 0.2 / 0.3) / 2)", "(0.2 / 0.3)"], [])
+_TONE = lambda t: _hermite(t, [("0.0", "0.0"), ("0.25", "0.18"), ("0.5", "0.5"), ("0.75", "0.82"), ("1.0", "1.0")], ["0.72", "1.0", "1.28", "1.0", "0.72"], [])
+_BASE = lambda t: _hermite(t, [("0.0", "0.0"), ("0.1", "0.04"), ("0.3", "0.3"), ("0.7", "0.85"), ("1.0", "1.0")], ["0.4", "0.85", "1.3375", "0.9375", "0.5"], [])
+POINT["rgbcurve"] = each(_tail("$", _RGB_CURVE))
+POINT["rgbcurve_norm"] = "size = 0.2225045 * r + 0.7168786 * g + 0.0606169 * b\nbent = " + _tail("size", _RGB_CURVE) + "\n" + each("$ * bent / size")
+POINT["basecurve"] = each(_tail("$", _BASE))
+POINT["tonecurve"] = "v = l / 100.0\nbent = 100.0 * (" + _tail("v", _TONE) + ")\no0 = bent\no1 = CASE WHEN v > 0.01 THEN a * bent / l ELSE a * 100.0 * " + _TONE("0.01") + " END\no2 = CASE WHEN v > 0.01 THEN b * bent / l ELSE b * 100.0 * " + _TONE("0.01") + " END"
+# A natural cubic spline through (0, 0), (0.5, 0.7), (1, 1): the middle second derivative is 6 * (0.3 / 0.5 - 0.7 / 0.5) / (2 * (0.5 + 0.5)) = -2.4, the outer ones 0.
+_SPLINE = lambda t: f"greatest(0.0, least(1.0, CASE WHEN {t} <= 0 THEN 0.0 WHEN {t} <= 0.5 THEN {t} * (0.7 / 0.5 + 2.4 * 0.5 / 6.0) - 2.4 / (6.0 * 0.5) * pow({t}, 3) WHEN {t} <= 1.0 THEN 0.7 + ({t} - 0.5) * (0.3 / 0.5 + 2.0 * 2.4 * 0.5 / 6.0) - 1.2 * pow({t} - 0.5, 2) + 2.4 / (6.0 * 0.5) * pow({t} - 0.5, 3) ELSE 1.0 END))"
+POINT["rgbcurve_cubic"] = each(_tail("$", _SPLINE))
+# Catmull-Rom through (0, 0), (0.4, 0.3), (1, 1): the inner tangent is the secant of its neighbours, 1.
+POINT["basecurve_catmull_rom"] = each(_tail("$", lambda t: _hermite(t, [("0.0", "0.0"), ("0.4", "0.3"), ("1.0", "1.0")], ["0.75", "1.0", "(0.7 / 0.6)"], [])))
+POINT["colisa"] = """
+k = 20.0 * 0.3 * 0.3
+v = l / 100.0
+v07 = 0.5 * (sqrt(1.0 + k) * (2 * 0.7 - 1) / sqrt(1.0 + k * pow(2 * 0.7 - 1, 2)) + 1.0)
+v08 = 0.5 * (sqrt(1.0 + k) * (2 * 0.8 - 1) / sqrt(1.0 + k * pow(2 * 0.8 - 1, 2)) + 1.0)
+v09 = 0.5 * (sqrt(1.0 + k) * (2 * 0.9 - 1) / sqrt(1.0 + k * pow(2 * 0.9 - 1, 2)) + 1.0)
+power = (ln(v07) / ln(0.7) + ln(v08) / ln(0.8) + ln(v09) / ln(0.9)) / 3.0
+bent = CASE WHEN v < 1 THEN 0.5 * (sqrt(1.0 + k) * (2 * v - 1) / sqrt(1.0 + k * pow(2 * v - 1, 2)) + 1.0) ELSE pow(v, power) END
+o0 = 100.0 * pow(greatest(bent, 0.0), 1.0 / 1.4)
+o1 = a * 1.1
+o2 = b * 1.1
+"""
+POINT["negadoctor"] = "\n".join(
+    f"d{i} = -log10({base} / greatest({c}, pow(2.0, -32))) * {high} / 2.046 + {high} * -0.05 * {low}\nw{i} = pow(greatest(-(0.9245 * pow(10.0, d{i}) - 0.9245 * (1.0 + 0.0755)), 0.0), 4.0)\no{i} = CASE WHEN w{i} > 0.75 THEN 0.75 + (1.0 - exp(-(w{i} - 0.75) / 0.25)) * 0.25 ELSE w{i} END"
+    for i, (c, base, high, low) in enumerate((("r", "1.0", "1.0", "1.0"), ("g", "0.45", "1.1", "0.95"), ("b", "0.25", "0.9", "1.05")))
+)
+POINT["globaltonemap_filmic"] = "v = greatest(0.0, l / 100.0 - 0.004)\no0 = 100.0 * ((v * (6.2 * v + 0.5)) / (v * (6.2 * v + 1.7) + 0.06))\no1 = a\no2 = b"
+_PRO = rows("1.3459433 -0.2556075 -0.0511118", "-0.5445989 1.5081673 0.0205351", "0.0 0.0 1.2118128", names="xx yy zz", out="p0 p1 p2")
+_FROM_PRO = rows("0.7976749 0.1351917 0.0313534", "0.2880402 0.7118741 0.0000857", "0.0 0.0 0.8252100", names="u0 u1 u2", out="xx2 yy2 zz2") + "\n" + _LAB_OF_XYZ.replace("xx", "xx2").replace("yy", "yy2").replace("zz", "zz2").replace("fx =", "gx =").replace("fy =", "gy =").replace("fz =", "gz =").replace("fx", "gx").replace("fy", "gy").replace("fz", "gz")
+_IN = _XYZ_OF_LAB + _PRO + "\n" + each("yy + 1.1 * ($ - yy)", "p0 p1 p2", "q0 q1 q2") + "\n"
+_OUT = "\nluma = 0.2880402 * t0 + 0.7118741 * t1 + 0.0000857 * t2\n" + each("luma + 0.9 * ($ - luma)", "t0 t1 t2", "s0 s1 s2") + "\n" + each("0.18 * pow(greatest($, 0.0) / 0.18, 1.0 / 1.2)", "s0 s1 s2", "u0 u1 u2") + "\n" + _FROM_PRO
+POINT["colorbalance"] = _IN + "\n".join(f"t{i} = pow(greatest(q{i} * {gain} + {lift}, 0.0), {power})" for i, (gain, lift, power) in enumerate((("1.1 * 1.0", "(1.0 + 1.02 - 2.0)", "(2.0 - 1.0) * (2.0 - 0.95)"), ("1.1 * 0.9", "(1.0 + 0.98 - 2.0)", "(2.0 - 1.0) * (2.0 - 1.05)"), ("1.1 * 1.2", "(1.0 + 1.03 - 2.0)", "(2.0 - 1.0) * (2.0 - 0.9)")))) + _OUT
+POINT["colorbalance_lgg"] = _IN + "\n".join(f"t{i} = pow(greatest(((pow(greatest(q{i}, 0.0), 1.0 / 2.2) - 1.0) * (2.0 - {lift}) + 1.0) * 1.1 * {gain}, 0.0), 2.2 / {gamma})" for i, (lift, gamma, gain) in enumerate((("1.02", "0.95", "1.0"), ("0.98", "1.05", "0.9"), ("1.03", "0.9", "1.2")))) + _OUT
+POINT["basicadj"] = each("($ - 0.01) / (pow(2.0, -0.3) - 0.01)", out="e0 e1 e2") + """
+lum = 0.2225045 * e0 + 0.7168786 * e1 + 0.0606169 * e2
+reach = 1.0 - (10.0 / 100.0 / 8.0 + 0.1)
+over = CASE WHEN lum + reach - 1.0 = 0 THEN 0.000001 ELSE lum + (reach - 1.0) END
+ratio = CASE WHEN lum > 0 THEN ln(1.0 + greatest(over / reach * 0.4, -0.999999)) * (reach / (over * 0.4)) ELSE 1.0 END
+""" + each("$ * ratio", "e0 e1 e2", "f0 f1 f2") + "\n" + each("CASE WHEN $ > 0 THEN pow($, 1.0 / 1.2) ELSE $ END", "f0 f1 f2", "g0 g1 g2") + "\n" + each("CASE WHEN $ > 0 THEN 0.1842 * pow($ / 0.1842, 1.2) ELSE $ END", "g0 g1 g2", "h0 h1 h2") + """
+mean = (h0 + h1 + h2) / 3.0
+apart = sqrt(pow(h0 - mean, 2) + pow(h1 - mean, 2) + pow(h2 - mean, 2))
+vib = 0.2 / 1.4 * (1.0 - pow(apart, 0.2 / 1.4))
+""" + each("mean + (1.1 + vib) * ($ - mean)", "h0 h1 h2")

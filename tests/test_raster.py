@@ -28,7 +28,7 @@ def array(px, h=H, w=W):
     return out
 
 
-@pytest.mark.parametrize("name", ["gaussian", "median", "sharpen", "guided", "atrous", "diffuse", "demosaic_plane", "clahe", "toneequal"])
+@pytest.mark.parametrize("name", ["gaussian", "median", "sharpen", "guided", "atrous", "diffuse", "green_equilibrate", "clahe", "toneequal"])
 def test_tiles_equal_the_whole_image(spark, name):
     a = ramp()
     t = tiles.from_pixels(frame(spark, a), H, W, tile=TILE)
@@ -43,6 +43,37 @@ def test_tiles_round_trip_and_regions(spark):
     assert {(r.ty, r.tx) for r in tiles.region(t, 0, 10, 20, 30, TILE).collect()} == {(0, 1)}
 
 
+def colours(spark, a):
+    return frame(spark, a).withColumn("c1", F.col("c0") * 0.5).withColumn("c2", 1 - F.col("c0"))
+
+
+def stack(px, h, w):
+    out = np.full((h, w, 3), np.nan)
+    for r in px.collect():
+        out[r.y, r.x] = r.c0, r.c1, r.c2
+    return out
+
+
+def test_three_channels_at_once(spark):
+    a = np.stack([ramp(), ramp() * 0.5, 1 - ramp()], axis=-1)
+    t = tiles.from_pixels(colours(spark, ramp()), H, W, ["c0", "c1", "c2"], TILE)
+    for name in ("median", "guided", "color_smoothing"):
+        got = stack(tiles.to_pixels(tiles.run_kernel(t, name, TILE), TILE, ["c0", "c1", "c2"]), H, W)
+        assert np.allclose(got, kernels.KERNELS[name].run(a), atol=1e-9), name
+    mosaic = tiles.from_pixels(frame(spark, ramp()), H, W, tile=TILE)
+    got = stack(tiles.to_pixels(tiles.run_kernel(mosaic, "demosaic", TILE), TILE, ["c0", "c1", "c2"]), H, W)
+    assert np.allclose(got, kernels.demosaic(ramp()), atol=1e-9)
+
+
+@pytest.mark.parametrize(("name", "params"), [("resample", {"scale": 0.3}), ("resample", {"scale": 1.7}), ("rotate", {"degrees": 33.0}), ("lens", {"k1": 0.2}), ("liquify", {}), ("spot", {"dx": -9.0}), ("homography", {"matrix": ((0.9, 0.1, 3), (0.0, 1.1, -2), (0.001, 0, 1))})])
+def test_warped_tiles_equal_the_whole_image(spark, name, params):
+    a = ramp()
+    t = tiles.from_pixels(frame(spark, a), H, W, tile=TILE)
+    whole = kernels.WARPS[name](a, **params)
+    got = array(tiles.to_pixels(tiles.run_warp(t, name, TILE, **params), TILE), *whole.shape)
+    assert np.allclose(got, whole, atol=1e-9)
+
+
 def test_halo_wider_than_a_tile_is_refused(spark):
     with pytest.raises(ValueError):
         tiles.run_kernel(tiles.from_pixels(frame(spark, ramp()), H, W, tile=8), "shadhi", 8)
@@ -53,7 +84,7 @@ def test_kernels_keep_a_flat_image():
     for name in ("gaussian", "box_mean", "median", "sharpen", "bilateral", "guided", "nlmeans", "diffuse", "defringe"):
         assert np.allclose(kernels.KERNELS[name].run(flat), flat, atol=1e-9), name
     assert np.allclose(kernels.demosaic(flat), 0.4)
-    assert np.allclose(kernels.resample(flat, 0.5), 0.4)
+    assert np.allclose(kernels.resample(flat, scale=0.5), 0.4)
 
 
 def test_distance_and_dither():
@@ -119,9 +150,22 @@ def test_pipeline_documents():
         p.move_before("sharpen", "demosaic")
 
 
+def test_orders():
+    """Where the five orders differ."""
+    place = {k: {n: i for i, n in enumerate(v)} for k, v in ORDERS.items()}
+    assert {len(v) for v in ORDERS.values()} == {92} and len({frozenset(v) for v in ORDERS.values()}) == 1 and len({tuple(v) for v in ORDERS.values()}) == 5
+    for k, p in place.items():
+        assert (p["finalscale"] < p["colorout"]) == k.startswith("v5.0")
+        assert (p["colorin"] == p["demosaic"] + 1) == k.endswith("JPEG")
+        assert (p["agx"] < p["sigmoid"]) == (k == "v3.0 JPEG")
+        assert (p["exposure"] < p["lens"]) == (k == "legacy")
+        assert ORDERS[k][0] == "rawprepare" and ORDERS[k][-1] == "gamma"
+    assert ORDERS["v5.0 RAW"][place["v5.0 RAW"]["finalscale"] :][:3] == ["finalscale", "colorout", "clahe"]
+
+
 def test_pipeline_renders(spark):
     a = ramp()
-    df = frame(spark, a).withColumn("c1", F.col("c0") * 0.5).withColumn("c2", 1 - F.col("c0"))
+    df = colours(spark, a)
     p = Pipeline.create(defaults=("exposure",)).set_param("exposure", "exposure", 1.0)
     assert np.allclose(array(p.render(df, H, W)), a * 2)
     p.enable("sharpen")
@@ -129,9 +173,44 @@ def test_pipeline_renders(spark):
     assert np.allclose(whole, kernels.sharpen(a * 2), atol=1e-9)
     part = array(p.render(df, H, W, region=(20, 10, 12, 8), tile=TILE), 8, 12)
     assert np.allclose(part, whole[10:18, 20:32], atol=1e-9)
-    assert p.render(df, H, W, scale=0.25, tile=TILE).count() == 10 * 13
+    for scale in (0.25, 0.7, 1.5):
+        small = kernels.resample(kernels.sharpen(a * 2), scale=scale)
+        assert small.shape == (int(H * scale), int(W * scale))
+        assert np.allclose(array(p.render(df, H, W, scale=scale, tile=TILE), *small.shape), small, atol=1e-9)
+    window = array(p.render(df, H, W, scale=0.7, region=(5, 6, 20, 10), tile=TILE), 7, 14)
+    assert np.allclose(window, kernels.resample(kernels.sharpen(a * 2), scale=0.7)[6:13, 5:19], atol=1e-9)
+    for bad in ({"scale": 0}, {"scale": 0.001}, {"region": (0, 0, 0, 4)}):
+        with pytest.raises(PipelineError):
+            p.render(df, H, W, **bad)
+
+
+def test_every_stage_renders_or_raises(spark):
+    """No enabled stage is passed over: it changes the plan, or says that it can't."""
+    from lumigrid.plans import pipeline
+
+    df = colours(spark, ramp())
+    for name in ORDERS["v5.0 RAW"]:
+        p = Pipeline.create(defaults=(name,))
+        if pipeline._kind(name) is None:
+            with pytest.raises(PipelineError):
+                p.render(df, H, W)
+        else:
+            assert p.render(df, H, W, tile=TILE).columns == ["img_id", "y", "x", "c0", "c1", "c2"]
+    assert {n for n in ORDERS["v5.0 RAW"] if pipeline._kind(n) is None} <= {"rasterfile", "cacorrect", "cacorrectrgb", "overlay", "blurs", "colorequal", "colortransfer", "colormapping", "colorreconstruct", "watermark"}
+
+
+def test_raw_pipeline(spark):
+    """A mosaic through the default stages, against numpy."""
+    a = ramp()
+    p = Pipeline.create().set_param("exposure", "exposure", 1.0)
+    for k, v in (("left", 2), ("top", 4), ("right", 1), ("bottom", 3)):
+        p.set_param("rawprepare", k, v)
+    got = stack(p.render(frame(spark, a), H, W, tile=TILE), H - 7, W - 3)
+    want = np.clip(kernels.demosaic(a[4 : H - 3, 2 : W - 1]) * 2, 0.0031308, None)
+    want = 1.055 * want ** (1 / 2.4) - 0.055
+    assert np.allclose(np.maximum(got, 12.92 * 0.0031308), want, atol=2e-4)
     with pytest.raises(PipelineError):
-        p.render(df, H, W, scale=0)
+        Pipeline.create(defaults=("velvia",)).render(frame(spark, a), H, W)
 
 
 def test_a_chain_of_point_operators_is_one_stage(spark):
