@@ -5,11 +5,13 @@
 2. Two sets at the threshold share at least ``need`` of k sketch values but for a chance of
    MISS. So a node is listed only under its rarest shared values, as many as leave fewer than
    ``need`` (the prefix principle); values that many documents share are hardly ever used.
-3. Nodes that lists connect form clusters: linked nodes are always in one cluster. A cluster is
-   cut into blocks, and every two blocks meet in one place. There the estimate from the union's
-   sketch filters, exact Jaccard on the full sets confirms, and only a spanning forest of the
-   links leaves, so no pairs are ever written out.
-4. Links make the components.
+3. First the lists count every node's overlaps with their heads. Each node meets the one head it
+   shares most values with: the estimate from the union's sketch filters, exact Jaccard on the
+   full sets confirms, and these links make first components.
+4. Only a list whose nodes lie in several components can hold more links. Its nodes outside its
+   largest component meet all its nodes, block by block, as sketches; two nodes of one component
+   never do. What the union's sketch lets through is confirmed on the full sets.
+5. All confirmed links make the components.
 """
 
 from __future__ import annotations
@@ -20,19 +22,20 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, LOWER_BYTES, batch, materialize, slices, task_id, tidy, utf8
-from .graph import components
+from .graph import components, hub_join
 from .words import forget
 
 SKETCH = 48
 #: Chance at most that a link just at the threshold stays unseen.
 MISS = 1e-6
-#: Nodes, and shingles, that make up a block.
-BLOCK_NODES, BLOCK_SHINGLES = 64, 1_500_000
+#: Nodes that make up a block.
+BLOCK_NODES = 256
 ROWS_PER_TASK = 1 << 36
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,102 +93,144 @@ def _fits(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _incidence(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows are sets, columns the values in rising order."""
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    out = np.zeros((len(sets), len(values)), bool)
-    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), where] = True
+def _incidence(sketches: list[np.ndarray]) -> np.ndarray:
+    """Rows are sketches, columns the values in rising order."""
+    values, where = np.unique(np.concatenate(sketches), return_inverse=True)
+    out = np.zeros((len(sketches), len(values)), bool)
+    out[np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), where] = True
     return out
 
 
-def _common(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 16_384) -> np.ndarray:
-    """Sizes of intersections: pair by pair if they are few, else by matrix products over slices of the values."""
-    if len(pairs) <= len(sets):
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs])
-    values, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    place = np.full(len(values), -1)
-    place[counts > 1] = np.arange((counts > 1).sum())  # only values of several sets are common to any
-    column, owner = place[where], owner[place[where] >= 0]
-    column = column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int((counts > 1).sum()), columns):
-        a, b = np.searchsorted(column, [start, start + columns])
-        part = np.zeros((len(sets), columns), np.float32)
-        part[owner[a:b], column[a:b] - start] = 1
-        total += part @ part.T
-    return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
-
-
-def block_links(sets: list[np.ndarray], sides: np.ndarray, two: bool, k: int, need: int, at_least: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a block, or between two blocks if ``two``."""
-    sizes = np.array([len(s) for s in sets])
-    above, below = at_least.numerator, at_least.denominator
-    marks = _incidence([np.sort(s.view(np.int64))[:k] for s in sets])
-    found = []
-    for i in range(len(sets) - 1):
-        rest = slice(i + 1, len(sets))
-        fit = (sizes[rest] * below >= sizes[i] * above) & (sizes[i] * below >= sizes[rest] * above)
-        if two:
-            fit &= sides[rest] != sides[i]
-        others = np.flatnonzero(fit) + i + 1
+def _least(held, need: int, at_least: Fraction):
+    """How many of a union's ``held`` sketch values must be shared."""
+    return np.minimum(need, -(-held * at_least.numerator // at_least.denominator))
+
+
+def block_candidates(base: list[tuple], probes: list[tuple], k: int, need: int, at_least: Fraction) -> list[tuple[int, int]]:
+    """Pairs of a probe and a base row, each (rid, comp, outside, n, sketch), of two components, that their union's sketch lets through. Two rows outside meet once."""
+    marks = _incidence([r[4] for r in base] + [r[4] for r in probes])
+    rid, comp, n = (np.array([r[i] for r in base]) for i in (0, 1, 3))
+    outside = np.array([r[2] for r in base], bool)
+    out = []
+    for i, (own, group, _, size, _) in enumerate(probes):
+        fit = (comp != group) & (n * at_least.denominator >= size * at_least.numerator) & (size * at_least.denominator >= n * at_least.numerator)
+        others = np.flatnonzero(fit & (~outside | (rid > own)))
         if not len(others):
             continue
-        either = marks[others] | marks[i]
+        mine = marks[len(base) + i]
+        either = marks[others] | mine
         low = np.cumsum(either, axis=1) <= k  # the union's sketch
-        shared = (marks[others] & marks[i] & low).sum(axis=1)
-        held = np.minimum(either.sum(axis=1), k)
-        found += [(i, j) for j in others[shared >= np.minimum(need, -(-held * above // below))]]
-    if not found:
-        return []
-    pairs = np.array(found)
-    both = _common(sets, pairs)
-    linked = pairs[below * both >= above * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both)]
-    root = list(range(len(sets)))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in linked.tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            root[b] = a
-            out.append((i, j))
+        shared = (marks[others] & mine & low).sum(axis=1)
+        out += [(own, int(j)) for j in rid[others[shared >= _least(np.minimum(either.sum(axis=1), k), need, at_least)]]]
     return out
 
 
-def _verifier(words: int, k: int, need: int, at_least: Fraction):
-    """Rows sorted by (cluster, lo, hi): the links of each two blocks."""
+def _comparer(k: int, need: int, at_least: Fraction):
+    """Rows sorted by (value, block), a block's own rows before the probes: candidates. A block is in memory, and BLOCK_NODES probes at a time."""
 
     def run(batches):
-        key, rids, sides, sets = None, [], [], []
+        key, base, probes = None, [], []
+
+        def compare():
+            found = block_candidates(base, probes, k, need, at_least) if base and probes else []
+            probes.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            sketches = b.column(b.schema.get_field_index("sketch"))
+            flat, cuts = sketches.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(sketches).to_numpy())])
+            for i, (value, block, probe, *row) in enumerate(zip(*(b.column(c).to_pylist() for c in ("value", "block", "probe", "rid", "comp", "outside", "n")), strict=True)):
+                if key != (value, block):
+                    yield from compare()
+                    key, base = (value, block), []
+                row = (*row, flat[cuts[i] : cuts[i + 1]])
+                if not probe:
+                    base.append(row)
+                    continue
+                probes.append(row)
+                if len(probes) == BLOCK_NODES:
+                    yield from compare()
+        yield from compare()
+        tidy()
+
+    return run
+
 
-        def close():
-            links = block_links(sets, np.array(sides), key[1] != key[2], k, need, at_least) if len(sets) > 1 else []
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([rids[i] for i, _ in links], pa.int64()), pa.array([rids[j] for _, j in links], pa.int64())], names=["a", "b"])
+def _verifier(words: int, at_least: Fraction):
+    """Rows sorted by (a, part), a's own text first: the pairs whose full sets are similar enough. One text of each side is in memory."""
+    above, below = at_least.numerator, at_least.denominator
 
+    def run(batches):
+        head = mine = None
         for whole in batches:
             for b in slices(whole, "text"):
-                for cluster, lo, hi, side, rid, text in zip(*(b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "side", "rid")), utf8(b.column("text")), strict=True):
-                    if key != (cluster, lo, hi):
-                        yield from close() if key else ()
-                        key, rids, sides, sets = (cluster, lo, hi), [], [], []
-                    rids.append(rid)
-                    sides.append(side)
-                    sets.append(shingles(text, words))
-        yield from close() if key else ()
+                links = []
+                for a, rid, text in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), utf8(b.column("text")), strict=True):
+                    own = shingles(text, words)
+                    if rid is None:
+                        head, mine = a, own
+                        continue
+                    assert a == head
+                    both = len(np.intersect1d(mine, own, assume_unique=True))
+                    if below * both >= above * (len(mine) + len(own) - both):
+                        links.append((a, rid))
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
         tidy()
 
     return run
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, words: int, at_least: Fraction, name: str) -> DataFrame:
+    """Of candidate pairs (a, b) those that are linked. A text ``a`` comes once for every BLOCK_NODES of its pairs, a text ``b`` once a pair."""
+    pairs = materialize(pairs, name + "-pairs")
+    heads = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / BLOCK_NODES).cast("int")), name + "-heads")
+    texts = sets.select("rid", "text")
+    asked = hub_join(pairs, heads, "a", "m", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("rid"))
+    members = texts.join(_fits(asked, 20), "rid").select("a", "part", F.col("rid").alias("b"), "text")
+    tops = texts.join(_fits(heads.select(F.col("a").alias("rid"), "parts"), 12), "rid").select(F.col("rid").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "text")
+    met = members.unionByName(tops).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(met.mapInArrow(_verifier(words, at_least), "a long, b long"), name)
+
+
+def _lets_through(one: str, other: str, k: int, need: int, at_least: Fraction):
+    """The estimate from two sketches' union, as an expression."""
+    union = F.slice(F.array_sort(F.array_union(one, other)), 1, k)
+    held = F.size(union)
+    least = F.least(F.lit(need), F.ceil(held * at_least.numerator / at_least.denominator - 1e-9))
+    return F.size(F.array_intersect(F.array_intersect(union, F.col(one)), F.col(other))) >= least
+
+
+def _head_pairs(lists: DataFrame, small: DataFrame, k: int, need: int, at_least: Fraction) -> DataFrame:
+    """(a, b): each node b with the head it shares most lists with, if sizes and sketches let it through."""
+    heads = materialize(lists.groupBy("value").agg(F.min("rid").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "list-heads")
+    overlaps = hub_join(lists, heads, "value", "size", lists.count()).filter("rid > a").groupBy("rid", "a").agg(F.count(F.lit(1)).alias("overlap"))
+    best = materialize(overlaps.groupBy("rid").agg(F.max(F.struct("overlap", (-F.col("a")).alias("minus"))).alias("best")).select("rid", (-F.col("best.minus")).alias("a")), "overlaps")
+    own = best.join(small, "rid")
+    sizes = best.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
+    other = small.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")).join(sizes, "a")
+    both = hub_join(own, other, "a", "m", best.count())
+    above, below = at_least.numerator, at_least.denominator
+    fit = (F.col("n") * below >= F.col("n_a") * above) & (F.col("n_a") * below >= F.col("n") * above)
+    return both.filter(fit).filter(_lets_through("sketch", "sketch_a", k, need, at_least)).select("a", F.col("rid").alias("b"))
+
+
+def _rest_pairs(lists: DataFrame, comps: DataFrame, small: DataFrame, k: int, need: int, at_least: Fraction) -> DataFrame:
+    """(a, b): candidates in lists whose nodes lie in several components, between components."""
+    placed = lists.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    placed = materialize(placed, "placed")
+    by_comp = placed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_comp.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    mixed = materialize(mixed.select("value", F.col("most.comp").alias("main"), "size", F.ceil(F.col("size") / BLOCK_NODES).cast("int").alias("blocks")), "mixed-lists")
+    rows = materialize(hub_join(placed, mixed, "value", "size", placed.count()).select("value", "rid", "comp", (F.col("comp") != F.col("main")).alias("outside"), "blocks"), "mixed-rows")
+    rows = small.join(rows, "rid")
+    base = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("probe", F.lit(False))
+    probes = rows.filter("outside").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("probe", F.lit(True))
+    met = base.unionByName(probes).drop("blocks").repartition("value", "block").sortWithinPartitions("value", "block", "probe")
+    return met.mapInArrow(_comparer(k, need, at_least), "a long, b long").distinct()
+
+
 def _lists(sketches: DataFrame, k: int, need: int, at_least: Fraction) -> DataFrame:
     """(value, rid): each node under its rarest shared values. Sets that fit a sketch whole, and whose partners do, need their exact overlap."""
     each = sketches.select("rid", "n", F.explode("sketch").alias("value"))
@@ -211,20 +256,13 @@ def near_groups(docs: DataFrame, words: int = 5, at_least: Fraction = Fraction(4
     flat = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(flat.mapInArrow(_sketcher(words, k), "doc_id long, text string, rid long, n long, same binary, sketch array<long>"), "sets")
     nodes = materialize(sets.filter("n > 0").groupBy("same").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")), "nodes")
-    small = sets.select("rid", "n", "sketch").join(_fits(nodes.select("rid"), 8), "rid", "left_semi")
+    small = materialize(sets.select("rid", "n", "sketch").join(_fits(nodes.select("rid"), 8), "rid", "left_semi"), "sketches")
     lists = materialize(_lists(small, k, need, at_least), "lists")
+    small = small.join(_fits(lists.select("rid").distinct(), 8), "rid", "left_semi")
 
-    heads = lists.groupBy("value").agg(F.min("rid").alias("a"))
-    clusters = components(materialize(lists.join(heads, "value").where("rid > a").select("a", F.col("rid").alias("b")).distinct(), "listed"))
-    members = clusters.select(F.col("node").alias("rid"), F.col("comp").alias("cluster")).join(sets.select("rid", "n"), "rid")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = materialize(members.join(blocks, "cluster").select("rid", "cluster", "blocks", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("side")), "blocks")
-    texts = sets.select("rid", "text").join(_fits(placed, 24), "rid")
-    met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rid", "text")
-    met = met.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    links = materialize(met.mapInArrow(_verifier(words, k, need, at_least), "a long, b long"), "links")
-    comps = components(links)
+    first = _confirmed(_head_pairs(lists, small, k, need, at_least), sets, words, at_least, "head-links")
+    rest = _confirmed(_rest_pairs(lists, components(first), small, k, need, at_least), sets, words, at_least, "rest-links")
+    comps = components(first.unionByName(rest))
 
     smallest = nodes.join(comps, nodes.rid == comps.node).groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = comps.join(smallest, "comp").select(F.col("node").alias("rid"), "component_id")
