@@ -6,8 +6,9 @@ are filled with the longest fitting whole pieces of shorter tiers, and at last w
 every sequence is exactly as long as its tier. Sequences of one tier are dealt into step groups
 of equal token count whose attention cost (the sum of squared piece lengths) is balanced.
 
-Each task packs its own rows, so nothing is shuffled; what a buffer leaves over is carried to the
-next one, and a task's tail is cut along the binary digits of its length. No sequence is padded.
+Each task packs its own rows, so nothing is shuffled; what a buffer leaves over, pieces as well as
+sequences that make no whole group, is carried to the next one, and a task's tail is cut along the
+binary digits of its length. No sequence is padded.
 """
 
 from __future__ import annotations
@@ -93,27 +94,41 @@ class Packer:
             self.full.append(sequence)
         self.docs = self.tokens = 0
 
-    def rows(self) -> pa.RecordBatch | None:
-        """The closed sequences' pieces. Within a tier, sequences of falling cost are dealt to the steps back and forth."""
+    def rows(self, last: bool = False) -> pa.RecordBatch | None:
+        """The pieces of whole step groups. A tier's sequences of falling cost are dealt to its groups back and forth.
+
+        What makes no whole group waits for the next buffer; with ``last``, what all tiers have left is
+        put together from the longest sequence to the shortest, so that only the last group is short.
+        """
         out = []
         by_tier: dict[int, list] = {}
         for s in self.full:
             by_tier.setdefault(sum(p[0] for p in s), []).append(s)
         self.full = []
         for tier, sequences in sorted(by_tier.items()):
-            sequences.sort(key=lambda s: -sum(p[0] ** 2 for p in s))
-            groups = -(-len(sequences) * tier // self.step_tokens)
-            for i, s in enumerate(sequences):
+            groups = len(sequences) * tier // self.step_tokens
+            dealt = groups * self.step_tokens // tier
+            self.full += sequences[dealt:]
+            for i, s in enumerate(sorted(sequences[:dealt], key=lambda s: -sum(p[0] ** 2 for p in s))):
                 turn, place = divmod(i, groups)
-                step = self.steps + (groups - 1 - place if turn % 2 else place)
-                offset, number = 0, self.task * SEQUENCES_PER_TASK + self.sequences
-                self.sequences += 1
-                for length, _, doc_id, ids, start in s:
-                    out.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, number, offset, tier, self.task * SEQUENCES_PER_TASK + step))
-                    offset += length
+                self._emit(out, s, tier, self.steps + (groups - 1 - place if turn % 2 else place))
             self.steps += groups
+        if last:
+            held = 0
+            for s in sorted(self.full, key=lambda s: -sum(p[0] for p in s)):  # powers of two, so groups fill exactly
+                size = sum(p[0] for p in s)
+                self._emit(out, s, size, self.steps + held // self.step_tokens)
+                held += size
+            self.full = []
         return batch(_PIECES, *zip(*out, strict=True)) if out else None
 
+    def _emit(self, out: list, sequence: list[tuple], tier: int, step: int) -> None:
+        offset, number = 0, self.task * SEQUENCES_PER_TASK + self.sequences
+        self.sequences += 1
+        for length, _, doc_id, ids, start in sequence:
+            out.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, number, offset, tier, self.task * SEQUENCES_PER_TASK + step))
+            offset += length
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
@@ -222,7 +237,7 @@ def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: i
                         if (out := packer.rows()) is not None:
                             yield out
         packer.pack(last=True)
-        if (out := packer.rows()) is not None:
+        if (out := packer.rows(last=True)) is not None:
             yield out
         del packer
         tidy()
@@ -233,10 +248,13 @@ def _packer(vocabulary: str, end_id: int, tiers: tuple[int, ...], step_tokens: i
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``tiers`` are powers of two, rising. A null or empty text is the end id alone; a null doc_id is
-    kept; repeated rows are packed as often as they occur; an empty table gives no pieces.
+    ``tiers`` are powers of two, rising, and so is ``step_tokens``. A null or empty text is the end id
+    alone; a null doc_id is kept; repeated rows are packed as often as they occur; a text longer than
+    the longest tier is cut into windows of it, all from one array of its ids. Pieces of equal length
+    go in the order of the rows. Other columns are not read, whatever their names; an empty table
+    gives no pieces. Every step group of a task but its last holds exactly ``step_tokens``.
     """
-    if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(set(tiers)):
-        raise ValueError("tiers must be rising powers of two")
+    if any(t & (t - 1) for t in (*tiers, step_tokens)) or list(tiers) != sorted(set(tiers)) or step_tokens < tiers[-1]:
+        raise ValueError("tiers must be rising powers of two, and steps one that is no less")
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
     return id_text(docs, id_col, text_col).mapInArrow(_packer(vocabulary, end_id, tuple(tiers), step_tokens), kinds)
