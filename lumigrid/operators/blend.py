@@ -113,6 +113,30 @@ def gradient(cx: float, cy: float, rotation: float, extent: float, out: str = "m
     return Plan().let(**{out: clamp(f"0.5 - ((x - {num(cx)}) * {num(s)} + (y - {num(cy)}) * {num(c)}) / {num(2 * extent)}")})
 
 
+def _off(a: tuple[float, float], b: tuple[float, float]) -> str:
+    """The distance from a pixel to a line's nearest place."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = clamp(f"((x - {num(a[0])}) * {num(dx)} + (y - {num(a[1])}) * {num(dy)}) / {num(max(dx * dx + dy * dy, 1e-12))}")
+    return f"sqrt(power(x - {num(a[0])} - {t} * {num(dx)}, 2) + power(y - {num(a[1])} - {t} * {num(dy)}, 2))"
+
+
+def path(points, feather: float, out: str = "m") -> Plan:
+    """A closed path: one inside (even-odd), a squared ramp over ``feather`` pixels outside. Points are straight between."""
+    edges = list(zip(points, [*points[1:], points[0]], strict=True))
+    crossed = " + ".join(f"CASE WHEN ({num(a[1])} > y) <> ({num(b[1])} > y) AND x < {num(a[0])} + (y - {num(a[1])}) * {num((b[0] - a[0]) / (b[1] - a[1]))} THEN 1 ELSE 0 END" for a, b in edges if a[1] != b[1]) or "0"
+    ramp = f"power({clamp(f'1 - near / {num(feather)}')}, 2)" if feather > 0 else num(0.0)
+    near = f"least({', '.join(_off(a, b) for a, b in edges)})"
+    return Plan().let(near=near, crossed=crossed).let(**{out: f"CASE WHEN crossed % 2 = 1 THEN {num(1.0)} ELSE {ramp} END"})
+
+
+def brush(points, radius: float, hardness: float, out: str = "m") -> Plan:
+    """A stroke: one up to the hard part of its radius, a ramp to its edge."""
+    lines = list(zip(points, points[1:], strict=False)) or [(points[0], points[0])]
+    ways = [_off(a, b) for a, b in lines]
+    near = f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+    return Plan().let(near=near).let(**{out: clamp(f"({num(radius)} - near) / {num(max(radius * (1 - hardness), 1e-9))}")})
+
+
 #: How a group takes in another mask: d so far, s the new one (opacity and inversion applied).
 COMBINE = {
     "union": "greatest(d, s)", "intersection": "least(d, s)", "difference": "CASE WHEN d > 0 AND s > 0 THEN d * (1 - s) ELSE d END", "sum": "least(CAST(1 AS DOUBLE), d + s)",

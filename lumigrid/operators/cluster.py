@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..durable import materialize
 
 
-def grid_dbscan(points: DataFrame, eps: float, least: int = 2, x: str = "longitude", y: str = "latitude", share: float = 0.66, rounds: int = 64) -> DataFrame:
+def grid_dbscan(points: DataFrame, eps: float, least: int = 2, x: str = "longitude", y: str = "latitude", share: float = 0.66) -> DataFrame:
     """points with ``cluster`` (null: noise).
 
     Points fall into cells of ``share`` x eps. A cell is core if it holds ``least`` - 1 points or more,
@@ -26,7 +26,7 @@ def grid_dbscan(points: DataFrame, eps: float, least: int = 2, x: str = "longitu
     core = counts.join(sums, ["_cx", "_cy"]).where((F.col("n") >= least - 1) | (F.col("near") >= least)).select("_cx", "_cy")
     key = F.struct("_cx", "_cy")
     labels = materialize(core.withColumn("label", key), "cells")
-    for _ in range(rounds):
+    while True:  # a label only ever falls, so it ends
         pushed = spread(labels.select("*", around), "label").groupBy("_cx", "_cy").agg(F.min("label").alias("best"))
         step = labels.join(pushed, ["_cx", "_cy"]).select("_cx", "_cy", F.least("label", "best").alias("label"), (F.col("best") < F.col("label")).alias("moved"))
         # jump: a label's own cell may know a smaller one

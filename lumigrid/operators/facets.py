@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank
 from ..plans.catalog import DAY, LOCAL_COPY, Catalog, bits, rating
 
 def N() -> Column:  # noqa: N802
@@ -214,18 +215,39 @@ def subtree(catalog: Catalog, root: str) -> DataFrame:
     return tags.join(catalog["tagged_images"], "tagid", "left").agg(F.countDistinct("tagid").alias("n_tags"), F.countDistinct("imgid").alias("n_images"))
 
 
-def suggestions(catalog: Catalog, selected: DataFrame, confidence: int = 50) -> DataFrame:
-    """Tags that go with a selected image's tags: shared / (own count - shared count elsewhere), in whole percent.
+def suggestions(catalog: Catalog, selected: DataFrame, confidence: int = 50, recent: tuple[str, ...] = (), most_recent: int = 20) -> DataFrame:
+    """(tagid, n, n_selected): tags that go with the selected images' tags, and recently used ones.
 
-    The self-join runs over the links of images that share a tag with the selection; tags already
-    on every selected image are left out.
+    A tag goes with another one of the selection if the images that hold both are, in whole percent,
+    at least ``confidence`` of the images outside the selection that hold the other. Internal tags and
+    tags on every selected image are left out. Of the recent names the first ``most_recent`` by name
+    are offered whatever they go with. The self-join runs over images that share a tag with the selection.
     """
-    links = catalog["tagged_images"].select("imgid", "tagid")
+    user = catalog.user_tags().select(F.col("id").alias("tagid"), "name")
+    links = catalog["tagged_images"].select("imgid", "tagid").join(user.select("tagid"), "tagid", "left_semi")
     chosen = selected.select("imgid").distinct()
-    on_selected = links.join(chosen, "imgid", "left_semi").groupBy(F.col("tagid").alias("tag1")).agg(F.count(F.lit(1)).alias("n_selected"))
-    counts = links.groupBy("tagid").agg(F.count(F.lit(1)).alias("count"))
-    pairs = links.withColumnRenamed("tagid", "tag1").join(on_selected, "tag1", "left_semi").join(links.withColumnRenamed("tagid", "tag2"), "imgid").where("tag1 <> tag2").groupBy("tag1", "tag2").agg(F.count(F.lit(1)).alias("c12"))
-    scored = pairs.join(counts.toDF("tag1", "count1"), "tag1").select("tag1", "tag2", "c12", F.expr("100 * c12 div count1").alias("confidence")).where(F.col("confidence") >= confidence)
     total = chosen.agg(F.count(F.lit(1)).alias("total"))
-    everywhere = on_selected.crossJoin(F.broadcast(total)).where("n_selected = total").select(F.col("tag1").alias("tag2"))  # total is one row
-    return scored.join(everywhere, "tag2", "left_anti").groupBy(F.col("tag2").alias("tagid")).agg(F.max("confidence").alias("confidence"))
+    marked = links.join(chosen.withColumn("_s", F.lit(1)), "imgid", "left")
+    counts = marked.groupBy("tagid").agg(N(), F.count("_s").alias("n_selected")).crossJoin(F.broadcast(total))  # total is one row
+    firsts = counts.where("n_selected > 0 and n <> n_selected").select(F.col("tagid").alias("tag1"), (F.col("n") - F.col("n_selected")).alias("outside"))
+    pairs = links.withColumnRenamed("tagid", "tag1").join(firsts.select("tag1"), "tag1", "left_semi").join(links.withColumnRenamed("tagid", "tag2"), "imgid").where("tag1 <> tag2")
+    shared = pairs.groupBy("tag1", "tag2").agg(F.count(F.lit(1)).alias("both"))
+    going = shared.join(firsts, "tag1").where(F.expr("100 * both div outside") >= confidence).select(F.col("tag2").alias("tagid"))
+    free = counts.where("n_selected <> total").select("tagid", "n", "n_selected")
+    used = user.where(F.col("name").isin(*recent)).join(free, "tagid", "left_semi").orderBy("name", "tagid").limit(most_recent).select("tagid")
+    return free.join(going.union(used).distinct(), "tagid", "left_semi")
+
+
+def tag_list(catalog: Catalog, by: str = "path") -> DataFrame:
+    """(tagid, name, n, place): all tags in order, by path (children right behind their parent), by their last part, or the most used first."""
+    counts = catalog["tagged_images"].groupBy("tagid").agg(N())
+    rows = catalog["tags"].select(F.col("id").alias("tagid"), "name").join(counts, "tagid", "left").select("tagid", "name", F.coalesce("n", F.lit(0)).alias("n"))
+    path = F.replace("name", F.lit("|"), F.lit("\x01"))
+    keys = {"path": [path], "leaf": [F.element_at(F.split("name", r"\|"), -1), path], "count": [F.col("n").desc(), path]}[by]
+    return global_rank(rows, [*keys, F.col("tagid")], "place")
+
+
+def all_bounds(images: DataFrame, columns: list[str]) -> DataFrame:
+    """(filter, low, high): the ends of every filter's range, in one pass."""
+    ends = images.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))))
+    return ends.select(F.inline(F.array(*(F.struct(F.lit(c).alias("filter"), F.col(f"low_{c}").alias("low"), F.col(f"high_{c}").alias("high")) for c in columns))))

@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 from ..durable import materialize
 
 EARTH = 6_378_100.0  # metres
+#: Rows, counted, up to which a side of a join may be broadcast.
+SMALL_ROWS = 50_000
+DAY = 86_400_000_000  # microseconds
 
 
 def interval_join(facts: DataFrame, point: str, intervals: DataFrame, low: str, high: str, width: float, extra: Column | None = None, most_buckets: int = 64) -> DataFrame:
     """facts whose ``point`` lies in [low, high], as an equi-join on buckets of ``width``.
 
-    An interval over up to ``most_buckets`` buckets is listed under each of them, so the join
-    shuffles (or broadcasts, if Spark finds one side small) and never compares all with all. Wider
-    intervals are cut along a coarser grid: widths grow by powers of ``most_buckets`` until they fit.
+    An interval over up to ``most_buckets`` buckets is listed under each of them, so the join never
+    compares all with all. Wider intervals are cut along a coarser grid: widths grow by powers of
+    ``most_buckets`` until they fit. Facts are read once, and stay where they are if the intervals'
+    counted rows are within SMALL_ROWS, so that a bucket of many facts is no hot key.
     """
     span = (F.floor(F.col(high) / width) - F.floor(F.col(low) / width) + 1).cast("double")
     level = F.greatest(F.ceil(F.log(F.greatest(span, F.lit(1.0))) / F.log(F.lit(float(most_buckets))) - 1e-9).cast("int") - 1, F.lit(0))
     wide = intervals.where(F.col(low) <= F.col(high)).withColumn("_level", level)
     grid = F.lit(width) * F.pow(F.lit(float(most_buckets)), F.col("_level"))
     wide = wide.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / grid).cast("long"), F.floor(F.col(high) / grid).cast("long"))))
-    levels = [r[0] for r in wide.select("_level").distinct().orderBy("_level").collect()]  # a handful: the logarithm of the widest span
-    points = reduce(DataFrame.unionByName, (facts.withColumn("_level", F.lit(n)).withColumn("_bucket", F.floor(F.col(point) / (width * most_buckets**n)).cast("long")) for n in levels), facts.limit(0).withColumn("_level", F.lit(0)).withColumn("_bucket", F.lit(0).cast("long")))
+    sizes = {r[0]: r[1] for r in wide.groupBy("_level").count().collect()}  # a handful: the logarithm of the widest span
+    if not sizes:
+        return facts.join(intervals, F.lit(False))
+    places = F.array(*(F.struct(F.lit(n).alias("_level"), F.floor(F.col(point) / (width * most_buckets**n)).cast("long").alias("_bucket")) for n in sorted(sizes)))
+    points = facts.select("*", F.inline(places))
+    wide = F.broadcast(wide) if sum(sizes.values()) <= SMALL_ROWS else wide
     out = points.join(wide, ["_level", "_bucket"]).where(F.col(point).between(F.col(low), F.col(high)))
     out = out.where(extra) if extra is not None else out
     return out.drop("_level", "_bucket")
@@ -96,36 +104,52 @@ def along_great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column, p
     return F.degrees(F.atan2(z, F.sqrt(x * x + y * y))), F.degrees(F.atan2(y, x))
 
 
-def as_of_track(images: DataFrame, track: DataFrame, by: list[str] | None = None, near: float = 10_000.0) -> DataFrame:
-    """Where an image was taken: its time (``t``) between two points of a track (t, lat, lon).
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def as_of_track(images: DataFrame, track: DataFrame, by: list[str] | None = None, near: float = 10_000.0, span: int = DAY) -> DataFrame:
+    """Where an image was taken: its time (``t``, microseconds) between two points of a track (t, lat, lon).
 
     Columns id, t, lat, lon, found. Between points closer than ``near`` metres the way is straight,
     else a great circle; outside the track the end point serves and found is false. With ``by``
-    tracks are separate per key. Points and images meet in one sorted pass: no pair is ever built.
+    tracks are separate per key. Time is cut into spans; points and images of a span meet in one
+    sorted pass, and the last point before and the first one after each span are carried into it, so
+    neither a long track nor one without keys lands in one task. Points of one time rank by place.
     """
     by = by or []
-    point = F.struct("t", "lat", "lon").alias("point")
-    points = track.select(*by, F.col("t"), point, F.lit(None).cast("long").alias("id"), F.lit(0).alias("_kind"))
-    wanted = images.select(*by, "t", F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), F.col("id").cast("long"), F.lit(1).alias("_kind"))
+    bin_ = F.floor(F.col("t") / span).alias("_bin")
+    point = F.struct(F.col("t").cast("long").alias("t"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias("point")
+    points = track.select(*by, bin_, F.col("t").cast("long").alias("t"), point, F.lit(None).cast("long").alias("id"), F.lit(0).alias("_kind"))
+    wanted = images.select(*by, bin_, F.col("t").cast("long").alias("t"), F.lit(None).cast(dict(points.dtypes)["point"]).alias("point"), F.col("id").cast("long"), F.lit(1).alias("_kind"))
     rows = points.unionByName(wanted)
-    w = Window.partitionBy(*by).orderBy("t", "_kind")
+    spans = rows.groupBy(*by, "_bin").agg(F.min("point").alias("_first"), F.max("point").alias("_last"))  # a row for each span
+    w = Window.partitionBy(*by).orderBy("_bin")
+    spans = spans.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bin").alias("_at"), F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_coming"))
+    w = Window.partitionBy(*by, "_bin").orderBy("t", "_kind", "point")
     before = F.last("point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("point", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    out = rows.withColumn("a", before).withColumn("b", after).where("_kind = 1")
-    a, b, t = F.col("a"), F.col("b"), F.col("t")
-    # layer by layer, so that no expression is written out twice in generated code
-    out = out.select(*by, "id", "t", a["t"].alias("_t0"), a["lat"].alias("_lat0"), a["lon"].alias("_lon0"), b["t"].alias("_t1"), b["lat"].alias("_lat1"), b["lon"].alias("_lon1"))
-    part = F.when(F.col("_t1") == F.col("_t0"), F.lit(0.0)).otherwise((t - F.col("_t0")) / (F.col("_t1") - F.col("_t0")))
-    ends = [F.col(c) for c in ("_lat0", "_lon0", "_lat1", "_lon1")]
-    out = out.withColumns({"_part": part, "_way": haversine(*ends), "_exact": F.coalesce(F.col("_t0") == t, F.lit(False)), "_inside": F.col("_t0").isNotNull() & F.col("_t1").isNotNull()})
-    out = out.withColumn("_far", F.col("_way") >= near)
-    near_rows, far_rows = out.where("_far is null or not _far or not _inside"), out.where("_far and _inside")
-    straight = lambda c: F.when(F.col("_exact"), F.col(f"_{c}0")).when(~F.col("_inside"), F.coalesce(f"_{c}0", f"_{c}1")).otherwise(F.col(f"_{c}0") + (F.col(f"_{c}1") - F.col(f"_{c}0")) * F.col("_part"))
-    keys = [*by, "id", "t"]
-    found = (F.col("_exact") | F.col("_inside")).alias("found")
-    lat, lon = along_great_circle(*ends, F.col("_part"))
-    bent = far_rows.select(*keys, F.when(F.col("_exact"), F.col("_lat0")).otherwise(lat).alias("lat"), F.when(F.col("_exact"), F.col("_lon0")).otherwise(lon).alias("lon"), found)
-    return near_rows.select(*keys, straight("lat").alias("lat"), straight("lon").alias("lon"), found).unionByName(bent)
+    met = rows.withColumn("_a", before).withColumn("_b", after).where("_kind = 1")
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_bin").eqNullSafe(F.col("_at")))
+    out = met.join(spans, same, "left").withColumn("_a", F.coalesce("_a", "_carried")).withColumn("_b", F.coalesce("_b", "_coming"))
+
+    def between(s):
+        a, b, t = s["a"], s["b"], s["t"]
+        part = F.when(b["t"] == a["t"], F.lit(0.0)).otherwise((t - a["t"]) / (b["t"] - a["t"]))
+
+        def along(m):
+            lat, lon = along_great_circle(a["lat"], a["lon"], b["lat"], b["lon"], m["part"])
+            straight = lambda c: a[c] + (b[c] - a[c]) * m["part"]
+            return F.when(m["way"] < near, F.struct(straight("lat").alias("lat"), straight("lon").alias("lon"))).otherwise(F.struct(lat.alias("lat"), lon.alias("lon")))
+
+        place = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))
+        measured = F.struct(part.alias("part"), haversine(a["lat"], a["lon"], b["lat"], b["lon"]).alias("way"))
+        return F.when(a["t"] == t, place(a)).when(a.isNull(), place(b)).when(b.isNull(), place(a)).otherwise(_bound(measured, along))
+
+    found = F.coalesce((F.col("_a.t") == F.col("t")) | (F.col("_a").isNotNull() & F.col("_b").isNotNull()), F.lit(False))
+    out = out.select(*by, "id", "t", _bound(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("t").alias("t")), between).alias("_place"), found.alias("found"))
+    return out.select(*by, "id", "t", "_place.lat", "_place.lon", "found")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, source: str = "imgid", target: str = "overlay_id", most_rounds: int = 1_000) -> DataFrame:
@@ -137,9 +161,9 @@ def reachable(edges: DataFrame, starts: DataFrame, source: str = "imgid", target
         step = frontier.join(edges, F.col("node") == F.col("_from")).select("start", F.col("_to").alias("node")).distinct()
         frontier = write(step.join(seen, ["start", "node"], "left_anti"))
         if not frontier.limit(1).count():
-            break
+            return seen
         seen = write(seen.unionByName(frontier))
-    return seen
+    raise RuntimeError(f"paths longer than {most_rounds}")
 
 
 def would_cycle(edges: DataFrame, image: int, overlay: int) -> bool:
@@ -151,9 +175,9 @@ def would_cycle(edges: DataFrame, image: int, overlay: int) -> bool:
 
 
 def duplicates(images: DataFrame) -> DataFrame:
-    """Pairs (id, twin) with one file name in one film roll, the smaller id first."""
-    a = images.select("filename", "film_id", "id")
-    return a.join(a.withColumnRenamed("id", "twin"), ["filename", "film_id"]).where("id < twin").select("id", "twin")
+    """(id, first_id, n): every image whose file name occurs again in its film roll, the first of them, and how many they are. Groups, not pairs, so the result grows with the images."""
+    groups = images.groupBy("filename", "film_id").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return images.select("filename", "film_id", "id").join(groups, ["filename", "film_id"]).select("id", "first_id", "n")
 
 
 def orphans(parents: DataFrame, key: str, children: DataFrame, reference: str) -> DataFrame:

@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def histogram(pixels: DataFrame, channels: list[str], bins: int = 256, keys: list[str] | None = None) -> DataFrame:
-    """(keys, channel, bin, n): bin = trunc((bins - 1) v), clamped. One pass: pixels are unpivoted inside the partial aggregate."""
-    keys = keys or []
-    value = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels))).alias("s")
+def histogram(pixels: DataFrame, channels: list[str], bins: int = 256, keys: list[str] | None = None, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(keys, channel, bin, n): bin = trunc((bins - 1) v), clamped, with v from 0 to 1 over the channel's range. One pass: pixels are unpivoted inside the partial aggregate."""
+    keys, ranges = keys or [], ranges or {}
+    scaled = {c: (F.col(c) - ranges[c][0]) / (ranges[c][1] - ranges[c][0]) if c in ranges else F.col(c) for c in channels}
+    value = F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), scaled[c].alias("v")) for c in channels))).alias("s")
     rows = pixels.select(*keys, value).select(*keys, "s.channel", F.greatest(F.lit(0), F.least(F.lit(bins - 1), (F.col("s.v") * (bins - 1)).cast("int"))).alias("bin"))
     return rows.groupBy(*keys, "channel", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Ranges of the channels in spaces other than RGB.
+LAB_RANGES = {"c0": (0.0, 100.0), "c1": (-128.0, 128.0), "c2": (-128.0, 128.0)}
+LCH_RANGES = {"c0": (0.0, 100.0), "c1": (0.0, 128.0 * 2**0.5), "c2": (0.0, 1.0)}
+
+
 def picker(pixels: DataFrame, channels: list[str], box: tuple[float, float, float, float]) -> DataFrame:
     """(channel, mean, low, high, n) inside x0, y0, x1, y1 (the far edges excluded)."""
     x0, y0, x1, y1 = box
@@ -25,11 +31,19 @@ def picker(pixels: DataFrame, channels: list[str], box: tuple[float, float, floa
     return reduce(DataFrame.unionAll, parts)
 
 
-def deflicker_ev(pixels: DataFrame, channel: str = "c0", percentile: float = 0.5, target_ev: float = -4.0, keys: list[str] | None = None) -> DataFrame:
-    """The exposure, in stops, that brings a percentile of each image to a level."""
-    agg = F.percentile_approx(channel, percentile, 10_000).alias("_p")
-    rows = pixels.groupBy(*keys).agg(agg) if keys else pixels.agg(agg)
-    return rows.withColumn("ev", F.lit(target_ev) - F.log2(F.greatest("_p", F.lit(2.0**-16)))).drop("_p")
+def deflicker_ev(pixels: DataFrame, channel: str = "c0", percentile: float = 50.0, target_ev: float = -4.0, keys: list[str] | None = None, levels: int = 16_384) -> DataFrame:
+    """(keys, ev): the stops that bring a percentile of each image's values (in [0, 1], counted in ``levels``) to a level below white."""
+    from pyspark.sql import Window
+
+    keys = keys or []
+    level = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.floor(F.col(channel) * levels).cast("int")))
+    counts = pixels.groupBy(*keys, level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))  # at most ``levels`` rows an image
+    over = Window.partitionBy(*keys)
+    so_far = F.sum("_n").over(over.orderBy("_level").rowsBetween(Window.unboundedPreceding, 0))
+    reached = counts.select(*keys, "_level", so_far.alias("_below"), F.sum("_n").over(over).alias("_all")).where(F.col("_below") >= F.col("_all") * percentile / 100)
+    first = F.min("_level")
+    agg = (F.lit(target_ev) + F.log2(F.lit(float(levels))) - F.log2(F.greatest(first, F.lit(1)))).alias("ev")
+    return reached.groupBy(*keys).agg(agg) if keys else reached.agg(agg)
 
 
 def block_average(pixels: DataFrame, factor: int, channels: list[str], keys: list[str] | None = None) -> DataFrame:

@@ -26,6 +26,14 @@ def _dim(table: str, key: str, name: str = "coalesce(trim(name), '')") -> tuple:
 
 
 _STATE = "CASE WHEN h.imgid IS NULL THEN 0 WHEN current_hash IS NOT DISTINCT FROM basic_hash THEN 1 WHEN current_hash IS NOT DISTINCT FROM auto_hash THEN 3 ELSE 2 END"
+_RANGES = ["aperture", "exposure", "exposure_bias", "focal_length", "iso", "aspect_ratio", "datetime_taken", "import_timestamp", "change_timestamp", "export_timestamp", "print_timestamp"]
+_TAG_LIST = "SELECT tagid, name, n, row_number() OVER (ORDER BY {}, tagid) AS place FROM (SELECT t.id AS tagid, name, (SELECT count(*) FROM tagged_images ti WHERE ti.tagid = t.id) AS n FROM tags t)"
+_SUGGESTED = """, links AS (SELECT DISTINCT ti.imgid, ti.tagid FROM tagged_images ti JOIN tags t ON t.id = ti.tagid WHERE t.name NOT LIKE 'internal|%'),
+taglist AS (SELECT tagid AS id, count(imgid) AS count, count(CASE WHEN imgid IN (SELECT imgid FROM selected_images) THEN 1 END) AS count2 FROM links GROUP BY tagid),
+pairs AS (SELECT a.tagid AS tagid1, b.tagid AS tagid2, count(*) AS c12 FROM links a JOIN taglist t0 ON t0.id = a.tagid AND t0.count2 > 0 JOIN links b ON b.imgid = a.imgid AND b.tagid <> a.tagid GROUP BY 1, 2),
+found AS (SELECT tagid2 FROM pairs JOIN taglist t1 ON t1.id = tagid1 JOIN taglist t2 ON t2.id = tagid2 WHERE t1.count - t1.count2 <> 0 AND 100 * c12 // (t1.count - t1.count2) >= 4 AND t2.count2 <> (SELECT count(*) FROM selected_images)
+  UNION SELECT t.id FROM tags t JOIN taglist t2 ON t2.id = t.id WHERE t.name IN ('Places|City4', 'Places|City54') AND t2.count2 <> (SELECT count(*) FROM selected_images))
+SELECT id AS tagid, count AS n, count2 AS n_selected FROM taglist WHERE id IN (SELECT tagid2 FROM found)"""
 _FACETS = {
     "folder": (facets.folder, ("film_rolls",), f"SELECT folder, film_id, count(*) AS n FROM {_BASE} JOIN film_rolls f ON f.id = film_id GROUP BY folder, film_id"),
     "tag": (facets.tag, ("tags", "tagged_images"), f"SELECT name, count(*) AS n FROM {_BASE} JOIN tagged_images ti ON ti.imgid = i.id JOIN tags t ON t.id = ti.tagid WHERE name NOT LIKE 'internal|%' GROUP BY name, t.id UNION ALL SELECT NULL, count(*) FROM {_BASE} WHERE id NOT IN (SELECT imgid FROM tagged_images ti JOIN tags t ON t.id = ti.tagid WHERE name NOT LIKE 'internal|%')"),
@@ -56,8 +64,11 @@ _FACETS = {
     "attached_tags": (lambda i, c: facets.attached(c, c["selected_images"].where("imgid < 50")), ("tagged_images", "selected_images"), "SELECT tagid, count(DISTINCT ti.imgid) AS n, CASE WHEN count(DISTINCT ti.imgid) = (SELECT count(*) FROM selected_images WHERE imgid < 50) THEN 'all' ELSE 'some' END AS state FROM tagged_images ti JOIN selected_images s ON s.imgid = ti.imgid WHERE s.imgid < 50 GROUP BY 1"),
     "attached_tags_all": (lambda i, c: facets.attached(c, c["selected_images"]), ("tagged_images", "selected_images"), "SELECT tagid, count(DISTINCT ti.imgid) AS n, CASE WHEN count(DISTINCT ti.imgid) = (SELECT count(*) FROM selected_images) THEN 'all' ELSE 'some' END AS state FROM tagged_images ti JOIN selected_images s ON s.imgid = ti.imgid GROUP BY 1"),
     "tag_subtree": (lambda i, c: facets.subtree(c, "Brand#1"), ("tags", "tagged_images"), "SELECT count(DISTINCT t.id) AS n_tags, count(DISTINCT imgid) AS n_images FROM tags t LEFT JOIN tagged_images ti ON ti.tagid = t.id WHERE name = 'Brand#1' OR name LIKE 'Brand#1|%'"),
-    "tag_suggestions": (lambda i, c: facets.suggestions(c, c["selected_images"].where("imgid < 50"), 4), ("tagged_images", "selected_images"), "SELECT tag2 AS tagid, max(confidence) AS confidence FROM (SELECT a.tagid AS tag1, b.tagid AS tag2, 100 * count(*) // (SELECT count(*) FROM tagged_images x WHERE x.tagid = a.tagid) AS confidence FROM tagged_images a JOIN tagged_images b ON a.imgid = b.imgid AND a.tagid <> b.tagid WHERE a.tagid IN (SELECT tagid FROM tagged_images JOIN selected_images USING (imgid) WHERE imgid < 50) GROUP BY 1, 2) WHERE confidence >= 4 AND tag2 NOT IN (SELECT tagid FROM tagged_images JOIN selected_images USING (imgid) WHERE imgid < 50 GROUP BY tagid HAVING count(*) = (SELECT count(*) FROM selected_images WHERE imgid < 50)) GROUP BY 1"),
-    "tag_suggestions_all": (lambda i, c: facets.suggestions(c, c["selected_images"], 4), ("tagged_images", "selected_images"), "SELECT tag2 AS tagid, max(confidence) AS confidence FROM (SELECT a.tagid AS tag1, b.tagid AS tag2, 100 * count(*) // (SELECT count(*) FROM tagged_images x WHERE x.tagid = a.tagid) AS confidence FROM tagged_images a JOIN tagged_images b ON a.imgid = b.imgid AND a.tagid <> b.tagid WHERE a.tagid IN (SELECT tagid FROM tagged_images JOIN selected_images USING (imgid)) GROUP BY 1, 2) WHERE confidence >= 4 AND tag2 NOT IN (SELECT tagid FROM tagged_images JOIN selected_images USING (imgid) GROUP BY tagid HAVING count(*) = (SELECT count(*) FROM selected_images)) GROUP BY 1"),
+    "tag_suggestions": (lambda i, c: facets.suggestions(c, c["selected_images"], 4, ("Places|City4", "Places|City54", "no such tag")), ("tags", "tagged_images", "selected_images"), _SUGGESTED),
+    "tag_list_path": (lambda i, c: facets.tag_list(c, "path"), ("tags", "tagged_images"), _TAG_LIST.format("replace(name, '|', chr(1))")),
+    "tag_list_leaf": (lambda i, c: facets.tag_list(c, "leaf"), ("tags", "tagged_images"), _TAG_LIST.format("string_split(name, '|')[-1], replace(name, '|', chr(1))")),
+    "tag_list_count": (lambda i, c: facets.tag_list(c, "count"), ("tags", "tagged_images"), _TAG_LIST.format("n DESC, replace(name, '|', chr(1))")),
+    "all_bounds": (lambda i, c: facets.all_bounds(i, _RANGES), (), " UNION ALL ".join(f"SELECT '{c}' AS filter, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM {_BASE}" for c in _RANGES)),
 }
 for _t, _k in (("whitebalance", "whitebalance_id"), ("flash", "flash_id"), ("exposure_program", "exposure_program_id"), ("metering_mode", "metering_mode_id")):
     _FACETS[_t] = ((lambda i, c, t=_t, k=_k: facets.plain_dimension(i, c, t, k)), *_dim(_t, _k))
@@ -65,7 +76,7 @@ for _p, _s in (("focal_length", "CAST(trunc(focal_length) AS INT)"), ("iso", "CA
     _FACETS[_p] = ((lambda i, c, p=_p: facets.numeric(i, p)), (), f"SELECT {_s} AS value, count(*) AS n FROM {_BASE} GROUP BY 1")
 
 QUERIES = {f"facet_{n}": _facet(m) for n, (m, _, _) in _FACETS.items()}
-ORACLE_SQL = {f"facet_{n}": oracle("images", *t) + s for n, (_, t, s) in _FACETS.items()}
+ORACLE_SQL = {f"facet_{n}": oracle("images", *t).rstrip() + ("" if s.startswith(",") else " ") + s for n, (_, t, s) in _FACETS.items()}
 
 _BARS = {
     "YEAR": "date_trunc('year', t)",

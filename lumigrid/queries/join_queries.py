@@ -66,6 +66,20 @@ def join_as_of_track(spark, folder):
     return placed.where("lat is not null").select("k", "id", "t", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), "found")
 
 
+_GREAT = "2 * 6378100.0 * asin(sqrt(least(1.0, pow(sin(radians(lat1 - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat1)) * pow(sin(radians(lon1 - lon0) / 2), 2))))"
+_FAR = "SELECT event_id, user_id % 3 AS k, epoch_us(ts) AS t, CAST((event_id * 37) % 120 - 60 AS DOUBLE) AS lat, CAST((event_id * 53) % 340 - 170 AS DOUBLE) AS lon FROM events"
+
+
+@_add((), f"WITH track AS ({_FAR} WHERE event_id % 5 = 0), one AS (SELECT t, max((lat, lon)) AS hi, min((lat, lon)) AS lo FROM track GROUP BY t), wanted AS ({_FAR} WHERE event_id % 5 = 1), a AS (SELECT w.event_id AS id, w.t, p.t AS t0, p.hi[1] AS lat0, p.hi[2] AS lon0 FROM wanted w ASOF LEFT JOIN one p ON w.t >= p.t), b AS (SELECT a.*, q.t AS t1, q.lo[1] AS lat1, q.lo[2] AS lon1 FROM a ASOF LEFT JOIN one q ON a.t <= q.t), d AS (SELECT *, CASE WHEN t1 = t0 THEN 0.0 ELSE (t - t0) / (t1 - t0) END AS part, {_GREAT} / 6378100.0 AS d FROM b WHERE t0 IS NOT NULL AND t1 IS NOT NULL AND t0 <> t), v AS (SELECT *, CASE WHEN sin(d) = 0 THEN 1.0 ELSE sin(d) END AS s FROM d), xyz AS (SELECT *, (sin((1 - part) * d) * cos(radians(lat0)) * cos(radians(lon0)) + sin(part * d) * cos(radians(lat1)) * cos(radians(lon1))) / s AS x, (sin((1 - part) * d) * cos(radians(lat0)) * sin(radians(lon0)) + sin(part * d) * cos(radians(lat1)) * sin(radians(lon1))) / s AS y, (sin((1 - part) * d) * sin(radians(lat0)) + sin(part * d) * sin(radians(lat1))) / s AS z FROM v) SELECT id, t, round(CASE WHEN d * 6378100.0 < 10000 THEN lat0 + (lat1 - lat0) * part ELSE degrees(atan2(z, sqrt(x * x + y * y))) END, 6) + 0.0 AS lat, round(CASE WHEN d * 6378100.0 < 10000 THEN lon0 + (lon1 - lon0) * part ELSE degrees(atan2(y, x)) END, 6) + 0.0 AS lon FROM xyz")
+def join_as_of_great_circle(spark, folder):
+    """One track for all, its points far apart: places between two of them, on great circles."""
+    e = spark.read.parquet(f"{folder}/events.parquet").select(F.col("event_id").alias("id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)").alias("t"), ((F.col("event_id") * 37) % 120 - 60).cast("double").alias("lat"), ((F.col("event_id") * 53) % 340 - 170).cast("double").alias("lon"))
+    track = e.where("id % 5 = 0")
+    placed = joins.as_of_track(e.where("id % 5 = 1"), track)
+    exact = track.select(F.col("t").cast("long").alias("_t")).distinct()
+    return placed.where("found").join(exact, F.col("t") == F.col("_t"), "left_anti").selectExpr("id", "t", "round(lat, 6) + 0.0 AS lat", "round(lon, 6) + 0.0 AS lon")
+
+
 @_add(("overlay",), "SELECT DISTINCT s.imgid AS start, s.imgid - k AS node FROM overlay s, range(1, 16) r(k) WHERE s.imgid % 64 = 5 AND k <= s.imgid % 16 AND NOT EXISTS (SELECT 1 FROM range(0, k) q(j) WHERE j > 0 AND NOT EXISTS (SELECT 1 FROM overlay o WHERE o.imgid = s.imgid - j))")
 def recursive_reachability(spark, folder):
     """Every image that a chain of overlays leads to."""
@@ -80,7 +94,7 @@ def recursive_reachability_all(spark, folder):
     return joins.reachable(cat["overlay"], cat["overlay"].select("imgid"))
 
 
-@_add(("images",), "SELECT a.id, b.id AS twin FROM images a JOIN images b ON a.filename = b.filename AND a.film_id = b.film_id AND a.id < b.id")
+@_add(("images",), "SELECT DISTINCT a.id, (SELECT min(c.id) FROM images c WHERE c.filename = a.filename AND c.film_id = a.film_id) AS first_id, (SELECT count(*) FROM images c WHERE c.filename = a.filename AND c.film_id = a.film_id) AS n FROM images a JOIN images b ON a.filename = b.filename AND a.film_id = b.film_id AND a.id <> b.id")
 def join_duplicates(spark, folder):
     return joins.duplicates(catalog(spark, folder)["images"])
 

@@ -6,7 +6,7 @@ Line items play pixels. The SQL comes from ``pixel_sql``, written apart from the
 from __future__ import annotations
 
 from ..functions import color, curves
-from ..operators import blend, pixels
+from ..operators import blend, pixels, statistics
 from ..plans.layers import Plan
 from . import pixel_sql
 
@@ -110,3 +110,93 @@ ORACLE_SQL |= {
     "raster_picker": " UNION ALL ".join(f"SELECT '{c}' AS channel, round(avg({c}), 6) AS mean, min({c}) AS low, max({c}) AS high, count(*) AS n FROM {_SRC} WHERE x >= 10 AND x < 60 AND y >= 20 AND y < 50" for c in ("c0", "c1", "c2")),
     "raster_half_size": f"SELECT CAST(x // 4 AS INT) AS x, CAST(y // 4 AS INT) AS y, round(avg(c0), 9) AS c0, round(avg(c1), 9) AS c1, round(avg(c2), 9) AS c2 FROM {_SRC} GROUP BY x // 4, y // 4",
 }
+
+
+# --- statistics in other spaces, exposures and profiles
+
+
+def _pixels(spark, folder, plan):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("CAST(l_orderkey % 100 AS DOUBLE) AS x", "CAST(l_partkey % 80 AS DOUBLE) AS y", *PIXELS["RGB"].split(", "))
+    return plan.apply(df)
+
+
+_LCH = color.to_polar(color.rgb_to_lab())
+
+
+def raster_histogram_lab(spark, folder):
+    return statistics.histogram(_pixels(spark, folder, color.rgb_to_lab()), ["c0", "c1", "c2"], 256, ranges=statistics.LAB_RANGES)
+
+
+def raster_histogram_lch(spark, folder):
+    return statistics.histogram(_pixels(spark, folder, _LCH), ["c0", "c1", "c2"], 256, ranges=statistics.LCH_RANGES)
+
+
+def _picked(plan):
+    def run(spark, folder):
+        return statistics.picker(_pixels(spark, folder, plan), ["c0", "c1", "c2"], (10, 20, 60, 50)).selectExpr("channel", "round(mean, 6) + 0.0 AS mean", "round(low, 6) + 0.0 AS low", "round(high, 6) + 0.0 AS high", "n")
+
+    return run
+
+
+def raster_deflicker(spark, folder):
+    """Stops that even out a series of images, one for each 40 orders."""
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_orderkey % 40 AS img_id", *PIXELS["RGB"].split(", "))
+    return statistics.deflicker_ev(df, "c2", 70.0, -3.0, ["img_id"]).selectExpr("img_id", "round(ev, 6) + 0.0 AS ev")
+
+
+def raster_hdr_merge(spark, folder):
+    """Brackets of three exposures, merged place by place."""
+    shots = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_orderkey % 100 AS x", "l_partkey % 80 AS y", "power(2.0D, l_linenumber % 3) AS exposure", "CAST(l_quantity / 51.3 AS DOUBLE) AS c0")
+    return statistics.merge_exposures(shots).selectExpr("x", "y", "round(c0, 6) + 0.0 AS c0")
+
+
+def noise_profiles(spark, folder):
+    """Noise of every image between the profiles around its ISO."""
+    profiles = spark.createDataFrame([(100.0, 1.5e-4, 2e-8), (800.0, 9e-4, 5e-7), (3200.0, 4e-3, 6e-6)], "iso double, a double, b double")
+    images = spark.read.parquet(f"{folder}/orders.parquet").selectExpr("o_orderkey AS id", "CAST(50 * (1 + o_orderkey % 100) AS DOUBLE) AS iso")
+    return statistics.interpolate_profiles(images, profiles, ["a", "b"]).selectExpr("id", "iso", "round(a, 10) + 0.0 AS a", "round(b, 12) + 0.0 AS b")
+
+
+_POINTS = ((20.0, 10.0), (80.0, 15.0), (60.0, 70.0), (40.0, 30.0), (15.0, 60.0))
+
+
+def mask_path(spark, folder):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(*_KEYS, *_PLACE)
+    return blend.path(_POINTS, 12.0).apply(df).selectExpr(*_KEYS, "round(m, 6) + 0.0 AS m")
+
+
+def mask_brush(spark, folder):
+    df = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr(*_KEYS, *_PLACE)
+    return blend.brush(_POINTS, 9.0, 0.4).apply(df).selectExpr(*_KEYS, "round(m, 6) + 0.0 AS m")
+
+
+QUERIES |= {f.__name__: f for f in (raster_histogram_lab, raster_histogram_lch, raster_deflicker, raster_hdr_merge, noise_profiles, mask_path, mask_brush)}
+QUERIES |= {"raster_picker_lab": _picked(color.rgb_to_lab()), "raster_picker_lch": _picked(_LCH), "raster_picker_hsl": _picked(color.rgb_to_hsl())}
+_PLACED = f"(SELECT CAST(l_orderkey % 100 AS DOUBLE) AS x, CAST(l_partkey % 80 AS DOUBLE) AS y, {PIXELS['RGB'].replace('AS c0', 'AS r').replace('AS c1', 'AS g').replace('AS c2', 'AS b')} FROM lineitem)"
+_IN_LAB = pixel_sql.select(pixel_sql.COLOR["rgb_to_lab"], _PLACED, ["x", "y"], ["o0 AS l", "o1 AS a", "o2 AS b"])
+_IN_LCH = pixel_sql.select(pixel_sql.COLOR["to_polar"], f"({_IN_LAB})", ["x", "y"], ["o0", "o1", "o2"])
+_IN_LAB = f"SELECT x, y, l AS o0, a AS o1, b AS o2 FROM ({_IN_LAB})"
+_IN_HSL = pixel_sql.select(pixel_sql.COLOR["rgb_to_hsl"], _PLACED, ["x", "y"], ["o0", "o1", "o2"])
+
+
+def _bins(source: str, ranges: tuple[tuple[str, str], ...]) -> str:
+    return " UNION ALL ".join(f"SELECT 'c{i}' AS channel, CAST(greatest(0, least(255, trunc((o{i} - ({low})) / (({high}) - ({low})) * 255))) AS INT) AS bin, count(*) AS n FROM ({source}) GROUP BY 2" for i, (low, high) in enumerate(ranges))
+
+
+def _box(source: str) -> str:
+    return " UNION ALL ".join(f"SELECT 'c{i}' AS channel, round(avg(o{i}), 6) + 0.0 AS mean, round(min(o{i}), 6) + 0.0 AS low, round(max(o{i}), 6) + 0.0 AS high, count(*) AS n FROM ({source}) WHERE x >= 10 AND x < 60 AND y >= 20 AND y < 50" for i in range(3))
+
+
+_NEAR = "(VALUES " + ", ".join(f"({i}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for i, (a, b) in enumerate(zip(_POINTS, [*_POINTS[1:], _POINTS[0]]))) + ") e(i, x0, y0, x1, y1)"
+_OFF = "sqrt(pow(x - x0 - greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) * (x1 - x0), 2) + pow(y - y0 - greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) * (y1 - y0), 2))"
+_SPOTS = "(SELECT row_number() OVER () AS rid, l_orderkey, l_linenumber, l_partkey, l_orderkey % 100 + 0.0 AS x, l_partkey % 80 + 0.0 AS y FROM lineitem)"
+ORACLE_SQL |= {
+    "raster_histogram_lab": _bins(_IN_LAB, (("0.0", "100.0"), ("-128.0", "128.0"), ("-128.0", "128.0"))),
+    "raster_histogram_lch": _bins(_IN_LCH, (("0.0", "100.0"), ("0.0", "128.0 * sqrt(2.0)"), ("0.0", "1.0"))),
+    "raster_picker_lab": _box(_IN_LAB), "raster_picker_lch": _box(_IN_LCH), "raster_picker_hsl": _box(_IN_HSL),
+    "raster_deflicker": "WITH v AS (SELECT l_orderkey % 40 AS img_id, greatest(0, least(16383, floor(CAST(l_quantity / 51.3 AS DOUBLE) * 16384))) AS lev FROM lineitem), r AS (SELECT img_id, lev, count(*) OVER (PARTITION BY img_id ORDER BY lev) AS below, count(*) OVER (PARTITION BY img_id) AS n FROM v) SELECT img_id, round(-3.0 - log2(greatest(min(lev), 1) / 16384.0), 6) + 0.0 AS ev FROM r WHERE below >= n * 0.7 GROUP BY img_id",
+    "raster_hdr_merge": "WITH s AS (SELECT l_orderkey % 100 AS x, l_partkey % 80 AS y, pow(2.0, l_linenumber % 3) AS e, CAST(l_quantity / 51.3 AS DOUBLE) AS v FROM lineitem), w AS (SELECT *, CASE WHEN v >= 0.98 THEN 0.000001 ELSE greatest(0.000001, 1.0 - pow(2.0 * v - 1.0, 4)) END AS w FROM s) SELECT x, y, round(sum(w * v / e) / sum(w), 6) + 0.0 AS c0 FROM w GROUP BY x, y",
+    "noise_profiles": "WITH i AS (SELECT o_orderkey AS id, CAST(50 * (1 + o_orderkey % 100) AS DOUBLE) AS iso FROM orders) SELECT id, iso, round(CASE WHEN iso <= 100 THEN 1.5e-4 WHEN iso <= 800 THEN 1.5e-4 + (iso - 100) / 700 * (9e-4 - 1.5e-4) WHEN iso <= 3200 THEN 9e-4 + (iso - 800) / 2400 * (4e-3 - 9e-4) ELSE 4e-3 END, 10) + 0.0 AS a, round(CASE WHEN iso <= 100 THEN 2e-8 WHEN iso <= 800 THEN 2e-8 + (iso - 100) / 700 * (5e-7 - 2e-8) WHEN iso <= 3200 THEN 5e-7 + (iso - 800) / 2400 * (6e-6 - 5e-7) ELSE 6e-6 END, 12) + 0.0 AS b FROM i",
+    "mask_path": f"SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN sum(CASE WHEN (y0 > y) <> (y1 > y) AND x < x0 + (x1 - x0) * (y - y0) / (y1 - y0) THEN 1 ELSE 0 END) % 2 = 1 THEN 1.0 ELSE pow(greatest(0.0, 1.0 - min({_OFF}) / 12.0), 2) END, 6) + 0.0 AS m FROM {_SPOTS} p, {_NEAR} GROUP BY rid, 1, 2, 3",
+    "mask_brush": f"SELECT l_orderkey, l_linenumber, l_partkey, round(greatest(0.0, least(1.0, (9.0 - min({_OFF})) / (9.0 * 0.6))), 6) + 0.0 AS m FROM {_SPOTS} p, {_NEAR} WHERE i < 4 GROUP BY rid, 1, 2, 3",
+}

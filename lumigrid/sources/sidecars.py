@@ -35,13 +35,17 @@ def history_entries(documents: DataFrame, id_col: str, column: str) -> DataFrame
 
 
 def decode_params(text: str) -> bytes:
-    """Plain hexadecimal, or "gz", two characters and a zlib stream in base64. Raises ValueError."""
+    """Plain hexadecimal, or "gz", two characters and a zlib stream in base64. Raises ValueError, also for more than MOST_BYTES."""
     if not text:
         return b""
     try:
         if text.startswith("gz"):
-            return zlib.decompressobj().decompress(base64.b64decode(text[4:], validate=False), MOST_BYTES)
-        return bytes.fromhex(text)[:MOST_BYTES]
+            data = zlib.decompressobj().decompress(base64.b64decode(text[4:], validate=False), MOST_BYTES + 1)
+        else:
+            data = bytes.fromhex(text)
+        if len(data) > MOST_BYTES:
+            raise ValueError(f"more than {MOST_BYTES} bytes")
+        return data
     except (ValueError, binascii.Error, zlib.error) as e:
         raise ValueError(f"damaged parameters: {e}") from e
 

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def tumbling(events: DataFrame, width: str, late: str | None = None, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts and sums per window; on a stream ``late`` bounds the state by a watermark."""
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    """Streams need timestamps with a zone, and a watermark to bound their state."""
     if events.isStreaming:
         events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if late:
-        events = events.withWatermark("ts", late)
-    return events.groupBy(F.window("ts", width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return events.withWatermark("ts", late) if late else events
+
+
+def tumbling(events: DataFrame, width: str, late: str | None = None, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """Counts and sums per window; on a stream ``late`` bounds the state by a watermark."""
+    return _timed(events, late).groupBy(F.window("ts", width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def sliding(events: DataFrame, width: str, step: str, late: str | None = None) -> DataFrame:
-    if late:
-        events = events.withWatermark("ts", late)
-    return events.groupBy(F.window("ts", width, step), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _timed(events, late).groupBy(F.window("ts", width, step), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
@@ -48,23 +49,21 @@ def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int
 
 
 class Events:
-    """Named events with listeners, called in order of registration."""
+    """Named events with listeners, called in order of registration. NAMES are those that the engine fires; scripts may add their own."""
 
-    NAMES = ("shortcut", "intermediate-export-image", "pre-import", "post-import-film", "post-import-image", "selection-changed", "collection-changed", "image-loaded", "image-history-changed", "pipe-complete", "image-group-information-changed", "view-changed", "mouse-over-image-changed", "inter-script-communication", "exit")
+    NAMES = ("selection-changed", "collection-changed", "pipe-complete")
 
     def __init__(self):
         self.listeners: dict[str, dict[str, Callable]] = {n: {} for n in self.NAMES}
 
     def register(self, name: str, key: str, listener: Callable) -> None:
-        if name not in self.listeners:
-            raise KeyError(name)
-        self.listeners[name][key] = listener
+        self.listeners.setdefault(name, {})[key] = listener
 
     def query(self, name: str, key: str) -> bool:
-        return key in self.listeners[name]
+        return key in self.listeners.get(name, {})
 
     def destroy(self, name: str, key: str) -> None:
-        self.listeners[name].pop(key, None)
+        self.listeners.get(name, {}).pop(key, None)
 
     def fire(self, name: str, *args) -> list:
-        return [f(name, *args) for f in list(self.listeners[name].values())]
+        return [f(name, *args) for f in list(self.listeners.get(name, {}).values())]
