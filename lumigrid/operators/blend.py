@@ -36,7 +36,8 @@ DISPLAY = {
 }
 SQUARED = frozenset("overlay softlight hardlight vividlight linearlight pinlight".split())
 #: Modes that exchange parts of a hue, saturation and lightness (or value) triple.
-HSL_MODES = {"hsl_lightness": (0, 0, 1), "hsl_chromaticity": (0, 1, 0), "hue": (1, 0, 0), "color": (1, 1, 0)}
+HSL_MODES = {"hsl_lightness": (0, 0, 1), "hsl_chromaticity": (0, 1, 0), "hue": (1, 0, 0), "color": (1, 1, 0), "coloradjust": (1, 1, 0)}
+HSV_MODES = ("hsv_value", "hsv_color")
 SCENE = tuple(_scene("1"))
 LAB_MODES = ("lab_lightness", "lab_color", "lab_l", "lab_a", "lab_b")
 CHANNELS = {"red": 0, "green": 1, "blue": 2}
@@ -53,30 +54,48 @@ def scene(p: Plan, mode: str, parameter: float = 0.0, reverse: bool = False) ->
 
 
 def display(p: Plan, mode: str, bounded: bool = True) -> Plan:
-    """Display-referred RGB (and, on one channel, raw) modes."""
+    """Display-referred RGB modes. On one channel (c0) they are the raw modes; only "normal" has an unbounded form."""
     if mode in CHANNELS:
         return _single(p, CHANNELS[mode])
     if mode in HSL_MODES:
-        return _hsl(p, HSL_MODES[mode])
+        return _hsl(p, HSL_MODES[mode], above=mode == "coloradjust")
+    if mode in HSV_MODES:
+        return _hsv(p, mode)
     weight = "m * m" if mode in SQUARED else "m"
-    fit = (lambda x: clamp(x)) if bounded else (lambda x: x)
-    return p.let(**{f"c{i}": fit(f"a{i} * (1 - {weight}) + ({DISPLAY[mode].replace('$a', f'a{i}').replace('$b', f'b{i}')}) * {weight}") for i in _I})
+    out = {}
+    for i in _I:
+        below, above = (clamp(f"{v}{i}") if mode in SQUARED or mode == "screen" else f"{v}{i}" for v in "ab")
+        mixed = f"{below} * (1 - {weight}) + ({DISPLAY[mode].replace('$a', below).replace('$b', above)}) * {weight}"
+        out[f"c{i}"] = clamp(mixed) if bounded else mixed
+    return p.let(**out)
 
 
 def _single(p: Plan, channel: int) -> Plan:
     return p.let(**{f"c{i}": f"a{i} * (1 - m) + b{i} * m" if i == channel else f"a{i}" for i in _I})
 
 
-def _hsl(p: Plan, take: tuple[int, int, int]) -> Plan:
-    """Mix chosen parts; hue moves along the shorter arc."""
+def _hsl(p: Plan, take: tuple[int, int, int], above: bool = False) -> Plan:
+    """Mix chosen parts; hue moves along the shorter arc. Lightness that is not mixed is that below, or that above."""
     for v in "ab":
         p = color.rgb_to_hsl(p.let(**{f"c{i}": f"{v}{i}" for i in _I})).let(**{f"{v}h": "c0", f"{v}sat": "c1", f"{v}l": "c2"})
     p = p.let(dh="bh - ah").let(dh="CASE WHEN dh > 0.5 THEN dh - 1 WHEN dh < -0.5 THEN dh + 1 ELSE dh END")
-    p = p.let(c0="ah + m * dh - floor(ah + m * dh)" if take[0] else "ah", c1="asat * (1 - m) + bsat * m" if take[1] else "asat", c2="al * (1 - m) + bl * m" if take[2] else "al")
+    p = p.let(c0="ah + m * dh - floor(ah + m * dh)" if take[0] else "ah", c1="asat * (1 - m) + bsat * m" if take[1] else "asat", c2="al * (1 - m) + bl * m" if take[2] else "bl" if above else "al")
     p = color.hsl_to_rgb(p)
     return p.let(**{f"c{i}": clamp(f"c{i}") for i in _I})
 
 
+def _hsv(p: Plan, mode: str) -> Plan:
+    """The value mixed, or hue and saturation as one vector; nothing is clamped."""
+    for v in "ab":
+        p = color.rgb_to_hsv(p.let(**{f"c{i}": f"{v}{i}" for i in _I})).let(**{f"{v}h": "c0", f"{v}sat": "c1", f"{v}v": "c2"})
+    if mode == "hsv_value":
+        return color.hsv_to_rgb(p.let(c0="ah", c1="asat", c2="av * (1 - m) + bv * m"))
+    turn = num(2 * color.PI)
+    p = p.let(**{k: f"asat * {f}({turn} * ah) * (1 - m) + bsat * {f}({turn} * bh) * m" for k, f in (("vx", "cos"), ("vy", "sin"))})
+    p = p.let(hue=f"atan2(vy, vx) / {turn}")
+    return color.hsv_to_rgb(p.let(c0="CASE WHEN hue < 0 THEN hue + 1 ELSE hue END", c1="sqrt(vx * vx + vy * vy)", c2="av"))
+
+
 def lab(p: Plan, mode: str) -> Plan:
     """Lab modes that exchange channels."""
     take = {"lab_lightness": (1, 0, 0), "lab_l": (1, 0, 0), "lab_color": (0, 1, 1), "lab_a": (0, 1, 0), "lab_b": (0, 0, 1)}[mode]
@@ -150,10 +169,29 @@ def combine(p: Plan, how: str, mask: str, opacity: float = 1.0, inverted: bool =
     return p.let(s=s).let(d=COMBINE[how])
 
 
+def _trapezoid(c: str, a: float, b: float, d: float, e: float) -> str:
+    return f"CASE WHEN {c} >= {num(b)} AND {c} <= {num(d)} THEN {num(1.0)} WHEN {c} > {num(a)} AND {c} < {num(b)} THEN ({c} - {num(a)}) / {num(max(b - a, 1e-9))} WHEN {c} > {num(d)} AND {c} < {num(e)} THEN 1 - ({c} - {num(d)}) / {num(max(e - d, 1e-9))} ELSE {num(0.0)} END"
+
+
 def parametric(p: Plan, ranges: dict[str, tuple[float, float, float, float]], inverted=frozenset(), out: str = "m") -> Plan:
     """Product over channels of trapezoids (zero, one, one, zero)."""
-    parts = []
-    for c, (a, b, d, e) in ranges.items():
-        t = f"CASE WHEN {c} >= {num(b)} AND {c} <= {num(d)} THEN {num(1.0)} WHEN {c} > {num(a)} AND {c} < {num(b)} THEN ({c} - {num(a)}) / {num(max(b - a, 1e-9))} WHEN {c} > {num(d)} AND {c} < {num(e)} THEN 1 - ({c} - {num(d)}) / {num(max(e - d, 1e-9))} ELSE {num(0.0)} END"
-        parts.append(f"(1 - ({t}))" if c in inverted else f"({t})")
+    parts = [f"(1 - ({_trapezoid(c, *r)}))" if c in inverted else f"({_trapezoid(c, *r)})" for c, r in ranges.items()]
     return p.let(**{out: " * ".join(parts) or num(1.0)})
+
+
+def mask(p: Plan, opacity: float = 1.0, drawn: str | None = None, ranges: dict | None = None, inverted=frozenset(), raster: str | None = None, inclusive: bool = False, inverse: bool = False, out: str = "m") -> Plan:
+    """A stage's mask: uniform, from a column with a drawn one, from channel ranges, from both, or a column with another stage's raster mask.
+
+    Exclusive masks multiply, inclusive ones unite; ``inverse`` turns the result round.
+    """
+    if raster is not None:
+        return p.let(**{out: f"{num(opacity)} * {f'(1 - {raster})' if inverse else raster}"})
+    if drawn is None and not ranges:
+        return p.let(**{out: num(opacity)})
+    shape = drawn or num(0.0 if inclusive else 1.0)
+    if not ranges:
+        return p.let(**{out: f"{num(opacity)} * {f'(1 - {shape})' if inverse else shape}"})
+    flipped = frozenset(ranges) - frozenset(inverted) if inclusive else inverted
+    p = parametric(p, ranges, flipped, "within")
+    whole = f"(1 - (1 - {shape}) * within)" if inclusive else f"({shape} * within)"
+    return p.let(**{out: f"{num(opacity)} * {f'(1 - {whole})' if inverse else whole}"})

@@ -62,11 +62,21 @@ _add("color_delta_e", color.delta_e_76(Plan(), ("50", "10", "-5")), "LAB", pixel
 for _mode in (*blend.SCENE, "red", "green", "blue"):
     _add(f"blend_scene_{_mode}", blend.scene(Plan(), _mode, 0.3), "RGB", pixel_sql.SCENE[_mode], extra=_ABOVE)
 _add("blend_scene_reverse", blend.scene(Plan(), "divide", 0.3, reverse=True), "RGB", pixel_sql.SCENE["reverse"], extra=_ABOVE)
-for _mode in (*blend.DISPLAY, *blend.HSL_MODES):
+for _mode in (*blend.DISPLAY, *blend.HSL_MODES, *blend.HSV_MODES, *blend.CHANNELS):
     _add(f"blend_display_{_mode}", blend.display(Plan(), _mode), "RGB", pixel_sql.DISPLAY[_mode], extra=_ABOVE)
 for _mode in blend.LAB_MODES:
     _add(f"blend_{_mode}", blend.lab(Plan(), _mode), "LAB", pixel_sql.LAB[_mode], extra=_ABOVE)
-_add("blend_raw_screen", blend.display(Plan(), "screen", bounded=False), "RAW", pixel_sql.RAW["screen"], ("c0",), extra=_ABOVE)
+for _mode in blend.DISPLAY:
+    _add(f"blend_raw_{_mode}", blend.display(Plan(), _mode), "RAW", pixel_sql.RAW[_mode], ("c0",), extra=_ABOVE)
+_add("blend_raw_normal_unbounded", blend.display(Plan(), "normal", bounded=False), "RAW", pixel_sql.RAW["normal_unbounded"], ("c0",), extra=_ABOVE)
+_RANGES = {"ranges": {"c0": (0.1, 0.3, 0.6, 0.9), "c2": (0.0, 0.2, 0.5, 0.7)}, "inverted": frozenset(["c2"])}
+_MASKS = {
+    "uniform": {}, "drawn": {"drawn": "shape"}, "drawn_inverse": {"drawn": "shape", "inverse": True}, "ranges": _RANGES, "both": {"drawn": "shape"} | _RANGES, "both_inverse": {"drawn": "shape", "inverse": True} | _RANGES,
+    "inclusive": {"drawn": "shape", "inclusive": True} | _RANGES, "inclusive_inverse": {"drawn": "shape", "inclusive": True, "inverse": True} | _RANGES, "raster": {"raster": "earlier"}, "raster_inverse": {"raster": "earlier", "inverse": True},
+}
+for _mode, _options in _MASKS.items():
+    _start = blend.circle(50, 40, 20, 10, "shape").let(earlier="(x % 10) / 10")
+    _add(f"mask_mode_{_mode}", blend.mask(_start, 0.913702, **_options), "RGB", pixel_sql.MASK_MODES[_mode], ("m",))
 _add("mask_circle", blend.circle(50, 40, 20, 10), "RGB", pixel_sql.MASK["circle"], ("m",))
 _add("mask_ellipse", blend.ellipse(50, 40, 30, 15, 25, 0.4), "RGB", pixel_sql.MASK["ellipse"], ("m",))
 _add("mask_gradient", blend.gradient(50, 40, 30, 12), "RGB", pixel_sql.MASK["gradient"], ("m",))

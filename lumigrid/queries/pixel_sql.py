@@ -356,3 +356,36 @@ mean = (h0 + h1 + h2) / 3.0
 apart = sqrt(pow(h0 - mean, 2) + pow(h1 - mean, 2) + pow(h2 - mean, 2))
 vib = 0.2 / 1.4 * (1.0 - pow(apart, 0.2 / 1.4))
 """ + each("mean + (1.1 + vib) * ($ - mean)", "h0 h1 h2")
+
+
+DISPLAY["coloradjust"] = _hsl("ah + arc * m", "as_ + (bs - as_) * m", "bl").replace("\nas = ", "\nas_ = ")
+_VALUES = "".join(f"""
+{v}hi = greatest({v}0, greatest({v}1, {v}2))
+{v}d = {v}hi - least({v}0, least({v}1, {v}2))
+{v}turn = CASE WHEN {v}d = 0 THEN 0.0 WHEN {v}hi = {v}0 THEN ({v}1 - {v}2) / {v}d WHEN {v}hi = {v}1 THEN 2.0 + ({v}2 - {v}0) / {v}d ELSE 4.0 + ({v}0 - {v}1) / {v}d END
+{v}h = CASE WHEN {v}turn < 0 THEN {v}turn / 6.0 + 1.0 ELSE {v}turn / 6.0 END
+{v}sat = CASE WHEN {v}hi = 0 THEN 0.0 ELSE {v}d / {v}hi END
+""" for v in "ab")
+
+
+def _of_hsv(h: str, s: str, v: str) -> str:
+    return f"hue = {h}\nsat = {s}\ntop = {v}\nlow = top - top * sat\n" + "\n".join(f"o{i} = {_wheel(f'(hue + {shift})', 'low', 'top')}" for i, shift in enumerate(("1.0 / 3", "0.0", "2.0 / 3")))
+
+
+DISPLAY["hsv_value"] = _VALUES + _of_hsv("ah", "asat", "ahi + (bhi - ahi) * m")
+DISPLAY["hsv_color"] = _VALUES + """
+vx = asat * cos(radians(360.0 * ah)) * (1.0 - m) + bsat * cos(radians(360.0 * bh)) * m
+vy = asat * sin(radians(360.0 * ah)) * (1.0 - m) + bsat * sin(radians(360.0 * bh)) * m
+""" + _of_hsv("CASE WHEN atan2(vy, vx) < 0 THEN degrees(atan2(vy, vx)) / 360.0 + 1.0 ELSE degrees(atan2(vy, vx)) / 360.0 END", "sqrt(vx * vx + vy * vy)", "ahi")
+DISPLAY |= {k: SCENE[k] for k in ("red", "green", "blue")}
+RAW = {k: v.splitlines()[0] for k, v in DISPLAY.items() if k in _DISPLAY} | {"normal_unbounded": "o0 = a0 + (b0 - a0) * m"}
+
+# Masks: a circle drawn, ranges of the first and third channel (the third turned round), opacity 0.913702.
+_FIRST, _THIRD = MASK["parametric"].strip().splitlines()[:2]
+_SHAPES = f"{_CIRCLE}\n{_FIRST}\n{_THIRD}\n"
+MASK_MODES = {
+    "uniform": "m_ = 0.913702", "drawn": _SHAPES + "m_ = 0.913702 * round_", "drawn_inverse": _SHAPES + "m_ = 0.913702 * (1.0 - round_)", "ranges": _SHAPES + "m_ = 0.913702 * first * (1.0 - second)",
+    "both": _SHAPES + "m_ = 0.913702 * round_ * first * (1.0 - second)", "both_inverse": _SHAPES + "m_ = 0.913702 * (1.0 - round_ * first * (1.0 - second))",
+    "inclusive": _SHAPES + "m_ = 0.913702 * (1.0 - (1.0 - round_) * (1.0 - first) * second)", "inclusive_inverse": _SHAPES + "m_ = 0.913702 * (1.0 - round_) * (1.0 - first) * second",
+    "raster": "m_ = 0.913702 * (x % 10) / 10.0", "raster_inverse": "m_ = 0.913702 * (1.0 - (x % 10) / 10.0)",
+}
