@@ -13,7 +13,7 @@ from .plans.catalog import Catalog
 from .plans.collection import Collection
 from .plans.layers import Plan
 from .plans.pipeline import Pipeline, PipelineError
-from .sources import images as files
+from .sources import images as files, jpeg
 from .sources import sidecars
 from .streaming.windows import Events
 
@@ -52,7 +52,11 @@ class Engine:
             a = files.decode(rows[0]["path"], bytes(rows[0]["content"]))
         except ValueError as e:
             self._fail(FORMAT, str(e))
-        return self.from_array(a, img_id)
+        image = self.from_array(a, img_id)
+        if rows[0]["path"].lower().endswith((".jpg", ".jpeg", ".tif", ".tiff")):
+            says = jpeg.read_exif(bytes(rows[0]["content"]))
+            image.maker, image.model = says.get("maker"), says.get("model")
+        return image
 
     def from_array(self, a: np.ndarray, img_id: int = 1) -> Image:
         a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, :3]
@@ -74,7 +78,7 @@ class Engine:
         self.events.fire("pipe-complete", pipe)
         return out
 
-    def export(self, image: Image, pipe: Pipeline, extension: str = "png", scale: float = 1.0, bits: int = 8) -> bytes:
+    def export(self, image: Image, pipe: Pipeline, extension: str = "png", scale: float = 1.0, bits: int = 8, quality: int = 95) -> bytes:
         """One rendered image as a file's bytes, in display coding."""
         from .functions import color
 
@@ -84,7 +88,7 @@ class Engine:
         rows = (out if pipe.coded() else color.linear_to_srgb(Plan()).apply(out)).toPandas()  # one image
         a = np.zeros((rows.y.max() + 1, rows.x.max() + 1, 3))
         a[rows.y, rows.x] = rows[["c0", "c1", "c2"]].to_numpy() / (255 if pipe.is_enabled("gamma") else 1)
-        options = {"bits": bits} if extension in ("png", "ppm", "pnm", "tif", "tiff") else {}
+        options = {"bits": bits} if extension in ("png", "ppm", "pnm", "tif", "tiff") else {"quality": quality} if extension in ("jpg", "jpeg") else {}
         return files.WRITERS[extension](np.clip(a, 0, 1), **options)
 
     def load_history(self, text: str) -> Pipeline:

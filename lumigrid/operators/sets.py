@@ -149,6 +149,23 @@ def detach(links: DataFrame, chosen: DataFrame, tagid: int) -> DataFrame:
     return links.join(chosen.select("imgid").distinct().withColumn("tagid", F.lit(tagid).cast("long")), ["imgid", "tagid"], "left_anti")
 
 
+def create_tags(tags: DataFrame, names: DataFrame) -> DataFrame:
+    """Names (a column ``name``) that no tag has yet become tags, with ids above the highest one in the order of the names."""
+    fresh = names.select("name").where("name <> ''").distinct().join(tags.select("name"), "name", "left_anti")
+    top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    new = global_rank(fresh, [F.col("name")], "_n").crossJoin(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_n"))  # one row
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in tags.dtypes if c not in ("id", "name")}
+    return tags.unionByName(new.select(*(empty.get(c, F.col(c)) for c in tags.columns)))
+
+
+def set_tag(tags: DataFrame, tagids: list[int], synonyms: str | None = None, flags: int | None = None) -> DataFrame:
+    """Other synonyms or flags for some tags; what is not given stays."""
+    chosen = F.col("id").isin(tagids)
+    if synonyms is not None:
+        tags = tags.withColumn("synonyms", F.when(chosen, F.lit(synonyms)).otherwise(F.col("synonyms")))
+    return tags if flags is None else tags.withColumn("flags", F.when(chosen, F.lit(flags)).otherwise(F.col("flags")))
+
+
 def rename_tag(tags: DataFrame, old: str, new: str) -> DataFrame:
     """A tag and everything below it."""
     n = F.col("name")
@@ -221,6 +238,28 @@ def apply_style(history: DataFrame, style: DataFrame, targets: DataFrame) -> Dat
     return copy_history(history.unionByName(with_id), -1, targets).where("imgid <> -1")
 
 
+def create_style(items: DataFrame, history: DataFrame, imgid: int, name: str, operations: list[str] | None = None) -> DataFrame:
+    """A style from the latest entries of an image's history (of some operations), numbered from 0; a style of that name is replaced."""
+    own = latest(history.where(F.col("imgid") == imgid))
+    own = own if operations is None else own.where(F.col("operation").isin(operations))
+    number = F.row_number().over(Window.partitionBy("imgid").orderBy("num", "operation", "multi_priority")) - 1  # one image's entries
+    new = own.withColumn("num", number.cast("int")).withColumn("name", F.lit(name))
+    return delete_styles(items, [name]).unionByName(new.select(*items.columns))
+
+
+def update_style(items: DataFrame, history: DataFrame, imgid: int, name: str, gone: list[str] = ()) -> DataFrame:
+    """A style without some operations, and with an image's parameters for those that both have."""
+    own = latest(history.where(F.col("imgid") == imgid)).select("operation", "multi_priority", F.struct("enabled", "params").alias("_new"))  # one image's entries
+    mine = F.col("name") == name
+    kept = items.where(~(mine & F.col("operation").isin(list(gone)))).join(F.broadcast(own), ["operation", "multi_priority"], "left")
+    changed = {c: F.when(mine & F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in ("enabled", "params")}
+    return kept.select(*(changed.get(c, F.col(c)) for c in items.columns))
+
+
+def delete_styles(items: DataFrame, names: list[str]) -> DataFrame:
+    return items.where(~F.col("name").isin(names))
+
+
 def style_candidates(style: DataFrame, history: DataFrame, imgid: int) -> DataFrame:
     """A style's items and, besides, the operations of an image's history that it lacks."""
     mine = latest(history.where(F.col("imgid") == imgid)).select("operation", "multi_priority", "params")

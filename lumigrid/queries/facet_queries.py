@@ -61,8 +61,7 @@ _FACETS = {
     "profile": (lambda i, c: facets.profile(i, ["film_id", "filename", "iso", "aperture", "camera_id", "lens_id", "width", "version"]), (), f"SELECT {', '.join(f'count(DISTINCT {c}) AS {c}' for c in ('film_id', 'filename', 'iso', 'aperture', 'camera_id', 'lens_id', 'width', 'version'))} FROM {_BASE}"),
     "geo_bounds": (lambda i, c: i.agg(F.min("longitude").alias("west"), F.max("longitude").alias("east"), F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.count("longitude").alias("n")), (), f"SELECT min(longitude) AS west, max(longitude) AS east, min(latitude) AS south, max(latitude) AS north, count(longitude) AS n FROM {_BASE}"),
     "tag_usage": (lambda i, c: facets.tag_usage(c, c["selected_images"]), ("tags", "tagged_images", "selected_images"), "SELECT t.id AS tagid, name, count(ti.imgid) AS n, count(s.imgid) AS n_selected FROM tags t LEFT JOIN tagged_images ti ON ti.tagid = t.id LEFT JOIN selected_images s ON s.imgid = ti.imgid GROUP BY 1, 2"),
-    "attached_tags": (lambda i, c: facets.attached(c, c["selected_images"].where("imgid < 50")), ("tagged_images", "selected_images"), "SELECT tagid, count(DISTINCT ti.imgid) AS n, CASE WHEN count(DISTINCT ti.imgid) = (SELECT count(*) FROM selected_images WHERE imgid < 50) THEN 'all' ELSE 'some' END AS state FROM tagged_images ti JOIN selected_images s ON s.imgid = ti.imgid WHERE s.imgid < 50 GROUP BY 1"),
-    "attached_tags_all": (lambda i, c: facets.attached(c, c["selected_images"]), ("tagged_images", "selected_images"), "SELECT tagid, count(DISTINCT ti.imgid) AS n, CASE WHEN count(DISTINCT ti.imgid) = (SELECT count(*) FROM selected_images) THEN 'all' ELSE 'some' END AS state FROM tagged_images ti JOIN selected_images s ON s.imgid = ti.imgid GROUP BY 1"),
+    "attached_tags": (lambda i, c: facets.attached(c, c["selected_images"]), ("tagged_images", "selected_images"), "SELECT tagid, count(DISTINCT ti.imgid) AS n, CASE WHEN count(DISTINCT ti.imgid) = (SELECT count(*) FROM selected_images) THEN 'all' ELSE 'some' END AS state FROM tagged_images ti JOIN selected_images s ON s.imgid = ti.imgid GROUP BY 1"),
     "tag_subtree": (lambda i, c: facets.subtree(c, "Brand#1"), ("tags", "tagged_images"), "SELECT count(DISTINCT t.id) AS n_tags, count(DISTINCT imgid) AS n_images FROM tags t LEFT JOIN tagged_images ti ON ti.tagid = t.id WHERE name = 'Brand#1' OR name LIKE 'Brand#1|%'"),
     "tag_suggestions": (lambda i, c: facets.suggestions(c, c["selected_images"], 4, ("Places|City4", "Places|City54", "no such tag")), ("tags", "tagged_images", "selected_images"), _SUGGESTED),
     "tag_list_path": (lambda i, c: facets.tag_list(c, "path"), ("tags", "tagged_images"), _TAG_LIST.format("replace(name, '|', chr(1))")),

@@ -80,16 +80,9 @@ def join_as_of_great_circle(spark, folder):
     return placed.where("found").join(exact, F.col("t") == F.col("_t"), "left_anti").selectExpr("id", "t", "round(lat, 6) + 0.0 AS lat", "round(lon, 6) + 0.0 AS lon")
 
 
-@_add(("overlay",), "SELECT DISTINCT s.imgid AS start, s.imgid - k AS node FROM overlay s, range(1, 16) r(k) WHERE s.imgid % 64 = 5 AND k <= s.imgid % 16 AND NOT EXISTS (SELECT 1 FROM range(0, k) q(j) WHERE j > 0 AND NOT EXISTS (SELECT 1 FROM overlay o WHERE o.imgid = s.imgid - j))")
-def recursive_reachability(spark, folder):
-    """Every image that a chain of overlays leads to."""
-    cat = catalog(spark, folder)
-    return joins.reachable(cat["overlay"], cat["overlay"].where("imgid % 64 = 5").select("imgid"))
-
-
 @_add(("overlay",), "SELECT DISTINCT s.imgid AS start, s.imgid - k AS node FROM overlay s, range(1, 16) r(k) WHERE k <= s.imgid % 16 AND NOT EXISTS (SELECT 1 FROM range(0, k) q(j) WHERE j > 0 AND NOT EXISTS (SELECT 1 FROM overlay o WHERE o.imgid = s.imgid - j))")
-def recursive_reachability_all(spark, folder):
-    """The same from every image that has an overlay."""
+def recursive_reachability(spark, folder):
+    """Every image that a chain of overlays leads to, from every image that has one."""
     cat = catalog(spark, folder)
     return joins.reachable(cat["overlay"], cat["overlay"].select("imgid"))
 
@@ -99,16 +92,8 @@ def join_duplicates(spark, folder):
     return joins.duplicates(catalog(spark, folder)["images"])
 
 
-@_add(("images", "film_rolls", "models"), "SELECT id, 'film' AS kind FROM film_rolls f WHERE NOT EXISTS (SELECT 1 FROM images i WHERE i.film_id = f.id AND i.id % 50 < 5) UNION ALL SELECT id, 'model' FROM models m WHERE NOT EXISTS (SELECT 1 FROM images i WHERE i.model_id = m.id AND i.id % 50 < 5)")
-def join_orphans(spark, folder):
-    cat = catalog(spark, folder)
-    some = cat["images"].where("id % 50 < 5")
-    films = joins.orphans(cat["film_rolls"], "id", some, "film_id").select("id", F.lit("film").alias("kind"))
-    return films.unionAll(joins.orphans(cat["models"], "id", some, "model_id").select("id", F.lit("model").alias("kind")))
-
-
 @_add(("images", "film_rolls", "models", "history_hash"), "SELECT id, 'film' AS kind FROM film_rolls WHERE id NOT IN (SELECT film_id FROM images) UNION ALL SELECT id, 'model' FROM models WHERE id NOT IN (SELECT model_id FROM images) UNION ALL SELECT id, 'image' FROM images WHERE id NOT IN (SELECT imgid FROM history_hash)")
-def join_orphans_all(spark, folder):
+def join_orphans(spark, folder):
     """Over whole tables; images that no hash refers to are those that are there."""
     cat = catalog(spark, folder)
     films = joins.orphans(cat["film_rolls"], "id", cat["images"], "film_id").select("id", F.lit("film").alias("kind"))

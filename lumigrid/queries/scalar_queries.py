@@ -66,9 +66,23 @@ def text_like(spark, folder):
     return spark.read.parquet(f"{folder}/documents.parquet").where(F.col("text").ilike("%license%")).select("doc_id", F.lower("source").alias("source"))
 
 
-QUERIES |= {f.__name__: f for f in (event_windows, event_sessions, text_like)}
+def text_regexp(spark, folder):
+    """Names by a regular expression, case told apart."""
+    return catalog(spark, folder)["images"].where(F.col("filename").rlike(r"^img_[0-9]*[05]\.(CR2|jpe?g)$")).select("id", "filename")
+
+
+def text_collation(spark, folder):
+    """Names that are equal but for case, and their order, by Unicode's rules."""
+    rolls = catalog(spark, folder)["film_rolls"]
+    name = F.collate("folder", "UNICODE_CI")
+    return rolls.where((name == "/PHOTOS/asia/nation_2") | name.startswith(F.collate(F.lit("/Photos/Africa"), "UNICODE_CI"))).select("id", F.col("folder").alias("folder"))
+
+
+QUERIES |= {f.__name__: f for f in (event_windows, event_sessions, text_like, text_regexp, text_collation)}
 ORACLE_SQL |= {
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sessions": "SELECT user_id, min(ts) AS start, max(ts) AS stop, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 1800 SECOND THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s",
+    "text_regexp": oracle("images") + r"SELECT id, filename FROM images WHERE regexp_matches(filename, '^img_[0-9]*[05]\.(CR2|jpe?g)$')",
+    "text_collation": oracle("film_rolls") + "SELECT id, folder FROM film_rolls WHERE lower(folder) = '/photos/asia/nation_2' OR lower(folder) LIKE '/photos/africa%'",
     "text_like": "SELECT doc_id, lower(source) AS source FROM documents WHERE text ILIKE '%license%'",
 }

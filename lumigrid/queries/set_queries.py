@@ -26,8 +26,7 @@ _add("select_remove", ("images", _S), f"SELECT imgid FROM selected_images WHERE
 _add("select_toggle", ("images", _S), f"(SELECT imgid FROM selected_images EXCEPT SELECT id FROM {_SOME}) UNION (SELECT id FROM {_SOME} EXCEPT SELECT imgid FROM selected_images)", lambda c: sets.select_toggle(c[_S], some(c)))
 _add("select_invert", ("images", _S), f"SELECT id AS imgid FROM {_SOME} WHERE id NOT IN (SELECT imgid FROM selected_images)", lambda c: sets.select_invert(c[_S], _ISO.where(c)))
 _add("select_prune", ("images", _S), f"SELECT imgid FROM selected_images WHERE imgid IN {_SOME}", lambda c: sets.select_prune(c[_S], _ISO.where(c)))
-_add("select_film_rolls", ("images", _S), "SELECT id AS imgid FROM images WHERE film_id IN (SELECT film_id FROM images JOIN selected_images ON imgid = id WHERE id < 30)", lambda c: sets.select_film_rolls(c[_S].where("imgid < 30"), c["images"]))
-_add("select_film_rolls_all", ("images", _S), "SELECT id AS imgid FROM images WHERE film_id IN (SELECT film_id FROM images JOIN selected_images ON imgid = id)", lambda c: sets.select_film_rolls(c[_S], c["images"]))
+_add("select_film_rolls", ("images", _S), "SELECT id AS imgid FROM images WHERE film_id IN (SELECT film_id FROM images JOIN selected_images ON imgid = id)", lambda c: sets.select_film_rolls(c[_S], c["images"]))
 _add("select_unaltered", ("images", "history"), "SELECT id AS imgid FROM images WHERE id NOT IN (SELECT imgid FROM history)", lambda c: sets.select_unaltered(c["images"], c["history"]))
 _add("select_range", ("images",), "SELECT id AS imgid FROM (SELECT id, row_number() OVER (ORDER BY filename, id) AS r FROM images) WHERE r BETWEEN (SELECT least(a, b) FROM (SELECT max(CASE WHEN id = 5 THEN r END) AS a, max(CASE WHEN id = 77 THEN r END) AS b FROM (SELECT id, row_number() OVER (ORDER BY filename, id) AS r FROM images))) AND (SELECT greatest(a, b) FROM (SELECT max(CASE WHEN id = 5 THEN r END) AS a, max(CASE WHEN id = 77 THEN r END) AS b FROM (SELECT id, row_number() OVER (ORDER BY filename, id) AS r FROM images)))", lambda c: sets.select_range(sets.numbered(c["images"].select("id", "filename"), [F.col("filename"), F.col("id")]), 5, 77))
 _add("act_on", ("images", _S), "SELECT id AS imgid FROM images WHERE group_id IN (SELECT group_id FROM images WHERE id IN (SELECT imgid FROM selected_images))", lambda c: sets.act_on(c[_S].where("imgid = 8"), c[_S], c["images"]))
@@ -81,7 +80,18 @@ _add("window_positions", ("images",), f"SELECT id, rowid * 4294967296 AS positio
 _add("window_circular", ("images",), f"SELECT id, CASE WHEN rowid >= 40 THEN rowid - 39 ELSE rowid + 1000 - 39 END AS newrow FROM {_NUM}", lambda c: sets.circular(_num(c), 40, 1000).select("id", "newrow"))
 _add("page_keyset", ("images",), f"SELECT id, rowid FROM {_NUM} WHERE rowid > 100 ORDER BY rowid LIMIT 25", lambda c: sets.page_after(_num(c), 100, 25))
 _add("page_keyset_back", ("images",), f"SELECT id, rowid FROM {_NUM} WHERE rowid < 100 ORDER BY rowid DESC LIMIT 25", lambda c: sets.page_after(_num(c), 100, 25, True))
-_add("first_after", ("images", _S), f"SELECT coalesce(min(CASE WHEN rowid > b THEN rowid END), max(CASE WHEN rowid < a THEN rowid END)) AS rowid FROM {_NUM} n, (SELECT min(rowid) AS a, max(rowid) AS b FROM {_NUM} JOIN selected_images ON imgid = id WHERE id < 60) WHERE n.id NOT IN (SELECT imgid FROM selected_images WHERE imgid < 60)", lambda c: sets.next_outside(_num(c), c[_S].where("imgid < 60")))
-_add("first_after_all", ("images", _S), f"SELECT coalesce(min(CASE WHEN rowid > b THEN rowid END), max(CASE WHEN rowid < a THEN rowid END)) AS rowid FROM {_NUM} n, (SELECT min(rowid) AS a, max(rowid) AS b FROM {_NUM} JOIN selected_images ON imgid = id) WHERE n.id NOT IN (SELECT imgid FROM selected_images)", lambda c: sets.next_outside(_num(c), c[_S]))
+_add("first_after", ("images", _S), f"SELECT coalesce(min(CASE WHEN rowid > b THEN rowid END), max(CASE WHEN rowid < a THEN rowid END)) AS rowid FROM {_NUM} n, (SELECT min(rowid) AS a, max(rowid) AS b FROM {_NUM} JOIN selected_images ON imgid = id) WHERE n.id NOT IN (SELECT imgid FROM selected_images)", lambda c: sets.next_outside(_num(c), c[_S]))
 _add("reorder_before", ("images",), "SELECT id, CASE WHEN id IN (20, 30) THEN (SELECT max(position) FROM images WHERE id < 10) + (10 * 4294967296 - (SELECT max(position) FROM images WHERE id < 10)) // 3 * CASE id WHEN 20 THEN 1 ELSE 2 END ELSE position END AS position FROM images", lambda c: sets.move_before(c["images"], c["images"].where("id in (20, 30)").select(F.col("id").alias("imgid")), 10).select("id", "position"))
 _add("grid_clusters", (), None, lambda c: cluster.grid_dbscan(c["images"].select("id", "longitude", "latitude"), 1.5, 3).select("id", "cluster"))
+
+# --- tags and styles as tables that grow and shrink
+_FRESH = "SELECT DISTINCT concat('Film|', CAST(film_id AS STRING)) AS name FROM images UNION SELECT name FROM tags"
+_add("tag_create", ("images", "tags"), f"SELECT id, name FROM tags UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name) AS id, name FROM ({_FRESH}) WHERE name NOT IN (SELECT name FROM tags)", lambda c: sets.create_tags(c["tags"], c["images"].selectExpr("concat('Film|', CAST(film_id AS STRING)) AS name").union(c["tags"].select("name"))).select("id", "name"))
+_add("tag_set", ("tags",), "SELECT id, CASE WHEN id IN (2, 5) THEN 'alias' ELSE synonyms END AS synonyms, CAST(CASE WHEN id IN (2, 5) THEN 3 ELSE flags END AS INT) AS flags FROM tags", lambda c: sets.set_tag(c["tags"], [2, 5], "alias", 3).select("id", "synonyms", "flags"))
+_ITEMS = "SELECT concat('style ', CAST(imgid % 3 AS STRING)) AS name, num, operation, enabled, multi_priority, params FROM hist WHERE imgid IN (2, 3, 4)"
+_FIELDS = ["name", "num", "operation", "enabled", "multi_priority", "params"]
+_items = lambda c: _clean(c).where("imgid IN (2, 3, 4)").selectExpr("concat('style ', CAST(imgid % 3 AS STRING)) AS name", *_FIELDS[1:])
+_OWN = f"(SELECT * FROM {_LAST} WHERE imgid = 1)"
+_history("style_create", f"SELECT * FROM ({_ITEMS}) WHERE name <> 'style 1' UNION ALL SELECT 'style 1', CAST(row_number() OVER (ORDER BY num, operation, multi_priority) - 1 AS INT), operation, enabled, multi_priority, params FROM {_OWN} WHERE operation <> 'crop'", lambda c: sets.create_style(_items(c), _clean(c), 1, "style 1", ["exposure", "sharpen", "velvia", "flip", "temperature"]).select(_FIELDS))
+_history("style_update", f"SELECT i.name, i.num, i.operation, CASE WHEN i.name = 'style 0' AND o.imgid IS NOT NULL THEN o.enabled ELSE i.enabled END AS enabled, i.multi_priority, CASE WHEN i.name = 'style 0' AND o.imgid IS NOT NULL THEN o.params ELSE i.params END AS params FROM ({_ITEMS}) i LEFT JOIN {_OWN} o ON o.operation = i.operation AND o.multi_priority = i.multi_priority WHERE NOT (i.name = 'style 0' AND i.operation = 'flip')", lambda c: sets.update_style(_items(c), _clean(c), 1, "style 0", ["flip"]).select(_FIELDS))
+_history("style_delete", f"SELECT * FROM ({_ITEMS}) WHERE name <> 'style 2'", lambda c: sets.delete_styles(_items(c), ["style 2"]).select(_FIELDS))

@@ -1,4 +1,4 @@
-"""Image files as rows: PNM, PFM, PNG, QOI, RGBE and plain TIFF, decoded and encoded with numpy.
+"""Image files as rows: PNM, PFM, PNG, baseline JPEG, QOI, RGBE and plain TIFF, decoded and encoded with numpy.
 
 Files come through Spark's binaryFile source, so any file system that Spark reads will do.
 Formats that need outside libraries raise Unsupported.
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jpeg
+
 RAW_EXTENSIONS = frozenset("3fr ari arw bay bmq cap cine cr2 cr3 crw cs1 dc2 dcr dng gpr erf fff ia iiq k25 kc2 kdc mdc mef mos mrw nef nrw orf pef pxn qtk raf raw rdc rw1 rw2 sr2 srf srw sti x3f".split())
 LDR_EXTENSIONS = frozenset("bmp bmq cap cine dib gif jpeg jpg png ppm pgm pbm pnm webp qoi j2k jp2 jpf".split())
 HDR_EXTENSIONS = frozenset("avif exr hdr heic heif hif jxl pfm rgbe tif tiff".split())
@@ -208,8 +210,8 @@ def read_tiff(data: bytes) -> np.ndarray:
     return np.frombuffer(data, kind, w * h * c, tags[273]).reshape(h, w, c) / (1.0 if kind == "<f4" else float(2**bits - 1))
 
 
-READERS = {"ppm": read_pnm, "pgm": read_pnm, "pnm": read_pnm, "pfm": read_pfm, "png": read_png, "qoi": read_qoi, "hdr": read_rgbe, "rgbe": read_rgbe, "tif": read_tiff, "tiff": read_tiff}
-WRITERS = {"ppm": write_pnm, "pnm": write_pnm, "pfm": write_pfm, "png": write_png, "qoi": write_qoi, "hdr": write_rgbe, "tif": write_tiff, "tiff": write_tiff}
+READERS = {"ppm": read_pnm, "pgm": read_pnm, "pnm": read_pnm, "pfm": read_pfm, "png": read_png, "qoi": read_qoi, "hdr": read_rgbe, "rgbe": read_rgbe, "tif": read_tiff, "tiff": read_tiff, "jpg": jpeg.decode, "jpeg": jpeg.decode}
+WRITERS = {"ppm": write_pnm, "pnm": write_pnm, "pfm": write_pfm, "png": write_png, "qoi": write_qoi, "hdr": write_rgbe, "tif": write_tiff, "tiff": write_tiff, "jpg": jpeg.encode, "jpeg": jpeg.encode}
 
 
 def decode(path: str, data: bytes) -> np.ndarray:
@@ -250,6 +252,30 @@ def encode_images(images: DataFrame, extension: str, **options) -> DataFrame:
     return images.mapInPandas(run, "path string, content binary")
 
 
+EXIF_SCHEMA = "path string, maker string, model string, lens string, orientation int, datetime string, exposure double, aperture double, iso double, focal_length double, exposure_bias double, exposure_program int, metering_mode int, flash int, width int, height int, lat double, lon double, alt double, error string"
+
+
+def read_exif(files: DataFrame) -> DataFrame:
+    """EXIF_SCHEMA of rows (path, content): what JPEG and TIFF files say of their pictures; what they don't say is null."""
+    names = [c.split(" ")[0] for c in EXIF_SCHEMA.split(", ")]
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for path, data in zip(f.path, f.content, strict=True):
+                row = dict.fromkeys(names) | {"path": path}
+                try:
+                    found = jpeg.read_exif(bytes(data))
+                    found["datetime"] = found.get("datetime_original") or found.get("datetime")
+                    row |= {k: v for k, v in found.items() if k in row and not isinstance(v, list)}
+                except (ValueError, struct.error) as e:
+                    row["error"] = str(e)
+                out.append(tuple(row[n] for n in names))
+            yield pd.DataFrame(out, columns=names)
+
+    return files.select("path", "content").mapInPandas(run, EXIF_SCHEMA)
+
+
 def import_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Film rolls (folder) and image rows (path, folder, filename, kind, modified, length) of a folder tree; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")

@@ -27,7 +27,7 @@ def test_engine(spark, tmp_path):
     assert np.abs(out - srgb).max() < 1e-3
     engine.register_point("halve", lambda p: p.let(c0="c0 / 2"))
     assert "halve" in engine.modules()
-    for call, code in ((lambda: engine.render(image, pipe, -1), -11), (lambda: engine.export(image, pipe, "jpg"), -12), (lambda: engine.load_history("{"), -5), (lambda: engine.load_xmp("<"), -5)):
+    for call, code in ((lambda: engine.render(image, pipe, -1), -11), (lambda: engine.export(image, pipe, "avif"), -12), (lambda: engine.load_history("{"), -5), (lambda: engine.load_xmp("<"), -5)):
         with pytest.raises(EngineError) as e:
             call()
         assert e.value.code == code and engine.last_error
