@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents through language ID, exact and near deduplication, and packing."""
+"""The corpus pipeline: documents through language ID, exact and near deduplication, and packing.
+
+A null or empty text goes in the first stage, since it is in no language. A null id travels along:
+of equal texts it yields to any id, and near deduplication never drops it. Repeated rows become one
+in exact deduplication. Texts of any length go whole, and an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 

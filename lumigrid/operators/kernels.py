@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 
@@ -58,19 +59,96 @@ def median(a, radius: int = 1):
     return np.median(window(a, radius), axis=0)
 
 
-def sharpen(a, sigma: float = 1.0, amount: float = 0.5, threshold: float = 0.005, radius: int = 3):
-    """Unsharp mask with a threshold on the difference."""
-    d = a - gaussian(a, sigma, radius)
-    return a + amount * np.sign(d) * np.maximum(np.abs(d) - threshold, 0)
+BOXES = 8  # a box mean so often is nearly a Gaussian
 
 
-def bloom(a, strength: float = 0.25, threshold: float = 0.9, radius: int = 5):
-    glow = box_mean(np.where(a * 2**strength > threshold, a * 2**strength, 0.0), radius)
-    return 1 - (1 - np.clip(a, 0, 1)) * (1 - np.clip(glow, 0, 1))
+def box_blur(a, radius: int, rounds: int = BOXES):
+    """Box means across and down, over and over; at an edge the mean is over what is there."""
+    for _ in range(rounds):
+        for axis in (1, 0):
+            n = a.shape[axis]
+            sums = np.cumsum(np.concatenate([np.zeros_like(np.take(a, [0], axis)), a], axis), axis)
+            low, high = np.maximum(np.arange(n) - radius, 0), np.minimum(np.arange(n) + radius + 1, n)
+            count = (high - low).reshape([-1 if i == axis else 1 for i in range(a.ndim)])
+            a = (np.take(sums, high, axis) - np.take(sums, low, axis)) / count
+    return a
+
+
+def _on_lightness(function):
+    """An operator of L: a and b stay. A single channel is taken for L."""
+
+    @wraps(function)
+    def run(a, **params):
+        if a.ndim == 2:
+            return function(a, **params)
+        return np.concatenate([function(a[..., 0], **params)[..., None], a[..., 1:]], axis=-1)
+
+    return run
+
+
+@_on_lightness
+def sharpen(a, radius: float = 2.0, amount: float = 0.5, threshold: float = 0.5):
+    """Unsharp mask on L with a threshold on the difference; the outermost pixels, where the mask is not whole, stay."""
+    r = math.ceil(radius)
+    if r == 0 or min(a.shape) < 2 * r + 1:
+        return a
+    d = a - convolve(a, gaussian_weights(radius / 2.5, r))
+    out = a + amount * np.sign(d) * np.maximum(np.abs(d) - threshold, 0)
+    whole = np.zeros(a.shape, bool)
+    whole[r:-r, r:-r] = True
+    return np.where(whole, out, a)
+
+
+def _bloom_radius(size: float = 2.0, **_) -> int:
+    return min(256, int(256 * min(100.0, size + 1) / 100))
+
+
+@_on_lightness
+def bloom(a, size: float = 0.0, threshold: float = 90.0, strength: float = 25.0):
+    """Light above a threshold spreads, and lies over the image as on a screen."""
+    v = a * 2 ** (min(100.0, strength + 1) / 100)
+    glow = box_blur(np.where(v > threshold, v, 0.0), _bloom_radius(size))
+    return 100 - (100 - a) * (100 - glow) / 100
 
 
-def highpass(a, contrast: float = 2.0, radius: int = 4):
-    return np.clip((box_mean(1 - a, radius) + a - 1) * contrast + 0.5, 0, 1)
+def _highpass_radius(sharpness: float = 12.0, **_) -> int:
+    return min(16, math.ceil(int(16 * min(100.0, sharpness + 1) / 100)))
+
+
+def highpass(a, sharpness: float = 12.0, contrast: float = 50.0):
+    """L against its inverted surroundings, around middle grey; without colour."""
+    l = a if a.ndim == 2 else a[..., 0]
+    blurred = box_blur(100 - np.clip(l, 0, 100), _highpass_radius(sharpness))
+    out = np.clip((blurred + l - 100) * (contrast / 100 * 7.5 * 0.5) + 50, 0, 100)
+    return out if a.ndim == 2 else np.stack([out, np.zeros_like(l), np.zeros_like(l)], axis=-1)
+
+
+def soften(a, brightness: float = 0.33, amount: float = 50.0, saturation: float = 100.0, radius: int = 1):
+    """A brighter, blurred copy over the image (Orton's way). With colours, saturation and brightness act on hue, saturation and lightness."""
+    if a.ndim == 2:
+        over = np.clip(a * 2**brightness, 0, 1)
+    else:
+        h, s, l = _hsl(a)
+        over = _rgb(h, np.clip(s * saturation / 100, 0, 1), np.clip(l * 2**brightness, 0, 1))
+    return a + amount / 100 * (box_blur(over, radius) - a)
+
+
+def _hsl(a):
+    hi, lo = a.max(axis=-1), a.min(axis=-1)
+    d, l = hi - lo, (hi + lo) / 2
+    r, g, b = np.moveaxis(a, -1, 0)
+    safe = np.where(d == 0, 1, d)
+    h = np.where(hi == r, (g - b) / safe, np.where(hi == g, 2 + (b - r) / safe, 4 + (r - g) / safe)) / 6 % 1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(d == 0, 0, d / np.where(l < 0.5, hi + lo, 2 - hi - lo))
+    return np.where(d == 0, 0, h), s, l
+
+
+def _rgb(h, s, l):
+    top = np.where(l < 0.5, l * (1 + s), l + s - l * s)
+    low = 2 * l - top
+    ramp = lambda t: low + (top - low) * np.clip(np.where(t % 1 < 0.5, 6 * (t % 1), 4 - 6 * (t % 1)), 0, 1)
+    return np.stack([ramp(h + 1 / 3), ramp(h), ramp(h - 1 / 3)], axis=-1)
 
 
 def lowpass(a, sigma: float = 3.0, contrast: float = 1.0, brightness: float = 0.0, radius: int = 9):
@@ -444,11 +522,20 @@ def rasterize_brush(points, height: int, width: int, radius: float = 3.0, hardne
 
 @dataclass(frozen=True)
 class Kernel:
+    """``space`` is what it works in; ``reach`` gives the halo for parameters that widen it."""
+
     name: str
     run: Callable
     halo: int
+    space: str = "RGB"
+    reach: Callable[..., int] | None = None
+
+    def around(self, params: dict) -> int:
+        """The halo, even, so that mosaics keep their phase."""
+        halo = self.reach(**params) if self.reach else self.halo
+        return halo + halo % 2
 
 
-KERNELS = {k.name: k for k in (Kernel("gaussian", gaussian, 6), Kernel("box_mean", box_mean, 3), Kernel("box_min", box_min, 3), Kernel("box_max", box_max, 3), Kernel("median", median, 1), Kernel("sharpen", sharpen, 3), Kernel("bloom", bloom, 5), Kernel("highpass", highpass, 4), Kernel("lowpass", lowpass, 9), Kernel("soften", soften, 5), Kernel("shadhi", shadows_highlights, 12), Kernel("bilat", local_contrast, 12), Kernel("bilateral", bilateral, 3), Kernel("guided", guided, 6), Kernel("nlmeans", nlmeans, 4), Kernel("atrous", atrous, 14), Kernel("equalizer", atrous, 14), Kernel("rawdenoise", raw_denoise, 14), Kernel("denoiseprofile", profiled_denoise, 14), Kernel("defringe", defringe, 4), Kernel("hotpixels", hot_pixels, 2), Kernel("clahe", clahe, 6), Kernel("hazeremoval", haze_removal, 12), Kernel("scharr", scharr, 1), Kernel("detail_mask", detail_mask, 4), Kernel("diffuse", diffuse, 4), Kernel("toneequal", tone_equalizer, 8), Kernel("tonemap", tonemap_bilateral, 3), Kernel("censorize", censorize, 8), Kernel("green_equilibrate", green_equilibrate, 2), Kernel("demosaic", demosaic, 8), Kernel("color_smoothing", color_smoothing, 2))}
+KERNELS = {k.name: k for k in (Kernel("gaussian", gaussian, 6), Kernel("box_mean", box_mean, 3), Kernel("box_min", box_min, 3), Kernel("box_max", box_max, 3), Kernel("median", median, 1), Kernel("sharpen", sharpen, 2, "LAB", lambda radius=2.0, **_: math.ceil(radius)), Kernel("bloom", bloom, 16, "LAB", lambda size=0.0, **_: BOXES * _bloom_radius(size)), Kernel("highpass", highpass, 16, "LAB", lambda sharpness=12.0, **_: BOXES * _highpass_radius(sharpness)), Kernel("lowpass", lowpass, 9), Kernel("soften", soften, 8, "RGB", lambda radius=1, **_: BOXES * radius), Kernel("shadhi", shadows_highlights, 12), Kernel("bilat", local_contrast, 12), Kernel("bilateral", bilateral, 3), Kernel("guided", guided, 6), Kernel("nlmeans", nlmeans, 4), Kernel("atrous", atrous, 14), Kernel("equalizer", atrous, 14), Kernel("rawdenoise", raw_denoise, 14), Kernel("denoiseprofile", profiled_denoise, 14), Kernel("defringe", defringe, 4), Kernel("hotpixels", hot_pixels, 2), Kernel("clahe", clahe, 6), Kernel("hazeremoval", haze_removal, 12), Kernel("scharr", scharr, 1), Kernel("detail_mask", detail_mask, 4), Kernel("diffuse", diffuse, 4), Kernel("toneequal", tone_equalizer, 8), Kernel("tonemap", tonemap_bilateral, 3), Kernel("censorize", censorize, 8), Kernel("green_equilibrate", green_equilibrate, 2), Kernel("demosaic", demosaic, 8), Kernel("color_smoothing", color_smoothing, 2))}
 WARPS = {w.name: w for w in (resample, homography, rotate, lens, liquify, spot)}
 WHOLE = {f.__name__: f for f in (floyd_steinberg, distance_transform)}

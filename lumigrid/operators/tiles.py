@@ -90,7 +90,7 @@ def _exchange(tiles: DataFrame, tile: int, targets, make) -> DataFrame:
 def run_kernel(tiles: DataFrame, name: str, tile: int = TILE, **params) -> DataFrame:
     """A kernel over all tiles, all channels at once. Its halo must not be wider than a tile."""
     kernel = KERNELS[name]
-    halo = kernel.halo + kernel.halo % 2  # even, so that mosaics keep their phase
+    halo = kernel.around(params)
     if halo > tile:
         raise ValueError("the halo is wider than a tile")
 

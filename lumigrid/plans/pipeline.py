@@ -8,6 +8,7 @@ leave no node in the plan.
 from __future__ import annotations
 
 import copy
+import inspect
 import json
 import math
 from dataclasses import dataclass, field
@@ -57,7 +58,7 @@ PARAMS: dict[str, dict[str, Param]] = {
     "exposure": {"black": _p(float, -1, 1), "exposure": _p(float, -18, 18), "mode": _p(int, 0, 1), "deflicker_percentile": _p(float, 0, 100), "deflicker_target_level": _p(float, -18, 18)},
     "temperature": {"red": _p(float, 0, 8), "green": _p(float, 0, 8), "blue": _p(float, 0, 8)},
     "rawprepare": {"left": _p(int, 0, 65535), "top": _p(int, 0, 65535), "right": _p(int, 0, 65535), "bottom": _p(int, 0, 65535), "raw_white_point": _p(int, 0, 65535)},
-    "sharpen": {"sigma": _p(float, 0, 99), "amount": _p(float, 0, 2), "threshold": _p(float, 0, 100)},
+    "sharpen": {"radius": _p(float, 0, 99), "amount": _p(float, 0, 2), "threshold": _p(float, 0, 100)},
     "velvia": {"strength": _p(float, 0, 100), "bias": _p(float, 0, 1)},
 }
 RENAMED = {("exposure", "exposure"): "ev"}
@@ -197,7 +198,7 @@ class Pipeline:
             raise PipelineError("nothing to render")
         work = _Canvas(image, height, width, tile, "c1" not in image.columns)
         if window and all(_kind(s.name) in ("point", "kernel", "color", "none", "demosaic") for s in on):
-            work.keep(window, scale, sum(_halo(s.name) for s in on))
+            work.keep(window, scale, sum(map(_halo, on)))
         for s in on:
             getattr(work, "do_" + _kind(s.name))(s)
         if scale != 1:
@@ -245,9 +246,13 @@ def _kind(name: str) -> str | None:
     return "kernel" if name in kernels.KERNELS else None
 
 
-def _halo(name: str) -> int:
-    kernel = kernels.KERNELS.get(name) if _kind(name) in ("kernel", "demosaic") else None
-    return kernel.halo + kernel.halo % 2 if kernel else 0
+def _halo(s: Stage) -> int:
+    kernel = kernels.KERNELS.get(s.name) if _kind(s.name) in ("kernel", "demosaic") else None
+    return kernel.around(_taken(s, _parameters(kernel.run))) if kernel else 0
+
+
+def _parameters(function) -> tuple[str, ...]:
+    return tuple(inspect.signature(function).parameters)
 
 
 class _Canvas:
@@ -308,13 +313,15 @@ class _Canvas:
         if self.raw:
             raise PipelineError(f"{s.name} needs colours, and the mosaic is not demosaiced yet")
         self.into(op.space)
-        self.plan = op.make(self.plan, **_taken(s, op.make.__code__.co_varnames[: op.make.__code__.co_argcount]))
+        self.plan = op.make(self.plan, **_taken(s, _parameters(op.make)))
 
     def do_kernel(self, s: Stage) -> None:
         if s.name in _RAW_ONLY and not self.raw:
             return
-        run = kernels.KERNELS[s.name].run
-        self.tiled(tiles.run_kernel, s.name, **_taken(s, run.__code__.co_varnames[: run.__code__.co_argcount]))
+        kernel = kernels.KERNELS[s.name]
+        if not self.raw:
+            self.into(kernel.space)
+        self.tiled(tiles.run_kernel, s.name, **_taken(s, _parameters(kernel.run)))
 
     def do_color(self, s: Stage) -> None:
         if self.raw:

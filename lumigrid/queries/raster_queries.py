@@ -29,7 +29,10 @@ _PIXELS = f"px AS MATERIALIZED (SELECT img_id, y, x, c0 AS v FROM {_SQL})"
 
 def _kernel(name):
     def run(spark, folder):
-        t = tiles.from_pixels(images(spark, folder), H, W, tile=TILE)
+        px = images(spark, folder)
+        if kernels.KERNELS[name].space == "LAB":  # lightness
+            px = px.withColumn("c0", F.col("c0") * 100)
+        t = tiles.from_pixels(px, H, W, tile=TILE)
         if name == "demosaic":
             return tiles.to_pixels(tiles.run_kernel(t, name, TILE), TILE, ["c0", "c1", "c2"]).selectExpr("img_id", "y", "x", "round(c0, 6) + 0.0 AS c0", "round(c1, 6) + 0.0 AS c1", "round(c2, 6) + 0.0 AS c2")
         return tiles.to_pixels(tiles.run_kernel(t, name, TILE), TILE).selectExpr("img_id", "y", "x", "round(c0, 6) + 0.0 AS c0")
@@ -79,11 +82,7 @@ for _n, _f in (("box_min", "min"), ("box_max", "max"), ("median", "median")):
 ORACLE_SQL |= {
     "kernel_gaussian": _blurred(_bell(2.0, 6, "weights"), "$b"),
     "kernel_box_mean": _blurred(_even(3, "weights"), "$b"),
-    "kernel_sharpen": _blurred(_bell(1.0, 3, "weights"), "CASE WHEN $v - $b > 0.005 THEN $v + 0.5 * ($v - $b - 0.005) WHEN $b - $v > 0.005 THEN $v - 0.5 * ($b - $v - 0.005) ELSE $v END"),
-    "kernel_highpass": _blurred(_even(4, "weights"), _CLIP("($b + $v - 1.0) * 2.0 + 0.5"), "1.0 - v"),
     "kernel_lowpass": _blurred(_bell(3.0, 9, "weights"), _CLIP("($b - 0.5) * 1.0 + 0.5")),
-    "kernel_soften": _blurred(_even(5, "weights"), "0.5 * $v + 0.5 * $b", _CLIP("v * pow(2.0, 0.33)")),
-    "kernel_bloom": _blurred(_even(5, "weights"), f"1.0 - (1.0 - {_CLIP('$v')}) * (1.0 - {_CLIP('$b')})", "CASE WHEN v * pow(2.0, 0.25) > 0.9 THEN v * pow(2.0, 0.25) ELSE 0.0 END"),
     "kernel_bilat": _blurred(_bell(4.0, 12, "weights"), "1.5 * $v - 0.5 * $b"),
     "kernel_shadhi": _blurred(_bell(4.0, 12, "weights"), _CLIP("$v + $v * (1.0 - $v) * 0.5 * (" + _CLIP("1.0 - 2.0 * $b") + " - " + _CLIP("2.0 * $b - 1.0") + ")")),
     "kernel_defringe": _blurred(_bell(1.5, 4, "weights"), "CASE WHEN abs($v - $b) > 0.1 THEN $b ELSE $v END"),
@@ -93,6 +92,25 @@ ORACLE_SQL |= {
         {"n2": (-2, 0), "s2": (2, 0), "w2": (0, -2), "e2": (0, 2)},
     ),
 }
+
+
+def _boxed(radius: int, value: str, formula: str) -> str:
+    """SQL of a formula over a pixel's value v and what eight box means make of ``value``; at an edge a mean is over what is there."""
+    tables = [f"b0 AS (SELECT img_id, y, x, v AS own, {value} AS v FROM px)"]
+    for i in range(8):
+        tables.append(f"a{i} AS MATERIALIZED (SELECT img_id, y, x, own, avg(v) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS v FROM b{i})")
+        tables.append(f"b{i + 1} AS MATERIALIZED (SELECT img_id, y, x, own, avg(v) OVER (PARTITION BY img_id, x ORDER BY y ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING) AS v FROM a{i})")
+    return f"WITH {_PIXELS}, {', '.join(tables)} SELECT img_id, y, x, round({formula.replace('$v', 'own').replace('$b', 'v')}, 6) + 0.0 AS c0 FROM b8"
+
+
+_GLOW = "CASE WHEN 100 * v * pow(2.0, 26.0 / 100) > 90 THEN 100 * v * pow(2.0, 26.0 / 100) ELSE 0.0 END"
+_WHOLE = f"p.y BETWEEN 2 AND {H - 3} AND p.x BETWEEN 2 AND {W - 3}"
+ORACLE_SQL |= {
+    "kernel_sharpen": _blurred(_bell(0.8, 2, "weights"), f"100 * $v + CASE WHEN {_WHOLE} AND 100 * $v - $b > 0.5 THEN 0.5 * (100 * $v - $b - 0.5) WHEN {_WHOLE} AND $b - 100 * $v > 0.5 THEN -0.5 * ($b - 100 * $v - 0.5) ELSE 0.0 END", "100 * v"),
+    "kernel_highpass": _boxed(2, "100.0 - greatest(0.0, least(100.0, 100 * v))", "greatest(0.0, least(100.0, ($b + 100 * $v - 100.0) * (50.0 / 100 * 7.5 * 0.5) + 50.0))"),
+    "kernel_soften": _boxed(1, _CLIP("v * pow(2.0, 0.33)"), "$v * 0.5 + $b * 0.5"),
+    "kernel_bloom": _boxed(2, _GLOW, "100.0 - (100.0 - 100 * $v) * (100.0 - $b) / 100.0"),
+}
 _M1, _M2 = "((nw.v + ne.v + sw.v + se.v) / 4.0)", "((n2.v + s2.v + w2.v + e2.v) / 4.0)"
 _C1 = "((abs(nw.v - ne.v) + abs(nw.v - sw.v) + abs(nw.v - se.v) + abs(ne.v - sw.v) + abs(sw.v - se.v) + abs(ne.v - se.v)) / 6.0)"
 _C2 = "((abs(n2.v - s2.v) + abs(n2.v - w2.v) + abs(n2.v - e2.v) + abs(s2.v - w2.v) + abs(w2.v - e2.v) + abs(s2.v - e2.v)) / 6.0)"
@@ -117,7 +135,7 @@ for _n in (*kernels.WARPS, *kernels.WHOLE):
 
 def _sampled(sy: str, sx: str, value: str = "s") -> str:
     """SQL of bilinear sampling at (sy, sx), edges repeated; ``value`` is a formula over the sample s."""
-    return f"""WITH {_PIXELS}, at AS (SELECT img_id, y, x, v, {sy} AS sy, {sx} AS sx FROM px), cell AS (SELECT *, CAST(floor(sy) AS INT) AS y0, CAST(floor(sx) AS INT) AS x0 FROM at)
+    return f"""WITH {_PIXELS}, spot AS (SELECT img_id, y, x, v, {sy} AS sy, {sx} AS sx FROM px), cell AS (SELECT *, CAST(floor(sy) AS INT) AS y0, CAST(floor(sx) AS INT) AS x0 FROM spot)
     SELECT img_id, y, x, round({value}, 6) + 0.0 AS c0 FROM (SELECT p.img_id, p.y, p.x, sum((CASE dy WHEN 0 THEN 1.0 - (sy - y0) ELSE sy - y0 END) * (CASE dx WHEN 0 THEN 1.0 - (sx - x0) ELSE sx - x0 END) * q.v) AS s
     FROM cell p, range(0, 2) a(dy), range(0, 2) b(dx), px q WHERE q.img_id = p.img_id AND q.y = least(greatest(y0 + dy, 0), {H - 1}) AND q.x = least(greatest(x0 + dx, 0), {W - 1}) GROUP BY p.img_id, p.y, p.x)"""
 
@@ -131,7 +149,7 @@ ORACLE_SQL |= {
     "geometry_lens": _sampled(f"{_DY} * (1.0 + 0.05 * {_R2}) + {(H - 1) / 2}", f"{_DX} * (1.0 + 0.05 * {_R2}) + {(W - 1) / 2}", f"s * (1.0 + 0.1 * {_R2})"),
     "geometry_liquify": _sampled("CAST(y AS DOUBLE)", f"x - 3.0 * {_PULL}"),
     "geometry_spot": f"WITH {_PIXELS} SELECT p.img_id, p.y, p.x, round(q.v, 6) + 0.0 AS c0 FROM px p JOIN px q ON q.img_id = p.img_id AND q.y = p.y AND q.x = CASE WHEN pow(p.x - 16, 2) + pow(p.y - 12, 2) <= 64 THEN least(p.x + 4, {W - 1}) ELSE p.x END",
-    "geometry_distance_transform": "SELECT img_id, y, x, round(CASE WHEN c0 <= 0.5 THEN 0.0 ELSE sqrt((SELECT min(pow(q.y - p.y, 2) + pow(q.x - p.x, 2)) FROM (SELECT * FROM " + _SQL.replace(") p", ") r") + " WHERE c0 <= 0.5) q WHERE q.img_id = p.img_id)) END, 6) + 0.0 AS c0 FROM " + _SQL,
+    "geometry_distance_transform": f"WITH {_PIXELS}, down AS MATERIALIZED (SELECT p.img_id, p.y, p.x, min(CASE WHEN q.v <= 0.5 THEN pow(q.y - p.y, 2) END) AS d FROM px p JOIN px q ON q.img_id = p.img_id AND q.x = p.x GROUP BY p.img_id, p.y, p.x) SELECT p.img_id, p.y, p.x, round(sqrt(min(pow(q.x - p.x, 2) + q.d)), 6) + 0.0 AS c0 FROM down p JOIN down q ON q.img_id = p.img_id AND q.y = p.y GROUP BY p.img_id, p.y, p.x",
 }
 
 
@@ -238,8 +256,8 @@ ORACLE_SQL |= {
     + f" UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST(y AS INT), CAST(x AS INT), 255.0, 255.0, 255.0 FROM supplier, range({_FRAME_H}) a(y), range({_FRAME_W}) b(x) WHERE NOT (y BETWEEN 2 AND {_FRAME_H - 3} AND x BETWEEN 2 AND {_FRAME_W - 3})",
     # a channel at a time, under the key 3 * image + channel
     "render_scaled": f"WITH px AS MATERIALIZED (SELECT 3 * img_id + c AS img_id, y, x, 2.0 * CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM {_COLOURS} t, range(0, 3) k(c)), {_bell(0.5 / 0.3, 5, 'weights')}, {_axis('px', 'y', 'weights', 'down')}, {_axis('down', 'x', 'weights', 'across')}, "
-    f"at AS MATERIALIZED (SELECT y, x, (y + 0.5) / 0.3 - 0.5 AS sy, (x + 0.5) / 0.3 - 0.5 AS sx FROM range({int(H * 0.3)}) a(y), range({int(W * 0.3)}) b(x)), "
-    f"taps AS MATERIALIZED (SELECT y, x, CAST(least(greatest(floor(sy) + dy, 0), {H - 1}) AS INT) AS qy, CAST(least(greatest(floor(sx) + dx, 0), {W - 1}) AS INT) AS qx, {_SINC('(sy - floor(sy) - dy)')} * {_SINC('(sx - floor(sx) - dx)')} AS w FROM at, range(-2, 4) i(dy), range(-2, 4) j(dx)), "
+    f"spot AS MATERIALIZED (SELECT y, x, (y + 0.5) / 0.3 - 0.5 AS sy, (x + 0.5) / 0.3 - 0.5 AS sx FROM range({int(H * 0.3)}) a(y), range({int(W * 0.3)}) b(x)), "
+    f"taps AS MATERIALIZED (SELECT y, x, CAST(least(greatest(floor(sy) + dy, 0), {H - 1}) AS INT) AS qy, CAST(least(greatest(floor(sx) + dx, 0), {W - 1}) AS INT) AS qx, {_SINC('(sy - floor(sy) - dy)')} * {_SINC('(sx - floor(sx) - dx)')} AS w FROM spot, range(-2, 4) i(dy), range(-2, 4) j(dx)), "
     "done AS (SELECT q.img_id // 3 AS img_id, q.img_id % 3 AS c, t.y, t.x, sum(t.w * q.v) / sum(t.w) AS v FROM taps t JOIN across q ON q.y = t.qy AND q.x = t.qx GROUP BY q.img_id, t.y, t.x) "
     "SELECT img_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, " + ", ".join(f"round(max(CASE WHEN c = {i} THEN v END), 6) + 0.0 AS c{i}" for i in range(3)) + " FROM done GROUP BY img_id, y, x",
 }

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumigrid.functions import color
 from lumigrid.operators import kernels, tiles
 from lumigrid.plans.pipeline import ORDERS, Pipeline, PipelineError
 from lumigrid.sources import images, sidecars
@@ -168,22 +169,39 @@ def test_pipeline_renders(spark):
     df = colours(spark, a)
     p = Pipeline.create(defaults=("exposure",)).set_param("exposure", "exposure", 1.0)
     assert np.allclose(array(p.render(df, H, W)), a * 2)
-    p.enable("sharpen")
+    p.enable("soften")
+    soft = kernels.soften(np.stack([a, a * 0.5, 1 - a], axis=-1) * 2)[..., 0]
     whole = array(p.render(df, H, W, tile=TILE))
-    assert np.allclose(whole, kernels.sharpen(a * 2), atol=1e-9)
+    assert np.allclose(whole, soft, atol=1e-9)
     part = array(p.render(df, H, W, region=(20, 10, 12, 8), tile=TILE), 8, 12)
     assert np.allclose(part, whole[10:18, 20:32], atol=1e-9)
     for scale in (0.25, 0.7, 1.5):
-        small = kernels.resample(kernels.sharpen(a * 2), scale=scale)
+        small = kernels.resample(soft, scale=scale)
         assert small.shape == (int(H * scale), int(W * scale))
         assert np.allclose(array(p.render(df, H, W, scale=scale, tile=TILE), *small.shape), small, atol=1e-9)
     window = array(p.render(df, H, W, scale=0.7, region=(5, 6, 20, 10), tile=TILE), 7, 14)
-    assert np.allclose(window, kernels.resample(kernels.sharpen(a * 2), scale=0.7)[6:13, 5:19], atol=1e-9)
+    assert np.allclose(window, kernels.resample(soft, scale=0.7)[6:13, 5:19], atol=1e-9)
     for bad in ({"scale": 0}, {"scale": 0.001}, {"region": (0, 0, 0, 4)}):
         with pytest.raises(PipelineError):
             p.render(df, H, W, **bad)
 
 
+def test_lab_kernels_work_on_lightness(spark):
+    """Sharpening in a pipeline goes through Lab and leaves a and b."""
+    a = np.stack([ramp(), ramp() * 0.5 + 0.2, 0.9 - ramp() * 0.6], axis=-1)
+    df = frame(spark, a[..., 0]).withColumn("c1", F.col("c0") * 0.5 + 0.2).withColumn("c2", 0.9 - F.col("c0") * 0.6)
+    m = np.array(color.SRGB_TO_XYZ_D50)
+    f = lambda t: np.where(t > color.EPSILON, np.cbrt(t), (color.KAPPA * t + 16) / 116)
+    x, y, z = np.moveaxis(f((a @ m.T) / np.array(color.D50)), -1, 0)
+    lab = np.stack([116 * y - 16, 500 * (x - y), 200 * (y - z)], axis=-1)
+    lab = np.concatenate([kernels.sharpen(lab[..., 0])[..., None], lab[..., 1:]], axis=-1)
+    fy = (lab[..., 0] + 16) / 116
+    t = np.stack([fy + lab[..., 1] / 500, fy, fy - lab[..., 2] / 200], axis=-1)
+    want = np.where(t > color.EPSILON ** (1 / 3), t**3, (116 * t - 16) / color.KAPPA) * np.array(color.D50) @ np.array(color.XYZ_D50_TO_SRGB).T
+    got = stack(Pipeline.create(defaults=("sharpen",)).render(df, H, W, tile=TILE), H, W)
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_every_stage_renders_or_raises(spark):
     """No enabled stage is passed over: it changes the plan, or says that it can't."""
     from lumigrid.plans import pipeline
