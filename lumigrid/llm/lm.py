@@ -10,9 +10,9 @@ are one unknown word, whose probability is the share of words seen once; so all
 1. A chunk of documents sends each owner (a range of word hashes) its distinct words' hashes and
    counts once, and gets the totals back in the same order.
 2. The owners' most frequent words, ranked together, take the slots.
-3. The GRU trains on every training document, in ROUNDS passes over the chunks, each over its
-   own share of every chunk: a task runs truncated backpropagation in numpy over its chunks, its
-   state carried from window to window, and the tasks' weights are averaged in a tree.
+3. The GRU trains on every training document, in ROUNDS passes, each over its own share of the
+   chunks: a task runs truncated backpropagation in numpy over its chunks, its state carried from
+   window to window, and the tasks' weights are averaged in a tree.
 4. The documents travel once, as compressed word codes, to meet their chunk's totals, and are
    scored with the state carried to each one's end.
 """
@@ -35,13 +35,13 @@ from .words import forget
 #: The model's size: slots in all, and those that words share by spelling. One slot is the end's.
 CLASSES, WITHIN, SHARED = 32, 64, 512
 OWN = CLASSES * WITHIN - SHARED - 1
-HIDDEN, EMBED = 32, 16
+HIDDEN, EMBED = 24, 16
 #: Training: parallel parts of a chunk's words, words in a window, passes with averaging, and the first pace.
-STREAMS, WINDOW, ROUNDS, PACE = 128, 24, 4, 0.03
+STREAMS, WINDOW, ROUNDS, PACE = 192, 16, 4, 0.04
 CHUNK_WORDS, CHUNK_BYTES = 1_000_000, 24 << 20
 CHUNKS_PER_TASK = 1 << 24
 #: Input partitions to an owner, and weights that one task averages.
-PARTS_PER_OWNER, FAN_IN = 16, 64
+PARTS_PER_OWNER, FAN_IN = 16, 16
 SEED = 7
 
 
@@ -100,6 +100,22 @@ def _log_softmax(logits: np.ndarray, rows: np.ndarray, aims: np.ndarray, wrong:
     return got, logits
 
 
+def _step(x, h, halved, gates, own, new, out) -> None:
+    """One step from state ``h``: gates, the recurrent share of the new state, the new state and the mixed ``out`` go where they are wanted. x and the weights are halved for the gates."""
+    hu = h @ halved
+    np.add(x[:, : 2 * HIDDEN], hu[:, : 2 * HIDDEN], out=gates)
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    own[:] = hu[:, 2 * HIDDEN :]
+    np.multiply(gates[:, HIDDEN:], own, out=new)
+    new += x[:, 2 * HIDDEN :]
+    np.tanh(new, out=new)
+    np.subtract(h, new, out=out)
+    out *= gates[:, :HIDDEN]
+    out += new
+
+
 class Gru:
     """Word embeddings, one gated layer, a softmax over classes and one over the slots of each class. Single precision."""
 
@@ -125,16 +141,17 @@ class Gru:
             at += w.size
         return self
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """x: the input's share of the gates. Returns the new state and what the backward pass needs."""
-        hu = h @ self.p["U"]
-        gates = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]))
-        z, r, own = gates[:, :HIDDEN], gates[:, HIDDEN:], hu[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * own)
-        return n + z * (h - n), z, r, n, own
+    def halved(self) -> np.ndarray:
+        """The recurrent weights, those of the two gates halved: a sigmoid of x is half a tanh of x / 2, and a half."""
+        u = self.p["U"].copy()
+        u[:, : 2 * HIDDEN] *= 0.5
+        return u
 
-    def inputs(self) -> np.ndarray:
-        return self.p["E"] @ self.p["W"] + self.p["b"]
+    def inputs(self, read: np.ndarray) -> np.ndarray:
+        """What embeddings give to the gates (halved, too) and the new state."""
+        x = read @ self.p["W"] + self.p["b"]
+        x[..., : 2 * HIDDEN] *= 0.5
+        return x
 
     def train(self, stream: np.ndarray, end: int, adam: Adam) -> None:
         """Truncated backpropagation over STREAMS parallel parts of a stream of slots, WINDOW steps at a time, state carried over."""
@@ -183,29 +200,35 @@ class Gru:
         p, (lanes, steps) = self.p, x.shape
         by_step = np.ascontiguousarray(x.T).ravel()
         read = p["E"][by_step]
-        table = (read @ p["W"] + p["b"]).reshape(steps, lanes, 3 * HIDDEN)
+        table = self.inputs(read).reshape(steps, lanes, 3 * HIDDEN)
         states = np.empty((steps + 1, lanes, HIDDEN), h.dtype)
+        gates, own, new = (np.empty((steps, lanes, k * HIDDEN), h.dtype) for k in (2, 1, 1))
         states[0] = h
-        saved = []
+        halved = self.halved()
         for t in range(steps):
-            states[t + 1], *rest = self.step(table[t], states[t])
-            saved.append(rest)
+            _step(table[t], states[t], halved, gates[t], own[t], new[t], states[t + 1])
         g: dict[str, np.ndarray] = {}
         _, down = self._output(states[1:].reshape(-1, HIDDEN), y.T.ravel(), g)
         down = down.reshape(steps, lanes, HIDDEN)
-        dx, du = np.empty_like(table), np.empty_like(table)
+        z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+        to_z = (states[:-1] - new) * z * (1 - z)
+        to_n = (1 - z) * (1 - new * new)
+        to_r = own * r * (1 - r)
+        dx = np.empty_like(table)
         dh = np.zeros_like(h)
-        turned = p["U"].T
+        back, turned = np.empty((lanes, 3 * HIDDEN), h.dtype), np.ascontiguousarray(p["U"].T)
         for t in reversed(range(steps)):
-            z, r, n, own = saved[t]
-            dh = dh + down[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dx[t, :, :HIDDEN] = dh * (states[t] - n) * z * (1 - z)
-            dx[t, :, HIDDEN : 2 * HIDDEN] = dn * own * r * (1 - r)
-            dx[t, :, 2 * HIDDEN :] = dn
-            du[t] = dx[t]
-            du[t, :, 2 * HIDDEN :] *= r
-            dh = dh * z + du[t] @ turned
+            dh += down[t]
+            now = dx[t]
+            dn = np.multiply(dh, to_n[t], out=now[:, 2 * HIDDEN :])
+            np.multiply(dh, to_z[t], out=now[:, :HIDDEN])
+            np.multiply(dn, to_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
+            back[:, : 2 * HIDDEN] = now[:, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=back[:, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += back @ turned
+        du = dx.copy()
+        du[..., 2 * HIDDEN :] *= r
         dx, du = dx.reshape(-1, 3 * HIDDEN), du.reshape(-1, 3 * HIDDEN)
         g["U"], g["W"], g["b"] = states[:-1].reshape(-1, HIDDEN).T @ du, read.T @ dx, dx.sum(axis=0)
         g["E"] = np.zeros_like(p["E"])
@@ -217,24 +240,24 @@ class Gru:
     def log10(self, slots: np.ndarray, starts: np.ndarray, lengths: np.ndarray, end: int, counted: np.ndarray) -> np.ndarray:
         """log10 probability of the ``counted`` slots of each sequence (a slice of ``slots``), which follows an end. All go in step, the longest first; the state runs through each to its end."""
         order = np.argsort(-lengths, kind="stable")
-        total, table = np.zeros(len(lengths)), self.inputs()
+        total, table, halved = np.zeros(len(lengths)), self.inputs(self.p["E"]), self.halved()
         begin, size = starts[order], lengths[order]
         h = np.zeros((len(order), HIDDEN), np.float32)
         at, last = 0, int(size[0]) if len(size) else 0
         while at < last:
             alive = int(np.searchsorted(-size, -at, side="left"))
-            span = min(max(1, 32_768 // alive), 256, last - at)
+            span = min(max(1, 8_192 // alive), 256, last - at)
             where = begin[:alive, None] + at + np.arange(-1, span)
             inside = np.arange(at, at + span) < size[:alive, None]
             codes = slots[np.clip(where, 0, len(slots) - 1)]
             if at == 0:
                 codes[:, 0] = end
             states = np.empty((alive, span, HIDDEN), np.float32)
-            now = h[:alive]
+            gates, own, new = (np.empty((alive, k * HIDDEN), np.float32) for k in (2, 1, 1))
+            h = h[:alive].copy()
             for t in range(span):
-                now = self.step(table[codes[:, t]], now)[0]
-                states[:, t] = now
-            h = now
+                _step(table[codes[:, t]], h, halved, gates, own, new, h)
+                states[:, t] = h
             got = np.zeros((alive, span))
             aims = where[:, 1:][inside]
             got[inside] = self._output(states[inside], slots[aims], None)[0] * counted[aims]
@@ -379,8 +402,13 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(columns, names=["chunk", "owner", "totals", "tokens", "top", "seen", "once"])
 
 
-def _trainer(flat: bytes, slots: Slots, turn: int, pace: float):
-    """A pass over a task's chunks, from the common weights: every ROUNDS-th training document, those of this turn."""
+def turn_of(chunk: str):
+    """The pass in which a chunk is learned: its task's number and its own there, round and round."""
+    return F.pmod(F.shiftright(chunk, 24) + F.col(chunk), F.lit(ROUNDS))
+
+
+def _trainer(flat: bytes, slots: Slots, pace: float):
+    """A pass over a task's chunks, from the common weights."""
 
     def run(batches):
         gru, adam, tokens = Gru().load(np.frombuffer(flat, "<f4")), Adam(pace), 0
@@ -388,7 +416,7 @@ def _trainer(flat: bytes, slots: Slots, turn: int, pace: float):
             for words, packed in zip(b.column("words").to_pylist(), b.column("docs").to_pylist(), strict=True):
                 docs, codes = _unpack(packed)
                 stream, rows, stops = _sequences(docs, codes, _places(words, slots), slots.end)
-                learned = ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False)) & (np.arange(len(stops)) % ROUNDS == turn)
+                learned = ~np.asarray(docs.column("held_out").to_numpy(zero_copy_only=False))
                 stream = stream[np.repeat(learned, np.diff(stops, prepend=0))]
                 gru.train(stream, slots.end, adam)
                 tokens += len(stream)
@@ -409,11 +437,12 @@ def _average(batches):
 
 
 def train(documents: DataFrame, slots: Slots) -> Gru:
-    """The GRU after ROUNDS passes over all chunks (words, docs); tasks' weights meet FAN_IN at a time, and one row reaches the driver a pass."""
+    """The GRU after ROUNDS passes, each over its share of the chunks (chunk, words, docs); tasks' weights meet FAN_IN at a time, and one row reaches the driver a pass."""
     gru = Gru(slots.mass)
     for turn in range(ROUNDS):
-        run = _trainer(gru.flat().astype("<f4").tobytes(), slots, turn, PACE * (1 - turn / ROUNDS))
-        parts, rows = documents.rdd.getNumPartitions(), documents.mapInArrow(run, _WEIGHTS)
+        run = _trainer(gru.flat().astype("<f4").tobytes(), slots, PACE * (1 - turn / ROUNDS))
+        due = documents.filter(turn_of("chunk") == turn).select("words", "docs")
+        parts, rows = due.rdd.getNumPartitions(), due.mapInArrow(run, _WEIGHTS)
         while True:
             parts = -(-parts // FAN_IN)
             rows = rows.repartition(max(1, parts)).sortWithinPartitions("part").mapInArrow(_average, _WEIGHTS)
@@ -486,7 +515,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = int(sent.filter("owner = -2").select(_little_endian("counts").alias("n")).agg(F.sum("n")).first()[0] or 0)
     slots = arrange([(r["hash"] % (1 << 64), r["count"], r["spelled"]) for r in top], shared, ends)
     documents = sent.filter("owner = -1")
-    gru = train(documents.select("words", "docs"), slots)
+    gru = train(documents.select("chunk", "words", "docs"), slots)
     last, no = F.lit((1 << 31) - 1), F.lit(None).cast("binary")
     asked = documents.select("chunk", last.alias("owner"), no.alias("totals"), "words", "docs")
     replies = answered.filter("chunk >= 0").select("chunk", "owner", "totals", no.alias("words"), no.alias("docs"))

@@ -203,6 +203,30 @@ def test_packing(docs, empty, tokenizer):
         packing.pack_documents(docs, WORD_BPE, tiers=(100, 200))
 
 
+def test_step_groups_are_equal_and_even():
+    """Over many buffers all groups but the last hold the same tokens, and groups of a tier cost nearly the same."""
+    r, packer, rows = np.random.default_rng(5), packing.Packer(0), []
+    sizes = np.minimum(r.lognormal(5.5, 1.1, 6000).astype(int) + 1, 30_000)
+    for i, n in enumerate(sizes):
+        packer.add(i, bytes(4 * int(n)))
+        if i % 700 == 699:
+            packer.pack()
+            rows += (b := packer.rows()) and b.to_pylist() or []
+    packer.pack(last=True)
+    rows += packer.rows(last=True).to_pylist()
+    assert sum(x["length"] for x in rows) == sizes.sum()
+    tokens, cost, tiers = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for x in rows:
+        tokens[x["step_group"]] += x["length"]
+        cost[x["step_group"]] += x["length"] ** 2
+        tiers[x["step_group"]].add(x["tier"])
+    *whole, tail = sorted(tokens)
+    assert all(tokens[g] == packing.STEP_TOKENS for g in whole) and 0 < tokens[tail] <= packing.STEP_TOKENS
+    for tier in packing.TIERS:
+        costs = [cost[g] for g in whole if tiers[g] == {tier}]
+        assert len(costs) < 2 or max(costs) < 1.35 * min(costs), (tier, min(costs), max(costs))
+
+
 def test_token_counts(docs, empty):
     import sentencepiece
     from tokenizers import Tokenizer, models, pre_tokenizers
@@ -430,7 +454,7 @@ def test_language_model_scores(spark, monkeypatch, many):
 
 
 def test_training_reads_every_training_document(docs, monkeypatch):
-    """Each word of each training document, and its end, is trained on in one of the passes, and no other."""
+    """Each word of each training document, and its end, is trained on, and no other; every chunk has its turn."""
     seen = collections.Counter()
     rows = docs.toPandas()
     rows = [(None if r.doc_id != r.doc_id else int(r.doc_id), zlib.crc32(("" if r.doc_id != r.doc_id else str(int(r.doc_id))).encode()) % 7 == 2, lm._tokens((r.text or "").encode())) for r in rows.itertuples()]
@@ -444,8 +468,10 @@ def test_training_reads_every_training_document(docs, monkeypatch):
     top = [(int(h), counts[w], int(s)) for w, h, s in zip(words, hashes, spelled) if counts[w]][: lm.OWN]
     slots = lm.arrange(top, np.bincount(spelled, weights=[counts[w] for w in words], minlength=lm.SHARED), sum(not h for _, h, _ in rows))
     batch = pa.RecordBatch.from_arrays([pa.array([hashes.astype("<u8").tobytes() + spelled.tobytes()]), pa.array([packed])], names=["words", "docs"])
-    for turn in range(lm.ROUNDS):
-        list(lm._trainer(lm.Gru().flat().tobytes(), slots, turn, 0.01)([batch]))
+    list(lm._trainer(lm.Gru().flat().tobytes(), slots, 0.01)([batch]))
+    chunks = [t * lm.CHUNKS_PER_TASK + i for t in range(9) for i in range(3)]
+    turns = docs.sparkSession.createDataFrame([(c,) for c in chunks], "chunk long").select(lm.turn_of("chunk").alias("t")).collect()
+    assert {r.t for r in turns} == set(range(lm.ROUNDS)) and max(collections.Counter(r.t for r in turns).values()) <= 8
     assert seen == collections.Counter({i: int(m) for i, m in enumerate(slots.mass) if m})
 
 
@@ -461,10 +487,12 @@ def test_gru_gradients_and_state():
         return -sum(math.log(brute_slot(g.p, s)[at]) for lane in range(2) for at, s in zip(y[lane], states(lane))) / 10
 
     def states(lane):
-        now, table = h[lane : lane + 1], g.inputs()
+        now, n, sigmoid = h[lane], lm.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
         for t in range(5):
-            now = g.step(table[x[lane, t]][None], now)[0]
-            yield now[0]
+            a, b = g.p["E"][x[lane, t]] @ g.p["W"] + g.p["b"], now @ g.p["U"]
+            z, r_ = sigmoid(a[:n] + b[:n]), sigmoid(a[n : 2 * n] + b[n : 2 * n])
+            now = z * now + (1 - z) * np.tanh(a[2 * n :] + r_ * b[2 * n :])
+            yield now
 
     for k in g.p:
         g.p[k] = g.p[k].astype(np.float64)

@@ -29,3 +29,20 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 100 and [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "near dedup", "packing"]
+
+
+def test_stages_on_odd_tables(spark):
+    """Nothing at all, only what no stage keeps, and null ids among copies."""
+    letters = "alpha beta gamma delta epsilon zeta eta theta"
+    odd = {
+        "empty": ([], 0),
+        "no letters": ([(1, None, None, None, None, None), (2, "", "en", None, None, None), (3, " 12 ", None, "x", "x", 1)], 0),
+        "null ids": ([(None, letters, "en", None, None, None), (5, letters.upper(), "en", None, None, None), (None, letters + " iota", None, None, None, None), (None, letters + " iota", None, None, None, None)], 2),
+    }
+    for rows, left in odd.values():
+        docs = spark.createDataFrame(rows, SCHEMA)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, ""), "test")
+            if name == "near dedup":
+                assert docs.count() == left
+        assert docs.agg({"offset": "count"}).first()[0] >= left and (docs.count() > 0) == (left > 0)
