@@ -236,7 +236,11 @@ def _encoder(path: str):
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null and empty texts have no tokens; repeated rows give equal values."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. Null and empty texts have no tokens; repeated rows give equal values, a null id stays null.
+
+    Texts of any length are encoded whole, a row at a time at most;
+    other columns are not read, whatever their names; an empty table gives an empty result.
+    """
     return id_text(docs, id_col, text_col).mapInArrow(_encoder(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

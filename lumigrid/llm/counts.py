@@ -114,5 +114,9 @@ def _counter(path: str):
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens of every whole text. Null and empty texts have none; repeated rows count alike; a null id stays null."""
+    """doc_id and n_tokens of every whole text. Null and empty texts have none; repeated rows count alike; a null id stays null.
+
+    Texts of any length are counted whole, a row at a time at most;
+    other columns are not read, whatever their names; an empty table gives an empty result.
+    """
     return id_text(docs, id_col, text_col).mapInArrow(_counter(vocabulary), "doc_id long, n_tokens long")

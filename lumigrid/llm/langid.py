@@ -255,7 +255,8 @@ def drop_unidentified(docs: DataFrame, text_col: str = "text", lang_col: str = "
     Prototypes and limits come from all rows with a non-null lang. Rejected are texts without a letter
     (null and empty ones too), and texts of any length whose plain cosine is below every language's
     limit for texts as varied (see ``learn_limits``). If no row has a lang, nothing can be learned and
-    only the first rule holds.
+    only the first rule holds. Null ids and repeated rows are judged like others, by their text; an
+    empty table stays empty.
     """
     text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn(f"c{text}", F.col(f"c{text}").cast("string"))
@@ -275,7 +276,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Documents with crc32(id as text) mod ``folds`` equal to ``held`` are held out; the prototypes come
     from all others with a non-null lang. ``folds`` 1 with ``held`` -1 learns from all. The prediction
     is ``und`` with score 0 if the text is null or has no letter, or nothing could be learned. A null
-    id counts as empty text in the checksum. Equal cosines go to the language that sorts first.
+    id counts as empty text in the checksum. Equal cosines go to the language that sorts first, and
+    repeated rows are predicted alike. Whole texts are read, however long, in pieces; other columns are not,
+    whatever their names. An empty table gives an empty result.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == held
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held_out.alias("held_out"))

@@ -160,7 +160,11 @@ def _read(batches):
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:
-    """doc_id, n_bytes and media: each text's UTF-8 bytes as a PNG in a binary column. Null text is stored like the empty one; rows are kept as they are, repeated ones too."""
+    """doc_id, n_bytes and media: each text's UTF-8 bytes as a PNG in a binary column. Null text is stored like the empty one; rows are kept as they are, repeated ones too, null ids too.
+
+    Texts of any length are stored whole, a row at a time at most;
+    other columns are not read, whatever their names; an empty table gives an empty result.
+    """
     return id_text(docs, id_col, text_col).mapInArrow(_store(level), "doc_id long, n_bytes long, media binary")
 
 
