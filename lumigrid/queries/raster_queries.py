@@ -11,7 +11,7 @@ from ..operators import kernels, tiles
 from ..plans.pipeline import Pipeline
 from . import pixel_sql
 
-H, W, TILE = 48, 64, 32
+H, W, TILE = 24, 32, 16
 _V = "CAST((x * 7 + y * 13 + img_id * 29 + (x * y) % 11) % 64 AS DOUBLE) / 63"
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -182,7 +182,7 @@ ORACLE_SQL |= {
     "geometry_flip": f"SELECT img_id, x AS y, {H - 1} - y AS x, c0 FROM {_SQL}",
     "geometry_borders": f"SELECT img_id, y + 3 AS y, x + 3 AS x, c0 FROM {_SQL} UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST(y AS INT), CAST(x AS INT), 0.5 FROM supplier, range({H + 6}) a(y), range({W + 6}) b(x) WHERE NOT (y BETWEEN 3 AND {H + 2} AND x BETWEEN 3 AND {W + 2})",
     "composite_overlay": f"SELECT img_id, y, x, round(CASE WHEN (x + y) % 3 = 0 AND x % 5 > 0 THEN c0 * (1 - CAST(x % 5 AS DOUBLE) / 4 * 0.5) + (1 - c0) * (CAST(x % 5 AS DOUBLE) / 4 * 0.5) ELSE c0 END, 6) AS c0 FROM {_SQL}",
-    "region_of_interest": "SELECT CAST(s_suppkey AS BIGINT) AS img_id, 0 AS ty, 0 AS tx, 1024 AS n FROM supplier",
+    "region_of_interest": "SELECT CAST(s_suppkey AS BIGINT) AS img_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, CAST(CASE ty WHEN 0 THEN 256 ELSE 128 END AS INT) AS n FROM supplier, range(0, 2) a(ty), range(0, 2) b(tx)",
 }
 
 
@@ -247,12 +247,12 @@ _THREE = [f"round(o{i}, 6) + 0.0 AS c{i}" for i in range(3)]
 _COLOURS = f"(SELECT img_id, y, x, c0 AS r, 1.0 - c0 AS g, c0 * c0 AS b FROM {_SQL})"
 _BYTES = [f"floor(255 * greatest(0.0, least(1.0, o{i})) + 0.5) AS c{i}" for i in range(3)]
 _SINC = "(CASE WHEN {0} = 0 THEN 1.0 WHEN abs({0}) >= 3 THEN 0.0 ELSE sin(pi() * {0}) / (pi() * {0}) * sin(pi() * {0} / 3) / (pi() * {0} / 3) END)".format
-_FRAME_H, _FRAME_W = 48 + 4, 24 + 4
+_FRAME_H, _FRAME_W = W - W // 4 + 4, H // 2 + 4
 ORACLE_SQL |= {
     "kernel_demosaic": _DEMOSAICED + "SELECT img_id, y, x, round(r, 6) + 0.0 AS c0, round(g, 6) + 0.0 AS c1, round(b, 6) + 0.0 AS c2 FROM rgb",
     "render_default": _DEMOSAICED + pixel_sql.select(pixel_sql.each("$ * sqrt(2.0)", out="e0 e1 e2") + "\n" + _CODED, "rgb", ["img_id", "y", "x"], _THREE),
     "render_region": pixel_sql.select(pixel_sql.each("$ * sqrt(2.0)", out="e0 e1 e2") + "\n" + _CODED, f"(SELECT img_id, CAST(y - 10 AS INT) AS y, CAST({W - 1} - x - 20 AS INT) AS x, r, g, b FROM {_COLOURS} c WHERE y BETWEEN 10 AND 17 AND {W - 1} - x BETWEEN 20 AND 31)", ["img_id", "y", "x"], _THREE),
-    "render_geometry": pixel_sql.select(pixel_sql.each("$", out="e0 e1 e2") + "\n" + _CODED, f"(SELECT img_id, CAST(x - 8 + 2 AS INT) AS y, CAST({H - 1} - y - 12 + 2 AS INT) AS x, r, g, b FROM {_COLOURS} c WHERE x BETWEEN 8 AND 55 AND {H - 1} - y BETWEEN 12 AND 35)", ["img_id", "y", "x"], _BYTES)
+    "render_geometry": pixel_sql.select(pixel_sql.each("$", out="e0 e1 e2") + "\n" + _CODED, f"(SELECT img_id, CAST(x - {W // 8} + 2 AS INT) AS y, CAST({H - 1} - y - {H // 4} + 2 AS INT) AS x, r, g, b FROM {_COLOURS} c WHERE x BETWEEN {W // 8} AND {W - W // 8 - 1} AND {H - 1} - y BETWEEN {H // 4} AND {H - H // 4 - 1})", ["img_id", "y", "x"], _BYTES)
     + f" UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST(y AS INT), CAST(x AS INT), 255.0, 255.0, 255.0 FROM supplier, range({_FRAME_H}) a(y), range({_FRAME_W}) b(x) WHERE NOT (y BETWEEN 2 AND {_FRAME_H - 3} AND x BETWEEN 2 AND {_FRAME_W - 3})",
     # a channel at a time, under the key 3 * image + channel
     "render_scaled": f"WITH px AS MATERIALIZED (SELECT 3 * img_id + c AS img_id, y, x, 2.0 * CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM {_COLOURS} t, range(0, 3) k(c)), {_bell(0.5 / 0.3, 5, 'weights')}, {_axis('px', 'y', 'weights', 'down')}, {_axis('down', 'x', 'weights', 'across')}, "

@@ -26,10 +26,10 @@ def source_gpx(spark, folder):
 
 
 def pipeline_render(spark, folder):
-    """An edit over five images: exposure, sharpening on tiles, velvia, a region at full size."""
+    """An edit over all images: exposure, sharpening on tiles, velvia, a region at full size."""
     pipe = Pipeline.create(defaults=("exposure", "sharpen", "velvia")).set_param("exposure", "exposure", 0.5)
     px = images(spark, folder).withColumn("c1", F.col("c0") * 0.5).withColumn("c2", 1 - F.col("c0"))
-    return pipe.render(px, H, W, region=(8, 4, 30, 20), tile=TILE).select("img_id", "y", "x", *(F.round(c, 6).alias(c) for c in ("c0", "c1", "c2")))
+    return pipe.render(px, H, W, region=(8, 4, 20, 16), tile=TILE).select("img_id", "y", "x", *(F.round(c, 6).alias(c) for c in ("c0", "c1", "c2")))
 
 
 QUERIES = {f.__name__: f for f in (source_history_json, source_gpx, pipeline_render)}

@@ -7,7 +7,7 @@ import pytest
 from lumigrid.queries.catalog import ORACLE_SQL, QUERIES
 from tests.conftest import DATA
 
-SAMPLE = sorted(k for k in ORACLE_SQL if k.startswith(("rule_rating", "rule_color", "rule_rules", "rule_text", "rule_day", "facet_tag", "facet_history", "facet_date", "join_", "window_", "history_", "rate_", "template_", "formula_", "event_", "kernel_box_mean", "geometry_", "recursive"))) + ["catalog_rules", "collection_grouped", "rule_tag_exact", "sort_color", "sort_path_desc", "pixel_chain", "pixel_velvia", "color_rgb_to_lab", "blend_display_overlay", "mask_sum", "raster_histogram"]
+SAMPLE = sorted(k for k in ORACLE_SQL if k.startswith(("rule_rating", "rule_color", "rule_rules", "rule_text", "rule_day", "facet_tag", "facet_history", "facet_date", "join_", "window_", "history_", "rate_", "template_", "formula_", "event_", "kernel_box_mean", "kernel_sharpen", "kernel_highpass", "kernel_scharr", "geometry_", "render_", "recursive", "order_rating_datetime", "pixel_rgbcurve", "pixel_basecurve", "pixel_colorbalance", "blend_display_h", "mask_mode", "mask_path", "raster_", "noise_", "style_", "tag_"))) + ["catalog_rules", "collection_grouped", "rule_tag_exact", "sort_color", "sort_path_desc", "pixel_chain", "pixel_velvia", "color_rgb_to_lab", "blend_display_overlay", "mask_sum", "raster_histogram"]
 
 
 def plain(v):

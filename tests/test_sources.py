@@ -114,3 +114,25 @@ def test_styles(spark):
     rows = spark.createDataFrame([("x", bytearray(text.encode())), ("y", bytearray(b"<"))], "path string, content binary")
     got = styles.style_items(rows).collect()
     assert sorted((r.path, r.operation, r.error is None) for r in got if r.path == "x") == [("x", "exposure", True), ("x", "sharpen", True)] and [r.error is None for r in got if r.path == "y"] == [False]
+
+
+def test_batch(spark, tmp_path, capsys):
+    """A folder through an edit to files: two sizes, a folder below, a broken file."""
+    from lumigrid import cli
+    from lumigrid.plans.pipeline import Pipeline
+
+    source, target = tmp_path / "in", tmp_path / "out"
+    (source / "sub").mkdir(parents=True)
+    (source / "a.pfm").write_bytes(images.write_pfm(picture(20, 30) * 0.4))
+    (source / "sub/b.jpg").write_bytes(jpeg.encode(picture(16, 24)))
+    (source / "bad.png").write_bytes(b"x")
+    (tmp_path / "edit.json").write_text(Pipeline.create(defaults=("exposure",)).set_param("exposure", "exposure", 1.0).to_json())
+    assert cli.main([str(source), str(target), "--history", str(tmp_path / "edit.json"), "--extension", "png", "--width", "15"]) == 1
+    assert "2 written, 1 not readable" in capsys.readouterr().out
+    a, b = images.read_png((target / "a.png").read_bytes()), images.read_png((target / "sub/b.png").read_bytes())
+    assert a.shape == (10, 15, 3) and b.shape == (10, 15, 3)
+    from lumigrid.operators import kernels
+
+    want = kernels.resample(picture(20, 30) * 0.8, scale=0.5)
+    want = np.where(want <= 0.0031308, 12.92 * want, 1.055 * np.maximum(want, 0.0031308) ** (1 / 2.4) - 0.055)
+    assert np.abs(a - np.clip(want, 0, 1)).max() < 2 / 255
