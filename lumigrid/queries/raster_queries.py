@@ -233,7 +233,8 @@ def _near(names: dict[str, tuple[int, int]]) -> str:
     return "".join(f" JOIN px {n} ON {n}.img_id = p.img_id AND {n}.y = {_mirrored('p.y', dy, H - 1)} AND {n}.x = {_mirrored('p.x', dx, W - 1)}" for n, (dy, dx) in names.items())
 
 
-_GH, _GV = "(abs(e1.v - w1.v) + abs(2 * p.v - e2.v - w2.v))", "(abs(s1.v - n1.v) + abs(2 * p.v - s2.v - n2.v))"
+# Which way is smoother is often a tie; the order of these sums keeps it one.
+_GH, _GV = "(abs(w1.v - e1.v) + abs(2 * p.v - w2.v - e2.v))", "(abs(n1.v - s1.v) + abs(2 * p.v - n2.v - s2.v))"
 _ACROSS, _DOWN = "((e1.v + w1.v) / 2 + (2 * p.v - e2.v - w2.v) / 4)", "((s1.v + n1.v) / 2 + (2 * p.v - s2.v - n2.v) / 4)"
 _GREEN = f"green AS MATERIALIZED (SELECT p.img_id, p.y, p.x, p.v, CASE WHEN (p.y + p.x) % 2 = 1 THEN p.v WHEN {_GH} < {_GV} THEN {_ACROSS} WHEN {_GV} < {_GH} THEN {_DOWN} ELSE ({_ACROSS} + {_DOWN}) / 2 END AS g FROM px p{_near({'e1': (0, 1), 'w1': (0, -1), 'n1': (-1, 0), 's1': (1, 0), 'e2': (0, 2), 'w2': (0, -2), 'n2': (-2, 0), 's2': (2, 0)})})"
 #: Red stands at even places of both axes, blue at odd ones; the weight of a neighbour halves for each axis it is off on.
