@@ -31,8 +31,10 @@ from .words import forget
 SKETCH = 48
 #: Chance at most that a link just at the threshold stays unseen.
 MISS = 1e-6
-#: Nodes, and shingles, that make up a block.
-BLOCK_NODES, BLOCK_SHINGLES = 64, 1_500_000
+#: Nodes, and shingles, that make up a block. A cluster's texts are sent once for each of its blocks, so small blocks cost disk.
+BLOCK_NODES, BLOCK_SHINGLES = 1_024, 1_500_000
+#: Candidates, for each node of two blocks, that are confirmed one by one before the rest go by matrix products over so many cells at a time.
+DIRECT, SLICE_CELLS = 8, 8 << 20
 ROWS_PER_TASK = 1 << 36
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -90,15 +92,7 @@ def _fits(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
-def _incidence(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows are sets, columns the values in rising order."""
-    values, where = np.unique(np.concatenate(sets), return_inverse=True)
-    out = np.zeros((len(sets), len(values)), bool)
-    out[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), where] = True
-    return out
-
-
-def _common(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 16_384) -> np.ndarray:
+def _common(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Sizes of intersections: pair by pair if they are few, else by matrix products over slices of the values."""
     if len(pairs) <= len(sets):
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in pairs])
@@ -110,7 +104,7 @@ def _common(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 16_384) ->
     column = column[column >= 0]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    total, columns = np.zeros((len(sets), len(sets)), np.float32), max(1, SLICE_CELLS // len(sets))
     for start in range(0, int((counts > 1).sum()), columns):
         a, b = np.searchsorted(column, [start, start + columns])
         part = np.zeros((len(sets), columns), np.float32)
@@ -119,44 +113,62 @@ def _common(sets: list[np.ndarray], pairs: np.ndarray, columns: int = 16_384) ->
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of one sorted set's intersections with others, none of them empty."""
+    values = np.concatenate(others)
+    hits = one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values
+    return np.add.reduceat(hits, np.cumsum([0] + [len(s) for s in others[:-1]]), dtype=np.int64)
+
+
 def block_links(sets: list[np.ndarray], sides: np.ndarray, two: bool, k: int, need: int, at_least: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a block, or between two blocks if ``two``."""
+    """A spanning forest of the links inside a block, or between two blocks if ``two``. Nodes that links found so far connect are not compared again."""
     sizes = np.array([len(s) for s in sets])
     above, below = at_least.numerator, at_least.denominator
-    marks = _incidence([np.sort(s.view(np.int64))[:k] for s in sets])
-    found = []
+    sketches = [np.sort(s.view(np.int64))[:k] for s in sets]
+    values, where = np.unique(np.concatenate(sketches), return_inverse=True)
+    lengths = np.array([len(s) for s in sketches])
+    ranks = np.full((len(sets), k), len(values))  # a row's sketch as ranks among all values
+    ranks[np.arange(k) < lengths[:, None]] = where
+    comp, out, later, direct = np.arange(len(sets)), [], [], DIRECT * len(sets)
+
+    def join(i, j):
+        if comp[i] != comp[j]:
+            comp[comp == comp[j]] = comp[i]
+            out.append((int(i), int(j)))
+
+    def enough(i, j, both):
+        return below * both >= above * (sizes[i] + sizes[j] - both)
+
     for i in range(len(sets) - 1):
         rest = slice(i + 1, len(sets))
-        fit = (sizes[rest] * below >= sizes[i] * above) & (sizes[i] * below >= sizes[rest] * above)
+        fit = (comp[rest] != comp[i]) & (sizes[rest] * below >= sizes[i] * above) & (sizes[i] * below >= sizes[rest] * above)
         if two:
             fit &= sides[rest] != sides[i]
         others = np.flatnonzero(fit) + i + 1
         if not len(others):
             continue
-        either = marks[others] | marks[i]
-        low = np.cumsum(either, axis=1) <= k  # the union's sketch
-        shared = (marks[others] & marks[i] & low).sum(axis=1)
-        held = np.minimum(either.sum(axis=1), k)
-        found += [(i, j) for j in others[shared >= np.minimum(need, -(-held * above // below))]]
-    if not found:
-        return []
-    pairs = np.array(found)
-    both = _common(sets, pairs)
-    linked = pairs[below * both >= above * (sizes[pairs[:, 0]] + sizes[pairs[:, 1]] - both)]
-    root = list(range(len(sets)))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in linked.tolist():
-        a, b = top(i), top(j)
-        if a != b:
-            root[b] = a
-            out.append((i, j))
+        mine = np.zeros(len(values) + 1, np.int16)
+        mine[ranks[i, : lengths[i]]] = 1
+        shared = mine[ranks[others]]
+        held = np.minimum(lengths[others] + lengths[i] - shared.sum(axis=1), k)
+        least = np.minimum(need, -(-held * above // below))
+        can = shared.sum(axis=1) >= least
+        others, shared, least = others[can], shared[can], least[can]
+        place = np.cumsum(mine)[ranks[others]] + np.arange(1, k + 1) - np.cumsum(shared, axis=1)  # among the union's values
+        others = others[(shared * (place <= k)).sum(axis=1) >= least]  # by the union's sketch
+        if not len(others):
+            continue
+        if direct <= 0:
+            later.append(np.column_stack([np.full(len(others), i), others]))
+            continue
+        direct -= len(others)
+        for j in others[enough(i, others, _overlaps(sets[i], [sets[j] for j in others]))]:
+            join(i, j)
+    pairs = np.concatenate(later) if later else np.zeros((0, 2), int)
+    pairs = pairs[comp[pairs[:, 0]] != comp[pairs[:, 1]]]
+    if len(pairs):
+        for i, j in pairs[enough(pairs[:, 0], pairs[:, 1], _common(sets, pairs))]:
+            join(i, j)
     return out
 
 

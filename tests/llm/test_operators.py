@@ -11,6 +11,7 @@ from html.parser import HTMLParser
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lumigrid.llm import bpe, counts, exact, graph, html, langid, lm, media, near, packing, pages, sharding
 
@@ -320,6 +321,63 @@ def test_near_dedup_on_a_drifting_cluster(spark):
     assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_groups(rows, 3, Fraction(85, 100))
 
 
+def test_near_dedup_sends_texts_of_a_large_cluster_few_times(spark, monkeypatch):
+    """A hot group of 600 near copies: disk must not grow with the square of its blocks of a few nodes."""
+    r = np.random.default_rng(3)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(600):
+        words = list(base)
+        for at in r.integers(0, 120, r.integers(1, 6)):
+            words[at] = f"x{r.integers(1 << 40)}"
+        rows.append((i, " ".join(words)))
+    sent = []
+
+    def spy(df, name):
+        out = materialize(df, name)
+        if name == "blocks":
+            sent.append(out.agg(F.count("rid"), F.sum("blocks")).first())
+        return out
+
+    materialize = near.materialize
+    monkeypatch.setattr(near, "materialize", spy)
+    got = {r.doc_id: r.component_id for r in near.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, Fraction(85, 100)).collect()}
+    assert sent[0][0] == 600 and sent[0][1] <= 2 * 600  # texts that meet
+    sets = [near.shingles(t.encode(), 3) for _, t in rows]
+    root = list(range(600))
+    for a in range(600):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if root[a] != root[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert got == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("direct", [0, 8])
+def test_block_links_one_by_one_and_by_products(monkeypatch, direct):
+    """Confirmed either way, within a block and between two, the links span what all pairs would."""
+    monkeypatch.setattr(near, "DIRECT", direct)
+    monkeypatch.setattr(near, "SLICE_CELLS", 1000)
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([base[i % 3][r.random(len(base[i % 3])) < r.choice([0.9, 0.96])], r.integers(0, 1 << 62, 8).astype(np.uint64)])) for i in range(90)] + [np.array([7], np.uint64)] * 2
+    for two in (False, True):
+        sides = np.arange(len(sets)) // 2 % 2
+        linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))  # noqa: B023, E731
+        found = near.block_links(sets, sides, two, 48, near.needed(48, Fraction(85, 100)), Fraction(85, 100))
+        assert all(linked(a, b) and (not two or sides[a] != sides[b]) for a, b in found)
+
+        def groups(pairs):
+            root = list(range(len(sets)))
+            for a, b in pairs:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+            return root
+
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if (not two or sides[a] != sides[b]) and linked(a, b)]
+        assert groups(found) == groups(every) and len(found) == len(sets) - len(set(groups(every)))
+
+
 def test_needed_is_a_safe_bound():
     assert near.needed(48, Fraction(85, 100)) < 48 * 0.85
     assert near.needed(48, Fraction(1, 1)) == 48
