@@ -196,7 +196,10 @@ def borders(pixels: DataFrame, height: int, width: int, size: int, color: float
 
 
 def composite(below: DataFrame, above: DataFrame, opacity: float = 1.0, channels=("c0",)) -> DataFrame:
-    """Another image (img_id, y, x, channels, alpha) over this one, place by place."""
+    """Another image (img_id, y, x, channels, alpha) over this one, place by place.
+
+    Pixels that are made from few rows look small to the planner, so the join must be told not to broadcast them.
+    """
     a = above.select("img_id", "y", "x", *(F.col(c).alias(f"_{c}") for c in channels), (F.col("alpha") * opacity).alias("_alpha"))
     alpha = F.coalesce(F.col("_alpha"), F.lit(0.0))
-    return below.join(a, ["img_id", "y", "x"], "left").select("img_id", "y", "x", *(F.when(alpha > 0, F.col(c) * (1 - alpha) + F.col(f"_{c}") * alpha).otherwise(F.col(c)).alias(c) for c in channels))
+    return below.join(a.hint("merge"), ["img_id", "y", "x"], "left").select("img_id", "y", "x", *(F.when(alpha > 0, F.col(c) * (1 - alpha) + F.col(f"_{c}") * alpha).otherwise(F.col(c)).alias(c) for c in channels))

@@ -235,3 +235,12 @@ def test_a_chain_of_point_operators_is_one_stage(spark):
     p = Pipeline.create(defaults=("exposure", "velvia", "vibrance", "splittoning"))
     df = frame(spark, ramp()).withColumn("c1", F.col("c0")).withColumn("c2", F.col("c0"))
     assert "Exchange" not in p.render(df, H, W)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_composite_broadcasts_no_pixels(spark):
+    """Pixels made from few suppliers look small, but are not."""
+    from lumigrid.queries.raster_queries import composite_overlay
+    from tests.conftest import DATA
+
+    plan = composite_overlay(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
