@@ -126,10 +126,13 @@ def as_of_track(images: DataFrame, track: DataFrame, by: list[str] | None = None
     rows = points.unionByName(wanted)
     spans = rows.groupBy(*by, "_bin").agg(F.min("point").alias("_first"), F.max("point").alias("_last"))  # a row for each span
     w = Window.partitionBy(*by).orderBy("_bin")
-    spans = spans.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bin").alias("_at"), F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_coming"))
+    # what follows is looked up in falling order: a frame that runs to the end is worked out anew for every row
+    back = Window.partitionBy(*by).orderBy(F.desc("_bin"))
+    spans = spans.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_bin").alias("_at"), F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"), F.last("_first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_coming"))
     w = Window.partitionBy(*by, "_bin").orderBy("t", "_kind", "point")
+    back = Window.partitionBy(*by, "_bin").orderBy(F.desc("t"), F.desc("_kind"), F.desc("point"))
     before = F.last("point", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("point", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("point", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     met = rows.withColumn("_a", before).withColumn("_b", after).where("_kind = 1")
     same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_bin").eqNullSafe(F.col("_at")))
     out = met.join(spans, same, "left").withColumn("_a", F.coalesce("_a", "_carried")).withColumn("_b", F.coalesce("_b", "_coming"))

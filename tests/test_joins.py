@@ -49,3 +49,13 @@ def test_clusters(spark):
     got = {r.id: r.cluster for r in cluster.grid_dbscan(spark.createDataFrame(points, "id long, longitude double, latitude double"), 0.05, 3).collect()}
     assert len({got[i] for i in range(40)}) == 1 and got[0] and got[100] is None and 101 not in got
     assert len({got[200 + i] for i in range(10)}) == 1 and got[200] != got[0]
+
+
+def test_track_of_one_crowded_day(spark):
+    """Time must not grow with the square of a span's rows: frames that run to the end do."""
+    rows = spark.range(1000).selectExpr("id", "id * 1000 AS t", "cast(id % 50 as double) AS lat", "cast(id % 70 as double) AS lon")
+    out = joins.as_of_track(rows.where("id % 2 = 1"), rows.where("id % 2 = 0"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 500 and sum(r.found for r in got.values()) == 499 and got[999].lat == 998 % 50
