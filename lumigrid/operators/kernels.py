@@ -155,10 +155,6 @@ def lowpass(a, sigma: float = 3.0, contrast: float = 1.0, brightness: float = 0.
     return np.clip((gaussian(a, sigma, radius) - 0.5) * contrast + 0.5 + brightness, 0, 1)
 
 
-def soften(a, brightness: float = 0.33, amount: float = 0.5, radius: int = 5):
-    return (1 - amount) * a + amount * box_mean(np.clip(a * 2**brightness, 0, 1), radius)
-
-
 def shadows_highlights(a, shadows: float = 0.5, highlights: float = -0.5, sigma: float = 4.0, radius: int = 12):
     """Lift where the surroundings are dark, lower where they are bright."""
     base = gaussian(a, sigma, radius)

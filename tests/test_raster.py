@@ -244,3 +244,12 @@ def test_composite_broadcasts_no_pixels(spark):
 
     plan = composite_overlay(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_soften_agrees_with_sql(spark, duck):
+    from lumigrid.queries.raster_queries import ORACLE_SQL, QUERIES
+    from tests.conftest import DATA
+
+    ours = {(r.img_id, r.y, r.x): r.c0 for r in QUERIES["kernel_soften"](spark, DATA).collect()}
+    theirs = {r[:3]: r[3] for r in duck.sql(ORACLE_SQL["kernel_soften"]).fetchall()}
+    assert ours.keys() == theirs.keys() and all(abs(ours[k] - theirs[k]) < 2e-6 for k in theirs)
