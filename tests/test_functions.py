@@ -87,3 +87,16 @@ def test_known_colours(spark):
     white = color.rgb_to_lab().apply(df).first()
     assert (white.c0, white.c1, white.c2) == pytest.approx((100, 0, 0), abs=0.05)
     assert tuple(color.rgb_to_hsl().apply(spark.createDataFrame([(1.0, 0.0, 0.0)], "c0 double, c1 double, c2 double")).select("c0", "c1", "c2").first()) == (0.0, 1.0, 0.5)
+
+
+def test_ranks_of_more_rows_than_a_range_sort_samples(spark):
+    """Counts of parts must be of the parts that the rows are in, though a sample of them sets the bounds."""
+    from pyspark.sql import functions as F
+
+    from lumigrid.functions.ranks import global_rank
+
+    rows = spark.range(0, 60_000, 1, 2).select("id", F.md5(F.col("id").cast("string")).alias("name"), F.col("id").alias("more"))
+    got = [r.id for r in global_rank(rows, [F.col("name")], "place").orderBy("place").select("id", "place").collect()]
+    assert got == [r.id for r in rows.orderBy("name").collect()]
+    places = global_rank(rows, [F.col("name")], "place").agg(F.countDistinct("place"), F.min("place"), F.max("place")).first()
+    assert tuple(places) == (60_000, 1, 60_000)
